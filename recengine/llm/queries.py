@@ -31,3 +31,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recengine.llm.exact_dedup import exact_dedup
 
     return exact_dedup(spark, f"{sf_dir}/documents.parquet")
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recengine.llm.token_counts import count_tokens
+
+    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), "piece_bpe_32k.model")
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recengine.llm.packing import pack
+
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), "word_bpe_49k.json")
