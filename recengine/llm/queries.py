@@ -45,3 +45,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recengine.llm.packing import pack
 
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), "word_bpe_49k.json")
+
+
+@query(
+    "op2_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    q AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS m FROM p)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             CAST((CAST('0x' || substr(s, CAST(1 + 10 * (i // 8) AS INTEGER), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+           CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = m THEN NULL ELSE m END AS refers_to
+    FROM q
+    """,
+)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recengine.llm.warc import archive_and_read
+
+    return archive_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
