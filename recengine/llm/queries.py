@@ -64,3 +64,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recengine.llm.warc import archive_and_read
 
     return archive_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query("op5_langid")
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from recengine.llm.langid import fit, held_out, predict
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = fit(docs.where(~held_out("doc_id", 4, 2)))
+    return predict(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", F.col("score"), "bits_per_byte")
