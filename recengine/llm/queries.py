@@ -75,3 +75,16 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs.where(~held_out("doc_id", 4, 2)))
     return predict(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", F.col("score"), "bits_per_byte")
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from recengine.llm.langid import held_out
+    from recengine.llm.quality import fit, score
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = fit(docs, labels.where(~held_out("doc_id", 3, 1)))
+    scored = score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
