@@ -88,3 +88,27 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, labels.where(~held_out("doc_id", 3, 1)))
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query(
+    "op8_ngram_jaccard",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+      FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    r AS (SELECT doc_id AS d, doc_id AS m FROM documents UNION SELECT r.d, l.v FROM r JOIN l ON l.u = r.m),
+    k AS (SELECT d, min(m) AS m FROM r GROUP BY d)
+    SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, k.m AS component_id
+    FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN k ON k.d = w.doc_id
+    """,
+)
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recengine.llm.ngram_join import jaccard_components
+
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4, percent=85)
