@@ -112,3 +112,10 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recengine.llm.ngram_join import jaccard_components
 
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4, percent=85)
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recengine.llm.decontam import find_leaks
+
+    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
