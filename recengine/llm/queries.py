@@ -141,3 +141,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recengine.llm.line_dedup import dedup_lines
 
     return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+@query("op3_pseudonyms")
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recengine.llm.pii import pseudonymise_texts
+
+    return pseudonymise_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), key="key of this query, not a secret")
