@@ -25,8 +25,14 @@ from recengine.llm._arrow import steps, text_bytes, word_codes, words
 from recengine.llm._scratch import materialize
 from recengine.llm.token_counts import tokenizer_file
 
-#: Distinct words whose ids a task remembers; then it starts afresh.
-REMEMBERED = 400_000
+#: Distinct parts of texts whose ids a task remembers; then it starts afresh.
+REMEMBERED = 1_000_000
+
+
+@lru_cache(maxsize=2)
+def word_ids(name: str) -> WordIds:
+    """One per worker process, so that tasks after each other share what they know."""
+    return WordIds(name)
 
 
 @lru_cache(maxsize=2)
@@ -36,42 +42,77 @@ def word_tokenizer(name: str):
     return Tokenizer.from_file(tokenizer_file(name))
 
 
+#: A character that is a token of its own.
+MARK = b"\x01"
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord("."), ord(",")]] = True
+
+
 class WordIds:
-    """Ids of texts by way of their distinct words.
+    """Ids of texts by way of their distinct parts.
 
     The tokenizer drops white space before it merges, and none of its rules looks
-    across white space, so the ids of a text are those of its words in a row.
+    across white space, or merges an ASCII letter with a full stop or comma. So a
+    text's ids are those of its parts in a row, and each distinct part is encoded
+    once; its ids lie in one array, found by the part's number.
     """
 
     def __init__(self, name: str):
-        self.tokenizer, self.known = word_tokenizer(name), {}
-
-    def of(self, distinct: list[bytes]) -> list[np.ndarray]:
+        self.tokenizer = word_tokenizer(name)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts in a row, and how many each has."""
+        if any(MARK in w for w in parts):
+            each = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([w.decode() for w in parts], add_special_tokens=False)]
+            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        # one text is encoded much faster than many: the mark between parts has one id, which no part has
+        text = b" %s " % MARK
+        ids = np.array(self.tokenizer.encode_batch_fast([text.join(parts).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        (mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        between = np.flatnonzero(ids == mark)
+        return np.delete(ids, between), np.diff(np.r_[-1, between, len(ids)]) - 1
+
+    def of(self, distinct: list[bytes]) -> np.ndarray:
+        """Numbers of the parts; new ones are encoded."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.forget()
         new = [w for w in distinct if w not in self.known]
+        flats, sizes = [self.flat], [self.size]
         for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32)
-        return [self.known[w] for w in distinct]
+            ids, size = self.encode(new[k : k + 20_000])
+            flats.append(ids)
+            sizes.append(size)
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.flat, self.size = np.concatenate(flats), np.concatenate(sizes)
+        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the n + 1 offsets of the texts."""
         data, offs = text_bytes(column)
         start, end, doc = words(data, offs)
-        codes, distinct = word_codes(data, start, end)
-        if not len(codes):
+        if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(column) + 1, np.int64)
-        ids = self.of(distinct)
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids)
-        begin = np.cumsum(size) - size
-        per_word = size[codes]
-        out_begin = np.cumsum(per_word) - per_word
-        where = np.repeat(begin[codes] - out_begin, per_word) + np.arange(int(per_word.sum()))
-        ends = np.r_[0, np.cumsum(np.bincount(doc, weights=per_word, minlength=len(column)).astype(np.int64))]
-        return flat[where], ends
+        letter, stop = _LETTER[data], _STOP[data]
+        at = np.flatnonzero((letter[:-1] & stop[1:]) | (stop[:-1] & letter[1:])) + 1
+        at = np.setdiff1d(at, start, assume_unique=True)  # a text may begin there
+        start, end = np.sort(np.concatenate([start, at])), np.sort(np.concatenate([end, at]))
+        doc = np.searchsorted(offs, start, side="right") - 1
+        codes, distinct = word_codes(data, start, end)
+        part = self.of(distinct)[codes]
+        begin = np.cumsum(self.size) - self.size
+        per_part = self.size[part]
+        out_begin = np.cumsum(per_part) - per_part
+        where = np.repeat(begin[part] - out_begin, per_part) + np.arange(int(per_part.sum()))
+        ends = np.r_[0, np.cumsum(np.bincount(doc, weights=per_part, minlength=len(column)).astype(np.int64))]
+        return self.flat[where], ends
 
 
 def cut(docs: DataFrame, tokenizer: str, max_len: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -79,7 +120,7 @@ def cut(docs: DataFrame, tokenizer: str, max_len: int, end_id: int, id_col: str,
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(tokenizer)
+        encoder = word_ids(tokenizer)
         for batch in batches:
             for part in steps(batch, most=4_000_000):
                 ids, ends = encoder.texts(part.column(part.schema.get_field_index("text")))
