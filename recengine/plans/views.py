@@ -23,11 +23,11 @@ def interactions(spark: SparkSession, d: str) -> DataFrame:
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), (F.ceil(F.col("l_quantity") / 5) * 0.5).cast("double").alias("rating"), epoch("l_shipdate").alias("ts"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
+        (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("ord"),
     )
 
 
-cte("interactions", "SELECT o_custkey AS user_id, l_partkey AS item_id, CAST(ceil(l_quantity / 5) * 0.5 AS DOUBLE) AS rating, CAST(epoch(l_shipdate) AS BIGINT) AS ts, l_orderkey * 10 + l_linenumber AS ord FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+cte("interactions", "SELECT o_custkey AS user_id, l_partkey AS item_id, CAST(ceil(l_quantity / 5) * 0.5 AS DOUBLE) AS rating, CAST(epoch(l_shipdate) AS BIGINT) AS ts, l_orderkey * 1000 + l_linenumber AS ord FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
