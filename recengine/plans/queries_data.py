@@ -152,7 +152,7 @@ def p6_rename_reorder(spark, d):
     return raw.select(F.col("userId").alias("user_id"), "item_id", "source_item_id", "rating", F.col("timestamp").alias("ts"))
 
 
-_DIRTY = "SELECT user_id, list_concat(list_concat(list(item_id ORDER BY ts, ord), [0, -1]), list(item_id ORDER BY ts, ord)) AS seeds FROM interactions GROUP BY user_id"
+_DIRTY = "SELECT user_id, list_concat(list_concat(list(item_id ORDER BY ts, ord, item_id), [0, -1]), list(item_id ORDER BY ts, ord, item_id)) AS seeds FROM interactions GROUP BY user_id"
 
 
 def _dirty(spark, d):

@@ -81,7 +81,7 @@ def positives(spark: SparkSession, d: str) -> DataFrame:
     return P.positives(interactions(spark, d))
 
 
-cte("latest", "SELECT * FROM interactions QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC, ord DESC) = 1", "interactions")
+cte("latest", "SELECT * FROM interactions QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC, ord DESC, rating DESC) = 1", "interactions")
 cte("pos", "SELECT * FROM latest WHERE rating >= 3.0", "latest")
 
 
