@@ -12,7 +12,8 @@ Exact, and without a step that is quadratic in a group of copies:
    other leaves of the classes that it shares one with. In a leaf the group
    counts of the residents are points of an R-tree; the overlap of a visitor with
    a subtree is at most the sum of the coordinate minima of its counts and the
-   subtree's upper corner. Surviving pairs are verified on the shingles.
+   subtree's upper corner. Up to here a class is its count vector; only the texts
+   of classes in a surviving pair are read again to verify it on the shingles.
 4. Leaves are cut into blocks. A pair that other links have already joined need
    not be verified: components are found after each round, and only pairs of
    blocks that still hold different components go on to the next one.
@@ -33,8 +34,12 @@ from recengine.llm._arrow import ASCII_LOWER, mix, steps, text_bytes, word_hashe
 from recengine.llm._scratch import materialize
 from recengine.llm.components import components
 
-#: Hash groups whose counts order the shingles, and dimensions of the R-tree's points.
-GROUPS, DIMENSIONS = 1 << 15, 64
+#: Hash groups whose counts order the shingles.
+GROUPS = 1 << 15
+#: Least and most dimensions of a point; between, a power of two of about one for eight shingles.
+LEAST_DIMENSIONS, MOST_DIMENSIONS = 16, 1024
+#: Rows of the bitmap of texts to be read again, of 64 bits each: 2 MB at most.
+BITMAP_ROWS_LOG2 = 17
 #: Classes of one block of a leaf, and children of a node of an R-tree.
 BLOCK, FANOUT = 256, 16
 
@@ -108,14 +113,41 @@ class RTree:
         return self.order[at]
 
 
+def group_counts(s: np.ndarray) -> np.ndarray:
+    """The point of a set: how many of its shingles fall into each hash group. Half the groups are two of these folded together."""
+    d = 1 << int(np.clip(len(s) // 8, LEAST_DIMENSIONS, MOST_DIMENSIONS)).bit_length() - 1
+    return np.bincount((s >> np.uint64(20)).astype(np.int64) % d, minlength=d)
+
+
+def leaf_candidates(points: list[np.ndarray], resident: np.ndarray, among: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each visitor (and resident, if ``among``) the residents (before it) that the R-trees leave.
+
+    Residents of one dimension share a tree. Sets that link differ by less than two
+    in size, so by one step of dimension at most; then both are taken at the lesser one.
+    """
+    homes: dict[int, list[int]] = {}
+    for k in np.flatnonzero(resident):
+        homes.setdefault(len(points[k]), []).append(k)
+    trees: dict[tuple[int, int], RTree] = {}
+    for q in range(len(points)):
+        if resident[q] and not among:
+            continue
+        own, size, found = len(points[q]), int(points[q].sum()), []
+        for d in (own // 2, own, own * 2):
+            if d in homes:
+                dim = min(d, own)
+                if (d, dim) not in trees:
+                    flat = np.stack([points[k].reshape(-1, dim).sum(0) for k in homes[d]])
+                    trees[d, dim] = RTree(flat, flat.sum(1))
+                found.append(np.array(homes[d])[trees[d, dim].search(points[q].reshape(-1, dim).sum(0), size, percent)])
+        near = np.concatenate(found) if found else np.zeros(0, np.int64)
+        near = near[near < q] if resident[q] else near
+        if len(near):
+            yield q, near
+
+
 def leaf_links(ids: np.ndarray, sets: list[np.ndarray], resident: np.ndarray, among: bool, percent: int) -> list[tuple[int, int]]:
     """Links that join what the leaf joins: residents with visitors, and, if ``among``, with each other."""
-    home = np.flatnonzero(resident)
-    if not len(home) or len(ids) < 2:
-        return []
-    sizes = np.array([len(s) for s in sets], np.int64)
-    points = np.stack([np.bincount((s >> np.uint64(20)).astype(np.int64) % DIMENSIONS, minlength=DIMENSIONS) for s in sets])
-    tree = RTree(points[home], sizes[home])
     root = np.arange(len(ids))
 
     def find(x: int) -> int:
@@ -124,55 +156,109 @@ def leaf_links(ids: np.ndarray, sets: list[np.ndarray], resident: np.ndarray, am
             x = root[x]
         return x
 
-    for q in range(len(ids)):
-        if resident[q] and not among:
-            continue
-        found = home[tree.search(points[q], int(sizes[q]), percent)]
-        if resident[q]:
-            found = found[found < q]
+    for q, found in leaf_candidates([group_counts(s) for s in sets], resident, among, percent):
         for other in found:
             a, b = find(q), find(int(other))
             if a != b:
                 common = len(np.intersect1d(sets[q], sets[other], assume_unique=True))
-                if (100 + percent) * common >= percent * (sizes[q] + sizes[other]):
+                if (100 + percent) * common >= percent * (len(sets[q]) + len(sets[other])):
                     root[max(a, b)] = min(a, b)
     return [(int(ids[x]), int(ids[r])) for x in range(len(ids)) if (r := find(x)) != x]
 
 
-def _round(residents: DataFrame, visitors: DataFrame, arrays: DataFrame, among: bool, percent: int) -> DataFrame:
-    """Links (u, v) found between residents and visitors of each (leaf, block); both are (leaf, block, sid).
+_PLACE = ["leaf", "block", "chunk", "sid", "resident"]
+_PLACE_SCHEMA = "leaf long, block int, chunk int, sid long, resident boolean"
+_PLACE_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
 
-    Visitors of a block are dealt out to chunks, each with the residents of the block.
-    """
-    chunks = visitors.groupBy("leaf", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
-    here = residents.join(chunks, ["leaf", "block"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-    there = visitors.join(chunks, ["leaf", "block"]).withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
-    rows = here.select("leaf", "block", "chunk", "sid", F.lit(True).alias("resident")).unionByName(there.select("leaf", "block", "chunk", "sid", F.lit(False).alias("resident")))
-    rows = rows.join(arrays, "sid").repartition("leaf", "block", "chunk").sortWithinPartitions("leaf", "block", "chunk", F.col("resident").desc(), "sid")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets, resident = None, [], [], []
+def _by_leaf(rows: DataFrame, payload: str, work, names: list[str], types: list, schema: str) -> DataFrame:
+    """work(key, ids, payloads, resident) for each (leaf, block, chunk), residents first; it gives rows of ``schema``.
 
-        def close() -> list[tuple[int, int]]:
-            return leaf_links(np.array(ids), sets, np.array(resident), among and key[2] == 0, percent) if key is not None else []
+    A group holds BLOCK residents and BLOCK visitors on average, and groups are
+    streamed one after the other.
+    """
+    rows = rows.select(*_PLACE, payload).repartition("leaf", "block", "chunk").sortWithinPartitions("leaf", "block", "chunk", F.col("resident").desc(), "sid")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, payloads, resident, out = None, [], [], [], []
+        table = lambda: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names)
         for batch in batches:
             leaf, block, chunk, sid, own = (batch.column(k).to_pylist() for k in range(5))
             lists = batch.column(5)
-            offs, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            links = []
+            offs, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             for k in range(batch.num_rows):
                 if (now := (leaf[k], block[k], chunk[k])) != key:
-                    links += close()
-                    key, ids, sets, resident = now, [], [], []
+                    if len(ids) > 1:
+                        out += work(key, np.array(ids), payloads, np.array(resident))
+                    key, ids, payloads, resident = now, [], [], []
                 if not (ids and ids[-1] == sid[k]):
-                    ids.append(sid[k]), sets.append(values[offs[k] : offs[k + 1]].copy()), resident.append(own[k])
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["u", "v"])
-        if links := close():
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["u", "v"])
+                    ids.append(sid[k]), payloads.append(values[offs[k] : offs[k + 1]].copy()), resident.append(own[k])
+            if out:
+                yield table()
+                out = []
+        if len(ids) > 1:
+            out += work(key, np.array(ids), payloads, np.array(resident))
+        if out:
+            yield table()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _bit(sid) -> tuple:
+    h = F.xxhash64(sid)
+    return F.shiftrightunsigned(h, 64 - BITMAP_ROWS_LOG2), F.shiftrightunsigned(h, 64 - BITMAP_ROWS_LOG2 - 6).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _arrays(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """sid, shingles of the wanted classes (sid, rep), from the texts of their representatives.
+
+    Texts are shuffled only if a bitmap of fixed size may hold their id.
+    """
+    word, bit = _bit("rep")
+    held = materialize(wanted.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")), "text-bitmap")
+    word, bit = _bit("id")
+    near = rows.join(F.broadcast(held), word == F.col("word")).where(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(F.lit(1)) == 1)
+    texts = near.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("text", "sid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch):
+                of = part.column(1).to_numpy()
+                sets = shingle_sets(part.column(0), size)
+                at = [k for k, s in enumerate(sets) if identity(s)[0] == of[k]]  # an id may be repeated with another text
+                flat = np.concatenate([sets[k] for k in at]) if at else np.zeros(0, np.uint64)
+                offs = np.r_[0, np.cumsum([len(sets[k]) for k in at])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(of[at]), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat.view(np.int64)))], ["sid", "shingles"])
 
-    return rows.select("leaf", "block", "chunk", "sid", "resident", "shingles").mapInArrow(run, "u long, v long")
+    return materialize(texts.mapInArrow(run, "sid long, shingles array<long>"), "shingle-arrays")
+
+
+def _round(residents: DataFrame, visitors: DataFrame, owners: DataFrame, rows: DataFrame, among: bool, size: int, percent: int) -> DataFrame:
+    """Links (u, v) found between residents and visitors of each (leaf, block); both are (leaf, block, sid).
+
+    Visitors of a block are dealt out to chunks, each with the residents of the block.
+    """
+    chunks = visitors.groupBy("leaf", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
+    here = residents.join(chunks, ["leaf", "block"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+    there = visitors.join(chunks, ["leaf", "block"]).withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
+    placed = here.select("leaf", "block", "chunk", "sid", F.lit(True).alias("resident")).unionByName(there.select("leaf", "block", "chunk", "sid", F.lit(False).alias("resident")))
+
+    def candidates(key, ids, points, resident) -> list[tuple]:
+        hit = np.zeros(len(ids), bool)
+        for q, found in leaf_candidates(points, resident, among and key[2] == 0, percent):
+            hit[q] = True
+            hit[found] = True
+        return [(*key, int(ids[k]), bool(resident[k])) for k in np.flatnonzero(hit)]
+
+    near = _by_leaf(placed.join(owners.select("sid", "point"), "sid"), "point", candidates, _PLACE, _PLACE_TYPES, _PLACE_SCHEMA)
+    near = materialize(near, "candidates")
+    wanted = materialize(near.select("sid").distinct().join(owners.select("sid", "rep"), "sid"), "candidate-classes")
+    arrays = _arrays(rows, wanted, size)
+
+    def links(key, ids, sets, resident) -> list[tuple]:
+        return leaf_links(ids, [s.view(np.uint64) for s in sets], resident, among and key[2] == 0, percent)
+
+    return materialize(_by_leaf(near.join(arrays, "sid"), "shingles", links, ["u", "v"], [pa.int64(), pa.int64()], "u long, v long"), "links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -192,22 +278,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, empty = np.zeros(GROUPS, np.int64), None
-        names = ["id", "n", "s1", "s2", "group"]
+        names = ["id", "n", "s1", "s2", "group", "point"]
         for batch in batches:
             for part in steps(batch):
                 sets = shingle_sets(part.column(1), size)
                 sums = [identity(s) for s in sets]
                 empty = part.column(0).slice(0, 0)
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in sums], pa.int64()), pa.array([x[1] for x in sums], pa.int64()), pa.nulls(len(sets), pa.int32())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in sums], pa.int64()), pa.array([x[1] for x in sums], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.array([group_counts(s) for s in sets], pa.list_(pa.int32()))], names)
         if empty is not None:
             at = np.flatnonzero(counts)
             none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), empty.type), pa.array(counts[at]), none, none, pa.array(at.astype(np.int32))], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), empty.type), pa.array(counts[at]), none, none, pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.list_(pa.int32()))], names)
 
-    fields = [T.StructField("id", kind), *(T.StructField(x, T.LongType()) for x in ("n", "s1", "s2")), T.StructField("group", T.IntegerType())]
+    fields = [T.StructField("id", kind), *(T.StructField(x, T.LongType()) for x in ("n", "s1", "s2")), T.StructField("group", T.IntegerType()), T.StructField("point", T.ArrayType(T.IntegerType()))]
     described = materialize(rows.mapInArrow(describe, T.StructType(fields)), "shingle-sets")
-    known = described.where("group is null").select("id", "n", "s1", "s2")
+    known = described.where("group is null").select("id", "n", "s1", "s2", "point")
     classes = known.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
 
     weights = np.zeros(GROUPS, np.int64)
@@ -230,39 +316,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 if key:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(np.concatenate(sid))], ["key", "sid"])
 
+    # shared early shingles; copies of a class in other tasks give the same row
     cell = Window.partitionBy("key")
     cells = rows.select("text").mapInArrow(keys, "key long, sid long")
-    cells = cells.withColumn("low", F.min("sid").over(cell)).withColumn("high", F.max("sid").over(cell)).where("low < high")
-    cells = materialize(cells.select("key", "sid"), "shared-shingles").distinct()
-    sizes = classes.groupBy(F.col("s1").alias("sid")).agg(F.max("n").alias("n"), F.min("rep").alias("rep"))
-    owners = materialize(cells.groupBy("sid").agg(F.min("key").alias("owner")).join(sizes, "sid"), "leaf-owners")  # classes that share a shingle
-
-    cells = cells.join(owners.select("sid", "owner", "n"), "sid")
-    cells = materialize(cells, "cells")
-    homes = cells.groupBy("key", F.col("owner").alias("leaf")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    visits = cells.join(homes, "key").where((F.col("leaf") < F.col("owner")) & (F.col("n") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("n") * 100))
-    visits = materialize(visits.select("leaf", "sid").distinct(), "visits")
-
-    def arrays_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in steps(batch):
-                wanted = part.column(1).to_numpy()
-                sets = [s for s in shingle_sets(part.column(0), size)]
-                at = [k for k, s in enumerate(sets) if identity(s)[0] == wanted[k]]
-                flat = np.concatenate([sets[k] for k in at]) if at else np.zeros(0, np.uint64)
-                offs = np.r_[0, np.cumsum([len(sets[k]) for k in at])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(wanted[at]), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat.view(np.int64)))], ["sid", "shingles"])
-
-    wanted = owners.select("sid", F.col("rep"))
-    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("text", "sid")
-    arrays = materialize(texts.mapInArrow(arrays_of, "sid long, shingles array<long>").dropDuplicates(["sid"]), "shingle-arrays")
+    cells = cells.withColumn("low", F.min("sid").over(cell)).withColumn("high", F.max("sid").over(cell)).withColumn("held", F.count(F.lit(1)).over(cell))
+    cells = materialize(cells.where("low < high").select("key", "sid", "held").distinct(), "shared-shingles")
+
+    # a class lives with the most others: copies of one text have few leaves between them
+    owners = cells.groupBy("sid").agg(F.max(F.struct("held", "key"))["key"].alias("owner"))
+    leaves = owners.groupBy("owner").agg(F.count(F.lit(1)).alias("residents"))
+    points = known.where("n > 0").select(F.col("s1").alias("sid"), "id", "n", "point").join(owners.join(leaves, "owner"), "sid")
+    # of equal sets any one stands for all
+    owners = materialize(points.groupBy("sid", "owner", "residents", "n").agg(F.min("id").alias("rep"), F.max("point").alias("point")), "leaf-classes")
+
+    # the fewer come to the more: of two classes that share a shingle the one of the smaller leaf visits the other's
+    cells = materialize(cells.join(owners.select("sid", "owner", "residents", "n"), "sid").drop("held"), "cells")
+    homes = cells.groupBy("key", F.col("owner").alias("leaf"), F.col("residents").alias("size")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    several = homes.groupBy("key").agg(F.min("leaf").alias("one"), F.max("leaf").alias("other")).where("one < other").select("key")
+    larger = (F.col("size") > F.col("residents")) | ((F.col("size") == F.col("residents")) & (F.col("leaf") < F.col("owner")))
+    alike = (F.col("n") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("n") * 100)
+    visits = cells.join(homes.join(several, "key"), "key").where(larger & alike).select("leaf", "size", "sid").distinct()
 
     # round 1: each resident in its own block, each visitor in one block of the leaf
-    blocks = owners.groupBy(F.col("owner").alias("leaf")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = lambda size: F.ceil(F.col(size) / BLOCK).cast("int")
     deal = lambda name: F.pmod(F.xxhash64(F.lit(name), "sid"), F.col("blocks")).cast("int")
-    residents = materialize(owners.select(F.col("owner").alias("leaf"), "sid").join(blocks, "leaf").select("leaf", "sid", "blocks", deal("r").alias("block")), "residents")
-    visitors = materialize(visits.join(blocks, "leaf").select("leaf", "sid", "blocks", deal("v").alias("block")), "visitors")
-    links = materialize(_round(residents.select("leaf", "block", "sid"), visitors.select("leaf", "block", "sid"), arrays, True, percent), "links")
+    residents = owners.select(F.col("owner").alias("leaf"), "sid", blocks("residents").alias("blocks")).withColumn("block", deal("r"))
+    visitors = materialize(visits.select("leaf", "sid", blocks("size").alias("blocks")).withColumn("block", deal("v")), "visitors")
+    links = _round(residents.select("leaf", "block", "sid"), visitors.select("leaf", "block", "sid"), owners, rows, True, size, percent)
     joined = components(links)
 
     # later rounds: only leaves of several blocks, and only what may still join two components
@@ -280,14 +360,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             more = materialize(come.join(held, "leaf").where(apart & new).select("leaf", F.col("other").alias("block"), "sid").distinct(), "more-visits")
             if not more.take(1):
                 break
-            found = materialize(_round(many_r.select("leaf", "block", "sid"), more, arrays, False, percent), "more-links")
-            links = links.unionByName(found)
+            links = links.unionByName(_round(many_r.select("leaf", "block", "sid"), more, owners, rows, False, size, percent))
             joined = components(links)
 
     by_class = classes.join(joined.select(F.col("node").alias("s1"), "component"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
     least = by_class.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = materialize(by_class.join(least, "component").select("s1", "s2", "component_id"), "class-components")
     return (
-        known.join(by_class, ["s1", "s2"], "left")
+        known.drop("point").join(by_class, ["s1", "s2"], "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     )
