@@ -27,8 +27,9 @@ _REC10 = "SELECT query_id, candidate_id, rank FROM source_ranks WHERE source = '
 
 
 def _graph_recs(spark, d) -> tuple[DataFrame, DataFrame]:
-    q = written(V.validation_queries(spark, d), "queries")
-    per_seed = K.seed_candidates(q, V.graph(spark, d), DEPTH)
+    s = V.stored_split(spark, d)
+    q = written(V.validation_queries(spark, d, s), "queries")
+    per_seed = K.seed_candidates(q, V.graph(spark, d, s), DEPTH)
     return q, written(K.source_ranks(per_seed, DEPTH), "source-ranks")
 
 
@@ -104,18 +105,19 @@ def j5_seed_exclusion(spark, d):
 
 
 @query("w6_rank_within_seed", "query_id:s source:s seed_id:l candidate_id:l rank:l", f"SELECT * FROM per_seed WHERE rank <= {DEPTH}", "per_seed")
-def w6_rank_within_seed(spark, d):
-    return K.seed_candidates(V.validation_queries(spark, d), V.neighbors(spark, d), DEPTH)
+def w6_rank_within_seed(spark, d, s=None):
+    s = s if s is not None else V.stored_split(spark, d)
+    return K.seed_candidates(written(V.validation_queries(spark, d, s), "queries"), V.neighbors(spark, d, s), DEPTH)
 
 
 @query("a8_support_best_rank", "query_id:s source:s candidate_id:l support:l best_rank:l", "SELECT query_id, source, candidate_id, support, best_rank FROM source_ranks", "source_ranks")
 @query("w7_rank_within_source", "query_id:s source:s candidate_id:l rank:l", "SELECT query_id, source, candidate_id, rank FROM source_ranks", "source_ranks")
-def w7_rank_within_source(spark, d):
-    return K.source_ranks(K.seed_candidates(V.validation_queries(spark, d), V.neighbors(spark, d), DEPTH), DEPTH)
+def w7_rank_within_source(spark, d, s=None):
+    return K.source_ranks(w6_rank_within_seed(spark, d, s), DEPTH)
 
 
-def _pivoted(spark, d) -> DataFrame:
-    return K.pivot_ranks(w7_rank_within_source(spark, d), SRC)
+def _pivoted(spark, d, s=None) -> DataFrame:
+    return K.pivot_ranks(w7_rank_within_source(spark, d, s), SRC)
 
 
 @query("j6_merged_source_ranks", "query_id:s candidate_id:l item_graph_rank:l content_rank:l", "SELECT * FROM pivoted", "pivoted")
@@ -132,8 +134,8 @@ def u1_union_of_sources(spark, d):
 
 @query("a9_reciprocal_rank_score", "query_id:s candidate_id:l rrf_score:d", "SELECT query_id, candidate_id, rrf_score FROM fused", "fused")
 @query("w8_fuse_rrf", "query_id:s candidate_id:l rrf_score:d fused_rank:l", "SELECT query_id, candidate_id, rrf_score, fused_rank FROM fused", "fused")
-def w8_fuse_rrf(spark, d):
-    return K.fuse_rrf(_pivoted(spark, d), SRC, limit=None)
+def w8_fuse_rrf(spark, d, s=None):
+    return K.fuse_rrf(_pivoted(spark, d, s), SRC, limit=None)
 
 
 @query("w9_cap_candidates", "query_id:s candidate_id:l source_count:l", f"SELECT query_id, candidate_id, source_count FROM fused WHERE fused_rank <= {LIMIT}", "fused")
@@ -169,7 +171,8 @@ def e15_partition_candidates(spark, d):
     "validation_queries", "candidates",
 )
 def a12_candidate_statistics(spark, d):
-    return K.candidate_stats(V.candidates(spark, d), V.validation_queries(spark, d))
+    s = V.stored_split(spark, d)
+    return K.candidate_stats(V.candidates(spark, d, s), V.validation_queries(spark, d, s))
 
 
 @query("a11_query_group_sizes", "query_id:s rows:l", "SELECT query_id, count(*) AS rows FROM candidates GROUP BY 1", "candidates")
@@ -206,8 +209,9 @@ _RECS = "SELECT query_id, candidate_id, fused_rank AS rank FROM fused"
     "fused", "validation_queries", "truth",
 )
 def v1_recall_hit_precision(spark, d):
-    recs = w8_fuse_rrf(spark, d).select("query_id", "candidate_id", F.col("fused_rank").alias("rank"))
-    return E.retrieval_metrics(recs, V.validation_queries(spark, d), (5, 10, 20))
+    s = V.stored_split(spark, d)
+    recs = w8_fuse_rrf(spark, d, s).select("query_id", "candidate_id", F.col("fused_rank").alias("rank"))
+    return E.retrieval_metrics(recs, V.validation_queries(spark, d, s), (5, 10, 20))
 
 
 _EVAL = """WITH r AS ({recs}), m AS (SELECT q.query_id, k.k, count(t.candidate_id) AS h, len(list_distinct(q.truth)) AS n FROM validation_queries q CROSS JOIN (VALUES (10), (20)) k(k) LEFT JOIN r ON r.query_id = q.query_id AND r.rank <= k.k LEFT JOIN truth t ON t.query_id = r.query_id AND t.candidate_id = r.candidate_id GROUP BY q.query_id, k.k, q.truth)
@@ -217,8 +221,9 @@ SELECT k, count(*) AS queries, avg(h / CAST(n AS DOUBLE)) AS recall, avg(CASE WH
 @query("v5_evaluate", "k:l queries:l recall:d hit_rate:d precision:d catalog_coverage:d user_coverage:d", _EVAL.format(recs=_RECS), "fused", "validation_queries", "truth", "catalog")
 @query("a15_catalog_coverage", "k:l catalog_coverage:d", _EVAL.format(recs=_RECS), "fused", "validation_queries", "truth", "catalog")
 def v5_evaluate(spark, d):
-    recs = written(w8_fuse_rrf(spark, d).select("query_id", "candidate_id", F.col("fused_rank").alias("rank")), "recs")
-    return E.evaluate(recs, V.validation_queries(spark, d), (10, 20), V.catalog(spark, d).count())
+    s = V.stored_split(spark, d)
+    recs = written(w8_fuse_rrf(spark, d, s).select("query_id", "candidate_id", F.col("fused_rank").alias("rank")), "recs")
+    return E.evaluate(recs, V.validation_queries(spark, d, s), (10, 20), V.catalog(spark, d).count())
 
 
 _TOP = "SELECT q.query_id, p.item_id AS candidate_id, row_number() OVER (PARTITION BY q.query_id ORDER BY p.popularity DESC, p.item_id) AS rank FROM validation_queries q JOIN popularity p ON NOT list_contains(q.seeds, p.item_id) QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY p.popularity DESC, p.item_id) <= 20"
@@ -231,7 +236,10 @@ def w12_popularity_top_n(spark, d):
 
 @query("v12_popularity_baseline", "k:l queries:l recall:d hit_rate:d precision:d catalog_coverage:d user_coverage:d", _EVAL.format(recs=_TOP), "validation_queries", "popularity", "truth", "catalog")
 def v12_popularity_baseline(spark, d):
-    return E.evaluate(written(w12_popularity_top_n(spark, d), "popular"), V.validation_queries(spark, d), (10, 20), V.catalog(spark, d).count())
+    s = V.stored_split(spark, d)
+    q = written(V.validation_queries(spark, d, s), "queries")
+    recs = written(Z.recommend_popular(q, Z.popularity(V.train(spark, d, s)), 20), "popular")
+    return E.evaluate(recs, q, (10, 20), V.catalog(spark, d).count())
 
 
 _FUSED_ROWS = "SELECT query_id, candidate_id, label, fused_rank AS rank FROM candidates"
@@ -260,7 +268,7 @@ _ORDERED = (
 
 @query("v6_ranking_report", "ordering:s k:l queries:l ndcg:d map:d mrr:d", f"SELECT ordering, k, count(*) AS queries, avg(ndcg) AS ndcg, avg(map) AS map, avg(mrr) AS mrr FROM ({_ranking_sql(_ORDERED, 'ordering, ')}) GROUP BY 1, 2", "features")
 def v6_ranking_report(spark, d):
-    f = V.features(spark, d)
+    f = V.stored_features(spark, d)
     return E.ranking_report(f, {"popularity": F.col("popularity"), "rrf": M.rrf_scores(f)})
 
 
@@ -274,8 +282,8 @@ _A, _B = "SELECT query_id, candidate_id, rank FROM source_ranks WHERE source = '
 _MARKS = f"SELECT query_id, candidate_id, max(a) AS a, max(b) AS b FROM (SELECT query_id, candidate_id, 1 AS a, 0 AS b FROM ({_A}) UNION ALL SELECT query_id, candidate_id, 0, 1 FROM ({_B})) GROUP BY 1, 2"
 
 
-def _two(spark, d) -> tuple[DataFrame, DataFrame]:
-    r = written(w7_rank_within_source(spark, d), "source-ranks").where("rank <= 30")
+def _two(spark, d, s=None) -> tuple[DataFrame, DataFrame]:
+    r = written(w7_rank_within_source(spark, d, s), "source-ranks").where("rank <= 30")
     return r.where("source = 'item_graph'"), r.where("source = 'content'")
 
 
@@ -295,8 +303,8 @@ _OVERLAP = (
 
 @query("v8_candidate_overlap", _OVERLAP_COLUMNS, _OVERLAP, "validation_queries", "source_ranks", "truth")
 def v8_candidate_overlap(spark, d):
-    a, b = _two(spark, d)
-    return E.candidate_overlap(a, b, V.validation_queries(spark, d))
+    s = V.stored_split(spark, d)
+    return E.candidate_overlap(*_two(spark, d, s), V.validation_queries(spark, d, s))
 
 
 @query(
@@ -307,8 +315,8 @@ def v8_candidate_overlap(spark, d):
     "validation_queries", "source_ranks",
 )
 def v9_lineup_overlap(spark, d):
-    a, b = _two(spark, d)
-    return E.lineup_overlap(a, b, (5, 20), V.validation_queries(spark, d))
+    s = V.stored_split(spark, d)
+    return E.lineup_overlap(*_two(spark, d, s), (5, 20), V.validation_queries(spark, d, s))
 
 
 @query(
@@ -321,9 +329,10 @@ def v9_lineup_overlap(spark, d):
     "validation_queries", "source_ranks", "truth", "fused",
 )
 def v10_fusion_evaluation(spark, d):
-    ranks = written(w7_rank_within_source(spark, d), "source-ranks")
+    s = V.stored_split(spark, d)
+    ranks = written(w7_rank_within_source(spark, d, s), "source-ranks")
     fused = K.fuse_rrf(K.pivot_ranks(ranks, SRC), SRC, limit=None).select("query_id", "candidate_id", F.col("fused_rank").alias("rank"))
-    q, out = written(V.validation_queries(spark, d), "queries"), None
+    q, out = written(V.validation_queries(spark, d, s), "queries"), None
     for name, recs in (("item_graph", ranks.where("source = 'item_graph'")), ("content", ranks.where("source = 'content'")), ("fused", fused)):
         one = E.evaluate(recs, q, (10,)).select(F.lit(name).alias("system"), "k", "recall", "precision")
         out = one if out is None else out.unionByName(one)
@@ -476,8 +485,9 @@ def v7_evaluate_heldout(spark, d):
 
 @query("m11_lineup", "request_id:s candidate_id:l score:d rank:l", "SELECT query_id AS request_id, candidate_id, rrf_score AS score, fused_rank AS rank FROM fused WHERE fused_rank <= 10", "fused")
 def m11_lineup(spark, d):
-    requests = V.validation_queries(spark, d).withColumnRenamed("query_id", "request_id")
-    return L.recommend(requests, V.neighbors(spark, d), Z.popularity(V.train(spark, d)), lambda f: f.withColumn("score", M.rrf_scores(f)), 10, SRC, DEPTH, LIMIT)
+    s = V.stored_split(spark, d)
+    requests = written(V.validation_queries(spark, d, s).withColumnRenamed("query_id", "request_id"), "requests")
+    return L.recommend(requests, V.neighbors(spark, d, s), Z.popularity(V.train(spark, d, s)), lambda f: f.withColumn("score", M.rrf_scores(f)), 10, SRC, DEPTH, LIMIT)
 
 
 # --- streams ---

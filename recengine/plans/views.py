@@ -102,12 +102,17 @@ cte("both_ends", "SELECT *, CASE WHEN m2 <= n - 1 THEN m2 ELSE l2 END AS ve FROM
 cte("split", "SELECT user_id, item_id, rating, ts, ord, CASE WHEN rn <= te THEN 'train' WHEN rn <= ve THEN 'validation' ELSE 'test' END AS part FROM both_ends WHERE te >= 6 AND ve > te AND n > ve", "both_ends")
 
 
-def train(spark: SparkSession, d: str) -> DataFrame:
-    return split(spark, d).where("part = 'train'")
+def stored_split(spark: SparkSession, d: str) -> DataFrame:
+    """The split as a written table, for queries that use several of its parts."""
+    return written(split(spark, d), "split")
 
 
-def validation_queries(spark: SparkSession, d: str) -> DataFrame:
-    return P.query_records(split(spark, d), "validation")
+def train(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
+    return (s if s is not None else split(spark, d)).where("part = 'train'")
+
+
+def validation_queries(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
+    return P.query_records(s if s is not None else split(spark, d), "validation")
 
 
 for _part, _past in (("validation", "part = 'train'"), ("test", "part IN ('train', 'validation')")):
@@ -118,8 +123,8 @@ for _part, _past in (("validation", "part = 'train'"), ("test", "part IN ('train
     )
 
 
-def graph(spark: SparkSession, d: str) -> DataFrame:
-    return item_graph(train(spark, d), DEPTH)
+def graph(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
+    return item_graph(train(spark, d, s), DEPTH)
 
 
 cte("cells", "SELECT DISTINCT user_id, item_id FROM split WHERE part = 'train'", "split")
@@ -151,8 +156,8 @@ cte(
 )
 
 
-def neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return graph(spark, d).unionByName(content_neighbors(spark, d))
+def neighbors(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
+    return graph(spark, d, s).unionByName(content_neighbors(spark, d))
 
 
 cte("neighbors", "SELECT * FROM graph UNION ALL SELECT * FROM content", "graph", "content")
@@ -184,12 +189,15 @@ cte("candidates", f"SELECT f.*, CASE WHEN t.query_id IS NULL THEN 0 ELSE 1 END A
 cte("popularity", "SELECT item_id, count(*) AS popularity FROM split WHERE part = 'train' AND item_id > 0 GROUP BY item_id", "split")
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
-    return build_candidates(validation_queries(spark, d), neighbors(spark, d), SOURCES, DEPTH, DEPTH, LIMIT)
+def candidates(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
+    s = s if s is not None else stored_split(spark, d)
+    queries = written(validation_queries(spark, d, s), "queries")
+    return build_candidates(queries, neighbors(spark, d, s), SOURCES, DEPTH, DEPTH, LIMIT)
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
-    return materialize_features(candidates(spark, d), popularity(train(spark, d)), SOURCES)
+    s = stored_split(spark, d)
+    return materialize_features(candidates(spark, d, s), popularity(train(spark, d, s)), SOURCES)
 
 
 def stored_features(spark: SparkSession, d: str) -> DataFrame:
