@@ -7,22 +7,25 @@ number of rounds grows with the logarithm of the longest path.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from recengine.llm._scratch import materialize
 
 
-def _mark(links: DataFrame) -> tuple:
-    r = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(r)
+def _settle(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """``links`` as a written table, and their number and content hash, which the write itself observes."""
+    seen = Observation("links")
+    marked = links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    table = materialize(marked, "stars")
+    return table, (seen.get["n"], seen.get["h"])
 
 
 def _large(links: DataFrame) -> DataFrame:
     """Every node's larger neighbours are linked to its smallest one."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small(links: DataFrame) -> DataFrame:
@@ -39,11 +42,10 @@ def components(links: DataFrame) -> DataFrame:
     Links of a node with itself, repeated and reversed links change nothing.
     Without links there are no rows.
     """
-    now = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-    mark = _mark(now)
+    now, mark = _settle(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while mark[0]:
-        now = materialize(_small(_large(now)), "stars")
-        last, mark = mark, _mark(now)
+        last = mark
+        now, mark = _settle(_small(_large(now)))
         if mark == last:
             break
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

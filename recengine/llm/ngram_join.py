@@ -234,7 +234,7 @@ def _arrays(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _round(residents: DataFrame, visitors: DataFrame, owners: DataFrame, rows: DataFrame, among: bool, size: int, percent: int) -> DataFrame:
-    """Links (u, v) found between residents and visitors of each (leaf, block); both are (leaf, block, sid).
+    """Links (leaf, block, u, v) found between residents and visitors of each (leaf, block); both are (leaf, block, sid).
 
     Visitors of a block are dealt out to chunks, each with the residents of the block.
     """
@@ -256,9 +256,9 @@ def _round(residents: DataFrame, visitors: DataFrame, owners: DataFrame, rows: D
     arrays = _arrays(rows, wanted, size)
 
     def links(key, ids, sets, resident) -> list[tuple]:
-        return leaf_links(ids, [s.view(np.uint64) for s in sets], resident, among and key[2] == 0, percent)
+        return [(*key[:2], u, v) for u, v in leaf_links(ids, [s.view(np.uint64) for s in sets], resident, among and key[2] == 0, percent)]
 
-    return materialize(_by_leaf(near.join(arrays, "sid"), "shingles", links, ["u", "v"], [pa.int64(), pa.int64()], "u long, v long"), "links")
+    return materialize(_by_leaf(near.join(arrays, "sid"), "shingles", links, ["leaf", "block", "u", "v"], [pa.int64(), pa.int32(), pa.int64(), pa.int64()], "leaf long, block int, u long, v long"), "links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -325,9 +325,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # a class lives with the most others: copies of one text have few leaves between them
     owners = cells.groupBy("sid").agg(F.max(F.struct("held", "key"))["key"].alias("owner"))
     leaves = owners.groupBy("owner").agg(F.count(F.lit(1)).alias("residents"))
-    points = known.where("n > 0").select(F.col("s1").alias("sid"), "id", "n", "point").join(owners.join(leaves, "owner"), "sid")
-    # of equal sets any one stands for all
-    owners = materialize(points.groupBy("sid", "owner", "residents", "n").agg(F.min("id").alias("rep"), F.max("point").alias("point")), "leaf-classes")
+    # of equal sets any one stands for all; copies are folded together before the join
+    points = known.where("n > 0").groupBy(F.col("s1").alias("sid"), "n").agg(F.min("id").alias("rep"), F.max("point").alias("point"))
+    owners = materialize(points.join(owners.join(leaves, "owner"), "sid"), "leaf-classes")
 
     # the fewer come to the more: of two classes that share a shingle the one of the smaller leaf visits the other's
     cells = materialize(cells.join(owners.select("sid", "owner", "residents", "n"), "sid").drop("held"), "cells")
@@ -343,25 +343,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     residents = owners.select(F.col("owner").alias("leaf"), "sid", blocks("residents").alias("blocks")).withColumn("block", deal("r"))
     visitors = materialize(visits.select("leaf", "sid", blocks("size").alias("blocks")).withColumn("block", deal("v")), "visitors")
     links = _round(residents.select("leaf", "block", "sid"), visitors.select("leaf", "block", "sid"), owners, rows, True, size, percent)
-    joined = components(links)
-
-    # later rounds: only leaves of several blocks, and only what may still join two components
-    many_r, many_v = residents.where("blocks > 1"), visitors.where("blocks > 1")
-    if many_r.take(1):
-        for pivots in (True, False):
-            label = lambda d: d.join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-            here = label(many_r)
-            held = here.groupBy("leaf", F.col("block").alias("other")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            come = here.select("leaf", "block", "sid", "component", F.lit(True).alias("lives")).unionByName(label(many_v).select("leaf", "block", "sid", "component", F.lit(False).alias("lives")))
-            if pivots:  # one of each component in a block stands for it
-                come = come.groupBy("leaf", "block", "component", "lives").agg(F.min("sid").alias("sid"))
-            apart = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
-            new = (F.col("other") < F.col("block")) | (~F.col("lives") & (F.col("other") != F.col("block")))
-            more = materialize(come.join(held, "leaf").where(apart & new).select("leaf", F.col("other").alias("block"), "sid").distinct(), "more-visits")
-            if not more.take(1):
-                break
-            links = links.unionByName(_round(many_r.select("leaf", "block", "sid"), more, owners, rows, False, size, percent))
-            joined = components(links)
+    many = residents.where("blocks > 1")
+    if not many.take(1):
+        joined = components(links)
+    else:
+        # round 2: what is left of each block after round 1, one of each group, visits the blocks before
+        many, guests = materialize(many, "residents"), visitors.where("blocks > 1")
+        places = many.select("leaf", F.col("block").alias("other")).distinct()
+        tied = links.select("leaf", "block", F.col("u").alias("sid")).distinct()
+        come = many.join(tied, ["leaf", "block", "sid"], "left_anti").join(places, "leaf").where("other < block")
+        links = links.unionByName(_round(many.select("leaf", "block", "sid"), come.select("leaf", F.col("other").alias("block"), "sid"), owners, rows, False, size, percent))
+        joined = components(links)
+
+        # round 3: whoever may still join two components visits the blocks it hasn't been in
+        label = lambda d: d.join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        here = label(many)
+        held = here.groupBy("leaf", F.col("block").alias("other")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        come = here.select("leaf", "block", "sid", "component", F.lit(True).alias("lives")).unionByName(label(guests).select("leaf", "block", "sid", "component", F.lit(False).alias("lives")))
+        apart = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
+        new = (F.col("other") < F.col("block")) | (~F.col("lives") & (F.col("other") != F.col("block")))
+        more = materialize(come.join(held, "leaf").where(apart & new).select("leaf", F.col("other").alias("block"), "sid").distinct(), "more-visits")
+        if more.take(1):
+            found = _round(many.select("leaf", "block", "sid"), more, owners, rows, False, size, percent)
+            stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            joined = components(stars.unionByName(found.select("u", "v")))
 
     by_class = classes.join(joined.select(F.col("node").alias("s1"), "component"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
     least = by_class.groupBy("component").agg(F.min("rep").alias("component_id"))
