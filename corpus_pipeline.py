@@ -21,8 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without chunks of lines that occurred in an earlier one."""
-    out = line_dedup.dedup_lines(docs).drop("removed_chunks", "removed_lines")
+    """All documents, without chunks of lines and passages of over 50 words that occurred before."""
+    out = line_dedup.dedup_lines(docs, passages=True).drop("removed_chunks", "removed_lines")
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))) if "n_chars" in docs.columns else out
 
 

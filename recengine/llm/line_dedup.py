@@ -7,6 +7,13 @@ as before but for its edges. Chunks of several lines, or of many words, that occ
 more than once in the corpus are removed but for their first occurrence; before,
 their bytes are compared with those of the first.
 
+The boundaries of chunks are sparse, so a passage of a few lines may hold no chunk.
+With ``passages`` every run of whole lines of over ``PASSAGE_WORDS`` words that
+stood before is removed too. At each line the shortest run of so many words that
+begins there, and the one that ends there, is a window; a passage that is long
+enough is covered by the windows within it, wherever it stands, so equal windows
+are found by an aggregation and no passages need to be aligned.
+
 Everything is a DataFrame expression; no Python runs in the tasks. Bodies of
 chunks and texts are only shuffled where a bitmap of fixed size says that the
 chunk is repeated or the text loses lines.
@@ -25,10 +32,13 @@ DIVISOR = 4
 LONG_LINE = 50
 #: Least words of a chunk that may be removed.
 LEAST_WORDS = 20
+#: A passage of over so many words is removed where it stood before; a line counts as one word at least.
+PASSAGE_WORDS = 50
 #: Rows of a bitmap, of 64 bits each: 2 MB at most.
 BITMAP_ROWS_LOG2 = 17
 
 _BASE, _MODULUS = 1_000_003, 2_147_483_647
+_LOW = (1 << 32) - 1
 
 
 def _bitmap(values: Column, rows: DataFrame) -> DataFrame:
@@ -53,8 +63,12 @@ def _let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _chunks(text: Column) -> Column:
-    """The lines of each chunk of a text, in order."""
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def _chunks(text: Column, begins: bool = False) -> Column:
+    """The lines of each chunk of a text, in order; or the places of their first lines."""
     line_hash = lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")
     words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1
 
@@ -68,12 +82,70 @@ def _chunks(text: Column) -> Column:
         return F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | at(i)["long"] | at(i - 1)["long"] | (rolled(i - 1) % DIVISOR == 0))
 
     def cut(lines: Column, starts: Column) -> Column:
+        if begins:
+            return starts
         return F.transform(starts, lambda s, k: F.slice(lines, s + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - s))
 
-    return _let(F.split(F.coalesce(text, F.lit("")), "\n", -1), of_lines)
+    return _let(_lines(text), of_lines)
+
+
+def _windows(text: Column) -> Column:
+    """start, hashes of the lines of each shortest run of over PASSAGE_WORDS words that begins or ends at a line."""
+    words = lambda x: (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).cast("long")
+    # words in the low half, lines in the high half; nothing is added once the words are enough
+    total, lines_of = lambda acc: acc.bitwiseAND(F.lit(_LOW)), lambda acc: F.shiftright(acc, 32).cast("int")
+    run = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda acc, x: F.when(total(acc) <= PASSAGE_WORDS, acc + x + F.lit(_LOW + 1)).otherwise(acc))
+    most = PASSAGE_WORDS + 1
+
+    def spans(w: Column) -> Column:
+        ahead = lambda i, n: F.slice(w, i + 1, F.lit(n))
+        behind = lambda i, n: F.reverse(F.slice(w, F.greatest(i - n + 1, F.lit(0)) + 1, F.least(i + 1, F.lit(n))))
+
+        def span(i: Column, part, start) -> Column:
+            found = lambda acc: F.when(total(acc) > PASSAGE_WORDS, F.shiftleft(start(lines_of(acc)).cast("long"), 32) + lines_of(acc)).otherwise(F.lit(0).cast("long"))
+            return _let(run(part(i, 8)), lambda few: _let(F.when(total(few) > PASSAGE_WORDS, few).otherwise(run(part(i, most))), found))
+
+        begins = F.transform(w, lambda _, i: span(i, ahead, lambda n: i))
+        ends = F.transform(w, lambda _, i: span(i, behind, lambda n: i - n + 1))
+        # longs (start, lines) are united by a hash set
+        return F.filter(F.array_union(begins, ends), lambda x: x > 0)
+
+    def of_lines(lines: Column) -> Column:
+        cut = lambda h, found: F.transform(found, lambda x: F.struct(lines_of(x).alias("start"), F.slice(h, lines_of(x) + 1, total(x).cast("int")).alias("hashes")))
+        return _let(F.transform(lines, words), lambda w: _let(spans(w), lambda found: _let(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: cut(h, found))))
+
+    return _let(_lines(text), of_lines)
+
+
+def _passages(source: DataFrame) -> DataFrame:
+    """_ld_key, _ld_place: the lines, not yet distinct, of windows that stood before, from (_ld_id, _ld_key, _ld_text).
+
+    A window stays at its first place by (id, place), and where it overlaps that
+    place. Windows are equal if the hashes of all their lines are; a line whose hash
+    stands for several texts is not removed.
+    """
+    windows = source.select("_ld_id", "_ld_key", F.explode(_windows(F.col("_ld_text"))).alias("_ld_w")).select("_ld_id", "_ld_key", F.col("_ld_w")["start"].alias("_ld_place"), F.col("_ld_w")["hashes"].alias("_ld_hashes"))
+    windows = windows.withColumn("_ld_h", F.xxhash64("_ld_hashes"))
+    several = materialize(windows.groupBy("_ld_h").agg(F.count(F.lit(1)).alias("_ld_n")).where("_ld_n > 1").select("_ld_h"), "repeated-windows")
+    near = _possible(windows, F.col("_ld_h"), materialize(_bitmap(F.col("_ld_h"), several), "window-bitmap"), "_ld_near").where("_ld_near")
+    near = materialize(near.join(several, "_ld_h", "left_semi").select("_ld_id", "_ld_key", "_ld_place", "_ld_hashes"), "windows")
+
+    where = F.struct("_ld_id", "_ld_key", "_ld_place")
+    found = near.groupBy("_ld_hashes").agg(F.min(where).alias("_ld_first"), F.max(where).alias("_ld_last")).where("_ld_first <> _ld_last").select("_ld_hashes", "_ld_first")
+    first = F.col("_ld_first")
+    clear = (F.col("_ld_key") != first["_ld_key"]) | (F.col("_ld_place") >= first["_ld_place"] + F.size("_ld_hashes"))
+    gone = near.join(found, "_ld_hashes").where(clear).select("_ld_key", F.posexplode("_ld_hashes").alias("_ld_k", "_ld_h"), "_ld_place")
+    gone = materialize(gone.select("_ld_key", (F.col("_ld_place") + F.col("_ld_k")).alias("_ld_place"), "_ld_h").distinct(), "passage-lines")
+
+    # the bytes of all lines that have the hash of a removed one
+    hashes = materialize(gone.select("_ld_h").distinct(), "line-hashes")
+    lines = source.select(F.explode(_lines(F.col("_ld_text"))).alias("_ld_line")).withColumn("_ld_h", F.xxhash64("_ld_line"))
+    lines = _possible(lines, F.col("_ld_h"), materialize(_bitmap(F.col("_ld_h"), hashes), "line-bitmap"), "_ld_near").where("_ld_near")
+    mixed = lines.groupBy("_ld_h").agg(F.min("_ld_line").alias("_ld_a"), F.max("_ld_line").alias("_ld_b")).where("_ld_a <> _ld_b").select("_ld_h")
+    return gone.join(materialize(mixed, "mixed-hashes"), "_ld_h", "left_anti").select("_ld_key", "_ld_place")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
     """``docs`` with the later occurrences of repeated chunks taken out of ``text_col``, and removed_chunks, removed_lines.
 
     The first occurrence by (id, place in the text) stays; null ids are the
@@ -81,6 +153,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     chunks all occurred before becomes empty. A null text stays null. Rows that
     repeat an id and a text count as one document and stay alike. Existing columns
     named removed_chunks or removed_lines are replaced.
+
+    With ``passages``, also the later occurrences of all runs of whole lines of over
+    PASSAGE_WORDS words; removed_chunks then counts the runs of removed lines.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.unhex(F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("\x01")), F.lit("\x00"), text), 256))
@@ -108,13 +183,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = likely.where("not _ld_is_first").join(firsts, "_ld_digest").where("_ld_body = _ld_first_body")
     gone = materialize(gone.select("_ld_key", "_ld_place", "_ld_n").distinct(), "removed-chunks")
 
+    if passages:
+        # where the removed chunks begin and end, as lines
+        near = _possible(source, F.col("_ld_key"), materialize(_bitmap(F.col("_ld_key"), gone), "chunk-text-bitmap"), "_ld_near").where("_ld_near")
+        begin = near.select("_ld_key", F.posexplode(_chunks(F.col("_ld_text"), begins=True)).alias("_ld_place", "_ld_begin")).distinct()
+        of_chunks = gone.join(begin, ["_ld_key", "_ld_place"]).select("_ld_key", F.explode(F.sequence("_ld_begin", F.col("_ld_begin") + F.col("_ld_n") - 1)).alias("_ld_place"))
+        gone = materialize(of_chunks.unionByName(_passages(source)).distinct(), "removed-lines").withColumn("_ld_n", F.lit(1))
+
     # only texts that lose lines are shuffled
     split = _possible(keyed, F.col("_ld_key"), materialize(_bitmap(F.col("_ld_key"), gone), "text-bitmap"), "_ld_near")
     lost = gone.groupBy("_ld_key").agg(F.collect_list("_ld_place").alias("_ld_places"), F.sum("_ld_n").alias("_ld_lost"))
     changed = split.where("_ld_near").join(lost, "_ld_key", "left")
-    rest = F.array_join(F.flatten(F.filter(_chunks(F.col(text_col)), lambda c, k: ~F.array_contains("_ld_places", k))), "\n")
+    runs = F.size("_ld_places")
+    if passages:
+        left = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_ld_places")), lambda k: F.get(lines, k))
+        rest = F.array_join(_let(_lines(F.col(text_col)), left), "\n")
+        runs = F.size(F.array_except("_ld_places", F.transform("_ld_places", lambda k: k + 1)))
+    else:
+        rest = F.array_join(F.flatten(F.filter(_chunks(F.col(text_col)), lambda c, k: ~F.array_contains("_ld_places", k))), "\n")
     outputs = [F.when(F.col("_ld_places").isNotNull(), rest).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in kept_columns]
-    changed = changed.select(*outputs, F.coalesce(F.size("_ld_places"), F.lit(0)).cast("long").alias("removed_chunks"), F.coalesce("_ld_lost", F.lit(0)).cast("long").alias("removed_lines"))
+    changed = changed.select(*outputs, F.coalesce(runs, F.lit(0)).cast("long").alias("removed_chunks"), F.coalesce("_ld_lost", F.lit(0)).cast("long").alias("removed_lines"))
     changed = changed.withColumn("removed_chunks", F.greatest("removed_chunks", F.lit(0).cast("long")))
     same = split.where("not _ld_near").select(*kept_columns, F.lit(0).cast("long").alias("removed_chunks"), F.lit(0).cast("long").alias("removed_lines"))
     return changed.unionByName(same)

@@ -230,6 +230,32 @@ def test_line_dedup(spark, nothing):
     assert "Python" not in got._jdf.queryExecution().toString() and line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_line_dedup_removes_whole_passages(spark, nothing):
+    rng = random.Random(11)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghij", k=4)) for _ in range(n))
+    passages = [[line(-(-51 // n) + rng.randint(0, 9)) for _ in range(n)] for n in (2, 3, 4, 5, 6) for _ in range(8)]
+    around = lambda lines: "\n".join([line(5), line(7), *lines, line(6), line(4)])
+    rows = [(k, around(p)) for k, p in enumerate(passages)] + [(100 + k, around(p)) for k, p in enumerate(passages)]
+    short = [line(20), line(9)]
+    rows += [(200, "\n".join([line(60), *short, line(60)])), (300, None), (None, around(passages[0])), (301, "\n".join([line(30)] * 5)), (302, rows[0][1]), (302, rows[0][1])]
+    d = make(spark, rows)
+    got = defaultdict(list)
+    for r in line_dedup.dedup_lines(d, passages=True).collect():
+        got[r.doc_id].append((r.text, r.removed_lines))
+    text = dict(rows)
+    for k, p in enumerate(passages):
+        own = text[100 + k].split("\n")
+        assert got[100 + k] == [("\n".join(own[:2] + own[-2:]), len(p))]
+        assert k == 0 or got[k] == [(text[k], 0)]  # the first place stays
+    assert got[None] == [(text[None], 0)] and got[0][0][1] == 2 and got[200] == [(text[200], 0)] and got[300] == [(None, 0)]
+    assert len(set(text[301].split("\n"))) == 1 and got[301][0][0] == "\n".join(text[301].split("\n")[:2])
+    assert [n for _, n in got[302]] == [6, 6]  # equal rows stay alike
+    assert line_dedup.dedup_lines(nothing, passages=True).count() == 0
+    # all that chunks alone remove is removed too
+    chunks = {(r.doc_id, r.text): r.removed_lines for r in line_dedup.dedup_lines(d).collect()}
+    assert sum(n for v in got.values() for _, n in v) > sum(chunks.values())
+
+
 def test_pseudonyms(spark, docs, nothing):
     d = make(spark, [(1, "call +1 (017) 555-7713"), (2, "again +1 (017) 555-7713 and 1.2.3.4"), (3, None), (4, "")])
     got = {r.doc_id: r for r in pii.pseudonymise_texts(d, "secret").collect()}
