@@ -27,10 +27,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents (five words, 0.8) the one with the smallest id."""
-    found = ngram_join.jaccard_components(docs)
-    dropped = materialize(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped")).distinct(), "dropped-documents")
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
+    """Of each component of linked documents (five words, 0.8) the row with the smallest id, by id and text."""
+    return ngram_join.keep_one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -261,39 +261,31 @@ def _round(residents: DataFrame, visitors: DataFrame, owners: DataFrame, rows: D
     return materialize(_by_leaf(near.join(arrays, "sid"), "shingles", links, ["leaf", "block", "u", "v"], [pa.int64(), pa.int32(), pa.int64(), pa.int64()], "leaf long, block int, u long, v long"), "links")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: id_col, n_shingles, component_id.
-
-    Texts are lower-cased in A-Z and split at white space (space, 0x09-0x0D). Two
-    texts link when 100 * common >= percent * united of their distinct shingles of
-    ``size`` words; a text of fewer words is one shingle. A null text or one
-    without words has no shingle and links with nothing, and its component is its
-    own id. ``component_id`` is the smallest id (nulls left out) that links reach.
-    Rows with equal texts are always together, also when they repeat an id; ids may
-    be null. An empty table gives no rows.
-    """
+def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, hashed: bool) -> DataFrame:
+    """id, hash (of the text; null unless ``hashed``), n, component (a number of its own, null without shingles), component_id: one row per row of ``docs``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    text_hash = F.xxhash64("text") if hashed else F.lit(None).cast("long")
     kind = rows.schema["id"].dataType
     spark = docs.sparkSession
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, empty = np.zeros(GROUPS, np.int64), None
-        names = ["id", "n", "s1", "s2", "group", "point"]
+        names = ["id", "hash", "n", "s1", "s2", "group", "point"]
         for batch in batches:
             for part in steps(batch):
-                sets = shingle_sets(part.column(1), size)
+                sets = shingle_sets(part.column(2), size)
                 sums = [identity(s) for s in sets]
                 empty = part.column(0).slice(0, 0)
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in sums], pa.int64()), pa.array([x[1] for x in sums], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.array([group_counts(s) for s in sets], pa.list_(pa.int32()))], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in sums], pa.int64()), pa.array([x[1] for x in sums], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.array([group_counts(s) for s in sets], pa.list_(pa.int32()))], names)
         if empty is not None:
             at = np.flatnonzero(counts)
             none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), empty.type), pa.array(counts[at]), none, none, pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.list_(pa.int32()))], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), empty.type), none, pa.array(counts[at]), none, none, pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.list_(pa.int32()))], names)
 
-    fields = [T.StructField("id", kind), *(T.StructField(x, T.LongType()) for x in ("n", "s1", "s2")), T.StructField("group", T.IntegerType()), T.StructField("point", T.ArrayType(T.IntegerType()))]
-    described = materialize(rows.mapInArrow(describe, T.StructType(fields)), "shingle-sets")
-    known = described.where("group is null").select("id", "n", "s1", "s2", "point")
+    fields = [T.StructField("id", kind), *(T.StructField(x, T.LongType()) for x in ("hash", "n", "s1", "s2")), T.StructField("group", T.IntegerType()), T.StructField("point", T.ArrayType(T.IntegerType()))]
+    described = materialize(rows.select("id", text_hash.alias("hash"), "text").mapInArrow(describe, T.StructType(fields)), "shingle-sets")
+    known = described.where("group is null").select("id", "hash", "n", "s1", "s2", "point")
     classes = known.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
 
     weights = np.zeros(GROUPS, np.int64)
@@ -370,8 +362,43 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     by_class = classes.join(joined.select(F.col("node").alias("s1"), "component"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
     least = by_class.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_class = materialize(by_class.join(least, "component").select("s1", "s2", "component_id"), "class-components")
-    return (
-        known.drop("point").join(by_class, ["s1", "s2"], "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    by_class = materialize(by_class.join(least, "component").select("s1", "s2", "component", "component_id"), "class-components")
+    return known.drop("point").join(by_class, ["s1", "s2"], "left").select(
+        "id", "hash", "n", F.when(F.col("n") > 0, F.col("component")).alias("component"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     )
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs``: id_col, n_shingles, component_id.
+
+    Texts are lower-cased in A-Z and split at white space (space, 0x09-0x0D). Two
+    texts link when 100 * common >= percent * united of their distinct shingles of
+    ``size`` words; a text of fewer words is one shingle. A null text or one
+    without words has no shingle and links with nothing, and its component is its
+    own id. ``component_id`` is the smallest id (nulls left out) that links reach.
+    Rows with equal texts are always together, also when they repeat an id; ids may
+    be null. An empty table gives no rows.
+    """
+    return _labelled(docs, id_col, text_col, size, percent, False).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component of jaccard_components: the first by (id, hash of the text), null ids last.
+
+    Rows are told apart by id and text, as ids may be null or repeated. Of rows that
+    repeat both, the one whose columns in order are least stays, so columns must be
+    orderable. Rows without shingles all stay.
+    """
+    labelled = materialize(_labelled(docs, id_col, text_col, size, percent, True).where("n > 0").select("id", "hash", "component"), "labelled")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    rows = labelled.groupBy("id", "hash", "component").agg(F.count(F.lit(1)).alias("rows"))
+    first = labelled.groupBy("component").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("all")).where("all > 1")
+    marked = rows.join(first, "component").select(F.col("id").alias("_nj_id"), F.col("hash").alias("_nj_hash"), (place == F.col("first")).alias("_nj_first"), "rows")
+    marked = materialize(marked.where("not _nj_first or rows > 1").drop("rows"), "marked-documents")
+    same = F.col(id_col).eqNullSafe(F.col("_nj_id")) & (F.xxhash64(text_col) == F.col("_nj_hash"))
+    left = docs.join(marked, same, "left_anti")
+    repeated = marked.where("_nj_first")
+    if not repeated.take(1):
+        return left
+    copies = docs.join(repeated, same, "left_semi")
+    least = copies.groupBy(F.col(id_col).alias("_nj_id"), F.xxhash64(text_col).alias("_nj_hash")).agg(F.min(F.struct(*docs.columns)).alias("_nj_row"))
+    return left.unionByName(least.select("_nj_row.*"))

@@ -102,6 +102,24 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, block):
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, 4, 85)
 
 
+def test_ngram_stage_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    words = lambda k: " ".join(f"{c}{k}" for c in "abcdefghijklmnopqrstuvwxyz")
+    rows = [
+        (1, words(1)), (None, words(1)), (None, words(2)), (None, None), (None, None), (5, None),  # a null id linked to an id
+        (7, words(3)), (7, words(4)), (6, words(4)),  # a repeated id, one of its texts a copy
+        (8, words(5)), (8, words(5)), (8, words(5)), (None, words(6)), (None, words(6)), (None, words(6) + " more"), (None, words(7)),
+    ]
+    d = make(spark, rows)
+    left = corpus_pipeline.ngram_join_stage(spark, d, "")
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    sixth = [x for x in got if x[1] and x[1].startswith(words(6))]
+    assert left.columns == d.columns and len(sixth) == 1 and sixth[0] in rows
+    want = [(1, words(1)), (None, words(2)), (None, None), (None, None), (5, None), (7, words(3)), (6, words(4)), (8, words(5)), (None, words(7))]
+    assert sorted((x for x in got if x not in sixth), key=str) == sorted(want, key=str)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 103), (103, 100), (101, 103), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in components(links).collect()}
