@@ -40,6 +40,9 @@ _STRIP = "!\"#%&'()*,.:;<=>?@[\\]^_`{|}~«»“”‘’¿¡…-/"
 _STOPS = (".", "!", "?", ":", ";", "…")
 # Fixed tokens that stand for the placeholders in a hash.
 NUMBER, NAME, UNIT = 1, 2, 3
+#: A capitalised word that opens a sentence or the text: a name or a literal, so both readings are hashed.
+OPEN = 4
+_POWER = 0x9E3779B97F4A7C15
 
 _FACTORS = mix(np.arange(101, 101 + 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -80,36 +83,103 @@ class Templates:
         kind = np.array([r[1] for r in rows], np.int8)[codes] if rows else np.zeros(0, np.int8)
         upper = np.array([r[2] for r in rows], bool)[codes] if rows else np.zeros(0, bool)
         ends = np.array([r[3] for r in rows], bool)[codes] if rows else np.zeros(0, bool)
-        # a capitalised word is a name unless a sentence or the text begins with it
+        # a capitalised word is a name; where a sentence or the text begins with it, it may be one
         opens = np.ones(len(codes), bool)
         opens[1:] = ends[:-1] | (doc[1:] != doc[:-1])
-        kind = np.where(upper & ~opens, NAME, kind).astype(np.int8)
+        kind = np.where(upper, np.where(opens, OPEN, NAME), kind).astype(np.int8)
         there = value != 0
         return value[there], kind[there], doc[there]
 
 
-def windows(value: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first words of the windows that stay in one text and hold enough literals."""
-    n = len(value) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    token = np.where(kind > 0, kind.astype(np.uint64), value)
+def tokens(value: np.ndarray, kind: np.ndarray, names: bool) -> np.ndarray:
+    """What is hashed of each word; opening words are read as names or as literals."""
+    read = np.where(kind == OPEN, NAME if names else 0, kind)
+    return np.where(read > 0, read.astype(np.uint64), value)
+
+
+def windows(token: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the windows of WINDOW words, not yet mixed, and which of them stay in one text."""
+    n = max(0, len(token) - WINDOW + 1)
     total = np.zeros(n, np.uint64)
     for k in range(WINDOW):
         total += mix(token[k : k + n]) * _FACTORS[k]
-    literal = np.r_[0, np.cumsum(kind == 0)]
-    fit = (doc[:n] == doc[WINDOW - 1 :]) & (literal[WINDOW:] - literal[:-WINDOW] >= LITERALS)
-    at = np.flatnonzero(fit)
-    return mix(total[at]), at
-
+    return total, doc[:n] == doc[WINDOW - 1 :] if n else np.zeros(0, bool)
 
-_FIELDS = [T.StructField("window", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("values", T.ArrayType(T.LongType())), T.StructField("kinds", T.StringType()), T.StructField("n", T.IntegerType())]
 
+def wholes(token: np.ndarray, doc: np.ndarray, whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first words of the runs of abs(whole) words that stay in one text; the sign tells values from templates."""
+    size = abs(whole)
+    n = len(token) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    power = np.cumprod(np.r_[np.uint64(1), np.full(len(token) - 1, _POWER, np.uint64)])
+    back = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, pow(_POWER, -1, 1 << 64), np.uint64)])
+    upto = np.r_[np.uint64(0), np.cumsum(mix(token) * power, dtype=np.uint64)]
+    total = (upto[size:] - upto[:n]) * back + mix(np.array([whole], np.int64).view(np.uint64))
+    at = np.flatnonzero(doc[:n] == doc[size - 1 :])
+    return mix(total[at]), at
 
-def _window_rows(rows: DataFrame, near=None) -> DataFrame:
-    """The windows of the texts of ``rows`` (key columns, then text), those near ``near`` only.
 
-    Key columns, window, at (word of the text), values and kinds of its words, n (windows of the text).
+def _item_windows(value: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """hash, first word, whole, mask of the opening words read as names, positions of its text; for benchmark items."""
+    total, inside = windows(tokens(value, kind, False), doc)
+    literal = np.r_[0, np.cumsum((kind == 0) | (kind == OPEN))]
+    fit = inside & (literal[WINDOW:] - literal[:-WINDOW] >= LITERALS) if len(total) else inside
+    delta = mix(np.array([NAME], np.uint64)) - mix(value)
+    for text in np.unique(doc):
+        lo, hi = np.searchsorted(doc, [text, text + 1])
+        at = lo + np.flatnonzero(fit[lo:hi])
+        for a in at:
+            masks = [(0, total[a])]
+            for k in np.flatnonzero(kind[a : a + WINDOW] == OPEN):
+                masks += [(m | 1 << int(k), t + delta[a + k] * _FACTORS[k]) for m, t in masks]
+            for m, t in masks:
+                yield int(mix(np.array([t], np.uint64))[0]), int(a), 0, m, len(at)
+        if not len(at):  # one window of all words; with few literals only the same values match
+            few = literal[hi] - literal[lo] < LITERALS
+            for names in (False, True) if not few and (kind[lo:hi] == OPEN).any() else (False,):
+                whole = int(lo - hi if few else hi - lo)
+                own = value[lo:hi] if few else tokens(value[lo:hi], kind[lo:hi], names)
+                yield int(wholes(own, doc[lo:hi], whole)[0][0]), int(lo), whole, -1 if names else 0, 1
+
+
+def _document_windows(value: np.ndarray, kind: np.ndarray, doc: np.ndarray, wanted: np.ndarray, sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """hashes, first words, whole, mask of the windows that the filter may hold: opening words all literals, then all names."""
+
+    def near(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bit = hashes >> np.uint64(64 - FILTER_BITS)
+        hit = (wanted[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return hashes[hit], at[hit]
+
+    opening = np.r_[0, np.cumsum(kind == OPEN)]
+    for names in (False, True):
+        token, mask = tokens(value, kind, names), -1 if names else 0
+        total, inside = windows(token, doc)
+        at = np.flatnonzero(inside & (opening[WINDOW:] > opening[:-WINDOW]) if names and len(total) else inside)
+        yield *near(mix(total[at]), at), 0, mask
+        for whole in sizes:
+            if whole < 0 and names:
+                continue
+            hashes, at = wholes(value if whole < 0 else token, doc, whole)
+            if names:
+                has = opening[at + whole] > opening[at]
+                hashes, at = hashes[has], at[has]
+            yield *near(hashes, at), whole, mask
+
+
+def _kinds(kind: np.ndarray, whole: int, mask: int) -> str:
+    """The reading of each word of a window; OPEN stands for an opening word read as a name."""
+    return "0" * len(kind) if whole < 0 else "".join("0" if k == OPEN and not mask >> i & 1 else str(k) for i, k in enumerate(kind.tolist()))
+
+
+_FIELDS = [T.StructField("window", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("values", T.ArrayType(T.LongType())), T.StructField("kinds", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("whole", T.IntegerType())]
+
+
+def _window_rows(rows: DataFrame, near=None, sizes: list[int] = ()) -> DataFrame:
+    """The windows of the texts of ``rows`` (key columns, then text): of documents those near ``near``, else of items.
+
+    Key columns, window, at (word of the text), values and kinds of its words, n
+    (positions of an item's windows, 0 for documents), whole (words of a whole item, below 0 if only values match).
     """
     keys = rows.columns[:-1]
     names = [*keys, *(f.name for f in _FIELDS)]
@@ -120,17 +190,20 @@ def _window_rows(rows: DataFrame, near=None) -> DataFrame:
         for batch in batches:
             for part in steps(batch):
                 value, kind, doc = templates.of(part.column(len(keys)))
-                hashes, at = windows(value, kind, doc)
-                count = np.bincount(doc[at], minlength=part.num_rows)
-                if wanted is not None:
-                    bit = hashes >> np.uint64(64 - FILTER_BITS)
-                    hit = (wanted[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    hashes, at = hashes[hit], at[hit]
-                of = pa.array(doc[at])
+                if wanted is None:
+                    found = list(_item_windows(value, kind, doc))
+                else:
+                    found = [(int(h), int(a), whole, mask, 0) for hashes, at, whole, mask in _document_windows(value, kind, doc, wanted, sizes) for h, a in zip(hashes, at, strict=True)]
+                at = np.array([x[1] for x in found], np.int64)
                 first = np.searchsorted(doc, doc[at])
-                own = [hashes.view(np.int64), (at - first).astype(np.int32), [value[a : a + WINDOW].view(np.int64) for a in at], ["".join(map(str, kind[a : a + WINDOW])) for a in at], count[doc[at]].astype(np.int32)]
-                kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.string(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([*(part.column(k).take(of) for k in range(len(keys))), *(pa.array(x, t) for x, t in zip(own, kinds, strict=True))], names)
+                ends = [x[1] + (abs(x[2]) or WINDOW) for x in found]
+                own = [
+                    np.array([x[0] for x in found], np.uint64).view(np.int64), (at - first).astype(np.int32), [value[a:e].view(np.int64) for a, e in zip(at, ends, strict=True)],
+                    [_kinds(kind[x[1] : e], x[2], x[3]) for x, e in zip(found, ends, strict=True)], np.array([x[4] for x in found], np.int32), np.array([x[2] for x in found], np.int32),
+                ]
+                types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.string(), pa.int32(), pa.int32()]
+                of = pa.array(doc[at])
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(of) for k in range(len(keys))), *(pa.array(x, t) for x, t in zip(own, types, strict=True))], names)
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *_FIELDS]))
 
@@ -155,13 +228,17 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     items = benchmark.select(F.col(item_col).alias("item"), F.xxhash64(F.col(item_text_col)).alias("item_key"), F.col(item_text_col).alias("text"))
     item_windows = materialize(_window_rows(items.distinct()), "item-windows")
     near = docs.sparkSession.sparkContext.broadcast(_filter_of(item_windows))
-    doc_windows = materialize(_window_rows(_keyed(docs, id_col, text_col), near), "document-windows").drop("n", "kinds")
+    sizes = [r["whole"] for r in item_windows.where("whole <> 0").select("whole").distinct().collect()]  # distinct lengths of short items
+    doc_windows = _window_rows(_keyed(docs, id_col, text_col), near, sizes).withColumnRenamed("kinds", "doc_kinds").drop("n", "whole")
+    doc_windows = materialize(doc_windows, "document-windows")
 
     # a pair shares at least min_share of the item's windows, so it shares one of the rarest 1 - min_share of them and one more
     held = item_windows.groupBy("window").agg(F.count(F.lit(1)).alias("items"))
-    rarity = Window.partitionBy("item", "item_key").orderBy("items", "window", "at")
-    ranked = item_windows.join(held, "window").withColumn("place", F.row_number().over(rarity))
-    rare = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(min_share)) + 1).select("window", "item", "item_key")
+    rarity = Window.partitionBy("item", "item_key").orderBy("items", "at")
+    places = item_windows.join(held, "window").groupBy("item", "item_key", "at", "n").agg(F.sum("items").alias("items"))  # all readings of one place
+    places = places.withColumn("place", F.row_number().over(rarity)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(min_share)) + 1)
+    of_place = [item_windows[c].eqNullSafe(places[c]) for c in ("item", "item_key", "at")]
+    rare = item_windows.join(places, of_place, "left_semi").select("window", "item", "item_key")
     chosen = doc_windows.join(rare, "window").select("id", "key", "item", "item_key").distinct().select(*(F.col(c).alias(f"c_{c}") for c in ("id", "key", "item", "item_key")))
     source = item_windows.select("window", "item", "item_key", F.col("at").alias("item_at"), F.col("values").alias("item_values"), "kinds", "n")
     is_chosen = F.lit(True)
@@ -170,12 +247,21 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     pairs = doc_windows.join(source, "window").join(chosen, is_chosen, "left_semi")
 
     # one copy of the item is what lies at one distance; its slots are the aligned placeholders
-    slots = F.filter(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.when(F.substring("kinds", k + 1, F.lit(1)) != "0", F.struct(F.get("item_values", k).alias("a"), F.get("values", k).alias("b")))), lambda x: x.isNotNull())
+    # a changed opening word is a slot too, but only windows that have one fail where it is not consistent
+    kind, doc_kind = (lambda k, c=c: F.substring(c, k + 1, F.lit(1)) for c in ("kinds", "doc_kinds"))
+    slot = lambda k: F.when(kind(k) != "0", F.struct(F.get("item_values", k).alias("a"), F.get("values", k).alias("b"), ((kind(k) == str(OPEN)) | (doc_kind(k) == str(OPEN))).alias("open")))
+    pairs = pairs.withColumn("all", F.filter(F.transform(F.sequence(F.lit(0), F.length("kinds") - 1), slot), lambda x: x.isNotNull() & ~(x["open"] & (x["a"] == x["b"]))))
+    pairs = pairs.withColumn("changed", F.exists("all", lambda x: x["open"])).withColumn("slots", F.transform("all", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
     copies = pairs.groupBy("id", "key", "item", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set("item_at").alias("found"), F.array_distinct(F.flatten(F.collect_list(slots))).alias("slots"), F.max("n").alias("n")
-    )
+        F.collect_set(F.when(~F.col("changed"), F.col("item_at"))).alias("found"), flat(F.when(~F.col("changed"), F.col("slots"))).alias("slots"), flat("slots").alias("every"),
+        F.collect_set(F.when(F.col("changed"), F.struct("item_at", "slots"))).alias("more"), F.max("n").alias("n"),
+    )
     one_to_one = (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["a"])))) & (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["b"]))))
-    whole = copies.where(one_to_one).groupBy("id", "key", "item", "item_key").agg(
+    clash = F.filter("every", lambda p: F.exists("every", lambda q: (q["a"] == p["a"]) != (q["b"] == p["b"])))
+    copies = copies.where(one_to_one).withColumn("clash", clash).withColumn("more", F.filter("more", lambda x: ~F.arrays_overlap(x["slots"], F.col("clash"))))
+    copies = copies.withColumn("found", F.array_union("found", F.transform("more", lambda x: x["item_at"]))).withColumn("slots", F.array_union("slots", F.flatten(F.transform("more", lambda x: x["slots"]))))
+    whole = copies.groupBy("id", "key", "item", "item_key").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("windows"),
         F.max("n").alias("n"),
         F.sum(F.size(F.filter("slots", lambda x: x["a"] != x["b"]))).alias("changed_slots"),
@@ -189,9 +275,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     A pair matches if at least ``min_share`` of the item's windows occur in copies
     whose slots are consistent: over the aligned placeholders of a copy an item's
     value stands for one value of the document and the other way round.
-    ``changed_slots`` counts the values that differ, 0 for a verbatim copy. Items
-    and documents shorter than a window, and null texts, have none and match
-    nothing. Rows that repeat an id and a text count once.
+    ``changed_slots`` counts the values that differ, 0 for a verbatim copy. A
+    capitalised word that opens a sentence is read both as a name and as a literal.
+    An item whose windows all have under LITERALS literals, or that is shorter than a
+    window, has one window of all its words; with under LITERALS literals in all, only
+    its own values match it, in any text that holds them. Null texts and texts
+    without words match nothing. Rows that repeat an id and a text count once.
     """
     found = _leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, min_share)
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("windows").cast("long").alias("windows"), (F.col("windows") / F.col("n")).alias("share"), F.col("changed_slots").cast("long").alias("changed_slots"))

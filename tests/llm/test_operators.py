@@ -210,6 +210,20 @@ def test_decontamination(spark, docs, nothing):
     assert decontam.find_leaks(nothing, bench).count() == 0 and decontam.find_leaks(d, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_opening_names_and_short_items(spark):
+    item = "Tom has 5 apples. Mary has 7 pears. Tom gives Mary 2 apples. Mary gives Tom 3 pears. How many apples does Mary have now?"
+    items = [(1, item), (2, "Add 12 and 7 quickly"), (3, "1 2 3 4 5 6 7 8 9 10 11"), (4, "Which old river runs through Paris"), (5, ""), (6, "... !")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    other = item.replace("Tom", "Bob").replace("Mary", "Sue").replace("5", "6").replace("7", "9").replace("2", "4").replace("3", "8")
+    rows = [
+        (1, "Here it is. " + other), (2, item), (3, other.replace("Bob 8", "Dan 8").replace("Sue gives", "Ann gives")), (4, "please add 12 and 7 quickly, then stop"), (5, "please add 13 and 8 quickly, then stop"),
+        (6, "so 1 2 3 4 5 6 7 8 9 10 11 end"), (7, "so 1 2 3 4 5 6 7 8 9 11 10 end"), (8, "Say it: which old river runs through London"), (9, ""), (10, None),
+    ]
+    got = {(r.doc_id, r.item_id): r.changed_slots for r in decontam.find_leaks(make(spark, rows), bench).collect()}
+    assert {k: got.pop(k) for k in ((1, 1), (2, 1), (4, 2), (6, 3), (8, 4))} == {(1, 1): 6, (2, 1): 0, (4, 2): 0, (6, 3): 0, (8, 4): 1}
+    assert set(got) <= {(3, 1)}  # half changed consistently, a matter of min_share
+
+
 def brute_lines(rows):
     chunks = []
     for i, t in rows:
