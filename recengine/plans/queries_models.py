@@ -405,16 +405,22 @@ def m3_tfidf_weights(spark, d):
     return X.tfidf(X.documents(_text_catalog(spark, d), {"lang": 1, "overview": 1}), 5, 300)
 
 
+@query("m3_tfidf_weights_50k", "item_id:l term:s weight:d", _TERMS.replace(">= 5", ">= 2").replace("LIMIT 300", "LIMIT 50000"))
+def m3_tfidf_weights_50k(spark, d):
+    """The same with the reference's least count of documents and the operators' own vocabulary size."""
+    return X.tfidf(X.documents(_text_catalog(spark, d), {"lang": 1, "overview": 1}), 2, 50_000)
+
+
 @query("m3_fit_content", "item_id:l length:d")
 def m3_fit_content(spark, d):
-    vectors = X.fit_content(_text_catalog(spark, d), {"lang": 2, "overview": 1}, dim=8, min_df=5, max_features=500, iterations=2).vectors(_text_catalog(spark, d))
+    vectors = X.fit_content(_text_catalog(spark, d), {"lang": 2, "overview": 1}, dim=8, min_df=2, max_features=50_000, iterations=2).vectors(_text_catalog(spark, d))
     return vectors.select("item_id", F.sqrt(N.dot(F.col("vector"), F.col("vector"))).alias("length"))
 
 
 @query("m9_k4_embed_unseen", "seed_id:l candidate_id:l score:f rank:l")
 def m9_k4_embed_unseen(spark, d):
     c = _text_catalog(spark, d)
-    model = X.fit_content(c.where("item_id % 10 <> 0"), {"lang": 2, "overview": 1}, dim=8, min_df=5, max_features=500, iterations=2)
+    model = X.fit_content(c.where("item_id % 10 <> 0"), {"lang": 2, "overview": 1}, dim=8, min_df=2, max_features=50_000, iterations=2)
     known, unseen = written(model.vectors(c.where("item_id % 10 <> 0")), "known"), written(model.vectors(c.where("item_id % 10 = 0")), "unseen")
     return N.nearest(known, 5, "content", queries=unseen)
 

@@ -30,3 +30,11 @@ def test_query_equals_its_sql(spark, name):
     got = sorted(tuple(text(r[c]) for c in columns) for r in df.collect())
     want = sorted(tuple(map(text, r)) for r in con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({entry.oracle_sql()[name]})").fetchall())
     assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
+def test_tfidf_with_the_large_vocabulary(spark):
+    import __spark_entry__ as entry
+
+    test_query_equals_its_sql(spark, "m3_tfidf_weights_50k")
+    assert entry.queries()["m3_tfidf_weights_50k"](spark, DATA).select("term").distinct().count() > 300
