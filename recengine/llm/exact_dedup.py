@@ -18,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recengine.llm._bitmap import Bitmap
 from recengine.llm._scratch import materialize, scratch_path
 
 _ROCKSDB = {
@@ -119,9 +120,10 @@ def exact_dedup(
     groups = materialize(state, "exact-dedup-groups")
     rows = _keyed(spark.read.parquet(path), id_col, text_col, digest)
 
-    # rows of groups with several rows, with their bytes: only these can be hits
-    several = groups.where("n > 1").select("digest", "keep")
-    hits = materialize(rows.join(several, "digest").select("digest", "id", "at", "body", "keep"), "exact-dedup-hits")
+    # rows of groups with several rows, with their bytes: only these can be hits, and only their texts are shuffled
+    several = materialize(groups.where("n > 1").select("digest", "keep"), "exact-dedup-several")
+    likely = Bitmap(several, "digest", "exact-dedup-bitmap").near(rows, F.col("digest"))
+    hits = materialize(likely.join(several, "digest").select("digest", "id", "at", "body", "keep"), "exact-dedup-hits")
     keepers = hits.where(F.col("at") == F.col("keep.at")).select("digest", F.col("body").alias("kept_body"))
     differ = hits.join(keepers, "digest").where(F.col("body") != F.col("kept_body")).select("digest", "id", "at", "body")
     differ = materialize(differ, "exact-dedup-differ")
