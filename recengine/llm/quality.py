@@ -160,9 +160,10 @@ def paths(debug: str) -> list[tuple[tuple[str, str, float], ...]]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", trees: int = 12, depth: int = 3, l1: float = 0.001, seed: int = 7) -> RuleEnsemble:
     """Learn from the labelled rows of ``labels`` that have a text in ``docs``, SAMPLE_ROWS at most.
 
-    An id that is labelled twice counts once, with its higher label. Without
-    labels, or with one class only, the ensemble has no rules and gives the
-    smoothed share of label 1.
+    An id that is labelled twice counts once, with its higher label; of documents
+    that repeat an id the one whose statistics come first in order counts, and null
+    ids don't. Null texts count as empty ones. Without labels, or with one class
+    only, the ensemble has no rules and gives the smoothed share of label 1.
     """
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -170,8 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label")).where("l_id is not null and label is not null")
     known = known.groupBy("l_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("l_id"), "l_id").limit(SAMPLE_ROWS)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = rows.join(F.broadcast(known), F.col("id") == F.col("l_id")).select(F.col("label").cast("double").alias("label"), statistics("text").alias("s"))
-    sample = materialize(sample.select("label", "s.*").coalesce(1), "quality-sample")
+    # joined by as many tasks as the scan has; only the sample comes into one
+    found = rows.join(F.broadcast(known), F.col("id") == F.col("l_id")).select("id", F.col("label").cast("double").alias("label"), statistics("text").alias("s"))
+    found = materialize(found.groupBy("id", "label").agg(F.min("s").alias("s")).select("id", "label", "s.*"), "quality-sample")
+    sample = materialize(found.repartition(1).sortWithinPartitions("id").drop("id"), "quality-sample-ordered")
     seen = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("ones")).first()
     share = (seen["ones"] + 1) / (seen["n"] + 2)
     if seen["ones"] in (0, seen["n"]):
@@ -198,6 +201,12 @@ def _as_vector(rows: DataFrame, rules: list) -> DataFrame:
 
 
 def score(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with ``score_col``, 0 to 1, higher where label 1 is likelier; a column of that name is replaced."""
+    """``docs`` with ``score_col``, 0 to 1, higher where label 1 is likelier; a column of that name is replaced.
+
+    Every row keeps its place, also with a null or repeated id; a null text is scored
+    as an empty one. All other columns stay as they are, whatever their names.
+    """
     stats = "_quality_statistics"
+    while stats in docs.columns or stats == score_col:
+        stats += "_"
     return docs.withColumn(stats, statistics(F.col(text_col))).withColumn(score_col, model.column(stats)).drop(stats)
