@@ -6,8 +6,11 @@ context; where it is new there, the escape of that context (method C: distinct /
 (seen + distinct)) is paid and the next shorter context is asked, down to 8 bits
 for a byte never seen. Statistics are frozen after training and symbols aren't
 excluded after an escape, so a byte's cost depends on the ``ORDER`` bytes before
-it alone; all languages' costs of a known window are one row of a table. A text
-goes to the language with the least total code length.
+it alone; the distinct windows of a step are looked up once in each language's
+tables. A text goes to the language with the least total code length.
+
+A language's tables hold what its own sample has, so a model grows with the number
+of languages, by some MB for each.
 """
 
 from __future__ import annotations
@@ -16,16 +19,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recengine.llm._arrow import steps, text_bytes
+from recengine.llm._scratch import materialize
 
 ORDER = 4
 #: Bounds of the training sample for one language: whole texts, picked by a hash of the id.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 600_000
+#: Longer texts aren't taken into the sample, unless a language has no other.
+SAMPLE_TEXT_BYTES = SAMPLE_BYTES // 8
 _CHUNK = 1 << 19
 _FREE = np.uint64(2**64 - 1)
 
@@ -94,16 +101,15 @@ class Rows:
 
 
 @dataclass
-class PpmModel:
-    """Frozen statistics: by order the known windows with their costs, and the known contexts with their escapes."""
+class ContextTree:
+    """The frozen statistics of one language: by order the known windows with their costs, and the known contexts with their escapes."""
 
-    langs: list[str]
     symbols: list[tuple[Rows, np.ndarray]]
     escapes: list[tuple[Rows, np.ndarray]]
 
     def costs(self, code: np.ndarray) -> np.ndarray:
-        """Bits of each window's last byte in each language."""
-        out = np.zeros((len(code), len(self.langs)), np.float32)
+        """Bits of each window's last byte."""
+        out = np.zeros(len(code), np.float32)
         left = np.arange(len(code))
         for k in range(ORDER, -1, -1):
             table, bits = self.symbols[k]
@@ -120,48 +126,63 @@ class PpmModel:
         return out
 
 
-def fit_tables(langs: list[str], counts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]) -> PpmModel:
-    """The model of counted windows: counts[k, language] are distinct (k + 1)-byte windows and how often each was seen."""
-    symbols, escapes, below, below_codes = [], [], None, None
-    for k in range(ORDER + 1):
-        codes = np.unique(np.concatenate([counts[k, i][0] for i in range(len(langs))]))
-        contexts = np.unique(codes >> np.uint64(8))
-        of = np.searchsorted(contexts, codes >> np.uint64(8))
-        seen, escape = np.zeros((len(codes), len(langs))), np.zeros((len(contexts), len(langs)))
-        total, distinct = np.zeros_like(escape), np.zeros_like(escape)
-        for i in range(len(langs)):
-            own, n = counts[k, i]
-            at = np.searchsorted(codes, own)
-            seen[at, i] = n
-            np.add.at(total[:, i], of[at], n)
-            np.add.at(distinct[:, i], of[at], 1)
-        known = total > 0
-        escape[known] = -np.log2(distinct[known] / (total + distinct)[known])
-        lower = np.full((len(codes), len(langs)), 8.0) if below is None else below[np.searchsorted(below_codes, low(codes, k))]
-        with np.errstate(divide="ignore"):
-            bits = np.where(seen > 0, -np.log2(seen / (total + distinct)[of].clip(1)), escape[of] + lower)
-        symbols.append((Rows(codes), bits.astype(np.float32)))
-        escapes.append((Rows(contexts), escape.astype(np.float32)))
-        below, below_codes = bits, codes
-    return PpmModel(langs, symbols, escapes)
+@dataclass
+class PpmModel:
+    """One context tree for each language."""
+
+    langs: list[str]
+    trees: list[ContextTree]
+
+    def costs(self, code: np.ndarray) -> np.ndarray:
+        """Bits of each window's last byte in each language, one row per language."""
+        return np.stack([tree.costs(code) for tree in self.trees])
+
+
+def fit_tree(counts: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
+    """The tree of counted windows: counts[k] are the distinct (k + 1)-byte windows, ascending, and how often each was seen."""
+    tree = ContextTree([], [])
+    for codes, n in counts:
+        contexts, of = np.unique(codes >> np.uint64(8), return_inverse=True)
+        total, distinct = np.bincount(of, weights=n, minlength=len(contexts)), np.bincount(of, minlength=len(contexts))
+        tree.symbols.append((Rows(codes), -np.log2(n / (total + distinct)[of]).astype(np.float32)))
+        tree.escapes.append((Rows(contexts), -np.log2(distinct / (total + distinct)).astype(np.float32)))
+    return tree
+
+
+def pick_sample(labelled: DataFrame) -> DataFrame:
+    """id, lang, size of the training texts among the rows (id, lang, size), a written table.
+
+    One pass counts the texts of each language, and a hash of the id lets about twice
+    SAMPLE_ROWS of them through, which are then ordered; no task sorts a language.
+    """
+    share = lambda c: F.shiftrightunsigned(F.xxhash64(c), 11) / F.lit(float(1 << 53))
+    order = F.struct(F.xxhash64("id").alias("h"), "id", "size")
+    fits = F.col("size") <= SAMPLE_TEXT_BYTES
+    per_lang = labelled.groupBy("lang").agg(F.count_if(fits).alias("n"), F.min(F.when(fits, order)).alias("first"), F.min(F.struct("size", order.alias("row"))).alias("least"))
+    per_lang = materialize(per_lang, "langid-languages")
+    near = labelled.where(fits).join(per_lang.select("lang", "n"), "lang").where(share("id") * F.col("n") <= 2 * SAMPLE_ROWS).select("id", "lang", "size").distinct()
+    one = F.coalesce("first", F.col("least")["row"])  # a language is never without a text
+    near = near.unionByName(per_lang.select(one["id"].alias("id"), "lang", one["size"].alias("size"))).distinct()
+    place = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "size")
+    near = near.withColumn("place", F.row_number().over(place)).withColumn("until", F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    taken = (F.col("place") <= SAMPLE_ROWS) & ((F.col("until") <= SAMPLE_BYTES) | (F.col("place") == 1))
+    return materialize(near.where(taken).select("id", "lang", "size"), "langid-sample")
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> PpmModel | None:
     """Learn from a bounded sample of the labelled rows; None where there are none.
 
     Per language, rows are taken in the order of a hash of the id, at most
-    SAMPLE_ROWS, and of these whole texts up to SAMPLE_BYTES together. Windows are
-    counted in Spark; the driver receives one row per distinct window and language.
+    SAMPLE_ROWS, and of these whole texts up to SAMPLE_BYTES together; texts over
+    SAMPLE_TEXT_BYTES are left out unless a language has no other. Of rows that repeat
+    an id, a language and a size one text counts; null ids count like others. Windows
+    are counted in Spark; the driver receives one row per distinct window and language.
     """
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sized = rows.where("text is not null and lang is not null").select("id", "lang", F.octet_length("text").cast("long").alias("size"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "size")
-    near = sized.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_ROWS)
-    running = near.withColumn("until", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    picked = running.where((F.col("until") <= SAMPLE_BYTES) | (F.col("place") == 1)).select("id", "lang", "size")
-    picked = picked.select(F.col("id").alias("p_id"), F.col("lang").alias("p_lang"), F.col("size").alias("p_size")).distinct()
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    picked = pick_sample(materialize(rows.select("id", "lang", F.octet_length("text").cast("long").alias("size")), "langid-sizes"))
+    picked = F.broadcast(picked.select(F.col("id").alias("p_id"), F.col("lang").alias("p_lang"), F.col("size").alias("p_size")))  # SAMPLE_ROWS per language
     same = F.col("id").eqNullSafe(F.col("p_id")) & (F.col("lang") == F.col("p_lang")) & (F.octet_length("text") == F.col("p_size"))
-    sample = rows.join(F.broadcast(picked), same).select("text", "lang")
+    sample = rows.join(picked, same).groupBy("id", "lang", "p_size").agg(F.min("text").alias("text")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,15 +204,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         return None
     lang, k = counted["lang"].combine_chunks(), counted["k"].to_numpy()
     code, n = counted["code"].to_numpy().astype(np.uint64), counted["n"].to_numpy()
-    langs = sorted(lang.unique().to_pylist())
-    which = np.array([langs.index(x) for x in lang.unique().to_pylist()])[lang.dictionary_encode().indices.to_numpy()]
-    counts = {}
-    for order_ in range(ORDER + 1):
-        for i in range(len(langs)):
-            at = np.flatnonzero((k == order_) & (which == i))
-            at = at[np.argsort(code[at])]
-            counts[order_, i] = (code[at], n[at])
-    return fit_tables(langs, counts)
+    coded = lang.dictionary_encode()
+    found = coded.dictionary.to_pylist()
+    at = np.lexsort((code, k, coded.indices.to_numpy()))
+    cuts = np.searchsorted(coded.indices.to_numpy()[at] * (ORDER + 1) + k[at], np.arange(len(found) * (ORDER + 1) + 1))
+    trees = [fit_tree([(code[own], n[own]) for own in (at[cuts[i] : cuts[i + 1]] for i in range(j * (ORDER + 1), (j + 1) * (ORDER + 1)))]) for j in range(len(found))]
+    langs = sorted(found)
+    return PpmModel(langs, [trees[found.index(x)] for x in langs])
 
 
 def predict(docs: DataFrame, model: PpmModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,7 +218,8 @@ def predict(docs: DataFrame, model: PpmModel | None, id_col: str = "doc_id", tex
 
     ``score`` is the posterior of the language under equal priors. A null text,
     one without a letter, or any text where no language was learned, is ``und``
-    with score 0. Ties go to the first language in alphabetical order.
+    with score 0. Ties go to the first language in alphabetical order. Rows with null
+    or repeated ids keep a row each; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("letters"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -216,12 +236,14 @@ def predict(docs: DataFrame, model: PpmModel | None, id_col: str = "doc_id", tex
                     total = np.zeros((n, len(frozen.langs)))
                     for a in range(0, len(data), _CHUNK):
                         b = min(len(data), a + _CHUNK)
-                        bits = frozen.costs(windows(data, a, b))
-                        bits[~real[a:b]] = 0
+                        place, distinct = pd.factorize(windows(data, a, b))
                         first = int(np.searchsorted(begins, a, side="right")) - 1
                         beyond = int(np.searchsorted(begins, b))
                         cuts = np.maximum(begins[first:beyond], a) - a
-                        total[first:beyond] += np.add.reduceat(bits, cuts, axis=0, dtype=np.float64)
+                        for i, tree in enumerate(frozen.trees):
+                            bits = tree.costs(distinct)[place]
+                            bits[~real[a:b]] = 0
+                            total[first:beyond, i] += np.add.reduceat(bits, cuts, dtype=np.float64)
                     best = total.argmin(1)
                     least = total[np.arange(n), best]
                     posterior = 1 / np.exp2(np.maximum(least[:, None] - total, -1000)).sum(1)
