@@ -5,8 +5,10 @@ overlapping chunks with token offsets. Two neighbouring chunks are spliced at a
 position in their overlap that (a) both encodings have as a token boundary and
 (b) is proven stable: no piece of the vocabulary holds that pair of neighbouring
 characters, so no merge can cross it, whatever stands around. If an overlap has
-no such position it is widened, at last to the whole of the two chunks, which are
-then encoded as one. The count therefore equals that of one call over the text.
+no such position it is widened, at last to the whole of the two chunks; these are
+then encoded as one, and the next chunk is as long as both, so that a text without
+any stable position costs a few calls over the text and not one for each chunk.
+The count therefore equals that of one call over the text.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import types as T
 from recengine.llm._arrow import steps
 
 SPACE_MARK = "▁"
+#: Characters on each side of a position that normalisation may look at.
+NEAR = 8
 
 
 def tokenizer_file(name: str) -> str:
@@ -58,28 +62,35 @@ def boundaries(model, text: str) -> dict[int, int]:
 def count_long(text: str, name: str, chunk_chars: int, overlap_chars: int) -> int:
     """Tokens of one text by chunks [a, b) that overlap and are spliced at stable common boundaries."""
     model, pairs = piece_model(name)
-    marked = str.maketrans(" ", SPACE_MARK)
+    normal = lambda part: model.normalize("|" + part).partition("|")[2]
+
+    @lru_cache(maxsize=4096)
+    def apart(before: str, after: str) -> bool:
+        """Whether the normalised characters on both sides are those of each side alone, and no piece holds the two that meet."""
+        left, right = normal(before), normal(after)
+        return normal(before + after) == left + right and bool(left and right) and (left[-1], right[0]) not in pairs
 
     def stable(p: int) -> bool:
-        return tuple(text[p - 1 : p + 1].translate(marked)) not in pairs
+        return apart(text[max(0, p - NEAR) : p], text[p : p + NEAR])
 
-    total, a, done = 0, 0, 0  # done: everything before this position is counted
+    total, a, done, step = 0, 0, 0, chunk_chars  # done: everything before this position is counted
     b = min(len(text), chunk_chars)
     left = boundaries(model, text[a:b])
     while b < len(text):
-        overlap, far = overlap_chars, min(len(text), b + chunk_chars)
+        overlap, far = overlap_chars, min(len(text), b + step)
         while True:
             start = max(done, b - overlap)
             if start <= done:  # the overlap has become the whole chunk: encode both as one
-                b, left = far, boundaries(model, text[a:far])
+                b, left, step = far, boundaries(model, text[a:far]), 2 * step
                 break
-            right = boundaries(model, text[start:far])
-            common = next((p for p in range(b - 1, start, -1) if p - a in left and p - start in right and p > done and stable(p)), None)
+            fit = [p for p in range(b - 1, start, -1) if p - a in left and p > done and stable(p)]
+            right = boundaries(model, text[start:far]) if fit else {}
+            common = next((p for p in fit if p - start in right), None)
             if common is not None:
                 total += left[common - a] - left[done - a]
-                a, b, left, done = start, far, right, common
+                a, b, left, done, step = start, far, right, common, chunk_chars
                 break
-            overlap *= 2
+            overlap *= 16
     return total + left[len(text) - a] - left[done - a]
 
 
@@ -96,6 +107,7 @@ def count_tokens(
 
     Null texts count as empty: 0 bytes, 0 tokens. Rows with null or repeated ids
     keep a row each. Only the two columns are read, so others may have any names.
+    An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
