@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,7 +174,37 @@ def test_langid(spark):
     assert got[900, None] == got[901, "123 !"] == got[902, ""] == "und"
     out = langid.predict(spark.createDataFrame([(1, "with this and the"), (2, "nicht der über ist")], "doc_id long, text string"), model).collect()
     assert {r.doc_id: r.lang_pred for r in out} == {1: "en", 2: "de"} and all(0 < r.score <= 1 for r in out)
-    assert langid.fit(docs.limit(0)) is None
+    assert langid.fit(docs.limit(0)) is None and langid.predict(docs.limit(0), model).count() == 0
+    extra = spark.createDataFrame([(1, "with this", 5, "p"), (1, "with this", 6, "q"), (None, "nicht der", 7, "r")], "doc_id long, text string, size int, place string")
+    assert sorted((str(r.doc_id), r.lang_pred) for r in langid.predict(extra, model).collect()) == [("1", "en"), ("1", "en"), ("None", "de")]
+
+
+def test_langid_sample_is_bounded_and_no_language_is_without_a_text(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 10)
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 4000)
+    monkeypatch.setattr(langid, "SAMPLE_TEXT_BYTES", 500)
+    rows = [(k, "en", 100) for k in range(300)] + [(7, "en", 100)] * 900 + [(None, "de", 9000), (1, "de", 8000), (2, "fr", 400), (2, "fr", 400), (3, "fr", 600)]
+    got = langid.pick_sample(spark.createDataFrame(rows, "id long, lang string, size long")).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.lang].append((r.id, r.size))
+    assert 1 <= len(by["en"]) <= 10 and len(set(by["en"])) == len(by["en"])
+    assert by["de"] == [(1, 8000)] and by["fr"] == [(2, 400)]
+
+
+def test_langid_of_texts_longer_than_a_step_is_that_of_their_bytes(spark, monkeypatch):
+    rng = random.Random(3)
+    word = {"en": ["the", "and", "of", "with", "this"], "de": ["der", "und", "über", "nicht", "ist"]}
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(word[g], k=20)), g) for k in range(30) for g in ("en", "de")], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    texts = [(1, " ".join(rng.choices(word["en"], k=400))), (2, ""), (3, " ".join(rng.choices(word["de"] + word["en"], k=300))), (4, "der")]
+    monkeypatch.setattr(langid, "_CHUNK", 64)
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for i, t in texts:
+        if t:
+            data, real, _ = langid.padded(pa.array([t]))
+            total = model.costs(langid.windows(data, 0, len(data))[real]).sum(1, dtype=np.float64)
+            assert got[i].lang_pred == model.langs[int(total.argmin())] and abs(got[i].bits_per_byte - total.min() / len(t.encode())) < 1e-3
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
 
 
@@ -191,6 +222,14 @@ def test_quality(spark, docs, nothing):
     assert sum((r.score >= 0.5) == bool(r.quality) for r in scored) >= 0.95 * len(scored)
     assert all(0 <= r.score <= 1 for r in quality.score(docs, model).collect()) and quality.score(nothing, model).count() == 0
     assert quality.fit(nothing, lab).rules == [] and quality.fit(d, lab.where("quality = 1")).rules == []
+    # repeated rows, null ids and texts, and columns with the names of the inside
+    odd = spark.createDataFrame([(1, "BUY!! X$$$"), (1, "BUY!! X$$$"), (None, "alpha"), (2, None), (3, "")], "doc_id long, text string").withColumn("_quality_statistics", F.lit(7)).withColumn("score", F.lit("old"))
+    out = quality.score(odd, model)
+    assert out.columns == odd.columns and out.count() == 5 and {r["_quality_statistics"] for r in out.collect()} == {7}
+    scores = {(r.doc_id, r.text): r.score for r in out.collect()}
+    assert scores[2, None] == scores[3, ""]
+    twice = quality.fit(d.where("doc_id < 200").unionByName(d.where("doc_id < 200")), lab)
+    assert (twice.rules, twice.weights) == (model.rules, model.weights)
 
 
 def test_decontamination(spark, docs, nothing):

@@ -42,6 +42,24 @@ def test_ids_by_parts_are_those_of_whole_texts():
         assert ids[ends[k] : ends[k + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_texts_without_a_stable_position_cost_a_few_calls():
+    calls, boundaries = [], token_counts.boundaries
+    try:
+        token_counts.boundaries = lambda model, text: calls.append(len(text)) or boundaries(model, text)
+        assert token_counts.count_long("a" * 200_000, "piece_bpe_32k.model", 1000, 64) == len(token_counts.piece_model("piece_bpe_32k.model")[0].encode("a" * 200_000))
+    finally:
+        token_counts.boundaries = boundaries
+    assert sum(calls) < 4 * 200_000
+
+
+def test_random_texts_are_counted_as_by_one_call():
+    model, _ = token_counts.piece_model("piece_bpe_32k.model")
+    rng = random.Random(1)
+    for _ in range(150):
+        text = "".join(rng.choice(["a", "ab", " ", "  ", "\n", "é", "日", "the", "ing", ".", "1", "▁", "e\u0301", "ﬁ"]) for _ in range(rng.randint(1, 900)))
+        assert token_counts.count_long(text, "piece_bpe_32k.model", 50, 4) == len(model.encode(text))
+
+
 def test_histogram_packing_uses_every_piece_once_with_little_padding():
     rng = random.Random(5)
     counts = {}
@@ -91,7 +109,7 @@ def test_ppm_costs_are_those_of_the_definition():
                     seen[gram] = seen.get(gram, 0) + 1
             codes = np.array(sorted(seen), np.uint64)
             counts[k, i] = (codes, np.array([seen[int(c)] for c in codes]))
-    model = langid.fit_tables(["a", "b"], counts)
+    model = langid.PpmModel(["a", "b"], [langid.fit_tree([counts[k, i] for k in range(langid.ORDER + 1)]) for i in texts])
 
     def cost(i, window):
         total = 0.0
@@ -111,7 +129,7 @@ def test_ppm_costs_are_those_of_the_definition():
         data, real, _ = langid.padded(pa.array([t]))
         code = langid.windows(data, 0, len(data))
         want = np.array([[cost(i, int(c)) for i in (0, 1)] for c in code[real]])
-        assert np.allclose(model.costs(code[real]), want, atol=1e-4)
+        assert np.allclose(model.costs(code[real]).T, want, atol=1e-4)
 
 
 def test_templates_and_slots():
@@ -148,6 +166,35 @@ def test_warc_record_round_trip():
     assert warc.sha1_base32(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
 
 
+def brute_statistics(text):
+    """The statistics one text at a time, from their definitions."""
+    data = text.encode()
+    ws = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    lines = [x for x in data.split(b"\n") if x]
+    share = lambda hits, of: hits / max(1, of)
+    among = lambda chars: sum(c in chars for c in data)
+    upper, high = bytes(range(65, 91)), bytes(range(128, 256))
+    letters = upper + bytes(range(97, 123)) + high
+    shouted = lambda w: sum(c in upper for c in w) >= 2 and sum(c in upper for c in w) == sum(c in letters for c in w)
+    symbols = b"#$%&*!@^~=+<>\\_{}[]"
+    return {
+        "log_bytes": np.log1p(len(data)), "log_words": np.log1p(len(ws)), "word_bytes": share(sum(map(len, ws)), len(ws)), "upper_share": share(among(upper), among(letters)),
+        "digit_share": share(among(b"0123456789"), len(data)), "symbol_share": share(among(symbols), len(data)), "stop_share": share(among(b".,;:?"), len(data)), "high_share": share(among(high), len(data)),
+        "space_share": share(among(b" \t\n\x0b\x0c\r"), len(data)), "line_bytes": share(len(data), len(lines)), "log_lines": np.log1p(len(lines)), "same_line_share": 1 - share(len(set(lines)), len(lines)),
+        "distinct_share": share(len(set(ws)), len(ws)), "decorated_share": share(sum(w[-1] in symbols for w in ws), len(ws)), "upper_word_share": share(sum(map(shouted, ws)), len(ws)),
+        "short_word_share": share(sum(len(w) <= 3 for w in ws), len(ws)), "bar_share": share(data.count(b"|"), len(ws)),
+    }
+
+
+def test_statistics_equal_those_of_one_text_at_a_time():
+    rng = random.Random(9)
+    texts = ODD + ["".join(rng.choices("abcABC 012 .,#|$!\n\té日", k=rng.randint(0, 300))) for _ in range(120)] + ["same\nsame\n\nother"]
+    rows = quality._step(pa.array(texts))
+    for text, row in zip(texts, rows, strict=True):
+        want = brute_statistics(text)
+        assert np.allclose(row, [want[k] for k in quality.STATISTICS]), text
+
+
 def test_statistics_of_odd_texts_are_finite():
     rows = quality._step(pa.array(ODD))
     assert rows.shape == (len(ODD), len(quality.STATISTICS)) and np.isfinite(rows).all()
