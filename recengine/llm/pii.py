@@ -1,12 +1,15 @@
 """Format-preserving pseudonyms for personal numbers, dates and addresses.
 
-Values are found by pattern and validated (card check digits, IBAN remainder,
-octets of an IP address, calendar dates, phone formats). A validated value is
-replaced by a keyed permutation of all values of its format: its digits are one
-number below the size of the domain, which a Feistel network over two halves of
-the number permutes, walking on until the result is again in the domain and
-valid. Equal values have equal pseudonyms in every document, and different ones
-of a format different ones. Who holds the key can undo the permutation.
+Values are found by pattern and validated (card check digits, IBAN length and
+remainder, octets of an IP address, calendar dates, phone formats); what fails its
+validation stays as it is. A validated value is replaced by a keyed permutation of
+all values of its format: its digits are one number below the size of the domain,
+which a Feistel network over two halves of the number permutes, walking on until
+the result is again in the domain and valid. The pseudonym is written as the value
+was: with its blanks, marks, leading zeros and capitals, and as long. Equal values
+have equal pseudonyms in every document, however they are written (a day as
+2024-02-01 or 01/02/2024, an IBAN with or without blanks, an address in capitals),
+and different ones of a format different ones. Who holds the key can undo it.
 """
 
 from __future__ import annotations
@@ -14,8 +17,10 @@ from __future__ import annotations
 import datetime
 import hashlib
 import hmac
+import itertools
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import isqrt
 
 import pyarrow as pa
@@ -29,14 +34,21 @@ ROUNDS = 8
 
 # The patterns of the formats, in the order in which they are tried.
 PATTERN = re.compile(
-    r"(?P<email>\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<ip>(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d.]*\d))"
     r"|(?P<date>(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/.])\d{1,2}[/.]\d{1,2}[/.]\d{4}(?![\d/]))"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
+    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Z0-9]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\w+])\+\d{9,14}(?!\d))"
 )
+# The length of an IBAN by country.
+IBAN_LENGTHS = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28, EE=20, EG=29,
+    ES=24, FI=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20,
+    LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, LY=25, MC=27, MD=24, ME=22, MK=19, MR=27, MT=31, MU=30, NL=18, NO=15, PK=24, PL=28, PS=29, PT=25,
+    QA=29, RO=24, RS=22, SA=24, SC=31, SD=18, SE=24, SI=19, SK=24, SM=27, ST=25, SV=28, TL=23, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20,
+)
 
 
 def permute(key: bytes, label: str, value: int, size: int) -> int:
@@ -69,9 +81,11 @@ def unpermute(key: bytes, label: str, value: int, size: int) -> int:
             return value
 
 
+_DOUBLED = str.maketrans("0123456789", "0246813579")
+
+
 def luhn(digits: str) -> bool:
-    total = sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(digits)))
-    return total % 10 == 0
+    return sum(map(int, digits[::-2] + digits[-2::-2].translate(_DOUBLED))) % 10 == 0
 
 
 def fill(shape: str, digits: str) -> str:
@@ -83,47 +97,75 @@ def fill(shape: str, digits: str) -> str:
 Move = Callable[[str, int, int], int]
 
 
-def _card(text: str, move: Move) -> str:
-    digits = re.sub(r"\D", "", text)
-    if luhn(digits):  # all but the check digit, which follows
-        head = str(move(f"card{len(digits)}", int(digits[:-1]), 10 ** (len(digits) - 1))).zfill(len(digits) - 1)
-        return fill(text, head + next(c for c in "0123456789" if luhn(head + c)))
-    new = int(digits)
-    while True:  # an account number without a check digit stays one
-        new = move(f"account{len(digits)}", new, 10 ** len(digits))
-        if not luhn(out := str(new).zfill(len(digits))):
-            return fill(text, out)
+def _card(text: str, move: Move) -> str | None:
+    groups = list(re.finditer(r"\d+", text))
+    digits = "".join(m[0] for m in groups)
+    sizes = list(itertools.accumulate(len(m[0]) for m in groups))
+    for n, end in zip(reversed(sizes), (m.end() for m in reversed(groups)), strict=True):  # another number may follow the card's
+        if n < 13:
+            break
+        if luhn(digits[:n]):  # all but the check digit, which follows
+            head = str(move(f"card{n}", int(digits[: n - 1]), 10 ** (n - 1))).zfill(n - 1)
+            return fill(text[:end], head + next(c for c in "0123456789" if luhn(head + c)))
+    return None
+
+
+_OCTETS = ((0, 10), (10, 100), (100, 256))  # by number of digits
 
 
 def _ip(text: str, move: Move) -> str | None:
-    octets = [int(x) for x in text.split(".")]
+    parts = text.split(".")
+    octets = [int(x) for x in parts]
     if max(octets) > 255:
         return None
-    value = move("ip", int.from_bytes(bytes(octets), "big"), 2**32)
-    return ".".join(map(str, value.to_bytes(4, "big")))
+    spans = [next(s for s in _OCTETS if s[0] <= x < s[1]) for x in octets]  # an octet keeps its number of digits
+    value, size = 0, 1
+    for x, (low, high) in zip(octets, spans, strict=True):
+        value, size = value * (high - low) + x - low, size * (high - low)
+    value = move("ip" + "".join(str(low) for low, _ in spans), value, size)
+    out = []
+    for part, (low, high) in zip(reversed(parts), reversed(spans), strict=True):
+        value, x = divmod(value, high - low)
+        out.append(str(x + low).zfill(len(part)))
+    return ".".join(reversed(out))
 
 
-_FIRST, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # 1900 to 2099
+_YEARS = range(1900, 2100)
+
+
+def _class(day: datetime.date) -> tuple[int, bool]:
+    """What a pseudonym shares with its day, so that it is as long and read in the same order: days below 10, up to 12 and beyond; months below 10."""
+    return (day.day > 9) + (day.day > 12), day.month > 9
+
+
+@lru_cache(maxsize=1)
+def _days() -> tuple[dict[tuple[int, bool], list[int]], dict[int, int]]:
+    """The days of each class, and the place of each day in its class."""
+    classes: dict[tuple[int, bool], list[int]] = {}
+    place = {}
+    for n in range(datetime.date(_YEARS[0], 1, 1).toordinal(), datetime.date(_YEARS[-1], 12, 31).toordinal() + 1):
+        own = classes.setdefault(_class(datetime.date.fromordinal(n)), [])
+        place[n] = len(own)
+        own.append(n)
+    return classes, place
 
 
 def _date(text: str, move: Move) -> str | None:
-    iso = "-" in text
-    parts = [int(x) for x in re.split(r"\D", text)]
-    orders = [(0, 1, 2)] if iso else [(2, 1, 0), (2, 0, 1)]  # day first, else month first
-    for k, order in enumerate(orders):
+    parts = re.findall(r"\d+", text)
+    for order in [(0, 1, 2)] if "-" in text else [(2, 1, 0), (2, 0, 1)]:  # day first, else month first
         try:
-            day = datetime.date(*(parts[i] for i in order)).toordinal() - _FIRST
+            day = datetime.date(*(int(parts[i]) for i in order))
         except ValueError:
             continue
-        if not 0 <= day < _DAYS:
+        if day.year not in _YEARS:
             return None
-        new = datetime.date.fromordinal(move(f"date{k}{iso}", day, _DAYS) + _FIRST)
-        while not iso and k and new.day <= 12:  # would be read day first
-            new = datetime.date.fromordinal(move(f"date{k}{iso}", new.toordinal() - _FIRST, _DAYS) + _FIRST)
-        if iso:
-            return new.isoformat()
-        mark = re.search(r"\D", text)[0]
-        return mark.join((f"{new.month:02d}", f"{new.day:02d}", str(new.year)) if k else (f"{new.day:02d}", f"{new.month:02d}", str(new.year)))
+        classes, place = _days()
+        own = classes[_class(day)]
+        kind = "".join(map(str, map(int, _class(day))))
+        new = datetime.date.fromordinal(own[move(f"date{kind}", place[day.toordinal()], len(own))])
+        value = dict(zip(order, (new.year, new.month, new.day), strict=True))
+        texts = iter(str(value[i]).zfill(len(parts[i])) for i in range(3))
+        return re.sub(r"\d+", lambda _: next(texts), text)
     return None
 
 
@@ -133,8 +175,10 @@ def iban_remainder(text: str) -> int:
 
 
 def _iban(text: str, move: Move) -> str | None:
-    bare = text.replace(" ", "")
-    if not 15 <= len(bare) <= 34 or iban_remainder(bare) != 1:
+    size = IBAN_LENGTHS.get(text[:2], 0)
+    end = next((k + 1 for k, n in enumerate(itertools.accumulate(c != " " for c in text)) if n == size), 0)
+    bare = text[:end].replace(" ", "")
+    if not end or text[end : end + 1].isalnum() or iban_remainder(bare) != 1:  # words may follow
         return None
     digits = "".join(c for c in bare[4:] if c.isdigit())
     if not digits:
@@ -142,7 +186,7 @@ def _iban(text: str, move: Move) -> str | None:
     body = fill(bare[4:], str(move(f"iban{bare[:2]}{len(digits)}", int(digits), 10 ** len(digits))).zfill(len(digits)))
     check = 98 - iban_remainder(bare[:2] + "00" + body)
     new = iter(bare[:2] + f"{check:02d}" + body)
-    return re.sub(r"\S", lambda _: next(new), text)
+    return re.sub(r"\S", lambda _: next(new), text[:end])
 
 
 def _ssn(text: str, move: Move) -> str | None:
@@ -174,7 +218,7 @@ def _email(text: str, move: Move) -> str:
             value, size = value * 10 + int(c), size * 10
         elif c.isalpha():
             value, size = value * 26 + ord(c.lower()) - 97, size * 26
-    shape = re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", local)))
+    shape = re.sub(r"[a-z]", "a", re.sub(r"\d", "0", local.lower()))
     value, out = move(f"email{shape}", value, size), []
     for c in reversed(local):
         base = 10 if c.isdigit() else 26 if c.isalpha() else 1
@@ -189,48 +233,52 @@ FORMATS = {"card": _card, "ip": _ip, "date": _date, "iban": _iban, "ssn": _ssn,
 def pseudonymise(text: str, key: bytes, undo: bool = False) -> tuple[str, int]:
     """The text with its validated values replaced, and how many were."""
     step = unpermute if undo else permute
-    done = 0
-
-    def one(m: re.Match) -> str:
-        nonlocal done
-        new = FORMATS[m.lastgroup](m[0], lambda label, value, size: step(key, label, value, size))
+    move = lambda label, value, size: step(key, label, value, size)
+    out, upto, at, done = [], 0, 0, 0
+    while hit := _HIT.search(text, at):
+        # a value has a digit or an at sign after at most BEFORE characters, none of them blank
+        h, new = hit.start(), None
+        start = max(at, h - BEFORE)
+        blank = max((k for c in " \n\t\r" if (k := text.rfind(c, start, h)) >= 0), default=start - 1)
+        for p in range(blank + 1, h + 1):
+            if m := PATTERN.match(text, p):
+                new = FORMATS[m.lastgroup](m[0], move)
+                if new is not None:
+                    out += (text[upto:p], new)
+                    upto = at = p + len(new)  # as long as the value
+                    done += 1
+                    break
+                at = after_failed(m)
+                if at > h:
+                    break
         if new is None:
-            return m[0]
-        done += 1
-        return new
-
-    out, upto = [], 0
-    for a, b in spots(text):
-        for m in PATTERN.finditer(text, a, b):
-            out += (text[upto : m.start()], one(m))
-            upto = m.end()
+            at = max(at, h + 1)
     return "".join((*out, text[upto:])), done
 
 
-_HIT, _SPACE = re.compile("[0-9@]"), re.compile(r"\s")
-#: Characters without a digit that may stand between two parts of a value.
-_GAP = 12
+def after_failed(m: re.Match) -> int:
+    """Where to go on after a match that fails its validation: within it, but a number in groups of four is no phone number."""
+    if m.lastgroup == "card" and re.fullmatch(r"\d{4}(?:[ -]\d{4})*(?:[ -]\d{1,4})?", m[0]):
+        for k in range(m.start() + 5, m.end(), 5):  # a card may begin with a later group
+            later = PATTERN.match(m.string, k)
+            if later and later.lastgroup == "card" and _card(later[0], lambda label, value, size: value) is not None:
+                return k
+        return m.end()
+    return m.start() + 1
 
 
-def spots(text: str) -> Iterator[tuple[int, int]]:
-    """The stretches of words with a digit or an at sign, with small gaps closed: all values lie within one."""
-    hit = _HIT.search(text)
-    while hit:
-        begin = max((text.rfind(c, 0, hit.start()) for c in " \n\t\r"), default=-1) + 1
-        while True:
-            space = _SPACE.search(text, hit.end())
-            end = space.start() if space else len(text)
-            hit = _HIT.search(text, end)
-            if not hit or hit.start() > end + _GAP:
-                break
-        yield begin, end
+_HIT = re.compile("[0-9@]")
+#: Characters of a value before its first digit or at sign: those of the local part of an address.
+BEFORE = 64
 
 
 def pseudonymise_texts(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id_col, text_col with pseudonyms, n_replaced.
 
-    Texts are handled whole. A null text stays null with 0 replacements; values
-    that fail their validation stay as they are.
+    Texts are handled whole. A null text stays null with 0 replacements, an empty one
+    empty; values that fail their validation stay as they are. Rows with null or
+    repeated ids keep a row each, and only the two columns are read, so others may
+    have any names. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(text_col).isNull().alias("missing"))
     secret = key.encode()
@@ -238,7 +286,7 @@ def pseudonymise_texts(docs: DataFrame, key: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch):
-                out = [(None, 0) if none else pseudonymise(t, secret) for t, none in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                out = [(None, 0) if none else pseudonymise(t, secret) if _HIT.search(t) else (t, 0) for t, none in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], ["id", "text", "n_replaced"])
 
     out = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("text", T.StringType()), T.StructField("n_replaced", T.LongType())])
