@@ -4,10 +4,12 @@ Writing: a dictionary is trained on a bounded sample of the records and broadcas
 (``DICT_BYTES`` at most). Every archive begins with a skippable frame that holds
 the dictionary; each record follows as a frame of its own, so one record can be
 read without those before it. Of pages with equal payloads one is a response
-record and the others are revisit records that refer to it.
+record and the others are revisit records that refer to it. An archive is closed
+by the record with which it reaches ``ARCHIVE_BYTES``.
 
-Spark's text sink writes the archives through the cluster's file system: its line
-separator is an empty skippable frame, which every Zstandard reader passes over.
+Spark's text sink writes the archives through the cluster's file system, one row
+a file; its line separator, which ends the file, is an empty skippable frame,
+which every Zstandard reader passes over.
 
 Reading: the archives are loaded as binary files, the frames are found by their
 block headers and decompressed with the dictionary of their own archive.
@@ -33,8 +35,8 @@ EMPTY_FRAME = "P*M\x18\x00\x00\x00\x00"  # 0x184D2A50 and a length of 0, little-
 ZSTD_FRAME = 0xFD2FB528
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-#: Bounds of the dictionary, its training sample, and the records of one archive.
-DICT_BYTES, SAMPLE_ROWS, SAMPLE_BYTES, ARCHIVE_ROWS = 65536, 400, 4_000_000, 4096
+#: Bounds of the dictionary, of its training sample, and of the compressed records of an archive before its last one.
+DICT_BYTES, SAMPLE_ROWS, SAMPLE_BYTES, ARCHIVE_BYTES = 65536, 400, 4_000_000, 16 << 20
 
 READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
@@ -134,37 +136,47 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     # written first, so that its size is known when the join is planned
     again = materialize(again.where("n > 1 and first is not null").select("key", "first"), "warc-repeated")
 
+    # a hash of the id lets about four times the sample through; pages that repeat an id and a size count once
+    share = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
+    near = known.where("id is not null").where(share * F.lit(known.count()) <= 4 * SAMPLE_ROWS).select("id", "size").distinct()
     picked, total = [], 0
-    for r in known.where("id is not null").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("id", "size").collect():
+    for r in near.orderBy(F.xxhash64("id"), "id", "size").limit(SAMPLE_ROWS).collect():
         if total + r["size"] <= SAMPLE_BYTES:
-            picked.append(r["id"])
+            picked.append((r["id"], r["size"]))
             total += r["size"]
-    samples = [record(r["id"], r["url"], r["html"].encode(), None, False, date) for r in rows.where(F.col("id").isin(picked)).limit(2 * SAMPLE_ROWS).collect()] if picked else []
+    samples = []
+    if picked:
+        wanted = F.broadcast(spark.createDataFrame(picked, "w_id long, w_size long"))  # SAMPLE_ROWS rows
+        found = rows.join(wanted, (F.col("id") == F.col("w_id")) & (F.octet_length("html") == F.col("w_size")))
+        found = found.groupBy("w_id", "w_size").agg(F.min(F.struct("html", "url")).alias("r")).orderBy(F.xxhash64("w_id"), "w_size")
+        samples = [record(x["w_id"], x["r"]["url"], x["r"]["html"].encode(), None, False, date) for x in found.collect()]
     shared = spark.sparkContext.broadcast(train(samples) if samples else b"")
 
     ready = keyed.join(again, "key", "left").select("id", "url", "html", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dictionary, written = shared.value, 0
+        dictionary = shared.value
         coder = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True) if dictionary else zstandard.ZstdCompressor(level=6)
         head = struct.pack("<II", DICT_FRAME, len(dictionary)) + dictionary
+        archive = lambda own: pa.RecordBatch.from_arrays([pa.array([b"".join([head, *own])], pa.binary())], ["archive"])
+        own, size = [], 0
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
-                out = []
                 for r in batch.slice(k, 64).to_pylist():
-                    if written % ARCHIVE_ROWS == 0:
-                        out.append(head)
-                        written += 1
                     revisit = r["first"] is not None and r["id"] != r["first"]
-                    out.append(coder.compress(record(r["id"], r["url"], r["html"].encode(), r["first"] if revisit else None, revisit, date)))
-                    written += 1
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+                    own.append(coder.compress(record(r["id"], r["url"], r["html"].encode(), r["first"] if revisit else None, revisit, date)))
+                    size += len(own[-1])
+                    if size >= ARCHIVE_BYTES:
+                        yield archive(own)
+                        own, size = [], 0
+        if own:
+            yield archive(own)
 
     (
-        ready.mapInArrow(run, "frame binary")
-        .select(F.col("frame").cast("string").alias("value"))
+        ready.mapInArrow(run, "archive binary")
+        .select(F.col("archive").cast("string").alias("value"))
         .write.option("lineSep", EMPTY_FRAME)
-        .option("maxRecordsPerFile", ARCHIVE_ROWS)
+        .option("maxRecordsPerFile", 1)
         .text(path)
     )
 
