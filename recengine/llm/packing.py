@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,8 +26,8 @@ from recengine.llm._arrow import steps, text_bytes, word_codes, words
 from recengine.llm._scratch import materialize
 from recengine.llm.token_counts import tokenizer_file
 
-#: Distinct parts of texts whose ids a task remembers; then it starts afresh.
-REMEMBERED = 1_000_000
+#: Bounds of what a worker remembers, distinct parts of texts and their bytes; then it starts afresh.
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 64 << 20
 
 
 @lru_cache(maxsize=2)
@@ -42,6 +43,19 @@ def word_tokenizer(name: str):
     return Tokenizer.from_file(tokenizer_file(name))
 
 
+# Normaliser, pre-tokenizer and model of the tokenizers that texts may be cut for.
+RULES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "BPE",
+)
+
 #: A character that is a token of its own.
 MARK = b"\x01"
 _LETTER = np.zeros(256, bool)
@@ -53,17 +67,21 @@ _STOP[[ord("."), ord(",")]] = True
 class WordIds:
     """Ids of texts by way of their distinct parts.
 
-    The tokenizer drops white space before it merges, and none of its rules looks
-    across white space, or merges an ASCII letter with a full stop or comma. So a
-    text's ids are those of its parts in a row, and each distinct part is encoded
-    once; its ids lie in one array, found by the part's number.
+    A tokenizer with the RULES drops white space before it merges, and none of its
+    rules looks across white space, or merges an ASCII letter with a full stop or
+    comma. So a text's ids are those of its parts in a row, and each distinct part is
+    encoded once; its ids lie in one array, found by the part's number. Any other
+    tokenizer encodes whole texts.
     """
 
     def __init__(self, name: str):
         self.tokenizer = word_tokenizer(name)
+        described = json.loads(self.tokenizer.to_str())
+        self.by_parts = (described["normalizer"], described["pre_tokenizer"], described["model"]["type"]) == RULES
         self.forget()
 
     def forget(self) -> None:
+        self.bytes = 0
         self.known: dict[bytes, int] = {}
         self.flat, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
@@ -81,9 +99,10 @@ class WordIds:
 
     def of(self, distinct: list[bytes]) -> np.ndarray:
         """Numbers of the parts; new ones are encoded."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self.forget()
         new = [w for w in distinct if w not in self.known]
+        self.bytes += sum(map(len, new))
         flats, sizes = [self.flat], [self.size]
         for k in range(0, len(new), 20_000):
             ids, size = self.encode(new[k : k + 20_000])
@@ -96,6 +115,9 @@ class WordIds:
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the n + 1 offsets of the texts."""
+        if not self.by_parts:
+            each = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(column.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *each]), np.r_[0, np.cumsum([len(x) for x in each], dtype=np.int64)]
         data, offs = text_bytes(column)
         start, end, doc = words(data, offs)
         if not len(start):
@@ -175,7 +197,6 @@ def pack(
     end_id: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
-    salts: int = 64,
 ) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -183,7 +204,8 @@ def pack(
     null or repeated ids are packed like others. An empty table gives no rows.
     """
     pieces = materialize(cut(docs, tokenizer, max_len, end_id, id_col, text_col), "pieces")
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most max_len rows
+    counted = materialize(pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "piece-lengths")
+    histogram = {r["length"]: r["n"] for r in counted.collect()}  # at most max_len rows
 
     # slots by length: ranks [first, first + n) of the length go to sequences seq.. at this offset
     slots: dict[int, list[tuple[int, int, int]]] = {}
@@ -199,13 +221,15 @@ def pack(
     by_length = {k: tuple(np.array(x, np.int64) for x in zip(*v, strict=True)) for k, v in slots.items()}
 
     # rank within a length, without one task per length: by salt, each salt starting after those before it
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    # about as many salts as rows of a salt: neither the rows of one nor the salts of a length are many
+    salts = F.broadcast(counted.select("length", F.ceil(F.sqrt("n")).alias("salts")))  # at most max_len rows
+    salted = pieces.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.col("salts"))).drop("salts")
     sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     order = Window.partitionBy("length", "salt").orderBy("id", "start", "ids_crc32")
     ranked = salted.join(starts, ["length", "salt"]).withColumn("rank", F.col("base") + F.row_number().over(order) - 1)
-    ranked = ranked.select("id", "start", "length", "ids_crc32", "doc_tokens", "rank")
+    ranked = ranked.select("id", "start", "length", "ids_crc32", "doc_tokens", F.col("rank").cast("long").alias("rank"))
 
     names = [*ranked.columns[:5], "sequence_id", "offset"]
 
