@@ -145,6 +145,29 @@ def test_packing(spark, docs, nothing):
     assert packing.pack(nothing, "word_bpe_49k.json").count() == 0
 
 
+def test_packing_of_many_equal_lengths_and_repeated_rows(spark):
+    rows = [(k % 50, "a b c") for k in range(400)] + [(None, "a b c")] * 30 + [(k, "x " * (k % 9)) for k in range(200)]
+    out = packing.pack(make(spark, rows).drop("key").withColumn("salt", F.lit(1)).withColumn("length", F.lit("l")), "word_bpe_49k.json", max_len=16).collect()
+    places = sorted((r.sequence_id, r.offset, r.length) for r in out)
+    assert len(out) == len(rows) and len({p[:2] for p in places}) == len(places)
+    filled = defaultdict(int)
+    for seq, offset, length in places:
+        assert filled[seq] == offset
+        filled[seq] += length
+    assert max(filled.values()) <= 16 and sum(filled.values()) > 0.95 * 16 * len(filled)
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a b": 3, "c": 4, "?": 0}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Split(",", "removed")
+    other.save(f"{tmp_path}/t.json")
+    encoder = packing.WordIds(f"{tmp_path}/t.json")
+    ids, ends = encoder.texts(pa.array(["a b,c", "", "c,a b,zz"]))
+    assert ids.tolist() == [3, 4, 4, 3, 0] and ends.tolist() == [0, 2, 2, 5]
+
+
 def test_token_counts(spark, docs, nothing):
     model, _ = token_counts.piece_model("piece_bpe_32k.model")
     got = token_counts.count_tokens(docs, "piece_bpe_32k.model", limit=5, chunk_chars=1000, overlap_chars=4).collect()
@@ -164,6 +187,39 @@ def test_warc(spark, tmp_path):
     assert warc.archive_and_read(pages.limit(0), f"{tmp_path}/e").count() == 0
 
 
+def test_archives_begin_with_their_dictionary_and_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    import glob
+
+    import zstandard
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    rng = random.Random(7)
+    words = ["alpha", "beta", "gamma", "<p>", "</p>", "delta"]
+    rows = [(k, f"http://x/{k}", "<html>" + " ".join(rng.choices(words, k=60)) + "</html>") for k in range(300)] + [(300, "u", "y" * 5000), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    warc.write_warc(pages, f"{tmp_path}/w")
+    files, dictionaries, records = glob.glob(f"{tmp_path}/w/part-*"), set(), 0
+    assert len(files) > 3
+    for name in files:
+        data = open(name, "rb").read()
+        found = list(warc.frames(memoryview(data)))
+        assert found[0][0] == warc.DICT_FRAME and [m for m, _ in found].count(warc.DICT_FRAME) == 1
+        head = bytes(found[0][1])
+        dictionaries.add(head)
+        own = [len(x) for m, x in found if m == warc.ZSTD_FRAME]
+        assert sum(own[:-1]) < 3000  # closed by the record that reaches the bound
+        records += len(own)
+        # any Zstandard reader passes over the skippable frames and gives the records in a row
+        reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(head)).stream_reader(data, read_across_frames=True)
+        assert reader.read().count(b"WARC/1.1\r\n") == len(own)
+        alone = [x for m, x in found if m == warc.ZSTD_FRAME][-1]  # a record is read without those before it
+        assert zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(head)).decompress(bytes(alone)).startswith(b"WARC/1.1")
+    assert records == len(rows) and len(dictionaries) == 1
+    trained = zstandard.ZstdCompressionDict(next(iter(dictionaries)))
+    assert trained.dict_id() != 0  # trained, not raw content
+    assert warc.read_warc(spark, f"{tmp_path}/w").count() == len(rows)
+
+
 def test_langid(spark):
     rng = random.Random(2)
     word = {"en": ["the", "and", "of", "with", "this"], "de": ["der", "und", "über", "nicht", "ist"]}
@@ -328,7 +384,14 @@ def test_line_dedup_removes_whole_passages(spark, nothing):
 
 
 def test_pseudonyms(spark, docs, nothing):
-    d = make(spark, [(1, "call +1 (017) 555-7713"), (2, "again +1 (017) 555-7713 and 1.2.3.4"), (3, None), (4, "")])
-    got = {r.doc_id: r for r in pii.pseudonymise_texts(d, "secret").collect()}
-    assert got[1].text.removeprefix("call ") == got[2].text.split("again ")[1].split(" and")[0] != "+1 (017) 555-7713"
-    assert got[2].n_replaced == 2 and got[3].text is None and got[4].text == "" and pii.pseudonymise_texts(nothing, "s").count() == 0
+    long = "w " * 200_000 + "1.2.3.4"
+    rows = [(1, "call +1 (017) 555-7713"), (2, "again +1 (017) 555-7713 and 1.2.3.4"), (2, "again +1 (017) 555-7713 and 1.2.3.4"), (3, None), (4, ""), (None, long), (2, "no value")]
+    d = make(spark, rows)
+    got = pii.pseudonymise_texts(d, "secret").collect()
+    assert sorted((str(r.doc_id), r.text, r.n_replaced) for r in got if r.text) == sorted((str(i), *pii.pseudonymise(t, b"secret")) for i, t in rows if t)
+    by = {r.doc_id: r for r in got if r.doc_id != 2}
+    assert by[3].text is None and by[4].text == "" and by[None].n_replaced == 1 and len(by[None].text) == len(long)
+    assert by[1].text != "call +1 (017) 555-7713" and len(got) == len(rows) and pii.pseudonymise_texts(nothing, "s").count() == 0
+    clash = spark.createDataFrame([(1, "1.2.3.4", 5, "t")], "doc_id long, text string, n_replaced int, id string")
+    assert [(r.doc_id, r.n_replaced) for r in pii.pseudonymise_texts(clash, "s").collect()] == [(1, 1)]
+    assert sorted(str(r.doc_id) for r in pii.pseudonymise_texts(docs, "s").collect()) == sorted(str(i) for i, _ in ROWS)
