@@ -5,7 +5,8 @@ all others are lower-cased and stripped of punctuation. Windows of the templates
 of benchmark items and of documents are hash-joined, so a question that was only
 given other numbers or names still meets its source. A matched pair is then
 checked for slot consistency: going through the aligned placeholders, one value of
-the item must always stand for one value of the document and the other way round.
+the item must always stand for one value of the document; for names and units the
+other way round too, while two numbers of the item may have become one.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recengine.llm._arrow import mix, steps, text_bytes, word_codes, words
+from recengine.llm._bitmap import Bitmap
 from recengine.llm._scratch import materialize
 
 #: Words of a window; of these at least LITERALS aren't placeholders.
 WINDOW, LITERALS = 8, 4
 #: Bits of the filter over the benchmark's window hashes that tasks receive (a fixed 1 MB).
 FILTER_BITS = 23
-REMEMBERED = 400_000
+#: Bounds of the words that a task remembers and of their bytes; then it starts afresh.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 32 << 20
 
 # Names of units after which, or on which, a number is a quantity.
 UNITS = frozenset(
@@ -64,6 +67,7 @@ class Templates:
 
     def __init__(self):
         self.known: dict[bytes, tuple[int, int, bool, bool]] = {}
+        self.bytes = 0
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per word: hash of its canonical form, placeholder (0: literal), and index of its text; bare punctuation is left out."""
@@ -72,10 +76,12 @@ class Templates:
         data, offs = text_bytes(column)
         start, end, doc = words(data, offs)
         codes, distinct = word_codes(data, start, end)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self.known.clear()
+            self.bytes = 0
         for w in distinct:
             if w not in self.known:
+                self.bytes += len(w)
                 low, kind, upper, ends = kind_of(w.decode(errors="replace"))
                 self.known[w] = (xxhash.xxh64_intdigest(low) if low else 0, kind, upper, ends)
         rows = [self.known[w] for w in distinct]
@@ -132,7 +138,8 @@ def _item_windows(value: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> Itera
         for a in at:
             masks = [(0, total[a])]
             for k in np.flatnonzero(kind[a : a + WINDOW] == OPEN):
-                masks += [(m | 1 << int(k), t + delta[a + k] * _FACTORS[k]) for m, t in masks]
+                with np.errstate(over="ignore"):
+                    masks += [(m | 1 << int(k), t + delta[a + k] * _FACTORS[k]) for m, t in masks]
             for m, t in masks:
                 yield int(mix(np.array([t], np.uint64))[0]), int(a), 0, m, len(at)
         if not len(at):  # one window of all words; with few literals only the same values match
@@ -239,26 +246,28 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     places = places.withColumn("place", F.row_number().over(rarity)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(min_share)) + 1)
     of_place = [item_windows[c].eqNullSafe(places[c]) for c in ("item", "item_key", "at")]
     rare = item_windows.join(places, of_place, "left_semi").select("window", "item", "item_key")
-    chosen = doc_windows.join(rare, "window").select("id", "key", "item", "item_key").distinct().select(*(F.col(c).alias(f"c_{c}") for c in ("id", "key", "item", "item_key")))
+    chosen = doc_windows.join(rare, "window").select(*(F.col(c).alias(f"c_{c}") for c in ("id", "key", "item", "item_key"))).distinct()
+    chosen = materialize(chosen, "chosen-pairs")  # first, so that a window that all items share meets only their documents
     source = item_windows.select("window", "item", "item_key", F.col("at").alias("item_at"), F.col("values").alias("item_values"), "kinds", "n")
-    is_chosen = F.lit(True)
-    for c in ("id", "key", "item", "item_key"):
-        is_chosen = is_chosen & F.col(c).eqNullSafe(F.col(f"c_{c}"))
-    pairs = doc_windows.join(source, "window").join(chosen, is_chosen, "left_semi")
+    both = lambda own: F.lit(True) & F.col(own[0]).eqNullSafe(F.col(f"c_{own[0]}")) & F.col(own[1]).eqNullSafe(F.col(f"c_{own[1]}"))
+    pairs = doc_windows.join(chosen, both(("id", "key"))).drop("c_id", "c_key")
+    pairs = pairs.join(source.withColumnRenamed("window", "item_window"), both(("item", "item_key")) & (F.col("window") == F.col("item_window"))).drop("c_item", "c_item_key")
 
     # one copy of the item is what lies at one distance; its slots are the aligned placeholders
     # a changed opening word is a slot too, but only windows that have one fail where it is not consistent
     kind, doc_kind = (lambda k, c=c: F.substring(c, k + 1, F.lit(1)) for c in ("kinds", "doc_kinds"))
-    slot = lambda k: F.when(kind(k) != "0", F.struct(F.get("item_values", k).alias("a"), F.get("values", k).alias("b"), ((kind(k) == str(OPEN)) | (doc_kind(k) == str(OPEN))).alias("open")))
+    slot = lambda k: F.when(kind(k) != "0", F.struct(F.get("item_values", k).alias("a"), F.get("values", k).alias("b"), (kind(k) == str(NUMBER)).alias("number"), ((kind(k) == str(OPEN)) | (doc_kind(k) == str(OPEN))).alias("open")))
     pairs = pairs.withColumn("all", F.filter(F.transform(F.sequence(F.lit(0), F.length("kinds") - 1), slot), lambda x: x.isNotNull() & ~(x["open"] & (x["a"] == x["b"]))))
-    pairs = pairs.withColumn("changed", F.exists("all", lambda x: x["open"])).withColumn("slots", F.transform("all", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+    pairs = pairs.withColumn("changed", F.exists("all", lambda x: x["open"])).withColumn("slots", F.transform("all", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["number"].alias("number"))))
     flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
     copies = pairs.groupBy("id", "key", "item", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set(F.when(~F.col("changed"), F.col("item_at"))).alias("found"), flat(F.when(~F.col("changed"), F.col("slots"))).alias("slots"), flat("slots").alias("every"),
         F.collect_set(F.when(F.col("changed"), F.struct("item_at", "slots"))).alias("more"), F.max("n").alias("n"),
     )
-    one_to_one = (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["a"])))) & (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["b"]))))
-    clash = F.filter("every", lambda p: F.exists("every", lambda q: (q["a"] == p["a"]) != (q["b"] == p["b"])))
+    firsts = lambda c: F.size(F.array_distinct(F.transform(c, lambda x: x["a"])))
+    named = F.filter("slots", lambda x: ~x["number"])
+    one_to_one = (F.size("slots") == firsts("slots")) & (F.size(named) == F.size(F.array_distinct(F.transform(named, lambda x: x["b"]))))
+    clash = F.filter("every", lambda p: F.exists("every", lambda q: ((q["a"] == p["a"]) & (q["b"] != p["b"])) | ((q["a"] != p["a"]) & (q["b"] == p["b"]) & ~(p["number"] & q["number"]))))
     copies = copies.where(one_to_one).withColumn("clash", clash).withColumn("more", F.filter("more", lambda x: ~F.arrays_overlap(x["slots"], F.col("clash"))))
     copies = copies.withColumn("found", F.array_union("found", F.transform("more", lambda x: x["item_at"]))).withColumn("slots", F.array_union("slots", F.flatten(F.transform("more", lambda x: x["slots"]))))
     whole = copies.groupBy("id", "key", "item", "item_key").agg(
@@ -274,19 +283,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     A pair matches if at least ``min_share`` of the item's windows occur in copies
     whose slots are consistent: over the aligned placeholders of a copy an item's
-    value stands for one value of the document and the other way round.
+    value stands for one value of the document, and but for numbers the other way round.
     ``changed_slots`` counts the values that differ, 0 for a verbatim copy. A
     capitalised word that opens a sentence is read both as a name and as a literal.
     An item whose windows all have under LITERALS literals, or that is shorter than a
     window, has one window of all its words; with under LITERALS literals in all, only
     its own values match it, in any text that holds them. Null texts and texts
-    without words match nothing. Rows that repeat an id and a text count once.
+    without words match nothing. Rows that repeat an id and a text count once, and ids
+    of documents and items may be null; items that repeat an id with another text are
+    matched by themselves. Texts are read whole, however long; an empty table of
+    either kind gives no rows.
     """
     found = _leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, min_share)
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("windows").cast("long").alias("windows"), (F.col("windows") / F.col("n")).alias("share"), F.col("changed_slots").cast("long").alias("changed_slots"))
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_share: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that match no item of the benchmark."""
+    """The rows of ``docs``, with all their columns, that match no item of the benchmark.
+
+    Rows are told apart by id and text; rows without a match keep their place, null
+    and empty texts among them. Only texts whose key may be a leak's are shuffled.
+    """
     found = _leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, min_share).select(F.col("id").alias("_leak_id"), F.col("key").alias("_leak_key")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_leak_id")) & (F.xxhash64(F.col(text_col)) == F.col("_leak_key")), "left_anti")
+    found = materialize(found, "leaks")
+    key = F.xxhash64(F.col(text_col))
+    marked = Bitmap(found, "_leak_key", "leak-bitmap").mark(docs, key, "_leak_near")
+    left = marked.where("_leak_near").drop("_leak_near").join(found, F.col(id_col).eqNullSafe(F.col("_leak_id")) & (key == F.col("_leak_key")), "left_anti")
+    return marked.where("not _leak_near").drop("_leak_near").unionByName(left)
