@@ -319,6 +319,47 @@ def test_decontamination_of_opening_names_and_short_items(spark):
     assert set(got) <= {(3, 1)}  # half changed consistently, a matter of min_share
 
 
+STORIES = [
+    "{a} has {x} apples. {b} has {y} pears. {a} gives {b} {z} apples. {b} gives {a} {w} pears. How many apples does {b} have now?",
+    "{a} drives {x} km in {y} hours. Then {b} drives {z} km in {w} hours on the same road. Who was faster, {a} or {b}?",
+    "Say that {a} buys {x} books for {y} dollars each and sells {z} of them to {b} for {w} dollars, how much does {a} lose?",
+    "{a} and {b} share {x} sweets so that {a} has {y} more than {b} and both eat {z} of them.",
+    "If {a} paints {x} walls in {y} days and {b} paints {z} walls in {w} days how long do both take together for one wall?",
+    "What is {x} plus {y} minus {z} when {a} counts from {w}?",
+    "{a} runs {x} miles before lunch today",
+    "Which river did {a} and {b} cross?",
+]
+
+
+def test_recall_of_questions_with_other_names_and_numbers(spark):
+    rng = random.Random(12)
+    people = ["Tom", "Mary", "Alice", "Bob", "Carol", "Dan", "Erin", "Frank", "Grace", "Heidi"]
+    values = lambda names: dict(zip("ab", names, strict=True)) | dict(zip("xyzw", map(str, rng.sample(range(2, 30), 4)), strict=True))
+    filler = lambda n: " ".join(rng.choices("some words that stand around a question in a text of no interest at all".split(), k=n))
+    items, rows, planted = [], [], set()
+    for k, story in enumerate(STORIES):
+        items.append((k, story.format(**values(rng.sample(people[:5], 2)))))
+        for j in range(10):
+            own = values(rng.sample(people[5:], 2))
+            if j % 3 == 0:
+                own |= dict.fromkeys("xyz", "5")  # numbers of the item become one
+            rows.append((100 * k + j, filler(30) + ". " + story.format(**own) + " " + filler(20)))
+            planted.add(100 * k + j)
+    rows += [(10_000 + k, filler(80) + ". " + " ".join(rng.choices(people, k=3))) for k in range(60)]
+    found = {r.doc_id for r in decontam.find_leaks(make(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(found & planted) >= 0.9 * len(planted) and not found - planted, len(found & planted) / len(planted)
+
+
+def test_a_window_of_all_items_and_repeated_item_ids(spark):
+    prompt = "Answer the following question as well as you can and explain every step."
+    bench = spark.createDataFrame([(k // 2, f"{prompt} {' '.join(f'w{k}x{j}' for j in range(14))}") for k in range(20)] + [(None, "a null id for this one item of the benchmark table")], "item_id long, text string")
+    rows = [(k, f"{prompt} clean text number {k}") for k in range(40)] + [(100, "so " + f"{prompt} {' '.join(f'w7x{j}' for j in range(14))}"), (101, "a null id for this one item of the benchmark table"), (101, "clean")]
+    d = make(spark, rows)
+    assert sorted(((r.doc_id, r.item_id) for r in decontam.find_leaks(d, bench).collect())) == [(100, 3), (101, None)]
+    left = decontam.remove_leaks(d, bench).collect()
+    assert len(left) == 41 and (101, "clean") in [(r.doc_id, r.text) for r in left]
+
+
 def brute_lines(rows):
     chunks = []
     for i, t in rows:
