@@ -1,11 +1,11 @@
 """De-duplication of content-defined chunks of lines.
 
 A rolling hash over the hashes of the last two lines decides after which lines a
-chunk ends, and a long line is always a chunk of its own. Where a chunk ends
-depends on the lines around that place alone, so a passage that was moved is cut
-as before but for its edges. Chunks of several lines, or of many words, that occur
-more than once in the corpus are removed but for their first occurrence; before,
-their bytes are compared with those of the first.
+chunk ends. Where a chunk ends depends on the lines around that place alone, so a
+passage that was moved is cut as before but for its edges. Chunks of several lines
+that occur more than once in the corpus are removed but for their first occurrence;
+before, their bytes are compared with those of the first. Chunks of blank lines
+only are layout and stay.
 
 The boundaries of chunks are sparse, so a passage of a few lines may hold no chunk.
 With ``passages`` every run of whole lines of over ``PASSAGE_WORDS`` words that
@@ -15,8 +15,9 @@ enough is covered by the windows within it, wherever it stands, so equal windows
 are found by an aggregation and no passages need to be aligned.
 
 Everything is a DataFrame expression; no Python runs in the tasks. Bodies of
-chunks and texts are only shuffled where a bitmap of fixed size says that the
-chunk is repeated or the text loses lines.
+chunks and texts are only shuffled where a bitmap says that the
+chunk is repeated or the text loses lines; the bitmap grows with the number of
+its keys up to a bound.
 """
 
 from __future__ import annotations
@@ -24,40 +25,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recengine.llm._bitmap import Bitmap
 from recengine.llm._scratch import materialize
 
 #: A chunk ends where the rolling hash is divisible by this, so chunks have about as many lines.
 DIVISOR = 4
-#: A line of so many words is a chunk of its own, and a chunk of so many words needs no second line.
-LONG_LINE = 50
-#: Least words of a chunk that may be removed.
-LEAST_WORDS = 20
 #: A passage of over so many words is removed where it stood before; a line counts as one word at least.
 PASSAGE_WORDS = 50
-#: Rows of a bitmap, of 64 bits each: 2 MB at most.
-BITMAP_ROWS_LOG2 = 17
-
 _BASE, _MODULUS = 1_000_003, 2_147_483_647
 _LOW = (1 << 32) - 1
 
 
-def _bitmap(values: Column, rows: DataFrame) -> DataFrame:
-    """word, bits: which hashes occur, by their leading bits; at most 2 ** BITMAP_ROWS_LOG2 rows."""
-    h = F.xxhash64(values)
-    bit = F.shiftrightunsigned(h, 64 - BITMAP_ROWS_LOG2 - 6).bitwiseAND(F.lit(63)).cast("int")
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    return rows.groupBy(F.shiftrightunsigned(h, 64 - BITMAP_ROWS_LOG2).alias("_ld_word")).agg(F.bit_or(one).alias("_ld_bits"))
-
-
-def _possible(rows: DataFrame, values: Column, bitmap: DataFrame, flag: str) -> DataFrame:
-    """``rows`` with ``flag``: whether the bitmap may hold the value; never false for one that it holds."""
-    h = F.xxhash64(values)
-    bit = F.shiftrightunsigned(h, 64 - BITMAP_ROWS_LOG2 - 6).bitwiseAND(F.lit(63)).cast("int")
-    joined = rows.join(F.broadcast(bitmap), F.shiftrightunsigned(h, 64 - BITMAP_ROWS_LOG2) == F.col("_ld_word"), "left")
-    there = F.call_function("shiftrightunsigned", F.coalesce("_ld_bits", F.lit(0).cast("long")), bit).bitwiseAND(F.lit(1)) == 1
-    return joined.withColumn(flag, there).drop("_ld_word", "_ld_bits")
-
-
 def _let(value: Column, f) -> Column:
     """f(value) with the value computed once for a row, however often f uses it."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
@@ -70,16 +48,14 @@ def _lines(text: Column) -> Column:
 def _chunks(text: Column, begins: bool = False) -> Column:
     """The lines of each chunk of a text, in order; or the places of their first lines."""
     line_hash = lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")
-    words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1
 
     def of_lines(lines: Column) -> Column:
-        marks = F.transform(lines, lambda x: F.struct(line_hash(x).alias("h"), (words(x) >= LONG_LINE).alias("long")))
-        return _let(marks, lambda m: _let(starts_of(m), lambda starts: cut(lines, starts)))
+        return _let(F.transform(lines, line_hash), lambda h: _let(starts_of(h), lambda starts: cut(lines, starts)))
 
-    def starts_of(m: Column) -> Column:
-        at = lambda i: F.get(m, i)
-        rolled = lambda i: (F.coalesce(at(i - 1)["h"], F.lit(0)) * _BASE + at(i)["h"]) % _MODULUS
-        return F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | at(i)["long"] | at(i - 1)["long"] | (rolled(i - 1) % DIVISOR == 0))
+    def starts_of(h: Column) -> Column:
+        at = lambda i: F.get(h, i)
+        rolled = lambda i: (F.coalesce(at(i - 1), F.lit(0)) * _BASE + at(i)) % _MODULUS
+        return F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (rolled(i - 1) % DIVISOR == 0))
 
     def cut(lines: Column, starts: Column) -> Column:
         if begins:
@@ -127,7 +103,7 @@ def _passages(source: DataFrame) -> DataFrame:
     windows = source.select("_ld_id", "_ld_key", F.explode(_windows(F.col("_ld_text"))).alias("_ld_w")).select("_ld_id", "_ld_key", F.col("_ld_w")["start"].alias("_ld_place"), F.col("_ld_w")["hashes"].alias("_ld_hashes"))
     windows = windows.withColumn("_ld_h", F.xxhash64("_ld_hashes"))
     several = materialize(windows.groupBy("_ld_h").agg(F.count(F.lit(1)).alias("_ld_n")).where("_ld_n > 1").select("_ld_h"), "repeated-windows")
-    near = _possible(windows, F.col("_ld_h"), materialize(_bitmap(F.col("_ld_h"), several), "window-bitmap"), "_ld_near").where("_ld_near")
+    near = Bitmap(several, "_ld_h", "window-bitmap").near(windows, F.col("_ld_h"))
     near = materialize(near.join(several, "_ld_h", "left_semi").select("_ld_id", "_ld_key", "_ld_place", "_ld_hashes"), "windows")
 
     where = F.struct("_ld_id", "_ld_key", "_ld_place")
@@ -140,12 +116,12 @@ def _passages(source: DataFrame) -> DataFrame:
     # the bytes of all lines that have the hash of a removed one
     hashes = materialize(gone.select("_ld_h").distinct(), "line-hashes")
     lines = source.select(F.explode(_lines(F.col("_ld_text"))).alias("_ld_line")).withColumn("_ld_h", F.xxhash64("_ld_line"))
-    lines = _possible(lines, F.col("_ld_h"), materialize(_bitmap(F.col("_ld_h"), hashes), "line-bitmap"), "_ld_near").where("_ld_near")
+    lines = Bitmap(hashes, "_ld_h", "line-bitmap").near(lines, F.col("_ld_h"))
     mixed = lines.groupBy("_ld_h").agg(F.min("_ld_line").alias("_ld_a"), F.max("_ld_line").alias("_ld_b")).where("_ld_a <> _ld_b").select("_ld_h")
     return gone.join(materialize(mixed, "mixed-hashes"), "_ld_h", "left_anti").select("_ld_key", "_ld_place")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False, least_words: int = 1) -> DataFrame:
     """``docs`` with the later occurrences of repeated chunks taken out of ``text_col``, and removed_chunks, removed_lines.
 
     The first occurrence by (id, place in the text) stays; null ids are the
@@ -154,6 +130,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeat an id and a text count as one document and stay alike. Existing columns
     named removed_chunks or removed_lines are replaced.
 
+    Only chunks of at least ``least_words`` words (as many as blanks and line ends, and
+    one more) are removed; by default all of several lines that aren't all blank.
+
     With ``passages``, also the later occurrences of all runs of whole lines of over
     PASSAGE_WORDS words; removed_chunks then counts the runs of removed lines.
     """
@@ -167,7 +146,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = keyed.select(F.col(id_col).alias("_ld_id"), "_ld_key", F.col(text_col).alias("_ld_text"))
     exploded = source.select("_ld_id", "_ld_key", F.posexplode(_chunks(F.col("_ld_text"))).alias("_ld_place", "_ld_chunk"))
     bodies = exploded.select("_ld_id", "_ld_key", "_ld_place", F.size("_ld_chunk").alias("_ld_n"), body(F.col("_ld_chunk")).alias("_ld_body"))
-    able = (words(F.col("_ld_body")) >= F.when(F.col("_ld_n") > 1, F.lit(LEAST_WORDS)).otherwise(F.lit(LONG_LINE)))
+    able = (F.col("_ld_n") > 1) & (words(F.col("_ld_body")) >= least_words) & F.col("_ld_body").rlike("[^ \n]")
     bodies = bodies.where(able).withColumn("_ld_digest", F.unhex(F.sha2("_ld_body", 256)))
 
     # the repeated chunks and where they occur first; rows that repeat a document count once
@@ -176,7 +155,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = materialize(found.where("_ld_first <> _ld_last").select("_ld_digest", "_ld_first"), "repeated-chunks")
 
     # their bodies, each compared with the first
-    likely = _possible(bodies, F.col("_ld_digest"), materialize(_bitmap(F.col("_ld_digest"), repeated), "chunk-bitmap"), "_ld_near").where("_ld_near")
+    likely = Bitmap(repeated, "_ld_digest", "chunk-bitmap").near(bodies, F.col("_ld_digest"))
     likely = likely.join(repeated, "_ld_digest").select("_ld_digest", "_ld_key", "_ld_place", "_ld_n", "_ld_body", (where == F.col("_ld_first")).alias("_ld_is_first"))
     likely = materialize(likely, "chunk-bodies")
     firsts = likely.where("_ld_is_first").select("_ld_digest", F.col("_ld_body").alias("_ld_first_body")).dropDuplicates(["_ld_digest"])
@@ -185,22 +164,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     if passages:
         # where the removed chunks begin and end, as lines
-        near = _possible(source, F.col("_ld_key"), materialize(_bitmap(F.col("_ld_key"), gone), "chunk-text-bitmap"), "_ld_near").where("_ld_near")
+        near = Bitmap(gone, "_ld_key", "chunk-text-bitmap").near(source, F.col("_ld_key"))
         begin = near.select("_ld_key", F.posexplode(_chunks(F.col("_ld_text"), begins=True)).alias("_ld_place", "_ld_begin")).distinct()
         of_chunks = gone.join(begin, ["_ld_key", "_ld_place"]).select("_ld_key", F.explode(F.sequence("_ld_begin", F.col("_ld_begin") + F.col("_ld_n") - 1)).alias("_ld_place"))
-        gone = materialize(of_chunks.unionByName(_passages(source)).distinct(), "removed-lines").withColumn("_ld_n", F.lit(1))
+        gone = materialize(of_chunks.unionByName(_passages(source)).distinct().withColumn("_ld_n", F.lit(1)), "removed-lines")
 
     # only texts that lose lines are shuffled
-    split = _possible(keyed, F.col("_ld_key"), materialize(_bitmap(F.col("_ld_key"), gone), "text-bitmap"), "_ld_near")
+    split = Bitmap(gone, "_ld_key", "text-bitmap").mark(keyed, F.col("_ld_key"), "_ld_near")
     lost = gone.groupBy("_ld_key").agg(F.collect_list("_ld_place").alias("_ld_places"), F.sum("_ld_n").alias("_ld_lost"))
     changed = split.where("_ld_near").join(lost, "_ld_key", "left")
-    runs = F.size("_ld_places")
+    left = lambda parts: F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_ld_places")), lambda k: F.get(parts, k))
     if passages:
-        left = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_ld_places")), lambda k: F.get(lines, k))
         rest = F.array_join(_let(_lines(F.col(text_col)), left), "\n")
         runs = F.size(F.array_except("_ld_places", F.transform("_ld_places", lambda k: k + 1)))
     else:
-        rest = F.array_join(F.flatten(F.filter(_chunks(F.col(text_col)), lambda c, k: ~F.array_contains("_ld_places", k))), "\n")
+        rest = F.array_join(F.flatten(_let(_chunks(F.col(text_col)), left)), "\n")
+        runs = F.size("_ld_places")
     outputs = [F.when(F.col("_ld_places").isNotNull(), rest).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in kept_columns]
     changed = changed.select(*outputs, F.coalesce(runs, F.lit(0)).cast("long").alias("removed_chunks"), F.coalesce("_ld_lost", F.lit(0)).cast("long").alias("removed_lines"))
     changed = changed.withColumn("removed_chunks", F.greatest("removed_chunks", F.lit(0).cast("long")))

@@ -125,12 +125,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op1_line_dedup",
     """
     WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-    m AS (SELECT *, CAST('0x' || substr(md5(l), 1, 8) AS BIGINT) AS h, length(l) - length(replace(l, ' ', '')) + 1 >= 50 AS long FROM l),
+    m AS (SELECT *, CAST('0x' || substr(md5(l), 1, 8) AS BIGINT) AS h FROM l),
     r AS (SELECT *, (lag(h, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) * 1000003 + h) % 2147483647 AS roll FROM m),
-    b AS (SELECT *, CASE WHEN i = 1 OR long OR lag(long) OVER (PARTITION BY doc_id ORDER BY i) OR lag(roll) OVER (PARTITION BY doc_id ORDER BY i) % 4 = 0 THEN 1 ELSE 0 END AS s FROM r),
+    b AS (SELECT *, CASE WHEN i = 1 OR lag(roll) OVER (PARTITION BY doc_id ORDER BY i) % 4 = 0 THEN 1 ELSE 0 END AS s FROM r),
     c AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS chunk FROM b),
     g AS (SELECT doc_id, chunk, count(*) AS n, string_agg(l, chr(10) ORDER BY i) AS body FROM c GROUP BY 1, 2),
-    e AS (SELECT *, length(body) - length(replace(replace(body, ' ', ''), chr(10), '')) + 1 >= CASE WHEN n > 1 THEN 20 ELSE 50 END AS able FROM g),
+    e AS (SELECT *, n > 1 AND trim(replace(body, chr(10), '')) <> '' AS able FROM g),
     f AS (SELECT *, able AND row_number() OVER (PARTITION BY able, body ORDER BY doc_id, chunk) > 1 AS gone FROM e)
     SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone), '') AS text,
            CAST(count(*) FILTER (gone) AS BIGINT) AS removed_chunks, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS removed_lines
