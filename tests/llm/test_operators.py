@@ -360,15 +360,14 @@ def test_a_window_of_all_items_and_repeated_item_ids(spark):
     assert len(left) == 41 and (101, "clean") in [(r.doc_id, r.text) for r in left]
 
 
-def brute_lines(rows):
+def brute_lines(rows, least_words=1):
     chunks = []
     for i, t in rows:
         lines = (t or "").split("\n")
         h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        long = [x.count(" ") + 1 >= 50 for x in lines]
         out = []
         for k, x in enumerate(lines):
-            if k == 0 or long[k] or long[k - 1] or ((h[k - 2] if k > 1 else 0) * 1_000_003 + h[k - 1]) % 2_147_483_647 % 4 == 0:
+            if k == 0 or ((h[k - 2] if k > 1 else 0) * 1_000_003 + h[k - 1]) % 2_147_483_647 % 4 == 0:
                 out.append([])
             out[-1].append(x)
         chunks.append((i, t, out))
@@ -378,8 +377,8 @@ def brute_lines(rows):
             first.setdefault("\n".join(c), (i, t, k))
     result = []
     for i, t, out in chunks:
-        able = lambda c: len(re.findall("[ \n]", "\n".join(c))) + 1 >= (20 if len(c) > 1 else 50)
-        gone = [able(c) and first["\n".join(c)] != (i, t, k) for k, c in enumerate(out)]
+        able = lambda c: len(c) > 1 and "".join(c).strip(" ") and len(re.findall("[ \n]", "\n".join(c))) + 1 >= least_words
+        gone = [bool(able(c)) and first["\n".join(c)] != (i, t, k) for k, c in enumerate(out)]
         result.append((str(i), None if t is None else "\n".join(x for c, g in zip(out, gone, strict=True) if not g for x in c), sum(gone)))
     return sorted(result, key=str)
 
@@ -389,12 +388,13 @@ def test_line_dedup(spark, nothing):
     line = lambda n: " ".join(rng.choices("abcdefghij", k=n))
     passage, paragraph = line(60), "\n".join(line(12) for _ in range(9))
     rows = [(k, "\n".join([line(8), passage if k % 2 else line(9), line(7), paragraph if k % 3 == 0 else line(5), line(6)])) for k in range(20)]
-    rows += [(50, None), (51, ""), (None, passage), (52, "\n".join([line(3)] * 40)), (53, rows[0][1])]
+    rows += [(50, None), (51, ""), (None, passage), (52, "\n".join([line(3)] * 40)), (53, rows[0][1]), (54, "\n\n \n" * 9), (55, "\n".join(line(1) for _ in range(3000)))]
+    rows += [(60 + k, "home\nabout us\n\nimprint\n" + line(9)) for k in range(4)]
     d = make(spark, rows)
     got = line_dedup.dedup_lines(d)
     assert got.columns == [*d.columns, "removed_chunks", "removed_lines"]
     assert sorted(((str(r.doc_id), r.text, r.removed_chunks) for r in got.collect()), key=str) == brute_lines(rows)
-    assert sum(passage in (r.text or "") for r in got.collect()) == 1
+    assert sorted(((str(r.doc_id), r.text, r.removed_chunks) for r in line_dedup.dedup_lines(d, least_words=20).collect()), key=str) == brute_lines(rows, 20)
     assert "Python" not in got._jdf.queryExecution().toString() and line_dedup.dedup_lines(nothing).count() == 0
 
 
