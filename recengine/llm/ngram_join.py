@@ -1,22 +1,31 @@
 """Jaccard self-join of word-shingle sets with count-vector R-trees.
 
-Exact, and without a step that is quadratic in a group of copies:
-
 1. Every text becomes a set of hashed shingles. Equal sets are one class from
    here on. The same pass counts how often each of ``GROUPS`` hash groups occurs.
 2. Two sets that link share a shingle among the first ``n - ceil(t n) + 1`` of each
-   in any one order of all shingles. The order taken is by the count of the
-   shingle's group, so shingles that many texts hold come last. Shingles that
+   in any one order of all shingles. The order taken is by the rank of the count of
+   the shingle's group, so shingles that many texts hold come last. Shingles that
    only one class has so early are dropped.
-3. A class lives in the leaf named by its first shared shingle and visits the
+3. An early shingle of more than ``HOT`` classes says little. Classes that have one
+   are ordered anew with all such shingles last: two of them that link and share
+   only such ones so far share an early one in the new order too. This goes on, in
+   ``ORDERS`` orders at most, while new common shingles turn up. What is still early
+   and common then, the shingles of large groups of near copies, stays as it is.
+4. A class lives in the leaf named by its most common early shingle and visits the
    other leaves of the classes that it shares one with. In a leaf the group
    counts of the residents are points of an R-tree; the overlap of a visitor with
    a subtree is at most the sum of the coordinate minima of its counts and the
    subtree's upper corner. Up to here a class is its count vector; only the texts
    of classes in a surviving pair are read again to verify it on the shingles.
-4. Leaves are cut into blocks. A pair that other links have already joined need
+5. Leaves are cut into blocks. A pair that other links have already joined need
    not be verified: components are found after each round, and only pairs of
-   blocks that still hold different components go on to the next one.
+   blocks that still hold different components go on to the next one. So the work
+   on a group of near copies grows with its size; only unlinked sets that are made
+   of common shingles but for less than 1 - t of each still meet in pairs of blocks.
+
+No pair is lost. Shingles are compared by 64-bit hashes of their words: among m
+distinct ones about m * m / 2 ** 65 pairs agree by chance, and each of them changes
+one overlap by one. Classes are told apart by 128 bits, and named by 64 of these.
 """
 
 from __future__ import annotations
@@ -28,21 +37,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from recengine.llm._arrow import ASCII_LOWER, mix, steps, text_bytes, word_hashes, words
+from recengine.llm._bitmap import Bitmap, broadcast_if_small
 from recengine.llm._scratch import materialize
 from recengine.llm.components import components
 
 #: Hash groups whose counts order the shingles.
 GROUPS = 1 << 15
-#: Least and most dimensions of a point; between, a power of two of about one for eight shingles.
-LEAST_DIMENSIONS, MOST_DIMENSIONS = 16, 1024
-#: Rows of the bitmap of texts to be read again, of 64 bits each: 2 MB at most.
-BITMAP_ROWS_LOG2 = 17
+#: An early shingle of more classes than this comes last in the next order, and the number of orders.
+HOT, ORDERS = 64, 4
+#: Bits of the filter over such shingles that tasks receive (a fixed 1 MB); others that it holds by chance come last with them.
+HOT_BITS = 23
+#: Least and most dimensions of a point; between, a power of two of about one for four shingles.
+LEAST_DIMENSIONS, MOST_DIMENSIONS = 32, 1024
 #: Classes of one block of a leaf, and children of a node of an R-tree.
 BLOCK, FANOUT = 256, 16
 
+#: Set in the key of a shingle that comes last.
+_LAST = 1 << 62
+
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -80,9 +94,12 @@ def overlap_needed(n: int, percent: int) -> int:
     return (percent * n + 99) // 100
 
 
-def early(s: np.ndarray, weights: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in the common order, as sortable keys."""
-    keys = (np.minimum(weights[(s >> np.uint64(40)).astype(np.int64) % GROUPS], (1 << 23) - 1).astype(np.uint64) << np.uint64(40)) | (s & np.uint64((1 << 40) - 1))
+def early(s: np.ndarray, ranks: np.ndarray, hot: np.ndarray | None, percent: int) -> np.ndarray:
+    """The first shingles of a set in the common order, as keys that sort in it: hot ones last, then by the rank of their group."""
+    keys = (ranks[(s >> np.uint64(40)).astype(np.int64) % len(ranks)] << np.uint64(40)) | (s & np.uint64((1 << 40) - 1))
+    if hot is not None:
+        bit = keys & np.uint64((1 << HOT_BITS) - 1)
+        keys |= (((hot[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)) * np.uint64(_LAST))
     n = len(keys) - overlap_needed(len(keys), percent) + 1
     return np.sort(np.partition(keys, n - 1)[:n]) if n < len(keys) else np.sort(keys)
 
@@ -115,7 +132,7 @@ class RTree:
 
 def group_counts(s: np.ndarray) -> np.ndarray:
     """The point of a set: how many of its shingles fall into each hash group. Half the groups are two of these folded together."""
-    d = 1 << int(np.clip(len(s) // 8, LEAST_DIMENSIONS, MOST_DIMENSIONS)).bit_length() - 1
+    d = 1 << int(np.clip(len(s) // 4, LEAST_DIMENSIONS, MOST_DIMENSIONS)).bit_length() - 1
     return np.bincount((s >> np.uint64(20)).astype(np.int64) % d, minlength=d)
 
 
@@ -204,21 +221,14 @@ def _by_leaf(rows: DataFrame, payload: str, work, names: list[str], types: list,
     return rows.mapInArrow(run, schema)
 
 
-def _bit(sid) -> tuple:
-    h = F.xxhash64(sid)
-    return F.shiftrightunsigned(h, 64 - BITMAP_ROWS_LOG2), F.shiftrightunsigned(h, 64 - BITMAP_ROWS_LOG2 - 6).bitwiseAND(F.lit(63)).cast("int")
-
+def _of_classes(rows: DataFrame, wanted: DataFrame, size: int, work, schema: str) -> DataFrame:
+    """work(sids, sets) as arrays of ``schema``, for the wanted classes (sid, rep), from the texts of their representatives.
 
-def _arrays(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """sid, shingles of the wanted classes (sid, rep), from the texts of their representatives.
-
-    Texts are shuffled only if a bitmap of fixed size may hold their id.
+    Texts are shuffled only if a bitmap of the wanted ids may hold theirs.
     """
-    word, bit = _bit("rep")
-    held = materialize(wanted.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")), "text-bitmap")
-    word, bit = _bit("id")
-    near = rows.join(F.broadcast(held), word == F.col("word")).where(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(F.lit(1)) == 1)
+    near = Bitmap(wanted, "rep", "text-bitmap").near(rows, F.col("id"))
     texts = near.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("text", "sid")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,11 +236,33 @@ def _arrays(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 of = part.column(1).to_numpy()
                 sets = shingle_sets(part.column(0), size)
                 at = [k for k, s in enumerate(sets) if identity(s)[0] == of[k]]  # an id may be repeated with another text
-                flat = np.concatenate([sets[k] for k in at]) if at else np.zeros(0, np.uint64)
-                offs = np.r_[0, np.cumsum([len(sets[k]) for k in at])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(of[at]), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat.view(np.int64)))], ["sid", "shingles"])
+                yield pa.RecordBatch.from_arrays(work(of[at], [sets[k] for k in at]), names)
+
+    return texts.mapInArrow(run, schema)
+
 
-    return materialize(texts.mapInArrow(run, "sid long, shingles array<long>"), "shingle-arrays")
+def _as_lists(sids: np.ndarray, sets: list[np.ndarray]) -> list[pa.Array]:
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    offs = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
+    return [pa.array(sids), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat.view(np.int64)))]
+
+
+def _shared(cells: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the cells (key, sid): those of keys of 2 to HOT classes, with ``held``; those of more; and the latter keys.
+
+    A common key is never one task's: cells are counted with partial sums, and joined
+    with the few common keys by broadcast.
+    """
+    cells = materialize(cells, f"{name}-early")
+    several = cells.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key")
+    several = materialize(several, f"{name}-several")
+    near = materialize(Bitmap(several, "key", f"{name}-bitmap").near(cells, F.col("key")).distinct(), f"{name}-cells")
+    held = near.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    held = materialize(held, f"{name}-held")
+    common = materialize(held.where(F.col("held") > HOT), f"{name}-common")
+    few = broadcast_if_small(common)
+    rare = near.join(few.select("key"), "key", "left_anti").join(held, "key")
+    return materialize(rare, f"{name}-rare"), near.join(few, "key"), common
 
 
 def _round(residents: DataFrame, visitors: DataFrame, owners: DataFrame, rows: DataFrame, among: bool, size: int, percent: int) -> DataFrame:
@@ -253,7 +285,7 @@ def _round(residents: DataFrame, visitors: DataFrame, owners: DataFrame, rows: D
     near = _by_leaf(placed.join(owners.select("sid", "point"), "sid"), "point", candidates, _PLACE, _PLACE_TYPES, _PLACE_SCHEMA)
     near = materialize(near, "candidates")
     wanted = materialize(near.select("sid").distinct().join(owners.select("sid", "rep"), "sid"), "candidate-classes")
-    arrays = _arrays(rows, wanted, size)
+    arrays = materialize(_of_classes(rows, wanted, size, _as_lists, "sid long, shingles array<long>"), "shingle-arrays")
 
     def links(key, ids, sets, resident) -> list[tuple]:
         return [(*key[:2], u, v) for u, v in leaf_links(ids, [s.view(np.uint64) for s in sets], resident, among and key[2] == 0, percent)]
@@ -261,6 +293,16 @@ def _round(residents: DataFrame, visitors: DataFrame, owners: DataFrame, rows: D
     return materialize(_by_leaf(near.join(arrays, "sid"), "shingles", links, ["leaf", "block", "u", "v"], [pa.int64(), pa.int32(), pa.int64(), pa.int64()], "leaf long, block int, u long, v long"), "links")
 
 
+def _hot_bits(common: DataFrame) -> np.ndarray:
+    """The filter over the common keys as words of 64 bits; its size is fixed."""
+    place = F.col("key").bitwiseAND(F.lit((1 << HOT_BITS) - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    out = np.zeros(1 << HOT_BITS - 6, np.int64)
+    for r in common.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect():  # 2 ** (HOT_BITS - 6) rows at most
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint64)
+
+
 def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, hashed: bool) -> DataFrame:
     """id, hash (of the text; null unless ``hashed``), n, component (a number of its own, null without shingles), component_id: one row per row of ``docs``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -291,7 +333,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     weights = np.zeros(GROUPS, np.int64)
     for r in described.where("group is not null").groupBy("group").agg(F.sum("n").alias("n")).collect():  # GROUPS rows at most
         weights[r["group"]] = r["n"]
-    shared = spark.sparkContext.broadcast(weights)
+    ranks = np.empty(GROUPS, np.uint64)
+    ranks[np.argsort(weights, kind="stable")] = np.arange(GROUPS, dtype=np.uint64)
+    shared = spark.sparkContext.broadcast(ranks)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = shared.value, set()
@@ -303,37 +347,64 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
                         if len(seen) > 1_000_000:  # copies that are met again are dropped below
                             seen.clear()
                         seen.add(own)
-                        key.append(early(s, order, percent).view(np.int64))
+                        key.append(early(s, order, None, percent).view(np.int64))
                         sid.append(np.full(len(key[-1]), own, np.int64))
                 if key:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(np.concatenate(sid))], ["key", "sid"])
 
-    # shared early shingles; copies of a class in other tasks give the same row
-    cell = Window.partitionBy("key")
-    cells = rows.select("text").mapInArrow(keys, "key long, sid long")
-    cells = cells.withColumn("low", F.min("sid").over(cell)).withColumn("high", F.max("sid").over(cell)).withColumn("held", F.count(F.lit(1)).over(cell))
-    cells = materialize(cells.where("low < high").select("key", "sid", "held").distinct(), "shared-shingles")
+    # one class has one point and one representative; copies are folded together
+    folded = lambda wanted, name: Bitmap(wanted, "sid", name).near(known.where("n > 0"), F.col("s1")).groupBy(F.col("s1").alias("sid"), "n").agg(F.min("id").alias("rep"), F.max("point").alias("point"))
+
+    parts, hot_words = [], np.zeros(1 << HOT_BITS - 6, np.uint64)
+    early_ones = rows.select("text").mapInArrow(keys, "key long, sid long")
+    for order in range(ORDERS):
+        rare, hot, common = _shared(early_ones, f"order{order}")
+        parts.append(rare)
+        fresh = common.where(F.col("key") < _LAST)
+        if order == ORDERS - 1 or not fresh.take(1):
+            parts.append(hot)
+            break
+        parts.append(hot.where(F.col("key") >= _LAST))
+        again = materialize(hot.where(F.col("key") < _LAST).select("sid").distinct(), "common-classes")
+        wanted = materialize(folded(again, "common-classes-bitmap").join(again, "sid", "left_semi").select("sid", "rep"), "common-representatives")
+        hot_words |= _hot_bits(fresh)
+        late = spark.sparkContext.broadcast(hot_words.copy())
+
+        def keys_again(sids: np.ndarray, sets: list[np.ndarray], late=late) -> list[pa.Array]:
+            key = [early(s, shared.value, late.value, percent).view(np.int64) for s in sets]
+            return [pa.array(np.concatenate([np.zeros(0, np.int64), *key])), pa.array(np.repeat(sids, [len(k) for k in key]))]
+
+        early_ones = _of_classes(rows, wanted, size, keys_again, "key long, sid long")
+    cells = parts[0]
+    for part in parts[1:]:
+        cells = cells.unionByName(part)
+    cells = materialize(cells.groupBy("key", "sid").agg(F.max("held").alias("held")) if len(parts) > 1 else cells, "all-cells")
 
     # a class lives with the most others: copies of one text have few leaves between them
-    owners = cells.groupBy("sid").agg(F.max(F.struct("held", "key"))["key"].alias("owner"))
-    leaves = owners.groupBy("owner").agg(F.count(F.lit(1)).alias("residents"))
-    # of equal sets any one stands for all; copies are folded together before the join
-    points = known.where("n > 0").groupBy(F.col("s1").alias("sid"), "n").agg(F.min("id").alias("rep"), F.max("point").alias("point"))
-    owners = materialize(points.join(owners.join(leaves, "owner"), "sid"), "leaf-classes")
-
-    # the fewer come to the more: of two classes that share a shingle the one of the smaller leaf visits the other's
-    cells = materialize(cells.join(owners.select("sid", "owner", "residents", "n"), "sid").drop("held"), "cells")
-    homes = cells.groupBy("key", F.col("owner").alias("leaf"), F.col("residents").alias("size")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    owners = materialize(cells.groupBy("sid").agg(F.max(F.struct("held", "key")).alias("o")).select("sid", F.col("o.key").alias("owner"), F.col("o.held").alias("size")), "owners")
+    owners = materialize(folded(owners, "owners-bitmap").join(owners, "sid"), "leaf-classes")
+    large = materialize(owners.groupBy(F.col("owner").alias("leaf")).agg(F.count(F.lit(1)).alias("residents")).where(F.col("residents") > BLOCK), "large-leaves")
+    large = broadcast_if_small(large)
+
+    # the fewer come to the more: of two classes that share a shingle the one of the less common leaf visits the other's
+    cells = materialize(cells.join(owners.select("sid", "owner", "size", "n"), "sid"), "cells")
+    homes = cells.groupBy("key", "held", F.col("owner").alias("leaf"), F.col("size").alias("leaf_size")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    homes = materialize(homes, "homes")
     several = homes.groupBy("key").agg(F.min("leaf").alias("one"), F.max("leaf").alias("other")).where("one < other").select("key")
-    larger = (F.col("size") > F.col("residents")) | ((F.col("size") == F.col("residents")) & (F.col("leaf") < F.col("owner")))
+    homes = materialize(homes.join(several, "key", "left_semi"), "several-homes")
+    larger = (F.col("leaf_size") > F.col("size")) | ((F.col("leaf_size") == F.col("size")) & (F.col("leaf") < F.col("owner")))
     alike = (F.col("n") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("n") * 100)
-    visits = cells.join(homes.join(several, "key"), "key").where(larger & alike).select("leaf", "size", "sid").distinct()
+    meet = lambda own, other: own.drop("held").join(other.drop("held"), "key").where(larger & alike).select("leaf", "sid")
+    common_homes = materialize(homes.where(F.col("held") > HOT), "common-homes")
+    visits = meet(cells.where(F.col("held") <= HOT), homes.where(F.col("held") <= HOT))
+    visits = visits.unionByName(meet(cells.where(F.col("held") > HOT), broadcast_if_small(common_homes))).distinct()
 
     # round 1: each resident in its own block, each visitor in one block of the leaf
-    blocks = lambda size: F.ceil(F.col(size) / BLOCK).cast("int")
+    blocks = F.coalesce(F.ceil(F.col("residents") / BLOCK), F.lit(1)).cast("int")
     deal = lambda name: F.pmod(F.xxhash64(F.lit(name), "sid"), F.col("blocks")).cast("int")
-    residents = owners.select(F.col("owner").alias("leaf"), "sid", blocks("residents").alias("blocks")).withColumn("block", deal("r"))
-    visitors = materialize(visits.select("leaf", "sid", blocks("size").alias("blocks")).withColumn("block", deal("v")), "visitors")
+    dealt = lambda d, name: d.join(large, "leaf", "left").select("leaf", "sid", blocks.alias("blocks")).withColumn("block", deal(name))
+    residents = dealt(owners.select(F.col("owner").alias("leaf"), "sid"), "r")
+    visitors = materialize(dealt(visits, "v"), "visitors")
     links = _round(residents.select("leaf", "block", "sid"), visitors.select("leaf", "block", "sid"), owners, rows, True, size, percent)
     many = residents.where("blocks > 1")
     if not many.take(1):
@@ -341,7 +412,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     else:
         # round 2: what is left of each block after round 1, one of each group, visits the blocks before
         many, guests = materialize(many, "residents"), visitors.where("blocks > 1")
-        places = many.select("leaf", F.col("block").alias("other")).distinct()
+        places = broadcast_if_small(materialize(many.select("leaf", F.col("block").alias("other")).distinct(), "places"))  # one row a block
         tied = links.select("leaf", "block", F.col("u").alias("sid")).distinct()
         come = many.join(tied, ["leaf", "block", "sid"], "left_anti").join(places, "leaf").where("other < block")
         links = links.unionByName(_round(many.select("leaf", "block", "sid"), come.select("leaf", F.col("other").alias("block"), "sid"), owners, rows, False, size, percent))
@@ -351,6 +422,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
         label = lambda d: d.join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
         here = label(many)
         held = here.groupBy("leaf", F.col("block").alias("other")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        held = broadcast_if_small(materialize(held, "block-components"))
         come = here.select("leaf", "block", "sid", "component", F.lit(True).alias("lives")).unionByName(label(guests).select("leaf", "block", "sid", "component", F.lit(False).alias("lives")))
         apart = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
         new = (F.col("other") < F.col("block")) | (~F.col("lives") & (F.col("other") != F.col("block")))
