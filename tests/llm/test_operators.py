@@ -103,6 +103,20 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, block):
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, 4, 85)
 
 
+def test_unrelated_texts_with_a_common_passage_do_not_meet(spark, monkeypatch):
+    for name, value in (("GROUPS", 16), ("HOT", 16), ("BLOCK", 16)):
+        monkeypatch.setattr(ngram_join, name, value)
+    seen, write = defaultdict(int), ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: (t := write(df, name), seen.__setitem__(name, seen[name] + t.count()))[0])
+    common = " ".join(f"c{k}" for k in range(60))
+    texts = lambda n: [(k, " ".join(f"o{k}x{j}" for j in range(60)) + " " + common) for k in range(n)]
+    for n in (150, 600):
+        seen.clear()
+        got = ngram_join.jaccard_components(make(spark, texts(n)), size=4, percent=85)
+        assert got.where("doc_id = component_id").count() == n
+        assert seen["visitors"] + seen["more-visits"] + seen["candidates"] < n / 2, dict(seen)
+
+
 def test_ngram_stage_keeps_one_row_of_each_component(spark):
     import corpus_pipeline
 
