@@ -14,15 +14,24 @@ from recengine.llm import decontam, line_dedup, ngram_join, packing, quality
 from recengine.llm._scratch import materialize
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, learned from ``labels``, gives at least 0.5."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, score_col="_quality").where("_quality >= 0.5").drop("_quality")
+    score = _unused(docs, "_quality")
+    return quality.score(docs, model, score_col=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without chunks of lines and passages of over 50 words that occurred before."""
-    out = line_dedup.dedup_lines(docs, passages=True).drop("removed_chunks", "removed_lines")
+    """All documents, without chunks of lines and passages of over 50 words that occurred before; n_chars follows the text."""
+    own = {c: _unused(docs, f"_{c}") for c in ("removed_chunks", "removed_lines") if c in docs.columns}
+    out = line_dedup.dedup_lines(docs.withColumnsRenamed(own), passages=True).drop("removed_chunks", "removed_lines")
+    out = out.withColumnsRenamed({v: k for k, v in own.items()})
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))) if "n_chars" in docs.columns else out
 
 
@@ -49,7 +58,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The rule ensemble and the tokenizer have no SQL form; tests/llm holds the stages against brute force.
+#: The rule ensemble and the tokenizer have no SQL form; tests/llm/test_pipeline.py holds all stages against brute force.
 ORACLE_SQL = None
 
 
