@@ -285,7 +285,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     whose slots are consistent: over the aligned placeholders of a copy an item's
     value stands for one value of the document, and but for numbers the other way round.
     ``changed_slots`` counts the values that differ, 0 for a verbatim copy. A
-    capitalised word that opens a sentence is read both as a name and as a literal.
+    capitalised word that opens a sentence is read both as a name and as a literal;
+    a name without its capital is a literal.
     An item whose windows all have under LITERALS literals, or that is shorter than a
     window, has one window of all its words; with under LITERALS literals in all, only
     its own values match it, in any text that holds them. Null texts and texts
