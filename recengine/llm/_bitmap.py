@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from recengine.llm._scratch import materialize
 
-BITS_PER_KEY = 16
+BITS_PER_KEY = 8
 LEAST_WORDS_LOG2, MOST_WORDS_LOG2 = 10, 19
 
 

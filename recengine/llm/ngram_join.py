@@ -30,6 +30,7 @@ one overlap by one. Classes are told apart by 128 bits, and named by 64 of these
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,10 +44,10 @@ from recengine.llm._bitmap import Bitmap, broadcast_if_small
 from recengine.llm._scratch import materialize
 from recengine.llm.components import components
 
-#: Hash groups whose counts order the shingles.
-GROUPS = 1 << 15
-#: An early shingle of more classes than this comes last in the next order, and the number of orders.
-HOT, ORDERS = 64, 4
+#: Hash groups whose counts order the shingles, and those of one written block; a task's counts are at most 4 MB.
+GROUPS, GROUP_BLOCK = 1 << 20, 1 << 16
+#: An early shingle of more classes than a block holds comes last in the next order, and the number of orders.
+HOT, ORDERS = 256, 4
 #: Bits of the filter over such shingles that tasks receive (a fixed 1 MB); others that it holds by chance come last with them.
 HOT_BITS = 23
 #: Least and most dimensions of a point; between, a power of two of about one for four shingles.
@@ -96,7 +97,7 @@ def overlap_needed(n: int, percent: int) -> int:
 
 def early(s: np.ndarray, ranks: np.ndarray, hot: np.ndarray | None, percent: int) -> np.ndarray:
     """The first shingles of a set in the common order, as keys that sort in it: hot ones last, then by the rank of their group."""
-    keys = (ranks[(s >> np.uint64(40)).astype(np.int64) % len(ranks)] << np.uint64(40)) | (s & np.uint64((1 << 40) - 1))
+    keys = (ranks[(s >> np.uint64(40)).astype(np.int64) % len(ranks)].astype(np.uint64) << np.uint64(40)) | (s & np.uint64((1 << 40) - 1))
     if hot is not None:
         bit = keys & np.uint64((1 << HOT_BITS) - 1)
         keys |= (((hot[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)) * np.uint64(_LAST))
@@ -293,6 +294,31 @@ def _round(residents: DataFrame, visitors: DataFrame, owners: DataFrame, rows: D
     return materialize(_by_leaf(near.join(arrays, "sid"), "shingles", links, ["leaf", "block", "u", "v"], [pa.int64(), pa.int32(), pa.int64(), pa.int64()], "leaf long, block int, u long, v long"), "links")
 
 
+def _summed_counts(blocks: DataFrame) -> np.ndarray:
+    """The counts of all groups from the tasks' blocks (group, counts); each block is summed up as a stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        give = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["group", "counts"])
+        for batch in batches:
+            for group, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(zlib.decompress(counts), np.int32)
+                if group != now:
+                    if now is not None:
+                        yield give()
+                    now, total = group, own.astype(np.int64)
+                else:
+                    total += own
+        if now is not None:
+            yield give()
+
+    out = np.zeros(GROUPS, np.int64)
+    for r in blocks.repartition("group").sortWithinPartitions("group").mapInArrow(run, "group int, counts binary").collect():  # GROUPS numbers
+        own = np.frombuffer(r["counts"], np.int64)
+        out[r["group"] : r["group"] + len(own)] = own
+    return out
+
+
 def _hot_bits(common: DataFrame) -> np.ndarray:
     """The filter over the common keys as words of 64 bits; its size is fixed."""
     place = F.col("key").bitwiseAND(F.lit((1 << HOT_BITS) - 1))
@@ -311,30 +337,30 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     spark = docs.sparkSession
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, empty = np.zeros(GROUPS, np.int64), None
-        names = ["id", "hash", "n", "s1", "s2", "group", "point"]
+        counts, empty = np.zeros(GROUPS, np.int32), None
+        names = [f.name for f in fields]
         for batch in batches:
             for part in steps(batch):
                 sets = shingle_sets(part.column(2), size)
                 sums = [identity(s) for s in sets]
+                n = len(sets)
                 empty = part.column(0).slice(0, 0)
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in sums], pa.int64()), pa.array([x[1] for x in sums], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.array([group_counts(s) for s in sets], pa.list_(pa.int32()))], names)
+                counts += np.bincount((np.concatenate(sets) >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in sums], pa.int64()), pa.array([x[1] for x in sums], pa.int64()), pa.array([group_counts(s) for s in sets], pa.list_(pa.int32())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if empty is not None:
-            at = np.flatnonzero(counts)
+            at = list(range(0, GROUPS, GROUP_BLOCK))
             none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), empty.type), none, pa.array(counts[at]), none, none, pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.list_(pa.int32()))], names)
+            own = [zlib.compress(counts[k : k + GROUP_BLOCK].tobytes(), 1) for k in at]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), empty.type), none, none, none, none, pa.nulls(len(at), pa.list_(pa.int32())), pa.array(at, pa.int32()), pa.array(own, pa.binary())], names)
 
-    fields = [T.StructField("id", kind), *(T.StructField(x, T.LongType()) for x in ("hash", "n", "s1", "s2")), T.StructField("group", T.IntegerType()), T.StructField("point", T.ArrayType(T.IntegerType()))]
+    fields = [T.StructField("id", kind), *(T.StructField(x, T.LongType()) for x in ("hash", "n", "s1", "s2")), T.StructField("point", T.ArrayType(T.IntegerType())), T.StructField("group", T.IntegerType()), T.StructField("counts", T.BinaryType())]
     described = materialize(rows.select("id", text_hash.alias("hash"), "text").mapInArrow(describe, T.StructType(fields)), "shingle-sets")
     known = described.where("group is null").select("id", "hash", "n", "s1", "s2", "point")
     classes = known.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
 
-    weights = np.zeros(GROUPS, np.int64)
-    for r in described.where("group is not null").groupBy("group").agg(F.sum("n").alias("n")).collect():  # GROUPS rows at most
-        weights[r["group"]] = r["n"]
-    ranks = np.empty(GROUPS, np.uint64)
-    ranks[np.argsort(weights, kind="stable")] = np.arange(GROUPS, dtype=np.uint64)
+    weights = _summed_counts(described.where("group is not null").select("group", "counts"))
+    ranks = np.empty(len(weights), np.uint32)
+    ranks[np.argsort(weights, kind="stable")] = np.arange(len(weights), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(ranks)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
