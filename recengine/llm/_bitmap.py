@@ -33,16 +33,20 @@ class Bitmap:
         one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
         self.table = materialize(rows.groupBy(word.alias("_bm_word")).agg(F.bit_or(one).alias("_bm_bits")), name)
 
+    def _there(self, value: Column) -> tuple[Column, Column]:
+        word, bit = _place(value, self.words_log2)
+        return word == F.col("_bm_word"), F.call_function("shiftrightunsigned", F.col("_bm_bits"), bit).bitwiseAND(F.lit(1)) == 1
+
     def mark(self, rows: DataFrame, value: Column, flag: str) -> DataFrame:
         """``rows`` with ``flag``: false only where the value is no key."""
-        word, bit = _place(value, self.words_log2)
-        joined = rows.join(F.broadcast(self.table), word == F.col("_bm_word"), "left")  # at most 2 ** MOST_WORDS_LOG2 rows
-        there = F.call_function("shiftrightunsigned", F.coalesce("_bm_bits", F.lit(0).cast("long")), bit).bitwiseAND(F.lit(1)) == 1
-        return joined.withColumn(flag, there).drop("_bm_word", "_bm_bits")
+        word, held = self._there(value)
+        joined = rows.join(F.broadcast(self.table), word, "left")  # at most 2 ** MOST_WORDS_LOG2 rows
+        return joined.withColumn(flag, F.coalesce(held, F.lit(False))).drop("_bm_word", "_bm_bits")
 
     def near(self, rows: DataFrame, value: Column) -> DataFrame:
         """The rows whose value may be a key."""
-        return self.mark(rows, value, "_bm_near").where("_bm_near").drop("_bm_near")
+        word, held = self._there(value)
+        return rows.join(F.broadcast(self.table), word & held).drop("_bm_word", "_bm_bits")
 
 
 def broadcast_if_small(table: DataFrame, most_rows: int = 200_000) -> DataFrame:

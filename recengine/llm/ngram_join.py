@@ -248,22 +248,22 @@ def _as_lists(sids: np.ndarray, sets: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array(sids), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat.view(np.int64)))]
 
 
-def _shared(cells: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of the cells (key, sid): those of keys of 2 to HOT classes, with ``held``; those of more; and the latter keys.
+def _shared(cells: DataFrame, order: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the early shingles (key, sid): those of keys of 2 to HOT classes, with ``held``; those of more; and the latter keys.
 
     A common key is never one task's: cells are counted with partial sums, and joined
     with the few common keys by broadcast.
     """
-    cells = materialize(cells, f"{name}-early")
-    several = cells.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key")
-    several = materialize(several, f"{name}-several")
-    near = materialize(Bitmap(several, "key", f"{name}-bitmap").near(cells, F.col("key")).distinct(), f"{name}-cells")
-    held = near.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    held = materialize(held, f"{name}-held")
-    common = materialize(held.where(F.col("held") > HOT), f"{name}-common")
+    cells = materialize(cells, "early-shingles")
+    if order == 0:  # of all classes: the many shingles of one class alone go first
+        several = cells.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key")
+        several = materialize(several, "shared-keys")
+        cells = materialize(Bitmap(several, "key", "shared-keys-bitmap").near(cells, F.col("key")).distinct(), "shared-cells")
+    held = materialize(cells.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "held-keys")
+    common = held.where(F.col("held") > HOT)
     few = broadcast_if_small(common)
-    rare = near.join(few.select("key"), "key", "left_anti").join(held, "key")
-    return materialize(rare, f"{name}-rare"), near.join(few, "key"), common
+    rare = cells.join(few.select("key"), "key", "left_anti").join(held, "key")
+    return rare, cells.join(few, "key"), common
 
 
 def _round(residents: DataFrame, visitors: DataFrame, owners: DataFrame, rows: DataFrame, among: bool, size: int, percent: int) -> DataFrame:
@@ -356,7 +356,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     fields = [T.StructField("id", kind), *(T.StructField(x, T.LongType()) for x in ("hash", "n", "s1", "s2")), T.StructField("point", T.ArrayType(T.IntegerType())), T.StructField("group", T.IntegerType()), T.StructField("counts", T.BinaryType())]
     described = materialize(rows.select("id", text_hash.alias("hash"), "text").mapInArrow(describe, T.StructType(fields)), "shingle-sets")
     known = described.where("group is null").select("id", "hash", "n", "s1", "s2", "point")
-    classes = known.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
+    # one class has one point and one representative; copies are folded together
+    classes = known.where("n > 0").groupBy(F.col("s1").alias("sid"), "s2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("point").alias("point"))
+    classes = materialize(classes, "classes")
 
     weights = _summed_counts(described.where("group is not null").select("group", "counts"))
     ranks = np.empty(len(weights), np.uint32)
@@ -378,21 +380,18 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
                 if key:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(np.concatenate(sid))], ["key", "sid"])
 
-    # one class has one point and one representative; copies are folded together
-    folded = lambda wanted, name: Bitmap(wanted, "sid", name).near(known.where("n > 0"), F.col("s1")).groupBy(F.col("s1").alias("sid"), "n").agg(F.min("id").alias("rep"), F.max("point").alias("point"))
-
     parts, hot_words = [], np.zeros(1 << HOT_BITS - 6, np.uint64)
     early_ones = rows.select("text").mapInArrow(keys, "key long, sid long")
     for order in range(ORDERS):
-        rare, hot, common = _shared(early_ones, f"order{order}")
+        rare, hot, common = _shared(early_ones, order)
         parts.append(rare)
         fresh = common.where(F.col("key") < _LAST)
         if order == ORDERS - 1 or not fresh.take(1):
             parts.append(hot)
             break
         parts.append(hot.where(F.col("key") >= _LAST))
-        again = materialize(hot.where(F.col("key") < _LAST).select("sid").distinct(), "common-classes")
-        wanted = materialize(folded(again, "common-classes-bitmap").join(again, "sid", "left_semi").select("sid", "rep"), "common-representatives")
+        again = hot.where(F.col("key") < _LAST).select("sid").distinct()
+        wanted = materialize(classes.select("sid", "rep").join(again, "sid", "left_semi"), "common-representatives")
         hot_words |= _hot_bits(fresh)
         late = spark.sparkContext.broadcast(hot_words.copy())
 
@@ -408,22 +407,20 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
 
     # a class lives with the most others: copies of one text have few leaves between them
     owners = materialize(cells.groupBy("sid").agg(F.max(F.struct("held", "key")).alias("o")).select("sid", F.col("o.key").alias("owner"), F.col("o.held").alias("size")), "owners")
-    owners = materialize(folded(owners, "owners-bitmap").join(owners, "sid"), "leaf-classes")
+    owners = materialize(classes.drop("s2").join(owners, "sid"), "leaf-classes")
     large = materialize(owners.groupBy(F.col("owner").alias("leaf")).agg(F.count(F.lit(1)).alias("residents")).where(F.col("residents") > BLOCK), "large-leaves")
     large = broadcast_if_small(large)
 
     # the fewer come to the more: of two classes that share a shingle the one of the less common leaf visits the other's
     cells = materialize(cells.join(owners.select("sid", "owner", "size", "n"), "sid"), "cells")
     homes = cells.groupBy("key", "held", F.col("owner").alias("leaf"), F.col("size").alias("leaf_size")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    homes = materialize(homes, "homes")
-    several = homes.groupBy("key").agg(F.min("leaf").alias("one"), F.max("leaf").alias("other")).where("one < other").select("key")
-    homes = materialize(homes.join(several, "key", "left_semi"), "several-homes")
+    several = cells.groupBy("key").agg(F.min("owner").alias("one"), F.max("owner").alias("other")).where("one < other").select("key")
+    homes = materialize(homes.join(several, "key", "left_semi"), "homes")
     larger = (F.col("leaf_size") > F.col("size")) | ((F.col("leaf_size") == F.col("size")) & (F.col("leaf") < F.col("owner")))
     alike = (F.col("n") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("n") * 100)
     meet = lambda own, other: own.drop("held").join(other.drop("held"), "key").where(larger & alike).select("leaf", "sid")
-    common_homes = materialize(homes.where(F.col("held") > HOT), "common-homes")
     visits = meet(cells.where(F.col("held") <= HOT), homes.where(F.col("held") <= HOT))
-    visits = visits.unionByName(meet(cells.where(F.col("held") > HOT), broadcast_if_small(common_homes))).distinct()
+    visits = visits.unionByName(meet(cells.where(F.col("held") > HOT), broadcast_if_small(homes.where(F.col("held") > HOT)))).distinct()
 
     # round 1: each resident in its own block, each visitor in one block of the leaf
     blocks = F.coalesce(F.ceil(F.col("residents") / BLOCK), F.lit(1)).cast("int")
@@ -458,7 +455,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
             stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
             joined = components(stars.unionByName(found.select("u", "v")))
 
-    by_class = classes.join(joined.select(F.col("node").alias("s1"), "component"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
+    by_class = classes.select(F.col("sid").alias("s1"), "s2", "rep").join(joined.select(F.col("node").alias("s1"), "component"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
     least = by_class.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = materialize(by_class.join(least, "component").select("s1", "s2", "component", "component_id"), "class-components")
     return known.drop("point").join(by_class, ["s1", "s2"], "left").select(
