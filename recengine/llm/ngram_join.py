@@ -10,7 +10,8 @@
    are ordered anew with all such shingles last: two of them that link and share
    only such ones so far share an early one in the new order too. This goes on, in
    ``ORDERS`` orders at most, while new common shingles turn up. What is still early
-   and common then, the shingles of large groups of near copies, stays as it is.
+   and common then stays as it is, and so do at once the shingles of large groups of
+   near copies: those whose classes have mostly common shingles among the early ones.
 4. A class lives in the leaf named by its most common early shingle and visits the
    other leaves of the classes that it shares one with. In a leaf the group
    counts of the residents are points of an R-tree; the overlap of a visitor with
@@ -266,10 +267,20 @@ def _shared(cells: DataFrame, order: int) -> tuple[DataFrame, DataFrame, DataFra
     return rare, cells.join(few, "key"), common
 
 
-def _round(residents: DataFrame, visitors: DataFrame, owners: DataFrame, rows: DataFrame, among: bool, size: int, percent: int) -> DataFrame:
+def _fresh(hot: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The common keys that are to come last: those whose classes have, on average, fewer common early shingles than others."""
+    hot = hot.select("key", "sid")
+    mine = hot.groupBy("sid").agg(F.count(F.lit(1)).alias("common")).join(classes.select("sid", "n"), "sid")
+    early_ones = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    share = hot.join(mine.select("sid", (F.col("common") / early_ones).alias("share")), "sid")
+    return materialize(share.groupBy("key").agg(F.avg("share").alias("share")).where("share < 0.5").select("key"), "fresh-keys")
+
+
+def _round(residents: DataFrame, visitors: DataFrame, owners: DataFrame, arrays, among: bool, percent: int) -> DataFrame:
     """Links (leaf, block, u, v) found between residents and visitors of each (leaf, block); both are (leaf, block, sid).
 
     Visitors of a block are dealt out to chunks, each with the residents of the block.
+    ``arrays`` gives a table (sid, shingles) that has all of the classes (sid).
     """
     chunks = visitors.groupBy("leaf", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
     here = residents.join(chunks, ["leaf", "block"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
@@ -285,13 +296,12 @@ def _round(residents: DataFrame, visitors: DataFrame, owners: DataFrame, rows: D
 
     near = _by_leaf(placed.join(owners.select("sid", "point"), "sid"), "point", candidates, _PLACE, _PLACE_TYPES, _PLACE_SCHEMA)
     near = materialize(near, "candidates")
-    wanted = materialize(near.select("sid").distinct().join(owners.select("sid", "rep"), "sid"), "candidate-classes")
-    arrays = materialize(_of_classes(rows, wanted, size, _as_lists, "sid long, shingles array<long>"), "shingle-arrays")
+    own = arrays(near.select("sid"))
 
     def links(key, ids, sets, resident) -> list[tuple]:
         return [(*key[:2], u, v) for u, v in leaf_links(ids, [s.view(np.uint64) for s in sets], resident, among and key[2] == 0, percent)]
 
-    return materialize(_by_leaf(near.join(arrays, "sid"), "shingles", links, ["leaf", "block", "u", "v"], [pa.int64(), pa.int32(), pa.int64(), pa.int64()], "leaf long, block int, u long, v long"), "links")
+    return materialize(_by_leaf(near.join(own, "sid"), "shingles", links, ["leaf", "block", "u", "v"], [pa.int64(), pa.int32(), pa.int64(), pa.int64()], "leaf long, block int, u long, v long"), "links")
 
 
 def _summed_counts(blocks: DataFrame) -> np.ndarray:
@@ -385,13 +395,14 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     for order in range(ORDERS):
         rare, hot, common = _shared(early_ones, order)
         parts.append(rare)
-        fresh = common.where(F.col("key") < _LAST)
-        if order == ORDERS - 1 or not fresh.take(1):
+        fresh = _fresh(hot.where(F.col("key") < _LAST), classes, percent) if order < ORDERS - 1 and common.where(F.col("key") < _LAST).take(1) else None
+        if fresh is None or not fresh.take(1):
             parts.append(hot)
             break
-        parts.append(hot.where(F.col("key") >= _LAST))
-        again = hot.where(F.col("key") < _LAST).select("sid").distinct()
-        wanted = materialize(classes.select("sid", "rep").join(again, "sid", "left_semi"), "common-representatives")
+        few = broadcast_if_small(fresh)
+        parts.append(hot.join(few, "key", "left_anti"))
+        wanted = classes.select("sid", "rep").join(hot.join(few, "key", "left_semi").select("sid").distinct(), "sid", "left_semi")
+        wanted = materialize(wanted, "common-representatives")
         hot_words |= _hot_bits(fresh)
         late = spark.sparkContext.broadcast(hot_words.copy())
 
@@ -428,8 +439,16 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     dealt = lambda d, name: d.join(large, "leaf", "left").select("leaf", "sid", blocks.alias("blocks")).withColumn("block", deal(name))
     residents = dealt(owners.select(F.col("owner").alias("leaf"), "sid"), "r")
     visitors = materialize(dealt(visits, "v"), "visitors")
-    links = _round(residents.select("leaf", "block", "sid"), visitors.select("leaf", "block", "sid"), owners, rows, True, size, percent)
     many = residents.where("blocks > 1")
+    later = many.select("sid").unionByName(visitors.where("blocks > 1").select("sid"))  # they come again, and are read once
+
+    def shingles(found: DataFrame) -> DataFrame:
+        wanted = found.unionByName(later).distinct().join(owners.select("sid", "rep"), "sid")
+        return materialize(_of_classes(rows, materialize(wanted, "candidate-classes"), size, _as_lists, "sid long, shingles array<long>"), "shingle-arrays")
+
+    kept: list[DataFrame] = []
+    arrays = lambda found: kept[0] if kept else kept.append(shingles(found)) or kept[0]
+    links = _round(residents.select("leaf", "block", "sid"), visitors.select("leaf", "block", "sid"), owners, arrays, True, percent)
     if not many.take(1):
         joined = components(links)
     else:
@@ -438,7 +457,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
         places = broadcast_if_small(materialize(many.select("leaf", F.col("block").alias("other")).distinct(), "places"))  # one row a block
         tied = links.select("leaf", "block", F.col("u").alias("sid")).distinct()
         come = many.join(tied, ["leaf", "block", "sid"], "left_anti").join(places, "leaf").where("other < block")
-        links = links.unionByName(_round(many.select("leaf", "block", "sid"), come.select("leaf", F.col("other").alias("block"), "sid"), owners, rows, False, size, percent))
+        links = links.unionByName(_round(many.select("leaf", "block", "sid"), come.select("leaf", F.col("other").alias("block"), "sid"), owners, arrays, False, percent))
         joined = components(links)
 
         # round 3: whoever may still join two components visits the blocks it hasn't been in
@@ -451,7 +470,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
         new = (F.col("other") < F.col("block")) | (~F.col("lives") & (F.col("other") != F.col("block")))
         more = materialize(come.join(held, "leaf").where(apart & new).select("leaf", F.col("other").alias("block"), "sid").distinct(), "more-visits")
         if more.take(1):
-            found = _round(many.select("leaf", "block", "sid"), more, owners, rows, False, size, percent)
+            found = _round(many.select("leaf", "block", "sid"), more, owners, arrays, False, percent)
             stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
             joined = components(stars.unionByName(found.select("u", "v")))
 
