@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recengine.operators.features import dense_index
-from recengine.schemas import ContractError
+from recengine.schemas import ContractError, to_integer
+from recengine.sources.scratch import written
 
 
 def unique_only(df: DataFrame, *keys: str) -> DataFrame:
@@ -74,9 +75,9 @@ def prepare_tags(tags: DataFrame, catalog: DataFrame, source_col: str = "source_
 
 def build_processed(raw: dict[str, DataFrame], metadata: DataFrame) -> dict[str, DataFrame]:
     """catalog, interactions, tags and the exclusion summary from links, ratings and tags with the raw files' columns."""
-    links = raw["links"].select(F.col("movieId").cast("long").alias("source_item_id"), F.col("tmdbId").cast("double").cast("long").alias("item_id"))
+    links = raw["links"].select(to_integer(F.col("movieId")).alias("source_item_id"), to_integer(F.col("tmdbId"), nullable=True).alias("item_id"))
     meta = metadata.withColumnsRenamed({"movie_id": "source_item_id", "tmdb_id": "item_id"})
-    catalog = prepare_catalog(links, meta)
+    catalog = written(prepare_catalog(links, meta), "catalog")  # four outputs use it
     rename = {"userId": "user_id", "movieId": "source_item_id", "timestamp": "ts"}
     canonical = lambda df, value: prepare_interactions(df.withColumnsRenamed(rename).withColumns({c: F.col(c).cast("long") for c in ("user_id", "source_item_id", "ts")}), catalog).select("user_id", "item_id", "source_item_id", value, "ts")
     return {
@@ -184,9 +185,3 @@ def assert_vectors(vectors: DataFrame, id_col: str = "item_id", vector_col: str
     """One row: vectors, dims (distinct lengths), not_finite, repeated_ids."""
     bad = F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     return vectors.agg(F.count(F.lit(1)).alias("vectors"), F.count_distinct(F.size(vector_col)).alias("dims"), F.count_if(bad).alias("not_finite"), (F.count(id_col) - F.count_distinct(id_col)).alias("repeated_ids"))
-
-
-def latest_per_id(batches: DataFrame, id_col: str = "movie_id", order_col: str = "batch") -> DataFrame:
-    """The latest row of each id."""
-    w = Window.partitionBy(id_col).orderBy(F.desc(order_col))
-    return batches.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 from recengine.sources.tables import fingerprint
 
 
-def validate_dataset(queries: dict[str, DataFrame], tables: dict[str, DataFrame], fingerprints: DataFrame | None = None) -> DataFrame:
+def validate_dataset(queries: dict[str, DataFrame], tables: dict[str, DataFrame], fingerprints: DataFrame | None = None, manifest: DataFrame | None = None) -> DataFrame:
     """rule, part, violations.
 
     Per query table: empty seeds, empty truth, and a truth that doesn't start
     strictly after the history. Per table: empty, and (with ``fingerprints``: name,
-    content) other content than recorded.
+    content) other content than recorded. With ``manifest`` (status), a dataset whose
+    status isn't "complete", or that has none.
     """
     out = []
+    if manifest is not None:
+        complete = F.count_if(F.coalesce(F.col("status") == "complete", F.lit(False)))
+        bad = F.greatest(F.count(F.lit(1)), F.lit(1)) - complete
+        out.append(manifest.agg(bad.alias("violations")).select(F.lit("not_complete").alias("rule"), F.lit("manifest").alias("part"), "violations"))
     for part, q in queries.items():
         one = q.agg(
             F.count_if(F.coalesce(F.size("seeds"), F.lit(0)) < 1).alias("empty_seeds"),

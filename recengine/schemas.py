@@ -68,16 +68,23 @@ def conform(df: DataFrame, schema: T.StructType, exact: bool = False) -> DataFra
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def _integer(value: Column) -> tuple[Column, Column, Column]:
+    """The value as a long (exact up to 64 bits; null where it has no such form), whether it is malformed, and whether it has a fraction."""
+    number = value.try_cast("decimal(38,18)")
+    long = F.floor(number).try_cast("bigint")
+    approximate = value.try_cast("double")
+    fractional = number.isNotNull() & ((number != F.floor(number)) | F.coalesce((F.abs(approximate) < F.lit(2.0**52)) & (approximate % 1 != 0), F.lit(False)))
+    return long, value.isNotNull() & long.isNull(), fractional
+
+
 def to_integer(value: Column, nullable: bool = False) -> Column:
-    """A long from any number or text; a malformed value is an error unless ``nullable`` (then null), a fractional one always is."""
-    number = value.try_cast("double")
-    bad = number.isNull() & value.isNotNull() if not nullable else F.lit(False)
-    if not nullable:
-        bad = bad | value.isNull()
+    """A long from any number or text, exact over all 64 bits; a malformed value is an error unless ``nullable`` (then null), a fractional one always is."""
+    long, malformed, fractional = _integer(value)
+    bad = malformed | value.isNull() if not nullable else F.lit(False)
     return (
-        F.when(bad, F.raise_error(F.lit("not an integer")).cast("long"))
-        .when(number != F.floor(number), F.raise_error(F.lit("fractional value in an integer column")).cast("long"))
-        .otherwise(number.cast("long"))
+        F.when(fractional, F.raise_error(F.lit("fractional value in an integer column")).cast("long"))
+        .when(bad, F.raise_error(F.lit("not an integer")).cast("long"))
+        .otherwise(long)
     )
 
 
@@ -85,12 +92,17 @@ def integer_report(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: column, malformed, fractional, missing."""
     parts = []
     for c in columns:
-        number = F.col(c).try_cast("double")
-        parts += [F.count_if(F.col(c).isNotNull() & number.isNull()), F.count_if(number != F.floor(number)), F.count_if(F.col(c).isNull())]
+        _, malformed, fractional = _integer(F.col(c))
+        parts += [F.count_if(malformed), F.count_if(fractional), F.count_if(F.col(c).isNull())]
     row = df.agg(*[p.alias(f"{k}") for k, p in enumerate(parts)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{3 * k}").alias("malformed"), F.col(f"{3 * k + 1}").alias("fractional"), F.col(f"{3 * k + 2}").alias("missing")) for k, c in enumerate(columns)])).alias("r")).select("r.*")
 
 
+def canonical_interactions(df: DataFrame, names: dict[str, str], columns: tuple[str, ...] = ("user_id", "item_id", "source_item_id", "rating", "ts")) -> DataFrame:
+    """``df`` renamed by ``names`` (raw to canonical) and cut to ``columns`` in this order; a missing one is an error."""
+    return assert_columns(df.withColumnsRenamed(names), list(columns)).select(*columns)
+
+
 def valid_interactions(df: DataFrame) -> DataFrame:
     """Rows with positive ids and a finite rating."""
     return df.where((F.col("user_id") > 0) & (F.col("item_id") > 0) & is_finite(F.col("rating")))

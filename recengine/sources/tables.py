@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,11 +56,6 @@ def write_by_user(df: DataFrame, path: str, parts: int, mode: str = "errorifexis
     write_table(df.repartition(parts, "user_id"), path, mode)
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "user_id") -> None:
-    """A table bucketed and sorted by ``key``, so that later joins and groupings on it need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("compression", "zstd").saveAsTable(table)
-
-
 def compact(spark: SparkSession, pattern: str, path: str, files: int = 1) -> int:
     """Rewrite the part files of ``pattern`` as ``files`` files; the row count. No part or no row is an error."""
     df = spark.read.parquet(pattern)
@@ -71,13 +69,16 @@ def compact(spark: SparkSession, pattern: str, path: str, files: int = 1) -> int
 def merge_batches(spark: SparkSession, pattern: str, schema: T.StructType | None = None) -> DataFrame:
     """All batch files of ``pattern`` as one table, repeated rows included.
 
-    With a schema every file must have exactly its columns; without one columns are
-    matched by name and missing ones are null.
+    With a schema every file must have exactly its columns (the footers are read one
+    by one, some at a time); without one columns are matched by name and missing ones are null.
     """
     if schema is None:
         return spark.read.option("mergeSchema", True).parquet(pattern)
+    files = spark.read.parquet(pattern).inputFiles()
+    with ThreadPoolExecutor(16) as pool:
+        for found in pool.map(lambda f: spark.read.parquet(f), files):
+            assert_columns(found, schema, exact=True)
     found = spark.read.option("mergeSchema", True).parquet(pattern)
-    assert_columns(found, schema, exact=True)
     return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
@@ -86,6 +87,40 @@ def unprocessed(incoming: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return incoming.join(done.select(key).distinct(), key, "left_anti")
 
 
+def settings_json(settings: dict) -> str:
+    return json.dumps({k: str(v) for k, v in settings.items()}, sort_keys=True)
+
+
+def claim_state(spark: SparkSession, path: str, settings: dict) -> bool:
+    """Whether ``path`` holds the state of an earlier run with these settings; a new one is begun, and one of another run is an error."""
+    wanted = settings_json(settings)
+    if not exists(spark, f"{path}/settings"):
+        spark.createDataFrame([(wanted,)], "settings string").coalesce(1).write.parquet(f"{path}/settings")
+        return False
+    known = spark.read.parquet(f"{path}/settings").first()["settings"]
+    if known != wanted:
+        raise ContractError(f"the state at {path} belongs to another run: {known}")
+    return True
+
+
+def ingest(spark: SparkSession, incoming: DataFrame, target: str, state: str, key: str, settings: dict) -> DataFrame:
+    """Append the rows of ``incoming`` that no earlier run with this state has written; the table so far.
+
+    A run writes its rows under its own number first and then records their keys; a
+    run that was cut off in between is written again under the same number, so no row
+    is lost or doubled. The state of a run with other settings is an error.
+    """
+    claim_state(spark, state, settings | {"target": target, "key": key})
+    keys = f"{state}/keys"
+    done = spark.read.parquet(keys) if exists(spark, keys) else None
+    run = done.select(F.coalesce(F.max("run"), F.lit(-1)) + 1).first()[0] if done is not None else 0
+    todo = unprocessed(incoming, done, key) if done is not None else incoming
+    write_table(todo, f"{target}/run={run}", "overwrite")
+    new = spark.read.parquet(f"{target}/run={run}")
+    new.select(key, F.lit(run).cast("int").alias("run")).distinct().write.mode("append").parquet(keys)
+    return spark.read.parquet(target).drop("run")
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """rows, content: a hash of the content in which the order of rows doesn't count and repeated rows do."""
     row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
