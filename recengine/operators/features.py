@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recengine.functions.scalars import finite_or_zero, log_count, reciprocal
 from recengine.operators.candidates import SOURCES
 from recengine.schemas import assert_columns
+from recengine.sources.scratch import written
 
 
 def popularity(train: DataFrame, item_col: str = "item_id") -> DataFrame:
@@ -54,22 +55,36 @@ def popular_items(counts: DataFrame, n: int) -> DataFrame:
 
 
 def recommend_popular(queries: DataFrame, counts: DataFrame, n: int, key: str = "query_id") -> DataFrame:
-    """key, candidate_id, rank: the n most popular items without the query's seeds."""
-    most = queries.agg(F.coalesce(F.max(F.size("seeds")), F.lit(0))).first()[0]
-    top = popular_items(counts, n + most).select(F.col("item_id").alias("candidate_id"), F.col("rank").alias("at"))
-    paired = queries.select(key, "seeds").join(F.broadcast(top))  # n + seeds rows
-    allowed = paired.where(~F.array_contains("seeds", F.col("candidate_id")))
+    """key, candidate_id, rank: the n most popular items without the query's seeds.
+
+    Only queries that have seeds among the first n meet further items, as many as they have seeds.
+    """
+    top = popular_items(counts, n).select(F.col("item_id").alias("candidate_id"), F.col("rank").alias("at"))  # n rows
+    seeds = queries.select(key, F.explode(F.array_distinct("seeds")).alias("candidate_id"))
+    # a query lacks as many of the first n as are its seeds; it gets the next ones that aren't
+    lost = seeds.join(F.broadcast(top), "candidate_id").groupBy(key).agg(F.count(F.lit(1)).alias("lost"))
+    first = queries.select(key, "seeds").join(F.broadcast(top)).where(~F.array_contains("seeds", F.col("candidate_id"))).select(key, "candidate_id", "at")
+    short = queries.select(key, "seeds").join(lost, key)
+    most = short.agg(F.coalesce(F.max(F.size("seeds")), F.lit(0))).first()[0]
+    rest = popular_items(counts, n + most).where(F.col("rank") > n).select(F.col("item_id").alias("candidate_id"), F.col("rank").alias("at"))
+    places = short.where(F.size("seeds") > 0).withColumn("at", F.explode(F.sequence(F.lit(n + 1), F.lit(n) + F.size("seeds"))))
+    more = places.join(rest, "at").where(~F.array_contains("seeds", F.col("candidate_id")))
+    allowed = first.unionByName(more.select(key, "candidate_id", "at"))
     return allowed.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("at"))).where(F.col("rank") <= n).select(key, "candidate_id", "rank")
 
 
 def dense_index(items: DataFrame, id_col: str = "item_id") -> DataFrame:
-    """id_col, item_index: 0-based by id.
+    """id_col, item_index: 0-based by id, for ids of any orderable type.
 
-    Ids are counted per range of ids first and numbered within the ranges, so no
-    task holds all of them.
+    Distinct ids are dealt out by range and counted per range; they are numbered
+    within the ranges, so no task holds all of them, however sparse they are.
     """
-    ids = items.select(id_col).where(F.col(id_col).isNotNull()).distinct().withColumn("bucket", F.floor(F.col(id_col) / 65_536))
-    sums = ids.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
-    before = sums.select("bucket", F.coalesce(F.sum("c").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    w = Window.partitionBy("bucket").orderBy(id_col)
-    return ids.join(before, "bucket").select(id_col, (F.col("before") + F.row_number().over(w) - 1).alias("item_index"))
+    spark = items.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = items.select(id_col).where(F.col(id_col).isNotNull()).distinct().repartitionByRange(parts, id_col)
+    ids = written(ids.withColumn("_range", F.spark_partition_id()), "index-ranges")  # ranges are drawn once
+    sums = ids.groupBy("_range").agg(F.count(F.lit(1)).alias("c"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = F.broadcast(sums.select("_range", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before")))
+    w = Window.partitionBy("_range").orderBy(id_col)
+    return ids.join(before, "_range").select(id_col, (F.col("before") + F.row_number().over(w) - 1).alias("item_index"))

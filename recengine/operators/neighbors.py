@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of one block of the exact search.
-BLOCK_ROWS = 4096
+from recengine.sources.scratch import written
+
+#: Most vectors of one block of the exact search, and least query vectors where there are enough tasks.
+BLOCK_ROWS, LEAST_QUERY_ROWS = 16_384, 512
 _DIGITS = 9
 
 
@@ -48,7 +50,7 @@ def item_graph(interactions: DataFrame, k: int = 200, k1: float = 1.2, b: float
     Pairs grow with the square of a user's history; heavy users are a skewed join
     key that adaptive execution splits. ``seeds`` (seed_id) limits the left side.
     """
-    w = bm25_weights(interactions, k1, b)
+    w = written(bm25_weights(interactions, k1, b), "bm25")  # both sides of the join; small beside its pairs
     left = w.select("user_id", F.col("item_id").alias("seed_id"), F.col("weight").alias("a"))
     if seeds is not None:
         left = left.join(seeds.select("seed_id").distinct(), "seed_id", "left_semi")
@@ -72,14 +74,18 @@ def nearest(vectors: DataFrame, k: int, source: str, metric: str = "cosine", que
 
     Both sides are dealt out to blocks; every pair of blocks is one matrix product
     in a task, which gives the k best of each query in the block, and the best of
-    these are ranked. What is shuffled grows with rows times blocks, never with
-    pairs. ``metric`` is cosine or inner (product).
+    these are ranked. A row is copied once for each block of the other side, so what
+    is shuffled is rows x rows / BLOCK_ROWS, and what is computed all pairs, as an
+    exact search has to. ``metric`` is cosine or inner (product).
     """
     same = queries is None
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     asked = base if same else queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
-    q_blocks = blocks if same else max(1, -(-queries.count() // BLOCK_ROWS))
+    n = vectors.count()
+    n_asked = n if same else queries.count()
+    blocks = max(1, -(-n // BLOCK_ROWS))
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism
+    q_blocks = max(1, -(-n_asked // BLOCK_ROWS), min(tasks, n_asked // LEAST_QUERY_ROWS))
     deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
     left = asked.select("id", "v", deal(q_blocks, 1).alias("qb")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("query", F.lit(True))
     right = base.select("id", "v", deal(blocks, 2).alias("bb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).withColumn("query", F.lit(False))
@@ -88,7 +94,7 @@ def nearest(vectors: DataFrame, k: int, source: str, metric: str = "cosine", que
     def search(group: pa.Table) -> pa.Table:
         is_query = group["query"].to_numpy(zero_copy_only=False)
         ids = group["id"].to_numpy()
-        matrix = np.array(group["v"].to_pylist(), np.float64).reshape(len(ids), -1)
+        matrix = group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         if metric == "cosine":
             norms = np.linalg.norm(matrix, axis=1, keepdims=True)
             matrix = np.divide(matrix, norms, out=matrix.copy(), where=norms > 0)

@@ -209,7 +209,7 @@ def test_nearest_blocks_agree_with_one_block(spark, monkeypatch):
 
 def test_content_groups_texts(spark):
     c = spark.createDataFrame([(1, "space rocket moon orbit"), (2, "space moon rocket launch"), (3, "kitchen recipe cooking")], "item_id long, overview string")
-    model = X.fit_content(c, {"overview": 1}, dim=2)
+    model = X.fit_content(c, {"overview": 1}, dim=2, min_df=1)
     top = N.nearest(model.vectors(c), 1, "content").where("seed_id in (1, 3)").collect()
     assert {r.seed_id: r.candidate_id for r in top}[1] == 2
     unseen = model.vectors(spark.createDataFrame([(9, "moon orbit"), (8, None)], "item_id long, overview string"))
