@@ -112,6 +112,20 @@ def candidate_overlap(a: DataFrame, b: DataFrame, queries: DataFrame, key: str =
     )
 
 
+def fusion_evaluation(ranks: DataFrame, queries: DataFrame, a: str, b: str, ks: tuple[int, ...] = (10,), depth: int = 30, key: str = "query_id") -> DataFrame:
+    """system, k, recall, precision, shared_rate, mean_jaccard: both sources of ``ranks`` (source, candidate_id, rank), their fusion, and the overlap of their first ``depth`` on each row."""
+    from recengine.operators.candidates import fuse_rrf, pivot_ranks
+
+    own = {x: ranks.where(F.col("source") == x) for x in (a, b)}
+    fused = fuse_rrf(pivot_ranks(ranks, (a, b), key), (a, b), limit=None, key=key).select(key, "candidate_id", F.col("fused_rank").alias("rank"))
+    overlap = candidate_overlap(own[a].where(F.col("rank") <= depth), own[b].where(F.col("rank") <= depth), queries, key).select("shared_rate", "mean_jaccard")
+    out = None
+    for name, recs in ((a, own[a]), (b, own[b]), ("fused", fused)):
+        one = evaluate(recs, queries, ks, key=key).select(F.lit(name).alias("system"), "k", "recall", "precision")
+        out = one if out is None else out.unionByName(one)
+    return out.join(F.broadcast(overlap))  # one row
+
+
 def lineup_overlap(a: DataFrame, b: DataFrame, limits: tuple[int, ...], queries: DataFrame, key: str = "query_id") -> DataFrame:
     """key, top, overlap, jaccard (1 if both are empty), a_count, b_count at each cut-off."""
     ranks = a.select(key, "candidate_id", F.col("rank").alias("ra"), F.lit(None).cast("int").alias("rb")).unionByName(b.select(key, "candidate_id", F.lit(None).cast("int").alias("ra"), F.col("rank").alias("rb")))

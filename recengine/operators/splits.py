@@ -153,6 +153,32 @@ def split_counts(split: DataFrame) -> DataFrame:
     return split.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("user_id").alias("users"))
 
 
+def history_union(split: DataFrame) -> DataFrame:
+    """The rows that come before the test part: those of train and validation together."""
+    return split.where(F.col("part").isin("train", "validation"))
+
+
+def interaction_counts(events: DataFrame) -> DataFrame:
+    """One row for a manifest: users, items, cells (distinct pairs of both), rows."""
+    cells = events.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
+    return cells.agg(F.count_distinct("user_id").alias("users"), F.count_distinct("item_id").alias("items"), F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+
+
+def summed_cells(events: DataFrame) -> DataFrame:
+    """user_id, item_id, rating: the ratings of repeated cells summed."""
+    return events.groupBy("user_id", "item_id").agg(F.sum("rating").alias("rating"))
+
+
+def query_subset(queries: DataFrame, n: int) -> DataFrame:
+    """The first n queries by user."""
+    return queries.orderBy("user_id").limit(n)
+
+
+def inner_queries(inner: DataFrame, seed_count: int = 5) -> DataFrame:
+    """The query records of a ranker's own split: seeds are the last items of the history, the truth is the targets."""
+    return query_records(inner.withColumn("part", F.when(F.col("part") == "history", "train").otherwise("validation")), "validation", seed_count).withColumn("query_id", F.concat(F.lit("ranking:"), F.col("user_id").cast("string")))
+
+
 def adjacent_pairs(pos: DataFrame, max_pairs: int = 50) -> DataFrame:
     """query_id, candidate_id: consecutive items of a user in both directions, from the first ``max_pairs`` places; no self-pairs."""
     w = Window.partitionBy("user_id").orderBy("ts", "item_id")
