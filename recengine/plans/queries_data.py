@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from recengine import schemas
 from recengine.functions import scalars as S
 from recengine.operators import catalog as C
+from recengine.operators import datasets as O
 from recengine.operators import payloads as Y
 from recengine.operators import splits as P
 from recengine.operators.features import dense_index, negative_weights, popularity
@@ -20,7 +21,7 @@ from recengine.sources.scratch import scratch_path, written
 # --- sources and sinks ---
 
 
-@query("s1_read_raw_csv", "file:s rows:l first:l last:l", "SELECT 'links' AS file, count(*) AS rows, min(source_item_id) AS first, max(source_item_id) AS last FROM links UNION ALL SELECT 'ratings', count(*), min(user_id), max(user_id) FROM interactions", "links", "interactions")
+@query("s1_read_raw_csv", "file:s rows:l first:l last:l", "SELECT 'links' AS file, count(*) AS rows, min(source_item_id) AS first, max(source_item_id) AS last FROM links UNION ALL SELECT 'ratings', count(*), min(user_id), max(user_id) FROM interactions UNION ALL SELECT 'tags', count(*), min(item_id), max(item_id) FROM interactions UNION ALL SELECT 'movies', count(*), min(p_partkey), max(p_partkey) FROM part", "links", "interactions")
 def s1_read_raw_csv(spark, d):
     folder = scratch_path(spark, "raw")
     k = V.links(spark, d)
@@ -31,7 +32,7 @@ def s1_read_raw_csv(spark, d):
     table(spark, d, "part").select(F.col("p_partkey").alias("movieId"), F.col("p_name").alias("title"), F.col("p_type").alias("genres")).write.option("header", True).csv(f"{folder}/movies.csv")
     raw = IO.read_raw_csv(spark, folder)
     one = lambda name, col: raw[name].agg(F.lit(name).alias("file"), F.count(F.lit(1)).alias("rows"), F.min(F.col(col).cast("long")).alias("first"), F.max(F.col(col).cast("long")).alias("last"))
-    return one("links", "movieId").unionByName(one("ratings", "userId"))
+    return one("links", "movieId").unionByName(one("ratings", "userId")).unionByName(one("tags", "movieId")).unionByName(one("movies", "movieId"))
 
 
 @query("s2_read_catalog", "rows:l ids:l", "SELECT count(*) AS rows, count(DISTINCT item_id) AS ids FROM catalog", "catalog")
@@ -71,19 +72,35 @@ def s6_compact_parts(spark, d):
     return spark.read.parquet(whole).agg(F.count_distinct(F.col("_metadata.file_name")).alias("files"), F.count(F.lit(1)).alias("rows"))
 
 
-@query("s7_incremental_ingest", "user_id:l rows:l", "SELECT user_id, count(*) AS rows FROM interactions WHERE ord % 3 <> 0 GROUP BY user_id", "interactions")
+@query("s7_incremental_ingest", "user_id:l rows:l runs:l other_settings_rejected:b", "SELECT user_id, count(*) AS rows, 2 AS runs, true AS other_settings_rejected FROM interactions GROUP BY user_id", "interactions")
 def s7_incremental_ingest(spark, d):
-    x = V.interactions(spark, d)
-    done = x.where("ord % 3 = 0").select("ord")
-    return IO.unprocessed(x, done, "ord").groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"))
-
-
-@query("s8_merge_batches", "item_id:l rows:l", "SELECT item_id, count(*) AS rows FROM (SELECT * FROM interactions UNION ALL SELECT * FROM interactions WHERE ord % 2 = 0) GROUP BY item_id", "interactions")
+    """A first run over some events, a second over all, a third that finds nothing new, and one with other settings."""
+    x = written(V.interactions(spark, d), "arrivals")
+    target, state = scratch_path(spark, "ingested"), scratch_path(spark, "ingest-state")
+    for arrived in (x.where("ord % 3 = 0"), x, x):
+        out = IO.ingest(spark, arrived, target, state, "ord", {"source": "events"})
+    try:
+        IO.ingest(spark, x, target, state, "ord", {"source": "others"})
+        rejected = False
+    except schemas.ContractError:
+        rejected = True
+    runs = spark.read.parquet(f"{state}/keys").agg(F.count_distinct("run").alias("runs"))
+    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("rows")).join(F.broadcast(runs)).withColumn("other_settings_rejected", F.lit(rejected))
+
+
+@query("s8_merge_batches", "item_id:l rows:l lacking_batch_rejected:b", "SELECT item_id, count(*) AS rows, true AS lacking_batch_rejected FROM (SELECT * FROM interactions UNION ALL SELECT * FROM interactions WHERE ord % 2 = 0) GROUP BY item_id", "interactions")
 def s8_merge_batches(spark, d):
     folder, x = scratch_path(spark, "batches"), V.interactions(spark, d)
     x.write.parquet(f"{folder}/movies_batch_0")
     x.where("ord % 2 = 0").write.parquet(f"{folder}/movies_batch_1")
-    return IO.merge_batches(spark, f"{folder}/movies_batch_*", schemas.INTERACTIONS).groupBy("item_id").agg(F.count(F.lit(1)).alias("rows"))
+    merged = IO.merge_batches(spark, f"{folder}/movies_batch_*", schemas.INTERACTIONS)
+    x.drop("rating").write.parquet(f"{folder}/lacking_batch_2")
+    try:
+        IO.merge_batches(spark, f"{folder}/*_batch_*", schemas.INTERACTIONS)
+        rejected = False
+    except schemas.ContractError:
+        rejected = True
+    return merged.groupBy("item_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("lacking_batch_rejected", F.lit(rejected))
 
 
 @query("s10_table_fingerprint", "rows:l same_in_any_order:b other_differs:b", "SELECT count(*) AS rows, true AS same_in_any_order, true AS other_differs FROM interactions", "interactions")
@@ -108,6 +125,12 @@ def p2_to_integer(spark, d):
     return table(spark, d, "part").select(schemas.to_integer(text, nullable=True).alias("number")).groupBy("number").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("p2_large_integers", "number:l", "SELECT 9007199254740993 + p_partkey AS number FROM part")
+def p2_large_integers(spark, d):
+    """Beyond 2 ** 53 a double would lose the last digits."""
+    return table(spark, d, "part").select(schemas.to_integer((F.col("p_partkey") + 9007199254740993).cast("string")).alias("number"))
+
+
 @query("p2_integer_violations", "column:s malformed:l fractional:l missing:l", "SELECT 'a' AS \"column\", count(*) FILTER (p_partkey % 5 = 0 AND p_partkey % 3 <> 0) AS malformed, count(*) FILTER (p_partkey % 5 <> 0 AND p_partkey % 3 <> 0 AND p_partkey % 7 = 0) AS fractional, count(*) FILTER (p_partkey % 3 = 0) AS missing FROM part")
 def p2_integer_violations(spark, d):
     k = F.col("p_partkey")
@@ -149,7 +172,7 @@ def p5_invalid_counts(spark, d):
 @query("p6_rename_reorder", "user_id:l item_id:l source_item_id:l rating:d ts:l", "SELECT user_id, i.item_id, source_item_id, rating, ts FROM interactions i JOIN catalog USING (item_id)", "interactions", "catalog")
 def p6_rename_reorder(spark, d):
     raw = V.interactions(spark, d).join(V.catalog(spark, d), "item_id").withColumnsRenamed({"user_id": "userId", "ts": "timestamp"})
-    return raw.select(F.col("userId").alias("user_id"), "item_id", "source_item_id", "rating", F.col("timestamp").alias("ts"))
+    return schemas.canonical_interactions(raw, {"userId": "user_id", "timestamp": "ts"})
 
 
 _DIRTY = "SELECT user_id, list_concat(list_concat(list(item_id ORDER BY ts, ord, item_id), [0, -1]), list(item_id ORDER BY ts, ord, item_id)) AS seeds FROM interactions GROUP BY user_id"
@@ -268,14 +291,29 @@ def w11_dense_index(spark, d):
     return dense_index(V.positives(spark, d))
 
 
-@query("e18_dense_index_checks", "bad_ids:l repeated_ids:l repeated_positions:l gaps:l loose_edges:l", "SELECT (SELECT count(DISTINCT item_id) FROM pos WHERE item_id <= 0) AS bad_ids, 0 AS repeated_ids, 0 AS repeated_positions, 0 AS gaps, (SELECT count(*) FROM (SELECT seed_id AS x FROM content UNION ALL SELECT candidate_id FROM content) WHERE x NOT IN (SELECT item_id FROM pos)) AS loose_edges", "content", "pos")
+_BROKEN_INDEX = "SELECT CASE WHEN item_id % 11 = 0 THEN -item_id WHEN item_id % 7 = 0 THEN item_id - 1 ELSE item_id END AS item_id, CASE WHEN item_id % 5 = 0 THEN item_index + 1 ELSE item_index END AS item_index FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS item_index FROM (SELECT DISTINCT item_id FROM pos))"
+
+
+@query(
+    "e18_dense_index_checks",
+    "bad_ids:l repeated_ids:l repeated_positions:l gaps:l loose_edges:l",
+    f"WITH x AS ({_BROKEN_INDEX}) SELECT (SELECT count(*) FROM x WHERE item_id <= 0) AS bad_ids, (SELECT count(*) - count(DISTINCT item_id) FROM x) AS repeated_ids, (SELECT count(*) - count(DISTINCT item_index) FROM x) AS repeated_positions, "
+    "(SELECT max(item_index) + 1 - count(DISTINCT item_index) + min(item_index) FROM x) AS gaps, (SELECT count(*) FROM (SELECT seed_id AS x FROM content UNION ALL SELECT candidate_id FROM content) WHERE x NOT IN (SELECT item_id FROM x)) AS loose_edges",
+    "content", "pos",
+)
 def e18_dense_index_checks(spark, d):
-    return C.assert_dense_index(dense_index(V.positives(spark, d)), V.content_neighbors(spark, d))
+    """The checks of an index with planted faults: negative, repeated and shifted entries."""
+    k, at = F.col("item_id"), F.col("item_index")
+    broken = dense_index(V.positives(spark, d)).select(F.when(k % 11 == 0, -k).when(k % 7 == 0, k - 1).otherwise(k).alias("item_id"), F.when(k % 5 == 0, at + 1).otherwise(at).alias("item_index"))
+    return C.assert_dense_index(broken, V.content_neighbors(spark, d))
 
 
-@query("e19_vector_checks", "vectors:l dims:l not_finite:l repeated_ids:l", "SELECT count(*) AS vectors, count(DISTINCT len(vector)) AS dims, 0 AS not_finite, count(*) - count(DISTINCT item_id) AS repeated_ids FROM vectors", "vectors")
+@query("e19_vector_checks", "vectors:l dims:l not_finite:l repeated_ids:l", "SELECT count(*) AS vectors, count(DISTINCT CASE WHEN item_id % 13 = 0 THEN 3 ELSE len(vector) END) AS dims, count(*) FILTER (item_id % 13 <> 0 AND item_id % 5 = 0) AS not_finite, count(*) - count(DISTINCT CASE WHEN item_id % 7 = 0 THEN item_id - 1 ELSE item_id END) AS repeated_ids FROM vectors", "vectors")
 def e19_vector_checks(spark, d):
-    return C.assert_vectors(V.vectors(spark, d))
+    """The checks of vectors with planted faults: short, not finite and repeated ones."""
+    k, v = F.col("item_id"), F.col("vector").cast("array<double>")
+    bad = F.concat(F.slice(v, 1, 3), F.array(F.when(k % 2 == 0, F.lit(float("nan"))).otherwise(F.lit(float("-inf")))), F.slice(v, 5, 1000))
+    return C.assert_vectors(V.vectors(spark, d).select(F.when(k % 7 == 0, k - 1).otherwise(k).alias("item_id"), F.when(k % 13 == 0, F.slice(v, 1, 3)).when(k % 5 == 0, bad).otherwise(v).alias("vector")))
 
 
 @query("e21_missing_seed_metadata", "request_id:l seed_id:l", "SELECT DISTINCT user_id AS request_id, item_id AS seed_id FROM stream WHERE item_id NOT IN (SELECT item_id FROM catalog WHERE item_id % 5 <> 0)", "stream", "catalog")
@@ -306,13 +344,12 @@ def a5_popularity_counts(spark, d):
 
 @query("a6_interaction_counts", "users:l items:l cells:l rows:l", "SELECT count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items, (SELECT count(*) FROM (SELECT DISTINCT user_id, item_id FROM interactions)) AS cells, count(*) AS rows FROM interactions", "interactions")
 def a6_interaction_counts(spark, d):
-    cells = V.interactions(spark, d).groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
-    return cells.agg(F.count_distinct("user_id").alias("users"), F.count_distinct("item_id").alias("items"), F.count(F.lit(1)).alias("cells"), F.sum("n").alias("rows"))
+    return P.interaction_counts(V.interactions(spark, d))
 
 
 @query("a7_duplicate_cell_sum", "user_id:l item_id:l rating:d", "SELECT user_id, item_id, sum(rating) AS rating FROM interactions GROUP BY 1, 2", "interactions")
 def a7_duplicate_cell_sum(spark, d):
-    return V.interactions(spark, d).groupBy("user_id", "item_id").agg(F.sum("rating").alias("rating"))
+    return P.summed_cells(V.interactions(spark, d))
 
 
 @query("a13_array_collection", "user_id:l truth:s", "SELECT user_id, array_to_string(list_transform(truth, lambda x: CAST(x AS VARCHAR)), ',') AS truth FROM test_queries", "test_queries")
@@ -333,7 +370,6 @@ def a16_negative_weights(spark, d):
 
 
 @query("w1_split_per_user", "user_id:l item_id:l rating:d ts:l part:s", "SELECT user_id, item_id, rating, ts, part FROM split", "split")
-@query("e12_split_dataset", "user_id:l item_id:l part:s", "SELECT user_id, item_id, part FROM split", "split")
 def w1_split_per_user(spark, d):
     return V.split(spark, d)
 
@@ -346,16 +382,35 @@ def w2_global_cutoffs(spark, d):
     return P.global_cutoffs(V.positives(spark, d))
 
 
-@query(
-    "w2_split_global",
-    "user_id:l item_id:l part:s",
+_GLOBAL = (
     f"WITH {_ORDERED}, c AS (SELECT min(ts) FILTER (ts > b1) AS v, min(ts) FILTER (ts > b2) AS t FROM o, (SELECT max(ts) FILTER (i = CAST(ceil(CAST(0.6 AS DOUBLE) * (n - 1)) AS BIGINT)) AS b1, max(ts) FILTER (i = CAST(ceil((CAST(0.6 AS DOUBLE) + CAST(0.2 AS DOUBLE)) * (n - 1)) AS BIGINT)) AS b2 FROM o)), "
     "p AS (SELECT pos.*, CASE WHEN ts < v THEN 'train' WHEN ts < t THEN 'validation' ELSE 'test' END AS part FROM pos, c) SELECT user_id, item_id, part FROM p "
-    "QUALIFY count(*) OVER (PARTITION BY user_id) >= 8 AND count(*) FILTER (part = 'train') OVER (PARTITION BY user_id) >= 6 AND count(*) FILTER (part = 'validation') OVER (PARTITION BY user_id) > 0 AND count(*) FILTER (part = 'test') OVER (PARTITION BY user_id) > 0",
-    "pos",
+    "QUALIFY count(*) OVER (PARTITION BY user_id) >= 8 AND count(*) FILTER (part = 'train') OVER (PARTITION BY user_id) >= 6 AND count(*) FILTER (part = 'validation') OVER (PARTITION BY user_id) > 0 AND count(*) FILTER (part = 'test') OVER (PARTITION BY user_id) > 0"
 )
+
+
+@query("w2_split_global", "user_id:l item_id:l part:s", _GLOBAL, "pos")
 def w2_split_global(spark, d):
-    return P.split_global(V.positives(spark, d))
+    return P.split_global(written(V.positives(spark, d), "positives"))
+
+
+@query(
+    "e12_split_dataset",
+    "strategy:s status:s positive_rows:l eligible_users:l excluded_users:l train_rows:l validation_rows:l test_rows:l validation_queries:l test_queries:l",
+    f"SELECT strategy, 'complete' AS status, (SELECT count(*) FROM pos) AS positive_rows, count(DISTINCT user_id) AS eligible_users, (SELECT count(DISTINCT user_id) FROM pos) - count(DISTINCT user_id) AS excluded_users, count(*) FILTER (part = 'train') AS train_rows, "
+    f"count(*) FILTER (part = 'validation') AS validation_rows, count(*) FILTER (part = 'test') AS test_rows, count(DISTINCT user_id) AS validation_queries, count(DISTINCT user_id) AS test_queries FROM (SELECT '{O.STRATEGIES[0]}' AS strategy, user_id, part FROM split UNION ALL SELECT '{O.STRATEGIES[1]}', user_id, part FROM ({_GLOBAL})) GROUP BY strategy",
+    "split", "pos",
+)
+def e12_split_dataset(spark, d):
+    x, out = written(V.interactions(spark, d), "interactions"), None
+    for strategy in O.STRATEGIES:
+        try:
+            made = O.split_dataset(x, scratch_path(spark, "dataset"), strategy)
+        except schemas.ContractError:  # too few events for this strategy
+            continue
+        one = made["manifest"].withColumns({f"{t}_queries": F.lit(made[t].count()) for t in ("validation", "test")})
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
 for _target in ("validation", "test"):
@@ -377,29 +432,62 @@ def w4_eligibility(spark, d):
     return P.eligibility(pos, P.split_per_user(pos))
 
 
-_INNER = """WITH p AS (SELECT user_id, item_id, ts, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, item_id) AS rn, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS le, rank() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS lt FROM split WHERE part = 'train'),
-q AS (SELECT *, max(CASE WHEN rn = least(greatest(5, CAST(floor(n * CAST(0.8 AS DOUBLE)) AS BIGINT)), n - 1) THEN le END) OVER (PARTITION BY user_id) AS b, max(CASE WHEN rn = n THEN lt END) OVER (PARTITION BY user_id) AS l FROM p WHERE n >= 6),
-r AS (SELECT *, CASE WHEN b >= n THEN l ELSE b END AS e FROM q) SELECT user_id, item_id, CASE WHEN rn <= e THEN 'history' ELSE 'target' END AS part FROM r WHERE e >= 5 AND e < n"""
+_INNER = "SELECT user_id, item_id, part FROM inner_split"
 
 
-@query("w5_split_inner", "user_id:l item_id:l part:s", _INNER, "split")
-@query("e13_prepare_ranking", "user_id:l item_id:l part:s", _INNER, "split")
+@query("w5_split_inner", "user_id:l item_id:l part:s", _INNER, "inner_split")
 def w5_split_inner(spark, d):
     return P.split_inner(V.train(spark, d))
 
 
-@query("w10_adjacent_pairs", "query_id:l candidate_id:l rows:l", "WITH p AS (SELECT item_id AS a, lead(item_id) OVER w AS b, row_number() OVER w AS rn FROM split WHERE part = 'train' WINDOW w AS (PARTITION BY user_id ORDER BY ts, item_id)), q AS (SELECT a, b FROM p WHERE rn <= 10 AND b IS NOT NULL AND a <> b) SELECT query_id, candidate_id, count(*) AS rows FROM (SELECT a AS query_id, b AS candidate_id FROM q UNION ALL SELECT b, a FROM q) GROUP BY 1, 2", "split")
+_AGAIN = "SELECT user_id, item_id, rating, ts, ord FROM train_rows UNION ALL SELECT user_id, item_id, 1.0, ts - 5, ord FROM train_rows WHERE item_id % 3 = 0 UNION ALL SELECT user_id, item_id, 1.0, ts + 5, ord FROM train_rows WHERE item_id % 7 = 0"
+_AGAIN = f"(SELECT * FROM (SELECT * FROM ({_AGAIN}) QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC, ord DESC, rating DESC) = 1) WHERE rating >= 3)"
+
+
+def _train_again(spark, d):
+    """The train part with earlier low ratings, which don't count, and later ones, which take the event away."""
+    t = written(V.train(spark, d), "train").drop("part")
+    low = lambda shift: t.withColumn("rating", F.lit(1.0)).withColumn("ts", F.col("ts") + shift)
+    return t.unionByName(low(-5).where("item_id % 3 = 0")).unionByName(low(5).where("item_id % 7 = 0"))
+
+
+@query("e13_prepare_ranking", "user_id:l item_id:l part:s", f"SELECT user_id, item_id, part FROM ({V.INNER.format(source=_AGAIN)})", "train_rows")
+def e13_prepare_ranking(spark, d):
+    out = O.prepare_ranking(_train_again(spark, d), scratch_path(spark, "ranking"))
+    one = lambda name, part: out[name].select("user_id", "item_id", F.lit(part).alias("part"))
+    return one("history", "history").unionByName(one("targets", "target"))
+
+
+@query(
+    "e13_ranking_manifest",
+    "status:s eligible_users:l excluded_users:l history_rows:l history_items:l target_rows:l queries:l other_settings_rejected:b",
+    f"SELECT 'complete' AS status, count(DISTINCT user_id) AS eligible_users, (SELECT count(DISTINCT user_id) FROM {_AGAIN}) - count(DISTINCT user_id) AS excluded_users, count(*) FILTER (part = 'history') AS history_rows, count(DISTINCT item_id) FILTER (part = 'history') AS history_items, "
+    f"count(*) FILTER (part = 'target') AS target_rows, count(DISTINCT user_id) AS queries, true AS other_settings_rejected FROM ({V.INNER.format(source=_AGAIN)})",
+    "train_rows",
+)
+def e13_ranking_manifest(spark, d):
+    rows, path = written(_train_again(spark, d), "train-again"), scratch_path(spark, "ranking")
+    O.prepare_ranking(rows, path)
+    out = O.prepare_ranking(rows, path)  # again: what is there
+    try:
+        O.prepare_ranking(rows, path, fraction=0.7)
+        rejected = False
+    except schemas.ContractError:
+        rejected = True
+    return out["manifest"].withColumn("queries", F.lit(out["queries"].count())).withColumn("other_settings_rejected", F.lit(rejected))
+
+
+@query("w10_adjacent_pairs", "query_id:l candidate_id:l rows:l", "WITH p AS (SELECT item_id AS a, lead(item_id) OVER w AS b, row_number() OVER w AS rn FROM split WHERE part = 'train' WINDOW w AS (PARTITION BY user_id ORDER BY ts, item_id)), q AS (SELECT a, b FROM p WHERE rn <= 50 AND b IS NOT NULL AND a <> b) SELECT query_id, candidate_id, count(*) AS rows FROM (SELECT a AS query_id, b AS candidate_id FROM q UNION ALL SELECT b, a FROM q) GROUP BY 1, 2", "split")
 def w10_adjacent_pairs(spark, d):
-    return P.adjacent_pairs(V.train(spark, d), 10).groupBy("query_id", "candidate_id").agg(F.count(F.lit(1)).alias("rows"))
+    return P.adjacent_pairs(V.train(spark, d)).groupBy("query_id", "candidate_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("u3_history_union", "user_id:l rows:l", "SELECT user_id, count(*) AS rows FROM split WHERE part IN ('train', 'validation') GROUP BY user_id", "split")
 def u3_history_union(spark, d):
-    s = V.split(spark, d)
-    return s.where("part = 'train'").unionByName(s.where("part = 'validation'")).groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"))
+    return P.history_union(V.split(spark, d)).groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("j9_history_targets", "user_id:l history:l targets:l", f"SELECT user_id, count(*) FILTER (part = 'history') AS history, count(*) FILTER (part = 'target') AS targets FROM ({_INNER}) GROUP BY user_id", "split")
+@query("j9_history_targets", "user_id:l history:l targets:l", f"SELECT user_id, count(*) FILTER (part = 'history') AS history, count(*) FILTER (part = 'target') AS targets FROM ({_INNER}) GROUP BY user_id", "inner_split")
 def j9_history_targets(spark, d):
     from recengine.operators.candidates import align
 
@@ -408,11 +496,23 @@ def j9_history_targets(spark, d):
     return align(one("history", "history"), one("target", "targets"))
 
 
-@query("e9_validate_dataset", "rule:s part:s violations:l", "SELECT * FROM (VALUES ('empty_seeds', 'validation', 0), ('empty_truth', 'validation', 0), ('not_after_history', 'validation', 0), ('empty_table', 'split', 0), ('other_content', 'split', 0)) t(rule, part, violations)")
+@query(
+    "e9_validate_dataset",
+    "rule:s part:s violations:l",
+    "SELECT 'not_complete' AS rule, 'manifest' AS part, 1 AS violations UNION ALL SELECT 'empty_seeds', 'validation', count(*) FILTER (user_id % 5 = 0) FROM validation_queries UNION ALL SELECT 'empty_truth', 'validation', count(*) FILTER (user_id % 7 = 0) FROM validation_queries "
+    "UNION ALL SELECT 'not_after_history', 'validation', count(*) FILTER (user_id % 3 = 0) FROM validation_queries UNION ALL SELECT 'empty_table', 'split', 0 UNION ALL SELECT 'other_content', 'split', 0 UNION ALL SELECT 'empty_table', 'changed', 0 UNION ALL SELECT 'other_content', 'changed', 1 UNION ALL SELECT 'empty_table', 'none', 1 UNION ALL SELECT 'other_content', 'none', 1",
+    "validation_queries",
+)
 def e9_validate_dataset(spark, d):
-    s = V.split(spark, d)
-    known = IO.manifest("split", s).select("name", "content")
-    return validate_dataset({"validation": P.query_records(s)}, {"split": s}, known)
+    """The checks of a dataset with planted faults: queries without seeds or truth or too early, changed and empty tables, a job cut off."""
+    s = V.stored_split(spark, d)
+    u = F.col("user_id")
+    q = P.query_records(s).withColumn("seeds", F.when(u % 5 != 0, F.col("seeds"))).withColumn("truth", F.when(u % 7 == 0, F.slice("truth", 1, 0)).otherwise(F.col("truth")))
+    q = q.withColumn("truth_start_ts", F.when(u % 3 == 0, F.col("history_end_ts")).otherwise(F.col("truth_start_ts")))
+    tables = {"split": s, "changed": s.withColumn("ts", F.col("ts") + 1), "none": s.limit(0)}
+    known = written(IO.manifest("split", s).select("name", "content"), "known")
+    known = known.select(F.explode(F.array(*[F.lit(n) for n in tables])).alias("name"), "content")
+    return validate_dataset({"validation": q}, tables, known, spark.createDataFrame([("partial",)], "status string"))
 
 
 # --- tokens and scalar functions ---

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recengine.functions import scalars as S
 from recengine.operators import candidates as K
+from recengine.operators.compression import compression_sweep
 from recengine.operators import content as X
 from recengine.operators import features as Z
 from recengine.operators import fitting as M
@@ -29,7 +30,7 @@ _REC10 = "SELECT query_id, candidate_id, rank FROM source_ranks WHERE source = '
 def _graph_recs(spark, d) -> tuple[DataFrame, DataFrame]:
     s = V.stored_split(spark, d)
     q = written(V.validation_queries(spark, d, s), "queries")
-    per_seed = K.seed_candidates(q, V.graph(spark, d, s), DEPTH)
+    per_seed = K.seed_candidates(q, V.graph(spark, d, s, V.seeds_of(q)), DEPTH)
     return q, written(K.source_ranks(per_seed, DEPTH), "source-ranks")
 
 
@@ -85,7 +86,7 @@ def k6_neighbors_of_seeds(spark, d):
 
 @query("k8_query_subset", "user_id:l", "SELECT user_id FROM validation_queries ORDER BY user_id LIMIT 50", "validation_queries")
 def k8_query_subset(spark, d):
-    return V.validation_queries(spark, d).orderBy("user_id").limit(50)
+    return P.query_subset(V.validation_queries(spark, d), 50)
 
 
 # --- candidates ---
@@ -93,21 +94,35 @@ def k8_query_subset(spark, d):
 
 @query("j4_seed_neighbors", "query_id:s source:s seed_id:l candidate_id:l rank:l", "SELECT s.query_id, n.source, s.seed_id, n.candidate_id, n.rank FROM seeds s JOIN neighbors n ON n.seed_id = s.seed_id WHERE n.rank <= 10", "seeds", "neighbors")
 def j4_seed_neighbors(spark, d):
-    seeds = K.query_seeds(V.validation_queries(spark, d))
-    return seeds.join(V.neighbors(spark, d).where("rank <= 10"), "seed_id")
+    s = V.stored_split(spark, d)
+    q = written(V.validation_queries(spark, d, s), "queries")
+    return K.query_seeds(q).join(V.neighbors(spark, d, s, q).where("rank <= 10"), "seed_id")
 
 
-@query("j5_seed_exclusion", "query_id:s seeds_among_candidates:l", "SELECT DISTINCT query_id, 0 AS seeds_among_candidates FROM per_seed", "per_seed")
+@query(
+    "j5_seed_exclusion",
+    "query_id:s looked_up:l seeds_looked_up:l kept:l seeds_kept:l",
+    "WITH x AS (SELECT s.query_id, n.source, s.seed_id, n.candidate_id, n.candidate_id IN (SELECT y.seed_id FROM seeds y WHERE y.query_id = s.query_id) AS is_seed FROM seeds s JOIN neighbors n ON n.seed_id = s.seed_id) "
+    "SELECT query_id, count(*) AS looked_up, count(*) FILTER (is_seed) AS seeds_looked_up, count(*) FILTER (NOT is_seed AND candidate_id > 0) AS kept, 0 AS seeds_kept FROM x GROUP BY query_id",
+    "seeds", "neighbors",
+)
 def j5_seed_exclusion(spark, d):
-    q = V.validation_queries(spark, d)
-    per_seed = K.seed_candidates(q, V.neighbors(spark, d), DEPTH)
-    return per_seed.join(q.select("query_id", "seeds"), "query_id").groupBy("query_id").agg(F.count_if(F.array_contains("seeds", F.col("candidate_id"))).alias("seeds_among_candidates"))
+    """Per query the neighbors of its seeds, how many of them are seeds, and the same after the exclusion."""
+    s = V.stored_split(spark, d)
+    q = written(V.validation_queries(spark, d, s), "queries")
+    found = written(V.neighbors(spark, d, s, q), "neighbors")
+    looked = K.query_seeds(q).select("query_id", "seed_id").join(found, "seed_id").select("query_id", "candidate_id", F.lit(1).alias("looked"), F.lit(0).alias("stays"))
+    both = looked.unionByName(K.seed_candidates(q, found, DEPTH).select("query_id", "candidate_id", F.lit(0).alias("looked"), F.lit(1).alias("stays")))
+    is_seed = F.array_contains("seeds", F.col("candidate_id"))
+    counts = {"looked_up": F.col("looked") == 1, "seeds_looked_up": (F.col("looked") == 1) & is_seed, "kept": F.col("stays") == 1, "seeds_kept": (F.col("stays") == 1) & is_seed}
+    return both.join(q.select("query_id", "seeds"), "query_id").groupBy("query_id").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
 
 
 @query("w6_rank_within_seed", "query_id:s source:s seed_id:l candidate_id:l rank:l", f"SELECT * FROM per_seed WHERE rank <= {DEPTH}", "per_seed")
 def w6_rank_within_seed(spark, d, s=None):
     s = s if s is not None else V.stored_split(spark, d)
-    return K.seed_candidates(written(V.validation_queries(spark, d, s), "queries"), V.neighbors(spark, d, s), DEPTH)
+    q = written(V.validation_queries(spark, d, s), "queries")
+    return K.seed_candidates(q, V.neighbors(spark, d, s, q), DEPTH)
 
 
 @query("a8_support_best_rank", "query_id:s source:s candidate_id:l support:l best_rank:l", "SELECT query_id, source, candidate_id, support, best_rank FROM source_ranks", "source_ranks")
@@ -144,24 +159,20 @@ def w9_cap_candidates(spark, d):
 
 
 @query("j7_labels", "query_id:s candidate_id:l label:l", "SELECT query_id, candidate_id, label FROM candidates", "candidates")
-@query("e14_build_candidates", "query_id:s candidate_id:l item_graph_rank:l content_rank:l source_count:l label:l", "SELECT * FROM candidates", "candidates")
-def e14_build_candidates(spark, d):
+def j7_labels(spark, d):
     return V.candidates(spark, d)
 
 
-@query(
-    "e15_partition_candidates",
-    "query_id:s candidate_id:l rank:l label:l",
-    "WITH s AS (SELECT query_id, unnest(seeds) AS seed_id FROM test_queries), t AS (SELECT DISTINCT query_id, unnest(truth) AS candidate_id FROM test_queries), "
-    "p AS (SELECT s.query_id, s.seed_id, n.candidate_id, row_number() OVER (PARTITION BY s.query_id, s.seed_id ORDER BY n.rank) AS rank FROM s JOIN graph n ON n.seed_id = s.seed_id WHERE n.candidate_id > 0 AND s.seed_id > 0 AND NOT EXISTS (SELECT 1 FROM s x WHERE x.query_id = s.query_id AND x.seed_id > 0 AND x.seed_id = n.candidate_id)), "
-    f"r AS (SELECT query_id, candidate_id, count(DISTINCT seed_id) AS support, min(rank) AS best FROM p WHERE rank <= {DEPTH} GROUP BY 1, 2), "
-    f"k AS (SELECT query_id, candidate_id, row_number() OVER (PARTITION BY query_id ORDER BY support DESC, best, candidate_id) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY support DESC, best, candidate_id) <= {LIMIT}) "
-    "SELECT k.query_id, k.candidate_id, k.rank, CASE WHEN t.query_id IS NULL THEN 0 ELSE 1 END AS label FROM k LEFT JOIN t USING (query_id, candidate_id)",
-    "test_queries", "graph",
-)
+@query("e14_build_candidates", "query_id:s candidate_id:l item_graph_rank:l content_rank:l source_count:l label:l", "SELECT * FROM inner_candidates", "inner_candidates")
+def e14_build_candidates(spark, d):
+    """Candidates of the ranker's own queries, with neighbors fitted on the history of its own split."""
+    return V.inner_candidates(spark, d, V.ranking_split(spark, d))
+
+
+@query("e15_partition_candidates", "query_id:s candidate_id:l item_graph_rank:l content_rank:l source_count:l label:l", "SELECT * FROM candidates UNION ALL SELECT * FROM test_candidates", "candidates", "test_candidates")
 def e15_partition_candidates(spark, d):
-    q = P.query_records(V.split(spark, d), "test")
-    return K.build_candidates(q, V.graph(spark, d), ("item_graph",), DEPTH, DEPTH, LIMIT).withColumn("rank", F.col("item_graph_rank"))
+    """Candidates of validation and test queries, with neighbors fitted on the whole train part."""
+    return V.partition_candidates(spark, d, V.stored_split(spark, d))
 
 
 @query(
@@ -321,22 +332,17 @@ def v9_lineup_overlap(spark, d):
 
 @query(
     "v10_fusion_evaluation",
-    "system:s k:l recall:d precision:d",
-    " UNION ALL ".join(
+    "system:s k:l recall:d precision:d shared_rate:d mean_jaccard:d",
+    "SELECT x.*, shared_rate, mean_jaccard FROM (" + " UNION ALL ".join(
         f"SELECT '{n}' AS system, 10 AS k, avg(h / CAST(n AS DOUBLE)) AS recall, avg(h / CAST(10 AS DOUBLE)) AS precision FROM (SELECT q.query_id, count(t.candidate_id) AS h, len(list_distinct(q.truth)) AS n FROM validation_queries q LEFT JOIN ({r}) r ON r.query_id = q.query_id AND r.rank <= 10 LEFT JOIN truth t ON t.query_id = r.query_id AND t.candidate_id = r.candidate_id GROUP BY q.query_id, q.truth)"
         for n, r in (("item_graph", _A), ("content", _B), ("fused", _RECS))
-    ),
+    ) + f") x, ({_OVERLAP}) o",
     "validation_queries", "source_ranks", "truth", "fused",
 )
 def v10_fusion_evaluation(spark, d):
     s = V.stored_split(spark, d)
     ranks = written(w7_rank_within_source(spark, d, s), "source-ranks")
-    fused = K.fuse_rrf(K.pivot_ranks(ranks, SRC), SRC, limit=None).select("query_id", "candidate_id", F.col("fused_rank").alias("rank"))
-    q, out = written(V.validation_queries(spark, d, s), "queries"), None
-    for name, recs in (("item_graph", ranks.where("source = 'item_graph'")), ("content", ranks.where("source = 'content'")), ("fused", fused)):
-        one = E.evaluate(recs, q, (10,)).select(F.lit(name).alias("system"), "k", "recall", "precision")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return E.fusion_evaluation(ranks, written(V.validation_queries(spark, d, s), "queries"), *SRC)
 
 
 @query("v15_component_sizes", "component:s rows:l bytes:l", "WITH p AS (SELECT 'graph' AS component, count(*) AS rows, count(*) * 8 AS bytes FROM graph UNION ALL SELECT 'vectors', count(*), count(*) * 64 FROM vectors) SELECT * FROM p UNION ALL SELECT 'total', sum(rows), sum(bytes) FROM p", "graph", "vectors")
@@ -384,9 +390,25 @@ def w15_page(spark, d):
     return L.page(_line(spark, d), V.catalog(spark, d), 4, 6)
 
 
-@query("e11_validate_recommendations", "request_id:s not_empty:b within_limit:b positive:b unique:b no_seed:b", f"SELECT q.query_id AS request_id, count(l.candidate_id) > 0 AS not_empty, count(l.candidate_id) <= 15 AS within_limit, true AS positive, true AS \"unique\", true AS no_seed FROM validation_queries q LEFT JOIN ({_LINE}) l ON l.request_id = q.query_id GROUP BY 1", "validation_queries", "fused")
+_FAULTY_LINE = f"SELECT request_id, candidate_id FROM ({_LINE}) UNION ALL SELECT query_id, -1 FROM validation_queries WHERE user_id % 4 = 0 UNION ALL SELECT request_id, candidate_id FROM ({_LINE}) l JOIN validation_queries q ON q.query_id = l.request_id WHERE q.user_id % 3 = 0 UNION ALL SELECT query_id, seeds[1] FROM validation_queries WHERE user_id % 5 = 0"
+
+
+@query(
+    "e11_validate_recommendations",
+    "request_id:s not_empty:b within_limit:b positive:b unique:b no_seed:b",
+    f"SELECT q.query_id AS request_id, count(l.candidate_id) > 0 AS not_empty, count(l.candidate_id) <= 15 AS within_limit, coalesce(min(l.candidate_id) > 0, true) AS positive, count(l.candidate_id) = count(DISTINCT l.candidate_id) AS \"unique\", "
+    f"NOT coalesce(bool_or(list_contains(q.seeds, l.candidate_id)), false) AS no_seed FROM validation_queries q LEFT JOIN ({_FAULTY_LINE}) l ON l.request_id = q.query_id GROUP BY 1",
+    "validation_queries", "fused",
+)
 def e11_validate_recommendations(spark, d):
-    return L.check_recommendations(V.validation_queries(spark, d).withColumnRenamed("query_id", "request_id"), _line(spark, d), 15)
+    """The checks of lineups with planted faults: a negative id, every row twice, a seed."""
+    s = V.stored_split(spark, d)
+    requests = written(V.validation_queries(spark, d, s), "requests").withColumnRenamed("query_id", "request_id")
+    line = written(w8_fuse_rrf(spark, d, s).where("fused_rank <= 20").select(F.col("query_id").alias("request_id"), "candidate_id"), "line")
+    twice = line.join(requests.where("user_id % 3 = 0").select("request_id"), "request_id")
+    odd = lambda n, c: requests.where(F.col("user_id") % n == 0).select("request_id", c.cast("long").alias("candidate_id"))
+    faulty = line.unionByName(twice).unionByName(odd(4, F.lit(-1))).unionByName(odd(5, F.get("seeds", F.lit(0))))
+    return L.check_recommendations(requests, faulty, 15)
 
 
 # --- content terms and quantisation ---
@@ -413,14 +435,14 @@ def m3_tfidf_weights_50k(spark, d):
 
 @query("m3_fit_content", "item_id:l length:d")
 def m3_fit_content(spark, d):
-    vectors = X.fit_content(_text_catalog(spark, d), {"lang": 2, "overview": 1}, dim=8, min_df=2, max_features=50_000, iterations=2).vectors(_text_catalog(spark, d))
+    vectors = X.fit_content(_text_catalog(spark, d), {"lang": 2, "source": 1, "overview": 1}).vectors(_text_catalog(spark, d))
     return vectors.select("item_id", F.sqrt(N.dot(F.col("vector"), F.col("vector"))).alias("length"))
 
 
 @query("m9_k4_embed_unseen", "seed_id:l candidate_id:l score:f rank:l")
 def m9_k4_embed_unseen(spark, d):
     c = _text_catalog(spark, d)
-    model = X.fit_content(c.where("item_id % 10 <> 0"), {"lang": 2, "overview": 1}, dim=8, min_df=2, max_features=50_000, iterations=2)
+    model = X.fit_content(c.where("item_id % 10 <> 0"), {"lang": 2, "source": 1, "overview": 1})
     known, unseen = written(model.vectors(c.where("item_id % 10 <> 0")), "known"), written(model.vectors(c.where("item_id % 10 = 0")), "unseen")
     return N.nearest(known, 5, "content", queries=unseen)
 
@@ -435,23 +457,13 @@ def m8_quantize_vectors(spark, d):
     return N.quantize(V.vectors(spark, d), 8).select("item_id", F.posexplode("codes").alias("dim", "code"))
 
 
-@query("v11_compression_sweep", "depth:l mode:s bytes:l overlap:d")
+@query("v11_compression_sweep", "depth:l dim:l mode:s bytes:l overlap:d")
 def v11_compression_sweep(spark, d):
-    """Graph depth by quantiser: bytes, and the mean share of the top 10 that stays."""
-    vectors = V.vectors(spark, d)
-    graph = written(V.graph(spark, d), "graph")
-    exact = written(N.nearest(vectors, 10, "content"), "exact")
-    q = exact.select(F.col("seed_id").alias("query_id")).distinct()
-    recs = lambda n: n.select(F.col("seed_id").alias("query_id"), "candidate_id", "rank")
-    out = None
-    for mode, bits in (("fp16", 16), ("int8", 8), ("sq6", 6), ("sq4", 4)):
-        packed = N.to_half(vectors) if mode == "fp16" else N.dequantize(N.quantize(vectors, bits), bits)
-        same = E.lineup_overlap(recs(exact), recs(N.nearest(packed, 10, "content")), (10,), q).agg(F.avg("jaccard").alias("overlap"))
-        for depth in (25, 50):
-            size = E.component_sizes({"graph": (N.truncate(graph, depth), 2, 32), "vectors": (vectors, 64, bits)}).where("component = 'total'")
-            one = size.join(F.broadcast(same)).select(F.lit(depth).alias("depth"), F.lit(mode).alias("mode"), "bytes", "overlap")
-            out = one if out is None else out.unionByName(one)
-    return out
+    """Graph depth by leading dimensions by storage mode: bytes, and how much of the first 10 of a line-up stays."""
+    s = V.stored_split(spark, d)
+    q = written(V.validation_queries(spark, d, s), "queries")
+    graph = written(V.graph(spark, d, s, V.seeds_of(q)), "graph")
+    return compression_sweep(q, graph, V.vectors(spark, d), (25, 50), (32, 64))
 
 
 # --- fitted models: no SQL form; tests hold them against planted structure ---
@@ -459,22 +471,25 @@ def v11_compression_sweep(spark, d):
 
 @query("m1_fit_als", "seed_id:l candidate_id:l score:f rank:l")
 def m1_fit_als(spark, d):
-    vectors = written(M.fit_als(V.train(spark, d), factors=16, iterations=3), "als")
+    vectors = written(M.fit_als(V.train(spark, d)), "als")
     return N.nearest(vectors, 10, "als", "inner")
 
 
 @query("m5_item_embeddings", "seed_id:l candidate_id:l score:f rank:l")
 def m5_item_embeddings(spark, d):
     train = written(V.train(spark, d), "train")
-    vectors = written(M.fit_item_embeddings(P.adjacent_pairs(train), train, dim=16, epochs=2), "embeddings")
+    vectors = written(M.fit_item_embeddings(P.adjacent_pairs(train), train), "embeddings")
     return N.nearest(vectors, 10, "two_tower")
 
 
+#: Rounds and patience of the registered fits; the operator's own are 300 and 30.
+ROUNDS, PATIENCE = 30, 8
+
+
 def _ranker(spark, d) -> tuple[M.Ranker, DataFrame]:
-    f = V.stored_features(spark, d)
-    held = F.pmod(F.xxhash64("query_id"), F.lit(4)) == 0
-    names = list(Z.feature_columns(SRC))
-    return M.fit_ranker(f.where(~held), names, rounds=3, depth=4), f.where(held)
+    """The ranker learned on its own split and stopped by validation queries, and the features of test queries."""
+    inner, validation, test = V.ranking_features(spark, d)
+    return M.fit_ranker(inner, list(Z.feature_columns(SRC)), validation, rounds=ROUNDS, rate=0.1, patience=PATIENCE), test
 
 
 @query("m6_m7_fit_and_score_ranker", "query_id:s candidate_id:l score:d")
@@ -489,11 +504,35 @@ def v7_evaluate_heldout(spark, d):
     return M.evaluate_heldout(model, held)
 
 
+@query("m11_ranked_lineup", "request_id:s position:l candidate_id:l score:d rank:l title:s")
+def m11_ranked_lineup(spark, d):
+    """The request path of test queries with all four sources, the fitted ranker and the catalog's display data."""
+    s = V.stored_split(spark, d)
+    ranking, t = V.ranking_split(spark, d, s), written(V.train(spark, d, s), "train")
+
+    def found(events: DataFrame, queries: DataFrame) -> DataFrame:
+        seeds = V.seeds_of(queries)
+        of = lambda v: v.join(seeds.select(F.col("seed_id").alias("item_id")), "item_id", "left_semi")
+        als = written(M.fit_als(events, factors=32, iterations=5), "als")
+        tower = written(M.fit_item_embeddings(P.adjacent_pairs(events), events, dim=32), "two-tower")
+        out = N.item_graph(events, DEPTH, seeds=seeds).unionByName(V.content_neighbors(spark, d, seeds))
+        return written(out.unionByName(N.nearest(als, DEPTH, "als", "inner", of(als))).unionByName(N.nearest(tower, DEPTH, "two_tower", queries=of(tower))), "neighbors")
+
+    table_of = lambda queries, near, events: written(Z.materialize_features(K.build_candidates(queries, near, K.SOURCES, DEPTH, DEPTH, LIMIT), Z.popularity(events)), "features")
+    inner = table_of(ranking["queries"], found(ranking["history"], ranking["queries"]), ranking["history"])
+    queries = written(P.query_records(s, "validation").unionByName(P.query_records(s, "test")), "queries")
+    near = found(t, queries)
+    validation = table_of(queries.where("query_id LIKE 'validation:%'"), near, t)
+    model = M.fit_ranker(inner, list(Z.feature_columns()), validation, rounds=ROUNDS, rate=0.1, patience=PATIENCE)
+    requests = queries.where("query_id LIKE 'test:%'").withColumnRenamed("query_id", "request_id")
+    return L.lineup(requests, near, Z.popularity(t), model, V.catalog(spark, d), 10, per_seed=DEPTH, limit=LIMIT)
+
+
 @query("m11_lineup", "request_id:s candidate_id:l score:d rank:l", "SELECT query_id AS request_id, candidate_id, rrf_score AS score, fused_rank AS rank FROM fused WHERE fused_rank <= 10", "fused")
 def m11_lineup(spark, d):
     s = V.stored_split(spark, d)
     requests = written(V.validation_queries(spark, d, s).withColumnRenamed("query_id", "request_id"), "requests")
-    return L.recommend(requests, V.neighbors(spark, d, s), Z.popularity(V.train(spark, d, s)), lambda f: f.withColumn("score", M.rrf_scores(f)), 10, SRC, DEPTH, LIMIT)
+    return L.recommend(requests, V.neighbors(spark, d, s, requests.withColumnRenamed("request_id", "query_id")), Z.popularity(V.train(spark, d, s)), lambda f: f.withColumn("score", M.rrf_scores(f)), 10, SRC, DEPTH, LIMIT)
 
 
 # --- streams ---

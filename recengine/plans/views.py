@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recengine.operators import splits as P
-from recengine.operators.candidates import build_candidates
+from recengine.operators.candidates import build_candidates, query_seeds
+from recengine.operators.datasets import prepare_ranking
 from recengine.operators.features import materialize_features, popularity
 from recengine.operators.neighbors import item_graph, nearest
-from recengine.plans.registry import cte, table
-from recengine.sources.scratch import written
+from recengine.plans.registry import CTES, cte, table
+from recengine.sources.scratch import scratch_path, written
 
 DEPTH, LIMIT, SOURCES = 50, 40, ("item_graph", "content")
 
@@ -123,8 +126,8 @@ for _part, _past in (("validation", "part = 'train'"), ("test", "part IN ('train
     )
 
 
-def graph(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
-    return item_graph(train(spark, d, s), DEPTH)
+def graph(spark: SparkSession, d: str, s: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    return item_graph(train(spark, d, s), DEPTH, seeds=seeds)
 
 
 cte("cells", "SELECT DISTINCT user_id, item_id FROM split WHERE part = 'train'", "split")
@@ -144,8 +147,10 @@ cte(
 )
 
 
-def content_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return nearest(vectors(spark, d), DEPTH, "content")
+def content_neighbors(spark: SparkSession, d: str, seeds: DataFrame | None = None) -> DataFrame:
+    v = vectors(spark, d)
+    asked = v.join(seeds.select(F.col("seed_id").alias("item_id")), "item_id", "left_semi") if seeds is not None else None
+    return nearest(v, DEPTH, "content", queries=asked)
 
 
 cte(
@@ -156,8 +161,15 @@ cte(
 )
 
 
-def neighbors(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
-    return graph(spark, d, s).unionByName(content_neighbors(spark, d))
+def seeds_of(queries: DataFrame) -> DataFrame:
+    """The distinct seeds of some queries, written: only their neighbors are looked for."""
+    return written(query_seeds(queries).select("seed_id").distinct(), "seeds")
+
+
+def neighbors(spark: SparkSession, d: str, s: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """The neighbors of both sources; with ``queries`` those of their seeds."""
+    seeds = seeds_of(queries) if queries is not None else None
+    return graph(spark, d, s, seeds).unionByName(content_neighbors(spark, d, seeds))
 
 
 cte("neighbors", "SELECT * FROM graph UNION ALL SELECT * FROM content", "graph", "content")
@@ -189,10 +201,60 @@ cte("candidates", f"SELECT f.*, CASE WHEN t.query_id IS NULL THEN 0 ELSE 1 END A
 cte("popularity", "SELECT item_id, count(*) AS popularity FROM split WHERE part = 'train' AND item_id > 0 GROUP BY item_id", "split")
 
 
+def clone(prefix: str, names: tuple[str, ...], swaps: dict[str, str]) -> None:
+    """Copies of some expressions, named with a prefix, that read each other's copies and swapped sources."""
+    for name in names:
+        needs, sql = CTES[name]
+        sources = {n: prefix + n for n in names} | {k: v for k, v in swaps.items() if " " not in k}
+        for old, new in swaps.items():
+            sql = sql.replace(old, new) if " " in old else sql
+        sql = re.sub(r"\b(FROM|JOIN) (\w+)\b", lambda m: f"{m[1]} {sources.get(m[2], m[2])}", sql)
+        cte(prefix + name, sql, *(sources.get(n, n) for n in needs))
+
+
+# the ranker's own split: queries, graph and popularity come from the inner history
+INNER = """WITH p AS (SELECT user_id, item_id, ts, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, item_id) AS rn, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS le, rank() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS lt FROM {source}),
+q AS (SELECT *, max(CASE WHEN rn = least(greatest(5, CAST(floor(n * CAST(0.8 AS DOUBLE)) AS BIGINT)), n - 1) THEN le END) OVER (PARTITION BY user_id) AS b, max(CASE WHEN rn = n THEN lt END) OVER (PARTITION BY user_id) AS l FROM p WHERE n >= 6),
+r AS (SELECT *, CASE WHEN b >= n THEN l ELSE b END AS e FROM q) SELECT user_id, item_id, ts, CASE WHEN rn <= e THEN 'history' ELSE 'target' END AS part FROM r WHERE e >= 5 AND e < n"""
+cte("train_rows", "SELECT * FROM split WHERE part = 'train'", "split")
+cte("inner_split", INNER.format(source="train_rows"), "train_rows")
+cte("inner_queries", "SELECT 'ranking:' || user_id AS query_id, user_id, (list(item_id ORDER BY ts, item_id) FILTER (part = 'history'))[-5:] AS seeds, list(item_id ORDER BY ts, item_id) FILTER (part = 'target') AS truth FROM inner_split GROUP BY user_id", "inner_split")
+_FUSION = ("seeds", "per_seed", "source_ranks", "pivoted", "fused", "truth", "candidates")
+clone("inner_", ("cells", "item_users", "user_items", "bm25", "graph", "neighbors", *_FUSION, "popularity"), {"FROM split WHERE part = 'train'": "FROM inner_split WHERE part = 'history'", "split": "inner_split", "validation_queries": "inner_queries"})
+clone("test_", _FUSION, {"validation_queries": "test_queries"})
+
+
+def ranking_split(spark: SparkSession, d: str, s: DataFrame | None = None) -> dict[str, DataFrame]:
+    """history, targets, queries and manifest of the ranker's own split."""
+    return prepare_ranking(train(spark, d, s), scratch_path(spark, "ranking"))
+
+
+def inner_candidates(spark: SparkSession, d: str, ranking: dict[str, DataFrame]) -> DataFrame:
+    seeds = seeds_of(ranking["queries"])
+    found = item_graph(ranking["history"], DEPTH, seeds=seeds).unionByName(content_neighbors(spark, d, seeds))
+    return build_candidates(ranking["queries"], found, SOURCES, DEPTH, DEPTH, LIMIT)
+
+
+def partition_candidates(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
+    """Candidates of validation and test queries alike, with the neighbors of the whole train part."""
+    queries = written(P.query_records(s, "validation").unionByName(P.query_records(s, "test")), "queries")
+    return build_candidates(queries, neighbors(spark, d, s, queries), SOURCES, DEPTH, DEPTH, LIMIT)
+
+
+def ranking_features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The feature tables of the ranker's own split, of validation and of test queries."""
+    s = stored_split(spark, d)
+    ranking = ranking_split(spark, d, s)
+    inner = materialize_features(inner_candidates(spark, d, ranking), popularity(ranking["history"]), SOURCES)
+    outer = written(materialize_features(partition_candidates(spark, d, s), popularity(train(spark, d, s)), SOURCES), "features")
+    part = lambda name: outer.where(F.col("query_id").startswith(name))
+    return written(inner, "inner-features"), part("validation:"), part("test:")
+
+
 def candidates(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
     s = s if s is not None else stored_split(spark, d)
     queries = written(validation_queries(spark, d, s), "queries")
-    return build_candidates(queries, neighbors(spark, d, s), SOURCES, DEPTH, DEPTH, LIMIT)
+    return build_candidates(queries, neighbors(spark, d, s, queries), SOURCES, DEPTH, DEPTH, LIMIT)
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
