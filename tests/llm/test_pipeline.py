@@ -146,7 +146,10 @@ def test_every_stage_equals_brute_force(spark, tmp_path):
         filled[seq] += length
     assert max(filled.values()) <= 2048
 
+    before = {p.name for p in tmp_path.iterdir()}
     assert plain(corpus_pipeline.run(spark, str(tmp_path)).withColumnRenamed("ids_crc32", "text").collect()) == plain([{"doc_id": r["doc_id"], "text": r["ids_crc32"]} for r in out["packing"]])
+    stays = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if p.name not in before}
+    assert stays == {f"pipeline-{n}" for n, _ in corpus_pipeline.STAGES}  # the stages' own tables are gone
 
 
 def test_empty_tables_pass_through(spark, tmp_path):
