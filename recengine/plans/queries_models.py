@@ -483,7 +483,7 @@ def m5_item_embeddings(spark, d):
 
 
 #: Rounds and patience of the registered fits; the operator's own are 300 and 30.
-ROUNDS, PATIENCE = 30, 8
+ROUNDS, PATIENCE = 15, 5
 
 
 def _ranker(spark, d) -> tuple[M.Ranker, DataFrame]:
@@ -513,8 +513,8 @@ def m11_ranked_lineup(spark, d):
     def found(events: DataFrame, queries: DataFrame) -> DataFrame:
         seeds = V.seeds_of(queries)
         of = lambda v: v.join(seeds.select(F.col("seed_id").alias("item_id")), "item_id", "left_semi")
-        als = written(M.fit_als(events, factors=32, iterations=5), "als")
-        tower = written(M.fit_item_embeddings(P.adjacent_pairs(events), events, dim=32), "two-tower")
+        als = written(M.fit_als(events, factors=16, iterations=4), "als")
+        tower = written(M.fit_item_embeddings(P.adjacent_pairs(events), events, dim=16, epochs=1), "two-tower")
         out = N.item_graph(events, DEPTH, seeds=seeds).unionByName(V.content_neighbors(spark, d, seeds))
         return written(out.unionByName(N.nearest(als, DEPTH, "als", "inner", of(als))).unionByName(N.nearest(tower, DEPTH, "two_tower", queries=of(tower))), "neighbors")
 
