@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step handles; a longer text is one step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 #: True for the bytes that separate words: space and 0x09-0x0D.
 IS_SPACE = np.zeros(256, dtype=bool)

@@ -27,7 +27,7 @@ from recengine.llm._scratch import materialize
 from recengine.llm.token_counts import tokenizer_file
 
 #: Bounds of what a worker remembers, distinct parts of texts and their bytes; then it starts afresh.
-REMEMBERED, REMEMBERED_BYTES = 1_000_000, 64 << 20
+REMEMBERED, REMEMBERED_BYTES = 300_000, 16 << 20
 
 
 @lru_cache(maxsize=2)
@@ -144,7 +144,7 @@ def cut(docs: DataFrame, tokenizer: str, max_len: int, end_id: int, id_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer)
         for batch in batches:
-            for part in steps(batch, most=4_000_000):
+            for part in steps(batch, most=2_000_000):
                 ids, ends = encoder.texts(part.column(part.schema.get_field_index("text")))
                 row, start, length, crc, tokens = [], [], [], [], []
                 for k in range(part.num_rows):
