@@ -29,7 +29,7 @@ WINDOW, LITERALS = 8, 4
 #: Bits of the filter over the benchmark's window hashes that tasks receive (a fixed 1 MB).
 FILTER_BITS = 23
 #: Bounds of the words that a task remembers and of their bytes; then it starts afresh.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 16 << 20
+REMEMBERED, REMEMBERED_BYTES = 100_000, 8 << 20
 
 # Names of units after which, or on which, a number is a quantity.
 UNITS = frozenset(

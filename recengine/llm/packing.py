@@ -144,7 +144,7 @@ def cut(docs: DataFrame, tokenizer: str, max_len: int, end_id: int, id_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer)
         for batch in batches:
-            for part in steps(batch, most=2_000_000):
+            for part in steps(batch, most=1_000_000):
                 ids, ends = encoder.texts(part.column(part.schema.get_field_index("text")))
                 row, start, length, crc, tokens = [], [], [], [], []
                 for k in range(part.num_rows):
