@@ -221,8 +221,8 @@ def _filter_of(item_windows: DataFrame) -> bytes:
     bit = F.shiftrightunsigned("window", 64 - FILTER_BITS).bitwiseAND(F.lit(63)).cast("int")
     folded = item_windows.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
     out = np.zeros(1 << FILTER_BITS - 6, np.int64)
-    for r in folded.collect():
-        out[r["word"]] = r["bits"]
+    found = folded.toArrow()
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out.tobytes()
 
 
@@ -238,6 +238,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     sizes = [r["whole"] for r in item_windows.where("whole <> 0").select("whole").distinct().collect()]  # distinct lengths of short items
     doc_windows = _window_rows(_keyed(docs, id_col, text_col), near, sizes).withColumnRenamed("kinds", "doc_kinds").drop("n", "whole")
     doc_windows = materialize(doc_windows, "document-windows")
+    near.destroy()
 
     # a pair shares at least min_share of the item's windows, so it shares one of the rarest 1 - min_share of them and one more
     held = item_windows.groupBy("window").agg(F.count(F.lit(1)).alias("items"))

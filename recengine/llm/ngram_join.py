@@ -334,8 +334,8 @@ def _hot_bits(common: DataFrame) -> np.ndarray:
     place = F.col("key").bitwiseAND(F.lit((1 << HOT_BITS) - 1))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
     out = np.zeros(1 << HOT_BITS - 6, np.int64)
-    for r in common.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect():  # 2 ** (HOT_BITS - 6) rows at most
-        out[r["word"]] = r["bits"]
+    found = common.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()  # 2 ** (HOT_BITS - 6) rows at most
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint64)
 
 
@@ -374,6 +374,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     ranks = np.empty(len(weights), np.uint32)
     ranks[np.argsort(weights, kind="stable")] = np.arange(len(weights), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(ranks)
+    sent = [shared]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = shared.value, set()
@@ -405,6 +406,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
         wanted = materialize(wanted, "common-representatives")
         hot_words |= _hot_bits(fresh)
         late = spark.sparkContext.broadcast(hot_words.copy())
+        sent.append(late)
 
         def keys_again(sids: np.ndarray, sets: list[np.ndarray], late=late) -> list[pa.Array]:
             key = [early(s, shared.value, late.value, percent).view(np.int64) for s in sets]
@@ -415,6 +417,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     for part in parts[1:]:
         cells = cells.unionByName(part)
     cells = materialize(cells.groupBy("key", "sid").agg(F.max("held").alias("held")) if len(parts) > 1 else cells, "all-cells")
+    for b in sent:  # the early shingles are written
+        b.destroy()
 
     # a class lives with the most others: copies of one text have few leaves between them
     owners = materialize(cells.groupBy("sid").agg(F.max(F.struct("held", "key")).alias("o")).select("sid", F.col("o.key").alias("owner"), F.col("o.held").alias("size")), "owners")
