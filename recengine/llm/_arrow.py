@@ -46,9 +46,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text indexes of the words (runs of bytes that aren't white space)."""
-    solid = ~IS_SPACE[data]
+def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text indexes of the words (runs of bytes that aren't white space, or whatever ``space`` says)."""
+    solid = ~space[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     begins = offs[:-1][offs[:-1] < offs[1:]]

@@ -182,3 +182,37 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     return mine(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+@query(
+    "op11_collocations",
+    r"""
+    WITH p AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+      FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+    g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) AS t(k) WHERE len(ws) >= k),
+    f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+    n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+    m AS MATERIALIZED (SELECT concat(lang, ' ', phrase) AS name, f FROM f WHERE f >= 10),
+    t AS MATERIALIZED (
+      SELECT c.*, cut, concat(lang, ' ', array_to_string(ws[1:cut], ' ')) AS first, concat(lang, ' ', array_to_string(ws[cut + 1:], ' ')) AS rest
+      FROM c JOIN (VALUES (1), (2)) AS v(cut) ON cut < k),
+    u AS MATERIALIZED (
+      SELECT t.lang, t.phrase, t.k, t.a, t.cut, x.f AS l, y.f AS r, (CAST(1000000 AS HUGEINT) * t.a * t.a) // (CAST(x.f AS HUGEINT) * y.f) AS score
+      FROM t JOIN m x ON x.name = t.first JOIN m y ON y.name = t.rest
+      QUALIFY row_number() OVER (PARTITION BY t.lang, t.phrase ORDER BY score, t.cut) = 1),
+    e AS MATERIALIZED (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3),
+    d AS (SELECT DISTINCT u.lang, u.phrase FROM u JOIN e ON e.lang = u.lang AND e.phrase = u.phrase AND 100 * e.a >= 50 * u.a WHERE u.k = 2),
+    z AS (
+      SELECT u.lang, row_number() OVER (PARTITION BY u.lang ORDER BY u.score DESC, u.a DESC, encode(u.phrase)) AS rank, u.phrase, u.a, u.l, u.r, n.n, u.score, u.cut
+      FROM u JOIN n ON n.lang = u.lang ANTI JOIN d ON d.lang = u.lang AND d.phrase = u.phrase)
+    SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score, CAST(cut AS INTEGER) AS cut
+    FROM z WHERE rank <= 2000
+    """,
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recengine.llm.collocations import collocations
+
+    return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
