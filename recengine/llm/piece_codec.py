@@ -102,7 +102,6 @@ class Normaliser:
     def __post_init__(self):
         known = sorted({*self.replaced, *self.whole}, key=len, reverse=True)  # longest first
         self.any_prefix = re.compile("|".join(map(re.escape, known))) if known else None
-        self.mark = SPACE_MARK if self.escape else " "
 
     def parts(self, text: str) -> list[tuple[str, int]]:
         """Replacements and stretches that stay, each with its bytes in the text (0 for stretches: as long as they are)."""
@@ -125,27 +124,25 @@ class Normaliser:
             at += taken or len(raw)
         data, source = np.concatenate(blocks), np.concatenate(sources)
         end = at
-        if self.squeeze and len(data):
+        if self.squeeze and len(data):  # one space of each run, none at the start
             space = data == 32
             keep = ~space
             keep[1:] |= space[1:] & ~space[:-1]
-            last = np.flatnonzero(~space)
-            keep[(last[-1] if len(last) else -1) + 1 :] = False  # none at the end
-            if len(last):
-                end = int(np.r_[source, at][last[-1] + 1])
             data, source = data[keep], source[keep]
-        if not len(data):
-            return b"", np.array([end], np.int64)
-        if self.dummy_prefix:
+        if self.dummy_prefix and text:
             k = len(data) if self.suffix else 0
-            data, source = np.insert(data, k, 32), np.insert(source, k, end if self.suffix else source[0])
+            data, source = np.insert(data, k, 32), np.insert(source, k, end if self.suffix or not k < len(source) else source[0])
         if self.escape and (data == 32).any():
             wide = np.where(data == 32, 3, 1)
             first = np.cumsum(wide) - wide
             source, marks = np.repeat(source, wide), first[data == 32]
             data = np.repeat(data, wide)
             data[marks[:, None] + np.arange(3)] = _MARK
-        return data.tobytes(), np.r_[source, end]
+        done, mark = data.tobytes(), SPACE_MARK.encode() if self.escape else b" "
+        while self.squeeze and done.endswith(mark):  # none at the end, also of those that stood in the text as marks
+            done = done[: -len(mark)]
+            end = int(source[len(done)])
+        return done, np.r_[source[: len(done)], end]
 
 
 class PieceCodec:
