@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recengine.functions import scalars as S
+from recengine.functions.scalars import clean_seeds
+from recengine.operators import boosting
 from recengine.operators import candidates as K
 from recengine.operators.compression import compression_sweep
 from recengine.operators import content as X
@@ -113,7 +115,7 @@ def j5_seed_exclusion(spark, d):
     found = written(V.neighbors(spark, d, s, q), "neighbors")
     looked = K.query_seeds(q).select("query_id", "seed_id").join(found, "seed_id").select("query_id", "candidate_id", F.lit(1).alias("looked"), F.lit(0).alias("stays"))
     both = looked.unionByName(K.seed_candidates(q, found, DEPTH).select("query_id", "candidate_id", F.lit(0).alias("looked"), F.lit(1).alias("stays")))
-    is_seed = F.array_contains("seeds", F.col("candidate_id"))
+    is_seed = F.array_contains(clean_seeds(F.col("seeds")), F.col("candidate_id"))
     counts = {"looked_up": F.col("looked") == 1, "seeds_looked_up": (F.col("looked") == 1) & is_seed, "kept": F.col("stays") == 1, "seeds_kept": (F.col("stays") == 1) & is_seed}
     return both.join(q.select("query_id", "seeds"), "query_id").groupBy("query_id").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
 
@@ -492,6 +494,36 @@ def _ranker(spark, d) -> tuple[M.Ranker, DataFrame]:
     return M.fit_ranker(inner, list(Z.feature_columns(SRC)), validation, rounds=ROUNDS, rate=0.1, patience=PATIENCE), test
 
 
+_NAMES = Z.feature_columns(SRC)
+_FIRST_HISTOGRAM = f"""
+    WITH r AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY candidate_id) AS pos,
+             CAST(sum(label) OVER (PARTITION BY query_id) AS BIGINT) AS positives
+      FROM features),
+    g AS (
+      SELECT a.query_id, a.candidate_id,
+             sum(CASE WHEN a.label > b.label THEN 0.5 ELSE -0.5 END * abs(1 / log2(a.pos + 1) - 1 / log2(b.pos + 1)) / i.ideal) AS gradient,
+             sum(0.25 * abs(1 / log2(a.pos + 1) - 1 / log2(b.pos + 1)) / i.ideal) AS hessian
+      FROM r a JOIN r b ON a.query_id = b.query_id AND a.label <> b.label
+      JOIN (SELECT DISTINCT positives, list_sum(list_transform(range(1, positives + 1), lambda k: 1 / log2(k + 1))) AS ideal FROM r) i ON i.positives = a.positives
+      GROUP BY ALL),
+    x AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, query_id, candidate_id, CAST({n} AS DOUBLE) AS value FROM features" for n in _NAMES)}),
+    c AS (SELECT feature, value, count(*) AS n FROM x GROUP BY ALL),
+    d AS (
+      SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY feature) AS distinct_values,
+             sum(n) OVER (PARTITION BY feature ORDER BY value) - n AS before, sum(n) OVER (PARTITION BY feature) AS everything
+      FROM c),
+    b AS (SELECT feature, value, CASE WHEN distinct_values <= 255 THEN place ELSE (before * 255) // everything END AS bin FROM d)
+    SELECT feature, bin, count(*) AS rows, sum(gradient) AS gradient, sum(hessian) AS hessian
+    FROM x JOIN g USING (query_id, candidate_id) JOIN b USING (feature, value) GROUP BY feature, bin"""
+
+
+@query("m6_first_histogram", "feature:s bin:l rows:l gradient:d hessian:d", _FIRST_HISTOGRAM, "features")
+def m6_first_histogram(spark, d):
+    """The sums from which the ranker's first tree splits its root, over the validation queries."""
+    return boosting.first_histogram(V.stored_features(spark, d), list(_NAMES))
+
+
 @query("m6_m7_fit_and_score_ranker", "query_id:s candidate_id:l score:d")
 def m6_m7_fit_and_score_ranker(spark, d):
     model, held = _ranker(spark, d)
