@@ -18,6 +18,8 @@ from recengine.sources.scratch import written
 
 #: Most vectors of one block of the exact search, and least query vectors where there are enough tasks.
 BLOCK_ROWS, LEAST_QUERY_ROWS = 16_384, 512
+#: Items of a block of seeds and of candidates of the graph, about, and pairs that a task makes at a time.
+SEED_BLOCK, CANDIDATE_BLOCK, TILE_PAIRS = 4096, 65_536, 1 << 21
 _DIGITS = 9
 
 
@@ -44,19 +46,112 @@ def bm25_weights(interactions: DataFrame, k1: float = 1.2, b: float = 0.75) -> D
     return joined.select("user_id", "item_id", (F.lit(k1 + 1.0) / (F.lit(k1) * F.col("norm") + 1.0) * F.col("idf")).alias("weight"))
 
 
-def item_graph(interactions: DataFrame, k: int = 200, k1: float = 1.2, b: float = 0.75, seeds: DataFrame | None = None) -> DataFrame:
+def _tile_sums(seed: np.ndarray, seed_weight: np.ndarray, first: np.ndarray, n: np.ndarray, item: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """seed, candidate and sum of weight products of each pair that occurs; seed k meets the n[k] items from first[k] on."""
+    seeds, s = np.unique(seed, return_inverse=True)
+    items, c = np.unique(item, return_inverse=True)
+    total = int(n.sum())
+    place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(total)
+    key = np.repeat(s * len(items), n) + c[place]
+    value = np.repeat(seed_weight, n) * weight[place]
+    cells = len(seeds) * len(items)
+    if cells <= 4 * total + (1 << 16):  # most pairs of the tile occur
+        there = np.flatnonzero(np.bincount(key, minlength=cells))
+        sums = np.bincount(key, value, cells)[there]
+    else:
+        order = np.argsort(key, kind="stable")
+        key, value = key[order], value[order]
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if total else np.zeros(0, np.int64)
+        there, sums = key[begin], np.add.reduceat(value, begin) if total else value
+    return seeds[there // max(1, len(items))], items[there % max(1, len(items))] if len(items) else there, sums
+
+
+class _Tile:
+    """The summed pairs of one (seed block, item block)."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, seeds: pa.Array, seed_weights: pa.Array, items: pa.Array, weights: pa.Array) -> None:
+        """Rows of (seeds with weights, items with weights) of one user each; their pairs are made TILE_PAIRS at a time."""
+        n_seeds, n_items = np.diff(seeds.offsets.to_numpy()), np.diff(items.offsets.to_numpy()).astype(np.int64)
+        seed, seed_weight, item, weight = (x.flatten().to_numpy(zero_copy_only=False) for x in (seeds, seed_weights, items, weights))
+        first, n = np.repeat(np.cumsum(n_items) - n_items, n_seeds), np.repeat(n_items, n_seeds)
+        piece = np.cumsum(n) // TILE_PAIRS
+        cuts = np.r_[0, np.flatnonzero(np.diff(piece)) + 1, len(n)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                lo, hi = int(first[a]), int(first[b - 1] + n[b - 1])
+                self.parts.append(_tile_sums(seed[a:b], seed_weight[a:b], first[a:b] - lo, n[a:b], item[lo:hi], weight[lo:hi]))
+                if sum(len(x[0]) for x in self.parts[1:]) > TILE_PAIRS:
+                    self.fold()
+
+    def fold(self) -> None:
+        seed, item, value = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
+        order = np.lexsort((item, seed))
+        seed, item, value = seed[order], item[order], value[order]
+        begin = np.flatnonzero(np.r_[True, (seed[1:] != seed[:-1]) | (item[1:] != item[:-1])])
+        self.parts = [(seed[begin], item[begin], np.add.reduceat(value, begin))]
+
+    def best(self, k: int) -> pa.RecordBatch:
+        if len(self.parts) > 1:
+            self.fold()
+        seed, item, value = self.parts[0] if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        own = seed != item
+        seed, item, value = seed[own], item[own], np.round(value[own], _DIGITS)
+        order = np.lexsort((item, -value, seed))
+        ordered = seed[order]
+        order = order[np.arange(len(order)) - np.searchsorted(ordered, ordered) < k]  # places within each seed
+        return pa.RecordBatch.from_arrays([pa.array(seed[order], pa.int64()), pa.array(item[order], pa.int64()), pa.array(value[order], pa.float64())], ["seed_id", "candidate_id", "score"])
+
+
+def graph_tiles(asked: DataFrame, weights: DataFrame, seed_blocks: int, item_blocks: int) -> DataFrame:
+    """seed_block, item_block, seeds, seed_weights, items, weights: of both tables (user_id, item_id, weight) the items of a user in a pair of blocks, one row each."""
+
+    def segments(rows: DataFrame, n: int, block: str, item: str, weight: str) -> DataFrame:
+        place = F.pmod(F.xxhash64(F.lit(block), "item_id"), F.lit(n)).cast("int")
+        lists = rows.groupBy("user_id", place.alias(block)).agg(F.collect_list(F.struct("item_id", "weight")).alias("own"))
+        return lists.select("user_id", block, F.col("own.item_id").alias(item), F.col("own.weight").alias(weight))
+
+    both = segments(asked, seed_blocks, "seed_block", "seeds", "seed_weights").join(segments(weights, item_blocks, "item_block", "items", "weights"), "user_id")
+    return both.select("seed_block", "item_block", "seeds", "seed_weights", "items", "weights")
+
+
+def item_graph(interactions: DataFrame, k: int = 200, k1: float = 1.2, b: float = 0.75, seeds: DataFrame | None = None, blocks: tuple[int, int] | None = None) -> DataFrame:
     """Items by the sum over common users of the products of their BM25 weights; co-occurring items stay at score 0.
 
-    Pairs grow with the square of a user's history; heavy users are a skewed join
-    key that adaptive execution splits. ``seeds`` (seed_id) limits the left side.
+    The product of the users x items table with itself, in tiles: items are hashed into
+    ``blocks`` of seeds and of candidates, a user is one row for each pair of blocks in
+    which it has items, and a task makes the pairs of a tile, sums them up in a stream
+    and gives the best k candidates of each seed. A history of h items thus is at most
+    (seed blocks x item blocks) rows, each with the two short lists, dealt out to as
+    many tasks, instead of h * h rows of one user. ``seeds`` (seed_id) limits the seeds.
     """
-    w = written(bm25_weights(interactions, k1, b), "bm25")  # both sides of the join; small beside its pairs
-    left = w.select("user_id", F.col("item_id").alias("seed_id"), F.col("weight").alias("a"))
-    if seeds is not None:
-        left = left.join(seeds.select("seed_id").distinct(), "seed_id", "left_semi")
-    right = w.select("user_id", F.col("item_id").alias("candidate_id"), F.col("weight").alias("c"))
-    pairs = left.join(right, "user_id").where("seed_id <> candidate_id")
-    return ranked(pairs.groupBy("seed_id", "candidate_id").agg(F.sum(F.col("a") * F.col("c")).alias("score")), "item_graph", k)
+    w = written(bm25_weights(interactions, k1, b), "bm25")
+    if blocks is None:
+        items = w.agg(F.approx_count_distinct("item_id")).first()[0]
+        tasks = w.sparkSession.sparkContext.defaultParallelism
+        wide = max(1, -(-items // CANDIDATE_BLOCK))
+        blocks = max(-(-items // SEED_BLOCK), -(-2 * tasks // wide)), wide
+
+    asked = w if seeds is None else w.join(seeds.select(F.col("seed_id").alias("item_id")).distinct(), "item_id", "left_semi")
+    tiles = graph_tiles(asked, w, *blocks).repartition("seed_block", "item_block").sortWithinPartitions("seed_block", "item_block")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tile = None, _Tile()
+        for batch in batches:
+            one, two = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.r_[0, np.flatnonzero((np.diff(one) != 0) | (np.diff(two) != 0)) + 1, len(one)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a < b and (one[a], two[a]) != key:
+                    if key is not None:
+                        yield tile.best(k)
+                    key, tile = (one[a], two[a]), _Tile()
+                tile.add(*(batch.column(c).slice(a, b - a) for c in range(2, 6)))
+        if key is not None:
+            yield tile.best(k)
+
+    return ranked(tiles.mapInArrow(fold, "seed_id long, candidate_id long, score double"), "item_graph", k)
 
 
 def dot(a: Column, b: Column) -> Column:
