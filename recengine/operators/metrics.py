@@ -7,6 +7,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recengine.operators.order import percentiles
 
 def hits_at(recs: DataFrame, queries: DataFrame, ks: tuple[int, ...], key: str = "query_id") -> DataFrame:
     """key, k, hits, returned, relevant for every query and k, also where nothing was recommended."""
@@ -138,10 +139,14 @@ def lineup_overlap(a: DataFrame, b: DataFrame, limits: tuple[int, ...], queries:
 
 
 def latency_summary(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """by..., n, mean, max, p50, p95, p99 (exact, linear interpolation)."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"), p.alias("p"))
-    return out.select(*by, "n", "mean", "max", *[F.get("p", F.lit(k)).alias(n) for k, n in enumerate(("p50", "p95", "p99"))])
+    """by..., n, mean, max, p50, p95, p99 (exact, linear interpolation), whatever the size of a group."""
+    sums = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    found = percentiles(rows, value, [0.5, 0.95, 0.99], list(by))
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in by], *[F.col(f"p{k}").alias(n) for k, n in enumerate(("p50", "p95", "p99"))])
+    same = F.lit(True)
+    for c in by:
+        same = same & sums[c].eqNullSafe(found[f"_{c}"])
+    return sums.join(found, same, "left").select(*by, "n", "mean", "max", "p50", "p95", "p99")
 
 
 def component_sizes(parts: dict[str, tuple[DataFrame, int, int]]) -> DataFrame:

@@ -587,3 +587,25 @@ def t2_running_popularity(spark, d):
     clicks.write.parquet(source)
     jobs.run_popularity(spark.readStream.schema(clicks.schema).parquet(source), target, checkpoint)
     return jobs.latest_popularity(spark, target).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "item", "events")
+
+
+_CORRECTED = """
+    WITH e AS (
+      SELECT user_id, item_id, rating, ts, ord FROM interactions
+      UNION ALL SELECT user_id, item_id, 5.5 - rating, ts + 86400, ord FROM interactions WHERE ord % 7 = 0
+      UNION ALL SELECT user_id, item_id, 5.5 - rating, ts - 86400, ord FROM interactions WHERE ord % 3 = 0),
+    n AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC, ord DESC, rating DESC) = 1)
+    SELECT item_id, count(*) AS popularity FROM n WHERE rating >= 3.0 AND item_id > 0 GROUP BY item_id"""
+
+
+@query("t2_corrected_popularity", "item_id:l popularity:l", _CORRECTED, "interactions")
+def t2_corrected_popularity(spark, d):
+    """Popularity from a stream in three arrivals: later contradictions of some events come before them, and earlier ones of others at last."""
+    source, target, checkpoint = (scratch_path(spark, x) for x in ("ratings", "corrected", "corrected-state"))
+    rows = V.interactions(spark, d)
+    again = lambda n, days: rows.where(F.col("ord") % n == 0).withColumn("rating", 5.5 - F.col("rating")).withColumn("ts", F.col("ts") + days * 86_400)
+    arrivals = [again(7, 1).unionByName(rows.where("ord % 2 = 0")), rows.where("ord % 2 <> 0"), again(3, -1)]
+    for part in arrivals:
+        part.write.mode("append").parquet(source)
+        jobs.run_corrected_popularity(spark.readStream.schema(rows.schema).parquet(source), target, checkpoint)
+    return jobs.corrected_popularity(spark, target)
