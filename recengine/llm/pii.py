@@ -1,8 +1,10 @@
 """Format-preserving pseudonyms for personal numbers, dates and addresses.
 
 Values are found by pattern and validated (card check digits, IBAN length and
-remainder, octets of an IP address, calendar dates, phone formats); what fails its
-validation stays as it is. A validated value is replaced by a keyed permutation of
+remainder, octets of an IP address, calendar dates of 1900 to 2099, phone numbers with
+an assigned country code, in the North American plan or with a trunk zero); what fails
+its validation stays as it is, and so do phone numbers without a country or area code.
+Of mail addresses the ASCII letters and the digits of the local part are replaced. A validated value is replaced by a keyed permutation of
 all values of its format: its digits are one number below the size of the domain,
 which a Feistel network over two halves of the number permutes, walking on until
 the result is again in the domain and valid. The pseudonym is written as the value
@@ -34,13 +36,16 @@ ROUNDS = 8
 
 # The patterns of the formats, in the order in which they are tried.
 PATTERN = re.compile(
-    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+    r"(?P<email>(?<![\w.%+-])[\w.%+-]{1,254}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<ip>(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d.]*\d))"
     r"|(?P<date>(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/.])\d{1,2}[/.]\d{1,2}[/.]\d{4}(?![\d/]))"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Z0-9]))"
+    r"|(?P<iban>\b[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]){11,30})"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\w+])\+\d{9,14}(?!\d))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,15}(?:(?:[ ./-]|[ .-]?\(|\)[ .-]?)\d{1,12}){0,6}"
+    r"|(?<![\w+])(?<!\d[ ,./-])(?:1[ .-]?)?(?:\([2-9]\d\d\) ?[2-9]\d\d[ .-]|[2-9]\d\d-[2-9]\d\d-|[2-9]\d\d\.[2-9]\d\d\.)\d{4}(?![ ,./-]?\d)"
+    r"|(?<![\w+])(?<!\d[ ,./-])(?:\(0\d{1,4}\)[ /-]?|0\d{1,4}[ /-])\d{3,8}(?:[ -]\d{2,5}){0,2}(?![ ,./-]?\d)"
+    r"|(?<![\w+])(?<!\d[ ,./-])0[1-9](?:([ .-])\d\d)(?:\8\d\d){3}(?![ ,./-]?\d))"
 )
 # The length of an IBAN by country.
 IBAN_LENGTHS = dict(
@@ -51,6 +56,13 @@ IBAN_LENGTHS = dict(
 )
 
 
+def _mask(key: bytes, label: str, size: int, k: int, half: int, a: int) -> int:
+    """What a round adds to one half, from the other: 64 bits more than a half has."""
+    mac = hmac.new(key, f"{label}|{size}|{k}|{half}".encode(), hashlib.sha256).digest()
+    need = a.bit_length() // 8 + 9
+    return int.from_bytes(mac[:16] if need <= 16 else hashlib.shake_256(mac).digest(need), "big")
+
+
 def permute(key: bytes, label: str, value: int, size: int) -> int:
     """A keyed permutation of the numbers below ``size``: Feistel rounds over (left, right) of about equal ranges, walked until below ``size``."""
     if size < 2:
@@ -59,8 +71,7 @@ def permute(key: bytes, label: str, value: int, size: int) -> int:
     while True:
         left, right = divmod(value, a)
         for k in range(ROUNDS):
-            mac = hmac.new(key, f"{label}|{size}|{k}|{right}".encode(), hashlib.sha256).digest()
-            left, right = right, (left + int.from_bytes(mac[:16], "big")) % a
+            left, right = right, (left + _mask(key, label, size, k, right, a)) % a
         value = left * a + right
         if value < size:
             return value
@@ -74,8 +85,7 @@ def unpermute(key: bytes, label: str, value: int, size: int) -> int:
     while True:
         left, right = divmod(value, a)
         for k in reversed(range(ROUNDS)):
-            mac = hmac.new(key, f"{label}|{size}|{k}|{left}".encode(), hashlib.sha256).digest()
-            left, right = (right - int.from_bytes(mac[:16], "big")) % a, left
+            left, right = (right - _mask(key, label, size, k, left, a)) % a, left
         value = left * a + right
         if value < size:
             return value
@@ -175,9 +185,12 @@ def iban_remainder(text: str) -> int:
 
 
 def _iban(text: str, move: Move) -> str | None:
+    shown, text = text, text.upper()
     size = IBAN_LENGTHS.get(text[:2], 0)
     end = next((k + 1 for k, n in enumerate(itertools.accumulate(c != " " for c in text)) if n == size), 0)
     bare = text[:end].replace(" ", "")
+    if shown[:end] not in (text[:end], text[:end].lower()):
+        return None  # capitals and small letters mixed
     if not end or text[end : end + 1].isalnum() or iban_remainder(bare) != 1:  # words may follow
         return None
     digits = "".join(c for c in bare[4:] if c.isdigit())
@@ -186,7 +199,8 @@ def _iban(text: str, move: Move) -> str | None:
     body = fill(bare[4:], str(move(f"iban{bare[:2]}{len(digits)}", int(digits), 10 ** len(digits))).zfill(len(digits)))
     check = 98 - iban_remainder(bare[:2] + "00" + body)
     new = iter(bare[:2] + f"{check:02d}" + body)
-    return re.sub(r"\S", lambda _: next(new), text[:end])
+    out = re.sub(r"\S", lambda _: next(new), text[:end])
+    return out if shown[:end] == text[:end] else out.lower()
 
 
 def _ssn(text: str, move: Move) -> str | None:
@@ -200,13 +214,52 @@ def _ssn(text: str, move: Move) -> str | None:
             return fill(text, digits)
 
 
+def country_code(digits: str) -> str:
+    """The assigned country code that digits begin with, or nothing."""
+    one, two = digits[:1], digits[:2]
+    if one in ("1", "7"):
+        return one
+    # fixed values: the codes of two digits, and the first two digits of those of three
+    if two in "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split():
+        return two
+    if two in "21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split() and len(digits) > 2:
+        return digits[:3]
+    return ""
+
+
 def _phone(text: str, move: Move) -> str | None:
-    country = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-    head, rest = (country[0], text[country.end() :]) if country else ("", text)
-    digits = re.sub(r"\D", "", rest)
-    if not 7 <= len(digits) <= 14:
+    if not text.startswith("+"):  # the pattern is the plan; its fixed digits stay what they are
+        digits = re.sub(r"\D", "", text)
+        trunk = digits[0] == "0"
+        if trunk and not 9 <= len(digits) <= 12:
+            return None
+        own = digits[1:] if trunk or len(digits) == 11 else digits
+        kind, new = f"phone{digits[0] if own != digits else ''}n{len(own)}", int(own)
+        while True:
+            new = move(kind, new, 10 ** len(own))
+            moved = str(new).zfill(len(own))
+            if trunk or (moved[0] > "1" and moved[3] > "1"):
+                if not (trunk and moved[0] == "0"):
+                    return fill(text, digits[: len(digits) - len(own)] + moved)
+    groups = list(re.finditer(r"\d+", text))
+    digits = "".join(m[0] for m in groups)
+    code = country_code(digits)
+    if not code or len(groups) > 1 and len(groups[0][0]) < len(code):
+        return None
+    # as many groups as make a number: of ten digits with code 1 or 7, else up to twelve, ended by a long group
+    size, end, long = -len(code), None, False
+    for k, m in enumerate(groups):
+        size += len(m[0])
+        if size > 12 or long:
+            break
+        long = len(m[0]) - (len(code) if k == 0 else 0) > 5
+        if size == 10 if len(code) == 1 else size >= 7:
+            end, own = m.end(), digits[len(code) : len(code) + size]
+            if len(code) == 1:
+                break
+    if end is None or text[end - 1 : end].isdigit() and text[end : end + 1].isdigit():
         return None
-    return head + fill(rest, str(move(f"phone{head}{len(digits)}", int(digits), 10 ** len(digits))).zfill(len(digits)))
+    return fill(text[:end], code + str(move(f"phone+{code}:{len(own)}", int(own), 10 ** len(own))).zfill(len(own)))
 
 
 def _email(text: str, move: Move) -> str:
@@ -214,14 +267,14 @@ def _email(text: str, move: Move) -> str:
     # letters and digits of the local part keep their kind and place
     value, size = 0, 1
     for c in local:
-        if c.isdigit():
+        if c.isascii() and c.isdigit():
             value, size = value * 10 + int(c), size * 10
-        elif c.isalpha():
+        elif c.isalpha() and c.isascii():
             value, size = value * 26 + ord(c.lower()) - 97, size * 26
-    shape = re.sub(r"[a-z]", "a", re.sub(r"\d", "0", local.lower()))
+    shape = re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "0", re.sub(r"[A-Z]", lambda m: m[0].lower(), local)))
     value, out = move(f"email{shape}", value, size), []
     for c in reversed(local):
-        base = 10 if c.isdigit() else 26 if c.isalpha() else 1
+        base = 1 if not c.isascii() else 10 if c.isdigit() else 26 if c.isalpha() else 1
         value, d = divmod(value, base)
         out.append(c if base == 1 else str(d) if base == 10 else chr((97 if c.islower() else 65) + d))
     return "".join(reversed(out)) + "@" + domain
@@ -269,7 +322,7 @@ def after_failed(m: re.Match) -> int:
 
 _HIT = re.compile("[0-9@]")
 #: Characters of a value before its first digit or at sign: those of the local part of an address.
-BEFORE = 64
+BEFORE = 254
 
 
 def pseudonymise_texts(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
