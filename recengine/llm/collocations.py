@@ -32,7 +32,7 @@ from recengine.llm._scratch import materialize
 #: Bits of the filter over frequent pairs that tasks receive (a fixed 4 MB); beyond, more triples are counted, not less.
 FILTER_BITS = 25
 #: Most words and phrases that a task counts before it sends them on, and phrases that wait to be counted.
-WORDS, PHRASES, WAITING = 500_000, 1_500_000, 1_000_000
+WORDS, PHRASES, WAITING = 120_000, 400_000, 300_000
 #: Groups into which each language is dealt before its first rows are taken.
 SALTS = 64
 
@@ -68,7 +68,9 @@ class _Counts:
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[tuple[str, bytes], int] = {}
+        self.numbers: dict[str, dict[bytes, int]] = {}  # by language, in order of their numbers
+        self.words: list[bytes] = []
+        self.langs: list[str] = []
         self.key, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.waiting: list[np.ndarray] = []
         self.waits = 0
@@ -76,15 +78,21 @@ class _Counts:
 
     def number(self, w: _Words, at: np.ndarray) -> np.ndarray:
         """Numbers of the words at these places (all others get 0)."""
-        both = w.lang[at] * max(1, len(w.distinct)) + w.code[at]
-        distinct, back = np.unique(both, return_inverse=True)
-        own = np.array([self.numbers.setdefault((w.langs[k // len(w.distinct)], w.distinct[k % len(w.distinct)]), len(self.numbers)) for k in distinct.tolist()], np.int64)
+        size = max(1, len(w.distinct))
+        distinct, back = np.unique(w.lang[at] * size + w.code[at], return_inverse=True)
+        own = np.empty(len(distinct), np.int64)
+        for k, (lang, code) in enumerate(zip((distinct // size).tolist(), (distinct % size).tolist(), strict=True)):
+            known, word = self.numbers.setdefault(w.langs[lang], {}), w.distinct[code]
+            own[k] = known.setdefault(word, len(self.words))
+            if own[k] == len(self.words):
+                self.words.append(word)
+                self.langs.append(w.langs[lang])
         out = np.zeros(len(w.code), np.int64)
-        out[at] = own[back] if len(own) else 0
+        out[at] = own[back]
         return out
 
     def add_single(self, number: np.ndarray) -> None:
-        new = np.bincount(number, minlength=len(self.numbers))
+        new = np.bincount(number, minlength=len(self.words))
         new[: len(self.single)] += self.single
         self.single = new
 
@@ -105,20 +113,21 @@ class _Counts:
 
     @property
     def full(self) -> bool:
-        return len(self.numbers) > WORDS or len(self.key) > PHRASES
+        return len(self.words) > WORDS or len(self.key) > PHRASES
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """lang, w1, w2, w3, n of everything so far; then it is forgotten."""
         self.fold()
-        langs, texts = pa.array([k[0] for k in self.numbers], pa.string()), pa.array([k[1] for k in self.numbers], pa.binary()).cast(pa.string())
+        langs, texts = pa.array(self.langs, pa.string()), pa.array(self.words, pa.binary()).cast(pa.string())
         at = np.flatnonzero(self.single)
         for own, n, size in ((at, self.single[at], 1), (self.key, self.n, self.size)):
-            for a in range(0, len(own), 50_000):
-                part = own[a : a + 50_000]
+            for a in range(0, len(own), 20_000):
+                part = own[a : a + 20_000]
                 place = [pa.array((part >> (_BITS * (size - 1 - k))) & _MASK) for k in range(size)]
                 columns = [texts.take(p) for p in place] + [pa.nulls(len(part), pa.string())] * (3 - size)
-                yield pa.RecordBatch.from_arrays([langs.take(place[0]), *columns, pa.array(n[a : a + 50_000])], _NAMES)
+                yield pa.RecordBatch.from_arrays([langs.take(place[0]), *columns, pa.array(n[a : a + 20_000])], _NAMES)
         self.clear()
+        pa.default_memory_pool().release_unused()
 
 
 _NAMES, _SCHEMA = ["lang", "w1", "w2", "w3", "n"], "lang string, w1 string, w2 string, w3 string, n long"
