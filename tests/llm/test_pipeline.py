@@ -11,6 +11,7 @@ import pytest
 from recengine.llm import line_dedup, packing, quality
 from recengine.llm._scratch import materialize
 from test_operators import brute_components
+from test_templates import brute_leak
 from test_text_tools import brute_statistics
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
