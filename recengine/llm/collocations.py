@@ -33,8 +33,6 @@ from recengine.llm._scratch import materialize
 FILTER_BITS = 25
 #: Most words and phrases that a task counts before it sends them on, and phrases that wait to be counted.
 WORDS, PHRASES, WAITING = 120_000, 400_000, 300_000
-#: Groups into which each language is dealt before its first rows are taken.
-SALTS = 64
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -330,8 +328,12 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     kept = both.where(three | (100 * F.greatest("longest_left", "longest_right") < share * F.col("n")))
     left, right = F.when(F.col("second"), F.col("begin_two")).otherwise(F.col("begin")), F.when(F.col("second") | ~three, F.col("last")).otherwise(F.col("last_two"))
     rows = kept.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), F.col("n").alias("a"), left.alias("l"), right.alias("r"), F.when(F.col("second"), F.col("two")).otherwise(F.col("one")).cast("long").alias("score"), F.when(F.col("second"), 2).otherwise(1).alias("cut"))
+    # places are counted per range of the order, so no task sees all phrases of a language
     best = [F.desc("score"), F.desc("a"), F.col("phrase")]
-    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*best))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("rank", place("lang", "salt")).where(F.col("rank") <= top)
-    rows = rows.withColumn("rank", place("lang")).where(F.col("rank") <= top)
+    ranges = materialize(rows.repartitionByRange("lang", *best).withColumn("range", F.spark_partition_id()), "ordered")
+    sums = ranges.groupBy("lang", "range").agg(F.count(F.lit(1)).alias("own"))
+    before = F.coalesce(F.sum("own").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("lang", "range", before.alias("before")).where(F.col("before") < top)
+    place = F.col("before") + F.row_number().over(Window.partitionBy("lang", "range").orderBy(*best))
+    rows = ranges.join(sums, ["lang", "range"]).withColumn("rank", place).where(F.col("rank") <= top)
     return rows.join(words_of, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("words").alias("n"), "score", "cut")
