@@ -155,6 +155,41 @@ def search(catalog: DataFrame, text: str, limit: int = 20, page: int = 1) -> Dat
     return _page(rows.orderBy(F.desc(title.startswith(wanted)), F.desc_nulls_last("popularity_score"), "item_id"), limit, page)
 
 
+def title_index(catalog: DataFrame) -> DataFrame:
+    """gram, item_id: the distinct runs of one to three characters of the lower-cased titles of displayable rows.
+
+    Write it with ``write_title_index``; then a search reads the postings of its own grams only.
+    """
+    title = F.lower("title")
+    places = F.sequence(F.lit(1), F.length(title))
+    grams = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*[F.substring(title, i, F.lit(n)) for n in (1, 2, 3)]))))
+    return displayable(catalog).where(F.length("title") > 0).select(F.explode(grams).alias("gram"), "item_id")
+
+
+def write_title_index(catalog: DataFrame, path: str) -> None:
+    """The index in ranges of grams, sorted within files, so that statistics of row groups leave all other grams unread."""
+    title_index(catalog).repartitionByRange("gram", "item_id").sortWithinPartitions("gram", "item_id").write.mode("overwrite").parquet(path)
+
+
+def search_index(index: DataFrame, catalog: DataFrame, text: str, limit: int = 20, page: int = 1) -> DataFrame:
+    """The page of ``search``, by way of the postings of a written title index.
+
+    Items that hold all grams of the text are counted out of the postings; only their
+    titles are then tested for the text itself. A text of one or two characters is a
+    gram itself, so its postings are the answer; an empty one is an error.
+    """
+    wanted = text.strip().lower()
+    if not wanted:
+        raise ValueError("a search needs a character")
+    size = min(3, len(wanted))
+    grams = sorted({wanted[i : i + size] for i in range(len(wanted) - size + 1)})
+    held = index.where(F.col("gram").isin(grams)).groupBy("item_id").agg(F.count(F.lit(1)).alias("grams"))
+    candidates = catalog.join(held.where(F.col("grams") == len(grams)).select("item_id"), "item_id", "left_semi")
+    title = F.lower("title")
+    rows = displayable(candidates).where(title.contains(wanted))
+    return _page(rows.orderBy(F.desc(title.startswith(wanted)), F.desc_nulls_last("popularity_score"), "item_id"), limit, page)
+
+
 def lookup(catalog: DataFrame, ids: DataFrame) -> DataFrame:
     """Catalog rows of these ids; ids without a row are left out."""
     return catalog.join(ids.select("item_id").distinct(), "item_id", "left_semi")

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from recengine.sources.scratch import written
 
-#: Most vectors of one block of the exact search, and least query vectors where there are enough tasks.
-BLOCK_ROWS, LEAST_QUERY_ROWS = 16_384, 512
+#: Vectors of a block of the exact search, about, most blocks, and least query vectors of a chunk where there are enough tasks.
+BLOCK_ROWS, MOST_BLOCKS, LEAST_QUERY_ROWS = 4096, 1024, 512
 #: Items of a block of seeds and of candidates of the graph, about, and pairs that a task makes at a time.
 SEED_BLOCK, CANDIDATE_BLOCK, TILE_PAIRS = 4096, 65_536, 1 << 21
 _DIGITS = 9
@@ -164,39 +164,17 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
 
 
-def nearest(vectors: DataFrame, k: int, source: str, metric: str = "cosine", queries: DataFrame | None = None, id_col: str = "item_id", vector_col: str = "vector") -> DataFrame:
-    """Exact k nearest vectors of each query vector (all by default), the vector itself left out.
-
-    Both sides are dealt out to blocks; every pair of blocks is one matrix product
-    in a task, which gives the k best of each query in the block, and the best of
-    these are ranked. A row is copied once for each block of the other side, so what
-    is shuffled is rows x rows / BLOCK_ROWS, and what is computed all pairs, as an
-    exact search has to. ``metric`` is cosine or inner (product).
-    """
-    same = queries is None
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    asked = base if same else queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    n = vectors.count()
-    n_asked = n if same else queries.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    tasks = vectors.sparkSession.sparkContext.defaultParallelism
-    q_blocks = max(1, -(-n_asked // BLOCK_ROWS), min(tasks, n_asked // LEAST_QUERY_ROWS))
-    deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
-    left = asked.select("id", "v", deal(q_blocks, 1).alias("qb")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("query", F.lit(True))
-    right = base.select("id", "v", deal(blocks, 2).alias("bb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).withColumn("query", F.lit(False))
-    rows = left.select("qb", "bb", "query", "id", "v").unionByName(right.select("qb", "bb", "query", "id", "v"))
+def _best_pairs(placed: DataFrame, k: int) -> DataFrame:
+    """seed_id, candidate_id, score: for each (block, part, chunk) the k best of its rows for each of its queries, one matrix product."""
 
     def search(group: pa.Table) -> pa.Table:
         is_query = group["query"].to_numpy(zero_copy_only=False)
         ids = group["id"].to_numpy()
         matrix = group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        if metric == "cosine":
-            norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-            matrix = np.divide(matrix, norms, out=matrix.copy(), where=norms > 0)
-        q_ids, b_ids, items = ids[is_query], ids[~is_query], matrix[~is_query].T
+        q_ids, b_ids, items, asked = ids[is_query], ids[~is_query], matrix[~is_query].T, matrix[is_query]
         out_q, out_b, out_s = [], [], []
         for a in range(0, len(q_ids), 512):
-            scores = np.round(matrix[is_query][a : a + 512] @ items, _DIGITS) if len(b_ids) else np.zeros((len(q_ids[a : a + 512]), 0))
+            scores = np.round(asked[a : a + 512] @ items, _DIGITS) if len(b_ids) else np.zeros((len(q_ids[a : a + 512]), 0))
             for i, row in enumerate(scores):
                 best = np.lexsort((b_ids, -row)) if len(row) <= 2 * k + 2 else None
                 if best is None:  # all at least as good as the (k + 1)-th, then in order
@@ -208,8 +186,129 @@ def nearest(vectors: DataFrame, k: int, source: str, metric: str = "cosine", que
         flat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
         return pa.table({"seed_id": flat(out_q, pa.int64()), "candidate_id": flat(out_b, pa.int64()), "score": flat(out_s, pa.float64())})
 
-    best = rows.groupBy("qb", "bb").applyInArrow(search, "seed_id long, candidate_id long, score double")
-    return ranked(best, source, k)
+    return placed.groupBy("block", "part", "chunk").applyInArrow(search, "seed_id long, candidate_id long, score double")
+
+
+def _met(visitors: DataFrame, base: DataFrame, sizes: DataFrame, per_chunk: int) -> DataFrame:
+    """Rows of ``base`` (block, part, id, v) and visitors of a block (block, id, v), these in chunks, each of them with every part."""
+    chunks = visitors.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / per_chunk).cast("int").alias("chunks"))
+    plan = written(chunks.join(sizes, "block").select("block", "chunks", "parts"), "search-blocks")  # one row a block
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    there = base.join(plan.select("block", "chunks"), "block").withColumn("chunk", every("chunks"))
+    here = visitors.join(plan, "block").withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("chunks")).cast("int")).withColumn("part", every("parts"))
+    columns = lambda d, query: d.select("block", "part", "chunk", F.lit(query).alias("query"), "id", "v")
+    return columns(here, True).unionByName(columns(there, False))
+
+
+def nearest(
+    vectors: DataFrame,
+    k: int,
+    source: str,
+    metric: str = "cosine",
+    queries: DataFrame | None = None,
+    id_col: str = "item_id",
+    vector_col: str = "vector",
+    work: list[DataFrame] | None = None,
+) -> DataFrame:
+    """Exact k nearest vectors of each query vector (all by default), the vector itself left out.
+
+    Vectors lie in blocks around pivots, at most MOST_BLOCKS of them; a block has a
+    radius. A query first searches the block of its own pivot. Its product with any
+    vector of another block is at most that with the pivot and its length times the
+    radius, so it then visits only blocks that may beat, or tie with, the k-th score
+    it has. A visit is a part of a matrix product in a task, whose rows and queries are
+    bounded: large blocks are cut into parts, many visitors into chunks. Vectors in
+    clusters are so compared with few others; with none, all pairs are computed, as an
+    exact search then has to. ``metric`` is cosine or inner (product). ``work`` gets two
+    tables (block, queries, rows): the visits of either step.
+    """
+
+    def prepared(d: DataFrame) -> DataFrame:
+        v = F.col(vector_col).cast("array<double>")
+        return d.select(F.col(id_col).cast("long").alias("id"), (l2_normalize(v) if metric == "cosine" else v).alias("v"))
+
+    base = prepared(vectors)
+    asked = base if queries is None else prepared(queries)
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism
+    n = vectors.count()
+    blocks = max(1, min(MOST_BLOCKS, n // BLOCK_ROWS))
+    if blocks > 1:
+        base = written(base, "search-vectors")
+        if queries is None:
+            asked = base
+        some = base.orderBy(F.xxhash64(F.lit(5), "id"), "id").select("v").limit(4 * blocks).collect()  # 4 * MOST_BLOCKS at most
+        pivots = _apart(np.array([r["v"] for r in some]), blocks)
+        base = written(_assigned(base, pivots), "search-base")
+        asked = base if queries is None else written(_assigned(asked, pivots), "search-queries")
+    else:
+        base, asked = (d.select(F.lit(0).alias("block"), F.lit(0.0).alias("away"), "id", "v") for d in (base, asked))
+    stats = written(base.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")), "search-sizes")
+    sizes = stats.select("block", F.ceil(F.col("n") / (4 * BLOCK_ROWS)).cast("int").alias("parts"))
+    base = base.join(F.broadcast(sizes), "block").select("block", F.pmod(F.xxhash64(F.lit(2), "id"), F.col("parts")).cast("int").alias("part"), "id", "v")  # MOST_BLOCKS rows
+    per_chunk = max(LEAST_QUERY_ROWS, min(4 * BLOCK_ROWS, n // max(1, tasks)))
+    first = _best_pairs(_met(asked.select("block", "id", "v"), base, sizes, per_chunk), k)
+    if work is not None:
+        counted = lambda d: d.groupBy("block").agg(F.count(F.lit(1)).alias("queries")).join(stats.select("block", F.col("n").alias("rows")), "block")
+        work.append(counted(asked))
+    if blocks == 1:
+        return ranked(first, source, k)
+    first = written(ranked(first, source, k), "search-own")
+    floors = first.groupBy(F.col("seed_id").alias("id")).agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("floor"))
+    floors = floors.select("id", F.when(F.col("found") >= k, F.col("floor")).alias("floor"))
+    radii = np.full(blocks, -1.0)
+    for r in stats.collect():  # MOST_BLOCKS at most
+        radii[r["block"]] = r["radius"]
+    visits = written(_visits(asked.join(floors, "id", "left"), pivots, radii), "search-visits")
+    if work is not None:
+        work.append(counted(visits))
+    more = _best_pairs(_met(visits, base, sizes, per_chunk), k)
+    return ranked(first.select("seed_id", "candidate_id", "score").unionByName(more), source, k)
+
+
+def _matrix_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _apart(points: np.ndarray, n: int) -> np.ndarray:
+    """``n`` of the points, each the one farthest from those before."""
+    chosen, away = [0], np.linalg.norm(points - points[0], axis=1)
+    while len(chosen) < min(n, len(points)):
+        chosen.append(int(np.argmax(away)))
+        away = np.minimum(away, np.linalg.norm(points - points[chosen[-1]], axis=1))
+    return points[chosen]
+
+
+def _assigned(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """block, away, id, v: the nearest pivot of each vector and its distance."""
+    squares = (pivots**2).sum(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v = _matrix_of(batch, "v")
+                block = np.argmin(squares - 2 * (v @ pivots.T), axis=1)
+                away = np.linalg.norm(v - pivots[block], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(away), *(batch.column(batch.schema.get_field_index(c)) for c in ("id", "v"))], ["block", "away", "id", "v"])
+
+    return rows.select("id", "v").mapInArrow(run, "block int, away double, id long, v array<double>")
+
+
+def _visits(asked: DataFrame, pivots: np.ndarray, radii: np.ndarray) -> DataFrame:
+    """block, id, v: the blocks but its own that may hold one of the best of a query; floor null: all that hold any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v = _matrix_of(batch, "v")
+                own, floor = batch.column(0).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+                most = v @ pivots.T + np.linalg.norm(v, axis=1)[:, None] * np.maximum(radii, 0)
+                able = (most * (1 + 1e-9) + 1e-7 >= np.nan_to_num(floor, nan=-np.inf)[:, None]) | (most + 1e-7 >= np.nan_to_num(floor, nan=-np.inf)[:, None])
+                able[:, radii < 0] = False
+                able[np.arange(len(own)), own] = False
+                query, block = np.nonzero(able)
+                yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), batch.column(1).take(pa.array(query)), batch.column(2).take(pa.array(query))], ["block", "id", "v"])
+
+    return asked.select("block", "id", "v", "floor").mapInArrow(run, "block int, id long, v array<double>")
 
 
 def truncate(neighbors: DataFrame, depth: int) -> DataFrame:

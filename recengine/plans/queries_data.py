@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,6 +113,26 @@ def s10_table_fingerprint(spark, d):
     return a.join(F.broadcast(b)).join(F.broadcast(c)).select("rows", (F.col("content") == F.col("b")).alias("same_in_any_order"), (F.col("content") != F.col("c")).alias("other_differs"))
 
 
+@query(
+    "s10_changed_parts",
+    "part:s status:s rows:l read:l",
+    "SELECT concat('n=', substr(o_orderpriority, 1, 1)) AS part, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'changed' WHEN '2' THEN 'removed' WHEN '3' THEN 'touched' ELSE 'same' END AS status, count(*) AS rows, "
+    "CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '3') THEN 1 ELSE 0 END AS read FROM orders GROUP BY ALL UNION ALL SELECT 'n=9', 'added', count(*), 1 FROM orders WHERE o_orderpriority LIKE '5%'",
+)
+def s10_changed_parts(spark, d):
+    """A table by order priority, against the fingerprints of its files from before: one part was changed, one went, one was written anew, one came."""
+    path, orders = scratch_path(spark, "orders"), table(spark, d, "orders").withColumn("n", F.substring("o_orderpriority", 1, 1))
+    orders.repartition("n").write.partitionBy("n").parquet(path)
+    known = written(IO.file_fingerprints(spark, path), "fingerprints")
+    of = lambda n: orders.where(F.col("n") == n).drop("n").repartition(1)
+    dearer = of("1").withColumn("o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderkey") % 50 < 25, 1.0).otherwise(0.0))
+    dearer.write.mode("overwrite").parquet(f"{path}/n=1")
+    IO.remove(spark, f"{path}/n=2")
+    of("3").write.mode("overwrite").parquet(f"{path}/n=3")
+    of("5").write.parquet(f"{path}/n=9")
+    return IO.changed_parts(spark, path, known)
+
+
 @query("s11_write_manifest", "name:s rows:l columns:l settings:s", "SELECT 'positives' AS name, count(*) AS rows, 5 AS columns, '{\"threshold\":\"3.0\"}' AS settings FROM pos", "pos")
 def s11_write_manifest(spark, d):
     return IO.manifest("positives", V.positives(spark, d), threshold=3.0)
@@ -694,6 +717,26 @@ def c8_search(spark, d):
     return C.search(V.catalog(spark, d), " RO ", 40)
 
 
+@query(
+    "c8_search_index",
+    "search:s item_id:l title:s",
+    " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{t}' AS search, item_id, title FROM catalog WHERE poster_path IS NOT NULL AND NOT adult AND contains(lower(title), '{t}') "
+        f"ORDER BY starts_with(lower(title), '{t}') DESC, popularity_score DESC, item_id LIMIT 25)"
+        for t in ("g", "ro", "widget", "ed wid")
+    ),
+    "catalog",
+)
+def c8_search_index(spark, d):
+    """Searches of one, two and more letters through the written index of titles."""
+    path = scratch_path(spark, "title-index")
+    catalog = V.catalog(spark, d)
+    C.write_title_index(catalog, path)
+    index = spark.read.parquet(path)
+    pages = [C.search_index(index, catalog, t, 25).select(F.lit(t).alias("search"), "item_id", "title") for t in ("g", "ro", "widget", "ed wid")]
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query("c9_lookup", "item_id:l title:s", "SELECT item_id, title FROM catalog WHERE item_id IN (SELECT item_id FROM stream)", "catalog", "stream")
 def c9_lookup(spark, d):
     return C.lookup(V.catalog(spark, d), V.events(spark, d))

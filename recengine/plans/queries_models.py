@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +82,16 @@ def k3_l2_normalize(spark, d):
     return V.vectors(spark, d).select("item_id", F.posexplode(N.l2_normalize(F.col("vector"))).alias("dim", "x"))
 
 
+@query("k1_search_work", "step:l queries:l products:l all_pairs:l")
+def k1_search_work(spark, d):
+    """How many products the exact search of the vectors takes, by step, of all pairs."""
+    v, work = V.vectors(spark, d), []
+    N.nearest(v, 20, "content", work=work).write.format("noop").mode("overwrite").save()
+    n = v.count()
+    step = lambda k, w: w.agg(F.lit(k).alias("step"), F.coalesce(F.sum("queries"), F.lit(0)).alias("queries"), F.coalesce(F.sum(F.col("queries") * F.col("rows")), F.lit(0)).alias("products"), F.lit(n * n).alias("all_pairs"))
+    return reduce(DataFrame.unionByName, [step(k, w) for k, w in enumerate(work)])
+
+
 @query("k6_neighbors_of_seeds", "seed_id:l candidate_id:l rank:l", "SELECT seed_id, candidate_id, rank FROM graph WHERE seed_id IN (SELECT seed_id FROM seeds)", "graph", "seeds")
 def k6_neighbors_of_seeds(spark, d):
     seeds = K.query_seeds(V.validation_queries(spark, d)).select("seed_id").distinct()
@@ -424,7 +436,6 @@ def _text_catalog(spark, d) -> DataFrame:
 
 
 @query("m3_tfidf_weights", "item_id:l term:s weight:d", _TERMS)
-@query("m4_tfidf", "item_id:l term:s weight:d", _TERMS)
 def m3_tfidf_weights(spark, d):
     return X.tfidf(X.documents(_text_catalog(spark, d), {"lang": 1, "overview": 1}), 5, 300)
 
@@ -435,10 +446,51 @@ def m3_tfidf_weights_50k(spark, d):
     return X.tfidf(X.documents(_text_catalog(spark, d), {"lang": 1, "overview": 1}), 2, 50_000)
 
 
-@query("m3_fit_content", "item_id:l length:d")
+_SIX_FIELDS = {"title": 1, "overview": 1, "genres": 1, "keywords": 1, "top_cast": 1, "director": 1}
+
+
+def _six_field_catalog(spark, d) -> DataFrame:
+    """Parts with an item of ``documents`` as their text: the six fields of the plain TF-IDF retriever, some of them null."""
+    k, text = F.col("p_partkey"), table(spark, d, "documents").select(F.col("doc_id").alias("p_partkey"), F.col("text").alias("overview"), "lang", "source")
+    parts = table(spark, d, "part").join(text, "p_partkey")
+    return parts.select(
+        k.alias("item_id"), F.col("p_name").alias("title"), "overview", F.array("p_type", "p_brand").alias("genres"), F.when(k % 3 != 0, F.array("lang", "source")).alias("keywords"),
+        F.array(F.concat(F.lit("Actor "), (k % 97).cast("string")), F.concat(F.lit("actor"), (k % 89).cast("string"))).alias("top_cast"), F.when(k % 5 != 0, F.concat(F.lit("Dir "), (k % 41).cast("string"))).alias("director"),
+    )
+
+
+def _token_sql(field: str, x: str) -> str:
+    bare = f"regexp_replace(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]', '_', 'g'), '^_+|_+$', '', 'g')"
+    return f"CASE WHEN coalesce({bare}, '') = '' THEN '' ELSE concat('{field}_', {bare}) END"
+
+
+def _tokens_sql(field: str) -> str:
+    return f"coalesce(array_to_string(list_transform(list_filter({field}, lambda x: x IS NOT NULL AND x <> ''), lambda x: {_token_sql(field, 'x')}), ' '), '')"
+
+
+_SIX_FIELD_TERMS = f"""
+    WITH p AS (
+      SELECT p_partkey AS item_id, p_name AS title, text AS overview, [p_type, p_brand] AS genres, CASE WHEN p_partkey % 3 <> 0 THEN [lang, source] END AS keywords,
+             [concat('Actor ', p_partkey % 97), concat('actor', p_partkey % 89)] AS top_cast, CASE WHEN p_partkey % 5 <> 0 THEN concat('Dir ', p_partkey % 41) END AS director
+      FROM part JOIN documents ON doc_id = p_partkey),
+    dd AS (
+      SELECT item_id, lower(concat_ws(' ', coalesce(title, ''), coalesce(overview, ''), {_tokens_sql("genres")}, {_tokens_sql("keywords")}, {_tokens_sql("top_cast")}, {_token_sql("director", "director")})) AS t
+      FROM p), """ + _TERMS[_TERMS.index("c AS (SELECT") :].replace(">= 5", ">= 2").replace("LIMIT 300", "LIMIT 50000")
+
+
+@query("m4_tfidf", "item_id:l term:s weight:d", _SIX_FIELD_TERMS)
+def m4_tfidf(spark, d):
+    """The plain TF-IDF retriever's rows: its six fields, terms of two items at least, 50,000 of them."""
+    return X.tfidf(X.documents(_six_field_catalog(spark, d), _SIX_FIELDS), 2, 50_000)
+
+
+@query("m3_fit_content", "item_a:l item_b:l product:f")
 def m3_fit_content(spark, d):
+    """Inner products of the vectors of neighbouring documents, by id: those of copies are 1, those of other languages near 0."""
     vectors = X.fit_content(_text_catalog(spark, d), {"lang": 2, "source": 1, "overview": 1}).vectors(_text_catalog(spark, d))
-    return vectors.select("item_id", F.sqrt(N.dot(F.col("vector"), F.col("vector"))).alias("length"))
+    vectors = written(vectors, "content-vectors")
+    other = vectors.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("item_b"), F.col("vector").alias("other"))
+    return vectors.join(other, "item_id").select(F.col("item_id").alias("item_a"), "item_b", N.dot(F.col("vector"), F.col("other")).alias("product"))
 
 
 @query("m9_k4_embed_unseen", "seed_id:l candidate_id:l score:f rank:l")
@@ -449,6 +501,24 @@ def m9_k4_embed_unseen(spark, d):
     return N.nearest(known, 5, "content", queries=unseen)
 
 
+@query(
+    "m11_cold_start",
+    "request_id:s shown:l known:l seeds:l best_rank:l",
+    "SELECT CAST(doc_id AS VARCHAR) AS request_id, 10 AS shown, 10 AS known, 0 AS seeds, 1 AS best_rank FROM documents WHERE doc_id % 10 = 0 AND (lang IS NOT NULL OR source IS NOT NULL)",
+)
+def m11_cold_start(spark, d):
+    """Line-ups for requests whose only seed has no trained vector: every seed with a known term gets ten known items, none of them the seed."""
+    c = _text_catalog(spark, d)
+    model = X.fit_content(c.where("item_id % 10 <> 0"), {"lang": 2, "source": 1, "overview": 1}, dim=64)
+    known = written(model.vectors(c.where("item_id % 10 <> 0")), "known")
+    moved = written(c.where("item_id % 10 = 0").select(F.col("item_id").cast("string").alias("request_id"), F.array(F.col("item_id") + 1).alias("seeds")), "requests")  # seeds are positive
+    shift = lambda v: v.withColumn("item_id", F.col("item_id") + 1)
+    unseen = L.unseen_seed_neighbors(moved, shift(c), model, shift(known), 30)
+    best = L.recommend(moved, unseen, shift(known).select("item_id", F.lit(1).cast("long").alias("popularity")), lambda f: f.withColumn("score", M.rrf_scores(f)), 10)
+    shown = best.join(shift(known).select(F.col("item_id").alias("candidate_id"), F.lit(1).alias("known")), "candidate_id", "left").join(moved, "request_id")
+    return shown.groupBy("request_id").agg(F.count(F.lit(1)).alias("shown"), F.count("known").alias("known"), F.count_if(F.array_contains("seeds", F.col("candidate_id"))).alias("seeds"), F.min("rank").alias("best_rank"))
+
+
 @query(
     "m8_quantize_vectors",
     "item_id:l dim:l code:l",

@@ -18,6 +18,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, through the cluster's file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def read_raw_csv(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The four raw files as text columns named as in their headers; a missing file or column is an error.
 
@@ -127,6 +133,69 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("content"))
 
 
+def _files(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:
+    """Size and time of change of each data file below a path, from the file system alone."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, out = system.makeQualified(root).toUri().getPath().rstrip("/"), {}
+    found = system.listFiles(root, True)
+    while found.hasNext():
+        f = found.next()
+        name = f.getPath().toUri().getPath()[len(base) + 1 :]
+        if not any(part.startswith(("_", ".")) for part in name.split("/")):
+            out[name] = (f.getLen(), f.getModificationTime())
+    return out
+
+
+_FILE = "file string, size long, changed long"
+
+
+def file_fingerprints(spark: SparkSession, path: str, only: list[str] | None = None) -> DataFrame:
+    """file, size, changed, rows, content of the Parquet files below a path: the fingerprint of each file, which add up to the table's.
+
+    ``only``: names of the files to read (all by default). Their rows are hashed in one
+    job; a file without rows has content 0.
+    """
+    listed = {f: x for f, x in _files(spark, path).items() if only is None or f in only}
+    files = spark.createDataFrame([(f, *x) for f, x in sorted(listed.items())], _FILE)
+    if not listed:
+        return files.withColumn("rows", F.lit(0).cast("long")).withColumn("content", F.lit("0"))
+    read = spark.read.option("basePath", path).parquet(*[f"{path.rstrip('/')}/{f}" for f in sorted(listed)])
+    own = set(spark.read.parquet(f"{path.rstrip('/')}/{min(listed)}").columns)  # without what folders are named for
+    row = F.xxhash64(*[F.col(c) for c in sorted(own)]).cast("decimal(38,0)")
+    hashed = read.groupBy(F.col("_metadata.file_path").alias("where")).agg(F.count(F.lit(1)).alias("rows"), F.sum(row).cast("string").alias("content"))
+    hashed = hashed.withColumn("where", F.url_decode(F.regexp_replace("where", r"\+", "%2B")))
+    joined = files.join(hashed, F.endswith("where", F.concat(F.lit("/"), "file")), "left")  # one row a file on either side
+    return joined.select("file", "size", "changed", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("content", F.lit("0")).alias("content"))
+
+
+def table_content(files: DataFrame) -> DataFrame:
+    """rows, content of the whole table from the fingerprints of its files, as ``fingerprint`` gives them."""
+    return files.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("content").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("content"))
+
+
+def changed_parts(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
+    """part, status (same, touched, changed, added or removed), rows, read: the folders of files below a path against ``known`` fingerprints of files.
+
+    Only files that are new, or whose size or time of change differs, are read; ``read``
+    counts them. A part whose files are others but hold the same rows is ``touched``.
+    """
+    before = {r["file"]: r for r in known.collect()}  # one row a file
+    now = _files(spark, path)
+    suspects = [f for f, x in now.items() if f not in before or (before[f]["size"], before[f]["changed"]) != x]
+    fresh = {r["file"]: r for r in file_fingerprints(spark, path, suspects).collect()}
+    of = lambda names: {p: [f for f in names if f.rpartition("/")[0] == p] for p in {f.rpartition("/")[0] for f in names}}
+    old, new, rows = of(before), of(now), []
+    total = lambda found: (sum(r["rows"] for r in found), sum(int(r["content"]) for r in found))
+    for p in sorted({*old, *new}):
+        was, is_ = total([before[f] for f in old.get(p, [])]), total([fresh.get(f) or before[f] for f in new.get(p, [])])
+        read = sum(f in fresh for f in new.get(p, []))
+        moved = read or set(old.get(p, [])) != set(new.get(p, []))
+        status = "removed" if p not in new else "added" if p not in old else "same" if not moved else "touched" if was == is_ else "changed"
+        rows.append((p, status, was[0] if p not in new else is_[0], read))
+    return spark.createDataFrame(rows, "part string, status string, rows long, read long")
+
+
 def manifest(name: str, df: DataFrame, **config: str) -> DataFrame:
     """One row: name, rows, columns, content and the settings as JSON."""
     settings = F.to_json(F.create_map(*[x for k in sorted(config) for x in (F.lit(k), F.lit(str(config[k])))])) if config else F.lit("{}")
