@@ -67,6 +67,13 @@ def s5_user_partitioned_write(spark, d):
     return files.agg(F.count(F.lit(1)).alias("users"), F.count_if(F.col("files") == 1).alias("users_in_one_file"))
 
 
+@query("s5_bucketed_split", "user_id:l item_id:l rating:d ts:l part:s", "SELECT user_id, item_id, rating, ts, part FROM split", "split")
+def s5_bucketed_split(spark, d):
+    """The split from a table bucketed by user: latest events, positions and cuts without a further shuffle."""
+    events = IO.write_bucketed(V.interactions(spark, d), scratch_path(spark, "events-by-user"), "user_id", 8, ("ts",))
+    return P.split_per_user(P.positives(events))
+
+
 @query("s6_compact_parts", "files:l rows:l", "SELECT 1 AS files, count(*) AS rows FROM interactions", "interactions")
 def s6_compact_parts(spark, d):
     parts, whole = scratch_path(spark, "parts"), scratch_path(spark, "whole")

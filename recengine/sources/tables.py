@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,28 @@ def write_by_user(df: DataFrame, path: str, parts: int, mode: str = "errorifexis
     write_table(df.repartition(parts, "user_id"), path, mode)
 
 
+def write_bucketed(df: DataFrame, path: str, by: str, buckets: int, order: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` as a table of ``buckets`` buckets by a hash of ``by``, each sorted by it and ``order``; the table is read back.
+
+    Windows, aggregates and joins on ``by`` of tables with equally many buckets need no
+    shuffle any more: the one that writes the buckets is the last. The table is known to
+    this session under a name made from the path, which ``drop_bucketed`` forgets.
+    """
+    name = bucketed_name(path)
+    df.repartition(buckets, by).write.format("parquet").bucketBy(buckets, by).sortBy(by, *order).option("path", path).mode("overwrite").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def bucketed_name(path: str) -> str:
+    return "bucketed_" + re.sub(r"\W", "_", path.rstrip("/").rsplit("/", 1)[-1])
+
+
+def drop_bucketed(spark: SparkSession, path: str) -> None:
+    """Forget a bucketed table and delete its files."""
+    spark.sql(f"DROP TABLE IF EXISTS {bucketed_name(path)}")
+    remove(spark, path)
+
+
 def compact(spark: SparkSession, pattern: str, path: str, files: int = 1) -> int:
     """Rewrite the part files of ``pattern`` as ``files`` files; the row count. No part or no row is an error."""
     df = spark.read.parquet(pattern)
