@@ -22,6 +22,11 @@ def negative_weights(counts: DataFrame, power: float = 0.75) -> DataFrame:
     return raw.join(F.broadcast(raw.agg(F.sum("w").alias("total")))).select("item_id", (F.col("w") / F.col("total")).alias("weight"))
 
 
+def feature_names(sources: tuple[str, ...] = SOURCES) -> list[str]:
+    """The feature contract: names in order."""
+    return ["source_count", *(f"{s}_{kind}" for s in sources for kind in ("rank", "rr")), "popularity", "log_popularity"]
+
+
 def feature_columns(sources: tuple[str, ...] = SOURCES) -> dict[str, Column]:
     """Name to expression, in the order of the feature contract."""
     out = {"source_count": F.col("source_count").cast("float")}

@@ -41,8 +41,11 @@ def _graph_recs(spark, d) -> tuple[DataFrame, DataFrame]:
 @query(
     "flagship_recall",
     "queries:l recommended:l hits:l recall:d hit_rate:d precision:d",
-    f"SELECT count(*) AS queries, sum(n) AS recommended, sum(h) AS hits, avg(h / r) AS recall, avg(CASE WHEN h > 0 THEN 1.0 ELSE 0 END) AS hit_rate, avg(h / 10) AS precision FROM (SELECT q.query_id, CAST(len(q.truth) AS DOUBLE) AS r, count(x.candidate_id) AS n, CAST(count(t.candidate_id) AS DOUBLE) AS h "
-    f"FROM validation_queries q LEFT JOIN ({_REC10}) x USING (query_id) LEFT JOIN truth t ON t.query_id = x.query_id AND t.candidate_id = x.candidate_id GROUP BY 1, 2)",
+    "SELECT count(*) AS queries, sum(n) AS recommended, sum(h) AS hits, avg(h / r) AS recall, avg(CASE WHEN h > 0 THEN 1.0 "
+    "ELSE 0 END) AS hit_rate, avg(h / 10) AS precision FROM (SELECT q.query_id, CAST(len(q.truth) AS DOUBLE) AS r, count(x.candidate_id) "
+    "AS n, CAST(count(t.candidate_id) AS DOUBLE) AS h "
+    f"FROM validation_queries q LEFT JOIN ({_REC10}) x USING (query_id) LEFT JOIN truth t ON t.query_id = x.query_id AND t.candidate_id "
+    "= x.candidate_id GROUP BY 1, 2)",
     "validation_queries", "source_ranks", "truth",
 )
 def flagship_recall(spark, d):
@@ -72,12 +75,26 @@ def k2_topk_cosine(spark, d):
     return V.content_neighbors(spark, d)
 
 
-@query("k1_topk_inner_product", "seed_id:l candidate_id:l score:f rank:l", "SELECT seed_id, candidate_id, score, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, candidate_id) AS rank FROM (SELECT a.item_id AS seed_id, b.item_id AS candidate_id, round(list_inner_product(a.vector, b.vector), 9) AS score FROM vectors a JOIN vectors b ON a.item_id <> b.item_id) QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, candidate_id) <= 20", "vectors")
+@query(
+    "k1_topk_inner_product",
+    "seed_id:l candidate_id:l score:f rank:l",
+    "SELECT seed_id, candidate_id, score, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, candidate_id) AS rank "
+    "FROM (SELECT a.item_id AS seed_id, b.item_id AS candidate_id, round(list_inner_product(a.vector, b.vector), 9) AS score "
+    "FROM vectors a JOIN vectors b ON a.item_id <> b.item_id) QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY score "
+    "DESC, candidate_id) <= 20",
+    "vectors",
+)
 def k1_topk_inner_product(spark, d):
     return N.nearest(V.vectors(spark, d), 20, "als", "inner")
 
 
-@query("k3_l2_normalize", "item_id:l dim:l x:d", "SELECT item_id, unnest(range(len(vector))) AS dim, unnest(vector) / sqrt(list_inner_product(vector, vector)) AS x FROM vectors", "vectors")
+@query(
+    "k3_l2_normalize",
+    "item_id:l dim:l x:d",
+    "SELECT item_id, unnest(range(len(vector))) AS dim, unnest(vector) / sqrt(list_inner_product(vector, vector)) AS x FROM "
+    "vectors",
+    "vectors",
+)
 def k3_l2_normalize(spark, d):
     return V.vectors(spark, d).select("item_id", F.posexplode(N.l2_normalize(F.col("vector"))).alias("dim", "x"))
 
@@ -92,7 +109,13 @@ def k1_search_work(spark, d):
     return reduce(DataFrame.unionByName, [step(k, w) for k, w in enumerate(work)])
 
 
-@query("k6_neighbors_of_seeds", "seed_id:l candidate_id:l rank:l", "SELECT seed_id, candidate_id, rank FROM graph WHERE seed_id IN (SELECT seed_id FROM seeds)", "graph", "seeds")
+@query(
+    "k6_neighbors_of_seeds",
+    "seed_id:l candidate_id:l rank:l",
+    "SELECT seed_id, candidate_id, rank FROM graph WHERE seed_id IN (SELECT seed_id FROM seeds)",
+    "graph",
+    "seeds",
+)
 def k6_neighbors_of_seeds(spark, d):
     seeds = K.query_seeds(V.validation_queries(spark, d)).select("seed_id").distinct()
     return N.item_graph(V.train(spark, d), DEPTH, seeds=seeds)
@@ -106,7 +129,14 @@ def k8_query_subset(spark, d):
 # --- candidates ---
 
 
-@query("j4_seed_neighbors", "query_id:s source:s seed_id:l candidate_id:l rank:l", "SELECT s.query_id, n.source, s.seed_id, n.candidate_id, n.rank FROM seeds s JOIN neighbors n ON n.seed_id = s.seed_id WHERE n.rank <= 10", "seeds", "neighbors")
+@query(
+    "j4_seed_neighbors",
+    "query_id:s source:s seed_id:l candidate_id:l rank:l",
+    "SELECT s.query_id, n.source, s.seed_id, n.candidate_id, n.rank FROM seeds s JOIN neighbors n ON n.seed_id = s.seed_id "
+    "WHERE n.rank <= 10",
+    "seeds",
+    "neighbors",
+)
 def j4_seed_neighbors(spark, d):
     s = V.stored_split(spark, d)
     q = written(V.validation_queries(spark, d, s), "queries")
@@ -116,8 +146,10 @@ def j4_seed_neighbors(spark, d):
 @query(
     "j5_seed_exclusion",
     "query_id:s looked_up:l seeds_looked_up:l kept:l seeds_kept:l",
-    "WITH x AS (SELECT s.query_id, n.source, s.seed_id, n.candidate_id, n.candidate_id IN (SELECT y.seed_id FROM seeds y WHERE y.query_id = s.query_id) AS is_seed FROM seeds s JOIN neighbors n ON n.seed_id = s.seed_id) "
-    "SELECT query_id, count(*) AS looked_up, count(*) FILTER (is_seed) AS seeds_looked_up, count(*) FILTER (NOT is_seed AND candidate_id > 0) AS kept, 0 AS seeds_kept FROM x GROUP BY query_id",
+    "WITH x AS (SELECT s.query_id, n.source, s.seed_id, n.candidate_id, n.candidate_id IN (SELECT y.seed_id FROM seeds y "
+    "WHERE y.query_id = s.query_id) AS is_seed FROM seeds s JOIN neighbors n ON n.seed_id = s.seed_id) "
+    "SELECT query_id, count(*) AS looked_up, count(*) FILTER (is_seed) AS seeds_looked_up, count(*) FILTER (NOT is_seed AND "
+    "candidate_id > 0) AS kept, 0 AS seeds_kept FROM x GROUP BY query_id",
     "seeds", "neighbors",
 )
 def j5_seed_exclusion(spark, d):
@@ -139,8 +171,18 @@ def w6_rank_within_seed(spark, d, s=None):
     return K.seed_candidates(q, V.neighbors(spark, d, s, q), DEPTH)
 
 
-@query("a8_support_best_rank", "query_id:s source:s candidate_id:l support:l best_rank:l", "SELECT query_id, source, candidate_id, support, best_rank FROM source_ranks", "source_ranks")
-@query("w7_rank_within_source", "query_id:s source:s candidate_id:l rank:l", "SELECT query_id, source, candidate_id, rank FROM source_ranks", "source_ranks")
+@query(
+    "a8_support_best_rank",
+    "query_id:s source:s candidate_id:l support:l best_rank:l",
+    "SELECT query_id, source, candidate_id, support, best_rank FROM source_ranks",
+    "source_ranks",
+)
+@query(
+    "w7_rank_within_source",
+    "query_id:s source:s candidate_id:l rank:l",
+    "SELECT query_id, source, candidate_id, rank FROM source_ranks",
+    "source_ranks",
+)
 def w7_rank_within_source(spark, d, s=None):
     return K.source_ranks(w6_rank_within_seed(spark, d, s), DEPTH)
 
@@ -162,12 +204,22 @@ def u1_union_of_sources(spark, d):
 
 
 @query("a9_reciprocal_rank_score", "query_id:s candidate_id:l rrf_score:d", "SELECT query_id, candidate_id, rrf_score FROM fused", "fused")
-@query("w8_fuse_rrf", "query_id:s candidate_id:l rrf_score:d fused_rank:l", "SELECT query_id, candidate_id, rrf_score, fused_rank FROM fused", "fused")
+@query(
+    "w8_fuse_rrf",
+    "query_id:s candidate_id:l rrf_score:d fused_rank:l",
+    "SELECT query_id, candidate_id, rrf_score, fused_rank FROM fused",
+    "fused",
+)
 def w8_fuse_rrf(spark, d, s=None):
     return K.fuse_rrf(_pivoted(spark, d, s), SRC, limit=None)
 
 
-@query("w9_cap_candidates", "query_id:s candidate_id:l source_count:l", f"SELECT query_id, candidate_id, source_count FROM fused WHERE fused_rank <= {LIMIT}", "fused")
+@query(
+    "w9_cap_candidates",
+    "query_id:s candidate_id:l source_count:l",
+    f"SELECT query_id, candidate_id, source_count FROM fused WHERE fused_rank <= {LIMIT}",
+    "fused",
+)
 def w9_cap_candidates(spark, d):
     return K.cap_candidates(_pivoted(spark, d), LIMIT, SRC)
 
@@ -177,13 +229,24 @@ def j7_labels(spark, d):
     return V.candidates(spark, d)
 
 
-@query("e14_build_candidates", "query_id:s candidate_id:l item_graph_rank:l content_rank:l source_count:l label:l", "SELECT * FROM inner_candidates", "inner_candidates")
+@query(
+    "e14_build_candidates",
+    "query_id:s candidate_id:l item_graph_rank:l content_rank:l source_count:l label:l",
+    "SELECT * FROM inner_candidates",
+    "inner_candidates",
+)
 def e14_build_candidates(spark, d):
     """Candidates of the ranker's own queries, with neighbors fitted on the history of its own split."""
     return V.inner_candidates(spark, d, V.ranking_split(spark, d))
 
 
-@query("e15_partition_candidates", "query_id:s candidate_id:l item_graph_rank:l content_rank:l source_count:l label:l", "SELECT * FROM candidates UNION ALL SELECT * FROM test_candidates", "candidates", "test_candidates")
+@query(
+    "e15_partition_candidates",
+    "query_id:s candidate_id:l item_graph_rank:l content_rank:l source_count:l label:l",
+    "SELECT * FROM candidates UNION ALL SELECT * FROM test_candidates",
+    "candidates",
+    "test_candidates",
+)
 def e15_partition_candidates(spark, d):
     """Candidates of validation and test queries, with neighbors fitted on the whole train part."""
     return V.partition_candidates(spark, d, V.stored_split(spark, d))
@@ -192,7 +255,10 @@ def e15_partition_candidates(spark, d):
 @query(
     "a12_candidate_statistics",
     "queries:l candidates:l positives:l unretrieved:l zero_candidate_queries:l zero_positive_queries:l",
-    "SELECT count(*) AS queries, sum(c) AS candidates, sum(p) AS positives, sum(t - p) AS unretrieved, count(*) FILTER (c = 0) AS zero_candidate_queries, count(*) FILTER (p = 0) AS zero_positive_queries FROM (SELECT q.query_id, len(list_distinct(q.truth)) AS t, count(k.candidate_id) AS c, coalesce(sum(k.label), 0) AS p FROM validation_queries q LEFT JOIN candidates k USING (query_id) GROUP BY 1, 2)",
+    "SELECT count(*) AS queries, sum(c) AS candidates, sum(p) AS positives, sum(t - p) AS unretrieved, count(*) FILTER (c "
+    "= 0) AS zero_candidate_queries, count(*) FILTER (p = 0) AS zero_positive_queries FROM (SELECT q.query_id, len(list_distinct(q.truth)) "
+    "AS t, count(k.candidate_id) AS c, coalesce(sum(k.label), 0) AS p FROM validation_queries q LEFT JOIN candidates k USING "
+    "(query_id) GROUP BY 1, 2)",
     "validation_queries", "candidates",
 )
 def a12_candidate_statistics(spark, d):
@@ -205,7 +271,13 @@ def a11_query_group_sizes(spark, d):
     return K.group_sizes(V.candidates(spark, d))
 
 
-@query("j11_known_seeds", "query_id:s seed_id:l", "SELECT query_id, seed_id FROM seeds WHERE seed_id IN (SELECT item_id FROM vectors)", "seeds", "vectors")
+@query(
+    "j11_known_seeds",
+    "query_id:s seed_id:l",
+    "SELECT query_id, seed_id FROM seeds WHERE seed_id IN (SELECT item_id FROM vectors)",
+    "seeds",
+    "vectors",
+)
 def j11_known_seeds(spark, d):
     return K.known_seeds(K.query_seeds(V.validation_queries(spark, d)), V.vectors(spark, d))
 
@@ -229,8 +301,11 @@ _RECS = "SELECT query_id, candidate_id, fused_rank AS rank FROM fused"
 @query(
     "v1_recall_hit_precision",
     "query_id:s k:l recall:d hit_rate:d precision:d",
-    f"WITH r AS ({_RECS}) SELECT q.query_id, k.k, count(t.candidate_id) / CAST(len(list_distinct(q.truth)) AS DOUBLE) AS recall, CASE WHEN count(t.candidate_id) > 0 THEN 1 ELSE 0 END AS hit_rate, count(t.candidate_id) / CAST(k.k AS DOUBLE) AS precision FROM validation_queries q CROSS JOIN (VALUES (5), (10), (20)) k(k) "
-    "LEFT JOIN r ON r.query_id = q.query_id AND r.rank <= k.k LEFT JOIN truth t ON t.query_id = r.query_id AND t.candidate_id = r.candidate_id GROUP BY q.query_id, k.k, q.truth",
+    f"WITH r AS ({_RECS}) SELECT q.query_id, k.k, count(t.candidate_id) / CAST(len(list_distinct(q.truth)) AS DOUBLE) AS recall, "
+    "CASE WHEN count(t.candidate_id) > 0 THEN 1 ELSE 0 END AS hit_rate, count(t.candidate_id) / CAST(k.k AS DOUBLE) AS precision "
+    "FROM validation_queries q CROSS JOIN (VALUES (5), (10), (20)) k(k) "
+    "LEFT JOIN r ON r.query_id = q.query_id AND r.rank <= k.k LEFT JOIN truth t ON t.query_id = r.query_id AND t.candidate_id "
+    "= r.candidate_id GROUP BY q.query_id, k.k, q.truth",
     "fused", "validation_queries", "truth",
 )
 def v1_recall_hit_precision(spark, d):
@@ -243,7 +318,15 @@ _EVAL = """WITH r AS ({recs}), m AS (SELECT q.query_id, k.k, count(t.candidate_i
 SELECT k, count(*) AS queries, avg(h / CAST(n AS DOUBLE)) AS recall, avg(CASE WHEN h > 0 THEN 1.0 ELSE 0 END) AS hit_rate, avg(h / CAST(k AS DOUBLE)) AS precision, (SELECT count(DISTINCT candidate_id) FROM r WHERE r.rank <= m.k) / CAST((SELECT count(*) FROM catalog) AS DOUBLE) AS catalog_coverage, (SELECT count(DISTINCT query_id) FROM r) / CAST(count(*) AS DOUBLE) AS user_coverage FROM m GROUP BY k"""
 
 
-@query("v5_evaluate", "k:l queries:l recall:d hit_rate:d precision:d catalog_coverage:d user_coverage:d", _EVAL.format(recs=_RECS), "fused", "validation_queries", "truth", "catalog")
+@query(
+    "v5_evaluate",
+    "k:l queries:l recall:d hit_rate:d precision:d catalog_coverage:d user_coverage:d",
+    _EVAL.format(recs=_RECS),
+    "fused",
+    "validation_queries",
+    "truth",
+    "catalog",
+)
 @query("a15_catalog_coverage", "k:l catalog_coverage:d", _EVAL.format(recs=_RECS), "fused", "validation_queries", "truth", "catalog")
 def v5_evaluate(spark, d):
     s = V.stored_split(spark, d)
@@ -259,7 +342,15 @@ def w12_popularity_top_n(spark, d):
     return Z.recommend_popular(V.validation_queries(spark, d), Z.popularity(V.train(spark, d)), 20)
 
 
-@query("v12_popularity_baseline", "k:l queries:l recall:d hit_rate:d precision:d catalog_coverage:d user_coverage:d", _EVAL.format(recs=_TOP), "validation_queries", "popularity", "truth", "catalog")
+@query(
+    "v12_popularity_baseline",
+    "k:l queries:l recall:d hit_rate:d precision:d catalog_coverage:d user_coverage:d",
+    _EVAL.format(recs=_TOP),
+    "validation_queries",
+    "popularity",
+    "truth",
+    "catalog",
+)
 def v12_popularity_baseline(spark, d):
     s = V.stored_split(spark, d)
     q = written(V.validation_queries(spark, d, s), "queries")
@@ -275,8 +366,11 @@ def _ranking_sql(rows: str, part: str = "") -> str:
     keys = f"{part}query_id, k"
     inner = f"SELECT *, sum(CASE WHEN rank <= k THEN label ELSE 0 END) OVER (PARTITION BY {keys}) AS inside, sum(label) OVER (PARTITION BY {keys} ORDER BY rank) AS seen FROM ({rows}) CROSS JOIN (VALUES (5), (10)) k(k)"
     return (
-        f"SELECT {keys}, CASE WHEN inside > 0 THEN g / {_IDEAL} ELSE 0 END AS ndcg, CASE WHEN inside > 0 THEN p / inside ELSE 0 END AS map, coalesce(CAST(1 AS DOUBLE) / f, 0) AS mrr FROM (SELECT {keys}, max(inside) AS inside, "
-        f"sum(CASE WHEN rank <= k THEN label / log2(rank + 1) ELSE 0 END) AS g, sum(CASE WHEN rank <= k THEN label * seen / CAST(rank AS DOUBLE) ELSE 0 END) AS p, min(CASE WHEN rank <= k AND label = 1 THEN rank END) AS f FROM ({inner}) GROUP BY {keys})"
+        f"SELECT {keys}, CASE WHEN inside > 0 THEN g / {_IDEAL} ELSE 0 END AS ndcg, CASE WHEN inside > 0 THEN p / inside ELSE "
+        f"0 END AS map, coalesce(CAST(1 AS DOUBLE) / f, 0) AS mrr FROM (SELECT {keys}, max(inside) AS inside, "
+        "sum(CASE WHEN rank <= k THEN label / log2(rank + 1) ELSE 0 END) AS g, sum(CASE WHEN rank <= k THEN label * seen "
+        f"/ CAST(rank AS DOUBLE) ELSE 0 END) AS p, min(CASE WHEN rank <= k AND label = 1 THEN rank END) AS f FROM ({inner}) "
+        f"GROUP BY {keys})"
     )
 
 
@@ -287,11 +381,19 @@ def v2_v3_v4_ndcg_map_mrr(spark, d):
 
 
 _ORDERED = (
-    "SELECT ordering, query_id, candidate_id, label, row_number() OVER (PARTITION BY ordering, query_id ORDER BY round(s, 9) DESC, candidate_id) AS rank FROM (SELECT 'popularity' AS ordering, query_id, candidate_id, label, CAST(popularity AS DOUBLE) AS s FROM features UNION ALL SELECT 'rrf', query_id, candidate_id, label, rrf_score FROM features)"
+    "SELECT ordering, query_id, candidate_id, label, row_number() OVER (PARTITION BY ordering, query_id ORDER BY round(s, "
+    "9) DESC, candidate_id) AS rank FROM (SELECT 'popularity' AS ordering, query_id, candidate_id, label, CAST(popularity "
+    "AS DOUBLE) AS s FROM features UNION ALL SELECT 'rrf', query_id, candidate_id, label, rrf_score FROM features)"
 )
 
 
-@query("v6_ranking_report", "ordering:s k:l queries:l ndcg:d map:d mrr:d", f"SELECT ordering, k, count(*) AS queries, avg(ndcg) AS ndcg, avg(map) AS map, avg(mrr) AS mrr FROM ({_ranking_sql(_ORDERED, 'ordering, ')}) GROUP BY 1, 2", "features")
+@query(
+    "v6_ranking_report",
+    "ordering:s k:l queries:l ndcg:d map:d mrr:d",
+    f"SELECT ordering, k, count(*) AS queries, avg(ndcg) AS ndcg, avg(map) AS map, avg(mrr) AS mrr FROM ({_ranking_sql(_ORDERED, 'ordering, ')}) "
+    "GROUP BY 1, 2",
+    "features",
+)
 def v6_ranking_report(spark, d):
     f = V.stored_features(spark, d)
     return E.ranking_report(f, {"popularity": F.col("popularity"), "rrf": M.rrf_scores(f)})
@@ -312,7 +414,13 @@ def _two(spark, d, s=None) -> tuple[DataFrame, DataFrame]:
     return r.where("source = 'item_graph'"), r.where("source = 'content'")
 
 
-@query("u2_candidate_sets", "query_id:s shared:l a_only:l b_only:l united:l", f"SELECT query_id, count(*) FILTER (a = 1 AND b = 1) AS shared, count(*) FILTER (b = 0) AS a_only, count(*) FILTER (a = 0) AS b_only, count(*) AS united FROM ({_MARKS}) GROUP BY 1", "source_ranks")
+@query(
+    "u2_candidate_sets",
+    "query_id:s shared:l a_only:l b_only:l united:l",
+    "SELECT query_id, count(*) FILTER (a = 1 AND b = 1) AS shared, count(*) FILTER (b = 0) AS a_only, count(*) FILTER (a "
+    f"= 0) AS b_only, count(*) AS united FROM ({_MARKS}) GROUP BY 1",
+    "source_ranks",
+)
 def u2_candidate_sets(spark, d):
     a, b = _two(spark, d)
     both, key = F.col("in_a") + F.col("in_b"), "query_id"
@@ -321,8 +429,13 @@ def u2_candidate_sets(spark, d):
 
 _OVERLAP_COLUMNS = "queries:l mean_jaccard:d shared_rate:d mean_shared:d mean_a_unique:d mean_b_unique:d a_unique_relevant:l b_unique_relevant:l"
 _OVERLAP = (
-    f"SELECT count(*) AS queries, avg(CASE WHEN s + ua + ub > 0 THEN s / CAST(s + ua + ub AS DOUBLE) ELSE 0 END) AS mean_jaccard, avg(CASE WHEN s > 0 THEN 1.0 ELSE 0 END) AS shared_rate, avg(s) AS mean_shared, avg(ua) AS mean_a_unique, avg(ub) AS mean_b_unique, sum(ra) AS a_unique_relevant, sum(rb) AS b_unique_relevant FROM ("
-    f"SELECT q.query_id, count(*) FILTER (a = 1 AND b = 1) AS s, count(*) FILTER (a = 1 AND b = 0) AS ua, count(*) FILTER (a = 0 AND b = 1) AS ub, count(*) FILTER (a = 1 AND b = 0 AND t.query_id IS NOT NULL) AS ra, count(*) FILTER (a = 0 AND b = 1 AND t.query_id IS NOT NULL) AS rb FROM validation_queries q LEFT JOIN ({_MARKS}) m ON m.query_id = q.query_id LEFT JOIN truth t ON t.query_id = m.query_id AND t.candidate_id = m.candidate_id GROUP BY 1)"
+    "SELECT count(*) AS queries, avg(CASE WHEN s + ua + ub > 0 THEN s / CAST(s + ua + ub AS DOUBLE) ELSE 0 END) AS mean_jaccard, "
+    "avg(CASE WHEN s > 0 THEN 1.0 ELSE 0 END) AS shared_rate, avg(s) AS mean_shared, avg(ua) AS mean_a_unique, avg(ub) AS "
+    "mean_b_unique, sum(ra) AS a_unique_relevant, sum(rb) AS b_unique_relevant FROM ("
+    "SELECT q.query_id, count(*) FILTER (a = 1 AND b = 1) AS s, count(*) FILTER (a = 1 AND b = 0) AS ua, count(*) FILTER "
+    "(a = 0 AND b = 1) AS ub, count(*) FILTER (a = 1 AND b = 0 AND t.query_id IS NOT NULL) AS ra, count(*) FILTER (a = 0 "
+    f"AND b = 1 AND t.query_id IS NOT NULL) AS rb FROM validation_queries q LEFT JOIN ({_MARKS}) m ON m.query_id = q.query_id "
+    "LEFT JOIN truth t ON t.query_id = m.query_id AND t.candidate_id = m.candidate_id GROUP BY 1)"
 )
 
 
@@ -335,8 +448,12 @@ def v8_candidate_overlap(spark, d):
 @query(
     "v9_lineup_overlap",
     "query_id:s top:l overlap:l jaccard:d a_count:l b_count:l",
-    f"SELECT q.query_id, n.n AS top, count(*) FILTER (ra <= n AND rb <= n) AS overlap, count(*) FILTER (ra <= n) AS a_count, count(*) FILTER (rb <= n) AS b_count, CASE WHEN count(*) FILTER (ra <= n OR rb <= n) > 0 THEN count(*) FILTER (ra <= n AND rb <= n) / CAST(count(*) FILTER (ra <= n OR rb <= n) AS DOUBLE) ELSE 1 END AS jaccard "
-    f"FROM validation_queries q CROSS JOIN (VALUES (5), (20)) n(n) LEFT JOIN (SELECT query_id, candidate_id, min(ra) AS ra, min(rb) AS rb FROM (SELECT query_id, candidate_id, rank AS ra, NULL AS rb FROM ({_A}) UNION ALL SELECT query_id, candidate_id, NULL, rank FROM ({_B})) GROUP BY 1, 2) p ON p.query_id = q.query_id GROUP BY 1, 2",
+    "SELECT q.query_id, n.n AS top, count(*) FILTER (ra <= n AND rb <= n) AS overlap, count(*) FILTER (ra <= n) AS a_count, "
+    "count(*) FILTER (rb <= n) AS b_count, CASE WHEN count(*) FILTER (ra <= n OR rb <= n) > 0 THEN count(*) FILTER (ra <= "
+    "n AND rb <= n) / CAST(count(*) FILTER (ra <= n OR rb <= n) AS DOUBLE) ELSE 1 END AS jaccard "
+    "FROM validation_queries q CROSS JOIN (VALUES (5), (20)) n(n) LEFT JOIN (SELECT query_id, candidate_id, min(ra) AS ra, "
+    f"min(rb) AS rb FROM (SELECT query_id, candidate_id, rank AS ra, NULL AS rb FROM ({_A}) UNION ALL SELECT query_id, candidate_id, "
+    f"NULL, rank FROM ({_B})) GROUP BY 1, 2) p ON p.query_id = q.query_id GROUP BY 1, 2",
     "validation_queries", "source_ranks",
 )
 def v9_lineup_overlap(spark, d):
@@ -348,7 +465,10 @@ def v9_lineup_overlap(spark, d):
     "v10_fusion_evaluation",
     "system:s k:l recall:d precision:d shared_rate:d mean_jaccard:d",
     "SELECT x.*, shared_rate, mean_jaccard FROM (" + " UNION ALL ".join(
-        f"SELECT '{n}' AS system, 10 AS k, avg(h / CAST(n AS DOUBLE)) AS recall, avg(h / CAST(10 AS DOUBLE)) AS precision FROM (SELECT q.query_id, count(t.candidate_id) AS h, len(list_distinct(q.truth)) AS n FROM validation_queries q LEFT JOIN ({r}) r ON r.query_id = q.query_id AND r.rank <= 10 LEFT JOIN truth t ON t.query_id = r.query_id AND t.candidate_id = r.candidate_id GROUP BY q.query_id, q.truth)"
+        f"SELECT '{n}' AS system, 10 AS k, avg(h / CAST(n AS DOUBLE)) AS recall, avg(h / CAST(10 AS DOUBLE)) AS precision "
+        "FROM (SELECT q.query_id, count(t.candidate_id) AS h, len(list_distinct(q.truth)) AS n FROM validation_queries q "
+        f"LEFT JOIN ({r}) r ON r.query_id = q.query_id AND r.rank <= 10 LEFT JOIN truth t ON t.query_id = r.query_id AND t.candidate_id "
+        "= r.candidate_id GROUP BY q.query_id, q.truth)"
         for n, r in (("item_graph", _A), ("content", _B), ("fused", _RECS))
     ) + f") x, ({_OVERLAP}) o",
     "validation_queries", "source_ranks", "truth", "fused",
@@ -359,7 +479,14 @@ def v10_fusion_evaluation(spark, d):
     return E.fusion_evaluation(ranks, written(V.validation_queries(spark, d, s), "queries"), *SRC)
 
 
-@query("v15_component_sizes", "component:s rows:l bytes:l", "WITH p AS (SELECT 'graph' AS component, count(*) AS rows, count(*) * 8 AS bytes FROM graph UNION ALL SELECT 'vectors', count(*), count(*) * 64 FROM vectors) SELECT * FROM p UNION ALL SELECT 'total', sum(rows), sum(bytes) FROM p", "graph", "vectors")
+@query(
+    "v15_component_sizes",
+    "component:s rows:l bytes:l",
+    "WITH p AS (SELECT 'graph' AS component, count(*) AS rows, count(*) * 8 AS bytes FROM graph UNION ALL SELECT 'vectors', "
+    "count(*), count(*) * 64 FROM vectors) SELECT * FROM p UNION ALL SELECT 'total', sum(rows), sum(bytes) FROM p",
+    "graph",
+    "vectors",
+)
 def v15_component_sizes(spark, d):
     return E.component_sizes({"graph": (V.graph(spark, d), 2, 32), "vectors": (V.vectors(spark, d), 64, 8)})
 
@@ -371,8 +498,22 @@ def _lineups(spark, d) -> DataFrame:
     return w8_fuse_rrf(spark, d).select(F.col("query_id").alias("request_id"), "candidate_id", F.col("rrf_score").alias("score"))
 
 
-@query("w13_score_ranking", "request_id:s candidate_id:l rank:l", f"SELECT query_id AS request_id, candidate_id, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, candidate_id) AS rank FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, candidate_id) <= {L.over_fetch(10)}", "fused")
-@query("w16_over_fetch", "request_id:s rank:l", f"SELECT query_id AS request_id, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, candidate_id) AS rank FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, candidate_id) <= {L.over_fetch(10)}", "fused")
+@query(
+    "w13_score_ranking",
+    "request_id:s candidate_id:l rank:l",
+    "SELECT query_id AS request_id, candidate_id, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, "
+    "candidate_id) AS rank FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, "
+    f"candidate_id) <= {L.over_fetch(10)}",
+    "fused",
+)
+@query(
+    "w16_over_fetch",
+    "request_id:s rank:l",
+    "SELECT query_id AS request_id, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, candidate_id) "
+    "AS rank FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, candidate_id) "
+    f"<= {L.over_fetch(10)}",
+    "fused",
+)
 def w13_score_ranking(spark, d):
     return L.top_scores(_lineups(spark, d), L.over_fetch(10))
 
@@ -384,12 +525,24 @@ def _line(spark, d) -> DataFrame:
     return w8_fuse_rrf(spark, d).where("fused_rank <= 20").select(F.col("query_id").alias("request_id"), "candidate_id", F.col("fused_rank").alias("rank"))
 
 
-@query("w14_refresh_rotation", "request_id:s candidate_id:l rank:l", f"SELECT request_id, candidate_id, (rank - 1 - 7 % n + n) % n + 1 AS rank FROM (SELECT *, count(*) OVER (PARTITION BY request_id) AS n FROM ({_LINE}))", "fused")
+@query(
+    "w14_refresh_rotation",
+    "request_id:s candidate_id:l rank:l",
+    "SELECT request_id, candidate_id, (rank - 1 - 7 % n + n) % n + 1 AS rank FROM (SELECT *, count(*) OVER (PARTITION BY "
+    f"request_id) AS n FROM ({_LINE}))",
+    "fused",
+)
 def w14_refresh_rotation(spark, d):
     return L.rotate(_line(spark, d), 7)
 
 
-@query("j10_metadata_enrichment", "request_id:s candidate_id:l rank:l title:s", f"SELECT request_id, candidate_id, rank, title FROM ({_LINE}) JOIN catalog ON item_id = candidate_id", "fused", "catalog")
+@query(
+    "j10_metadata_enrichment",
+    "request_id:s candidate_id:l rank:l title:s",
+    f"SELECT request_id, candidate_id, rank, title FROM ({_LINE}) JOIN catalog ON item_id = candidate_id",
+    "fused",
+    "catalog",
+)
 def j10_metadata_enrichment(spark, d):
     return L.enrich(_line(spark, d), V.catalog(spark, d))
 
@@ -397,7 +550,10 @@ def j10_metadata_enrichment(spark, d):
 @query(
     "w15_page",
     "request_id:s candidate_id:l rank:l position:l next_offset:l",
-    f"WITH s AS (SELECT request_id, candidate_id, rank, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS position FROM ({_LINE}) JOIN catalog ON item_id = candidate_id WHERE rank > 4 AND poster_path IS NOT NULL) SELECT *, CASE WHEN max(position) OVER (PARTITION BY request_id) > 6 THEN max(CASE WHEN position <= 6 THEN rank END) OVER (PARTITION BY request_id) END AS next_offset FROM s QUALIFY position <= 6",
+    "WITH s AS (SELECT request_id, candidate_id, rank, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS position "
+    f"FROM ({_LINE}) JOIN catalog ON item_id = candidate_id WHERE rank > 4 AND poster_path IS NOT NULL) SELECT *, CASE WHEN "
+    "max(position) OVER (PARTITION BY request_id) > 6 THEN max(CASE WHEN position <= 6 THEN rank END) OVER (PARTITION BY "
+    "request_id) END AS next_offset FROM s QUALIFY position <= 6",
     "fused", "catalog",
 )
 def w15_page(spark, d):
@@ -410,8 +566,10 @@ _FAULTY_LINE = f"SELECT request_id, candidate_id FROM ({_LINE}) UNION ALL SELECT
 @query(
     "e11_validate_recommendations",
     "request_id:s not_empty:b within_limit:b positive:b unique:b no_seed:b",
-    f"SELECT q.query_id AS request_id, count(l.candidate_id) > 0 AS not_empty, count(l.candidate_id) <= 15 AS within_limit, coalesce(min(l.candidate_id) > 0, true) AS positive, count(l.candidate_id) = count(DISTINCT l.candidate_id) AS \"unique\", "
-    f"NOT coalesce(bool_or(list_contains(q.seeds, l.candidate_id)), false) AS no_seed FROM validation_queries q LEFT JOIN ({_FAULTY_LINE}) l ON l.request_id = q.query_id GROUP BY 1",
+    "SELECT q.query_id AS request_id, count(l.candidate_id) > 0 AS not_empty, count(l.candidate_id) <= 15 AS within_limit, "
+    "coalesce(min(l.candidate_id) > 0, true) AS positive, count(l.candidate_id) = count(DISTINCT l.candidate_id) AS \"unique\", "
+    "NOT coalesce(bool_or(list_contains(q.seeds, l.candidate_id)), false) AS no_seed FROM validation_queries q LEFT JOIN "
+    f"({_FAULTY_LINE}) l ON l.request_id = q.query_id GROUP BY 1",
     "validation_queries", "fused",
 )
 def e11_validate_recommendations(spark, d):
@@ -504,7 +662,8 @@ def m9_k4_embed_unseen(spark, d):
 @query(
     "m11_cold_start",
     "request_id:s shown:l known:l seeds:l best_rank:l",
-    "SELECT CAST(doc_id AS VARCHAR) AS request_id, 10 AS shown, 10 AS known, 0 AS seeds, 1 AS best_rank FROM documents WHERE doc_id % 10 = 0 AND (lang IS NOT NULL OR source IS NOT NULL)",
+    "SELECT CAST(doc_id AS VARCHAR) AS request_id, 10 AS shown, 10 AS known, 0 AS seeds, 1 AS best_rank FROM documents WHERE "
+    "doc_id % 10 = 0 AND (lang IS NOT NULL OR source IS NOT NULL)",
 )
 def m11_cold_start(spark, d):
     """Line-ups for requests whose only seed has no trained vector: every seed with a known term gets ten known items, none of them the seed."""
@@ -522,7 +681,9 @@ def m11_cold_start(spark, d):
 @query(
     "m8_quantize_vectors",
     "item_id:l dim:l code:l",
-    "WITH x AS (SELECT item_id, unnest(range(len(vector))) AS dim, unnest(vector) AS x FROM vectors) SELECT item_id, dim, CASE WHEN max(x) OVER (PARTITION BY dim) > min(x) OVER (PARTITION BY dim) THEN round((x - min(x) OVER (PARTITION BY dim)) / (max(x) OVER (PARTITION BY dim) - min(x) OVER (PARTITION BY dim)) * 255) ELSE 0 END AS code FROM x",
+    "WITH x AS (SELECT item_id, unnest(range(len(vector))) AS dim, unnest(vector) AS x FROM vectors) SELECT item_id, dim, "
+    "CASE WHEN max(x) OVER (PARTITION BY dim) > min(x) OVER (PARTITION BY dim) THEN round((x - min(x) OVER (PARTITION BY "
+    "dim)) / (max(x) OVER (PARTITION BY dim) - min(x) OVER (PARTITION BY dim)) * 255) ELSE 0 END AS code FROM x",
     "vectors",
 )
 def m8_quantize_vectors(spark, d):
@@ -564,7 +725,7 @@ def _ranker(spark, d) -> tuple[M.Ranker, DataFrame]:
     return M.fit_ranker(inner, list(Z.feature_columns(SRC)), validation, rounds=ROUNDS, rate=0.1, patience=PATIENCE), test
 
 
-_NAMES = Z.feature_columns(SRC)
+_NAMES = Z.feature_names(SRC)
 _FIRST_HISTOGRAM = f"""
     WITH r AS (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY candidate_id) AS pos,
@@ -630,7 +791,12 @@ def m11_ranked_lineup(spark, d):
     return L.lineup(requests, near, Z.popularity(t), model, V.catalog(spark, d), 10, per_seed=DEPTH, limit=LIMIT)
 
 
-@query("m11_lineup", "request_id:s candidate_id:l score:d rank:l", "SELECT query_id AS request_id, candidate_id, rrf_score AS score, fused_rank AS rank FROM fused WHERE fused_rank <= 10", "fused")
+@query(
+    "m11_lineup",
+    "request_id:s candidate_id:l score:d rank:l",
+    "SELECT query_id AS request_id, candidate_id, rrf_score AS score, fused_rank AS rank FROM fused WHERE fused_rank <= 10",
+    "fused",
+)
 def m11_lineup(spark, d):
     s = V.stored_split(spark, d)
     requests = written(V.validation_queries(spark, d, s).withColumnRenamed("query_id", "request_id"), "requests")
@@ -650,7 +816,13 @@ def t1_stream_ingest(spark, d):
     return spark.read.parquet(target).groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("t2_running_popularity", "day:s item:l events:l", "SELECT strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d') AS day, item_id AS item, count(*) AS events FROM stream GROUP BY 1, 2", "stream")
+@query(
+    "t2_running_popularity",
+    "day:s item:l events:l",
+    "SELECT strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d') AS day, item_id AS item, count(*) AS events FROM stream GROUP BY "
+    "1, 2",
+    "stream",
+)
 def t2_running_popularity(spark, d):
     source, target, checkpoint = (scratch_path(spark, x) for x in ("clicks", "popularity", "popularity-state"))
     clicks = V.events(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), "item_id")

@@ -16,7 +16,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="recengine-"))
+        own = spark.sparkContext.applicationId
+        if own not in _OWN:
+            _OWN[own] = tempfile.mkdtemp(prefix="recengine-")
+        root = _OWN[own]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -1,12 +1,17 @@
 """The registered queries against their SQL in DuckDB on the smallest driver tables, where these are there."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
 DATA = "/root/testdata/sf0.001"
-NAMES = ["flagship_recall", "a3_exclusion_summary", "w2_split_global", "w15_page", "v6_ranking_report", "v9_lineup_overlap", "e4_normalize_payloads", "t2_running_popularity", "m8_quantize_vectors"]
+NAMES = [
+    "flagship_recall", "a3_exclusion_summary", "w2_split_global", "w15_page", "v6_ranking_report", "v9_lineup_overlap", "e4_normalize_payloads", "t2_running_popularity", "m8_quantize_vectors",
+    "j5_seed_exclusion", "m6_first_histogram", "s10_changed_parts", "c8_search_index", "t2_corrected_popularity", "a14_latency_percentiles", "s5_bucketed_split",
+]
 
 
 def test_every_query_is_registered_once_and_sql_belongs_to_a_query():
@@ -16,6 +21,12 @@ def test_every_query_is_registered_once_and_sql_belongs_to_a_query():
     assert set(NAMES) <= set(entry.oracle_sql())
 
 
+def test_queries_are_registered_without_a_session():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert e.queries().keys() >= e.oracle_sql().keys()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_its_sql(spark, name):
