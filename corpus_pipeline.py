@@ -7,6 +7,8 @@ stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +16,24 @@ from recengine.llm import decontam, line_dedup, ngram_join, packing, quality
 from recengine.llm._scratch import scratch_path, temporary_tables
 
 
+def _begins_clean(stage):
+    """A stage that first has the driver's garbage collected: only then do shuffle files, broadcasts and plans of the stage before go."""
+
+    @wraps(stage)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.sparkContext._jvm.System.gc()
+        return stage(spark, docs, sf_dir)
+
+    return begin
+
+
 def _unused(docs: DataFrame, name: str) -> str:
     while name in docs.columns:
         name += "_"
     return name
 
 
+@_begins_clean
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, learned from ``labels``, gives at least 0.5."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -27,6 +41,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model, score_col=score).where(F.col(score) >= 0.5).drop(score)
 
 
+@_begins_clean
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without chunks of lines and passages of over 50 words that occurred before; n_chars follows the text."""
     own = {c: _unused(docs, f"_{c}") for c in ("removed_chunks", "removed_lines") if c in docs.columns}
@@ -35,16 +50,19 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))) if "n_chars" in docs.columns else out
 
 
+@_begins_clean
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents (five words, 0.8) the row with the smallest id, by id and text."""
     return ngram_join.keep_one_of_each(docs)
 
 
+@_begins_clean
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that match no item of ``benchmark``."""
     return decontam.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_begins_clean
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of at most 2048 ids."""
     return packing.pack(docs, "word_bpe_49k.json")
