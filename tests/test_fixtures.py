@@ -273,3 +273,27 @@ def test_contracts(spark):
     assert {r.column: r.uncastable for r in schemas.cast_report(df, wanted).collect()} == {"a": 0, "b": 1}
     with pytest.raises(schemas.ContractError):
         schemas.conform(df, wanted)
+
+
+def _exchanges(df) -> int:
+    """Shuffles of the final plan, those of broadcasts not counted."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum("Exchange hashpartitioning" in line for line in plan.splitlines())
+
+
+def test_what_is_looked_up_is_shuffled_once_by_query(spark):
+    """From the lookup to the labels: only the short lists of neighbors, the seeds and the truths are dealt out, each once."""
+    nb = spark.createDataFrame([(x, s, c, 1.0, r) for x in ("als", "content") for s in range(1, 6) for r, c in ((2, 999), (1, 10 * s), (3, 999), (4, s % 5 + 1), (5, -1))], NB)
+    q = queries(spark, ("q", [1, 2, 3], [10, 999]), ("q", [3, 4, None, 0], [40]), ("r", [5], [None, 50]), ("z", [77], []))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranks = K.source_ranks(K.seed_candidates(q, nb, 4), 6)
+        got = K.label(K.fuse_rrf(K.pivot_ranks(ranks, ("als", "content")), ("als", "content")), q)
+        # neighbors by (source, seed) and by seed, seeds by key and by seed, the lookup by key, seeds and truths by key
+        assert _exchanges(got) <= 7
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {(r.query_id, r.candidate_id, r.label) for r in got.collect()} == {("q", c, int(c in (10, 40, 999))) for c in (5, 10, 20, 30, 40, 999)} | {("r", 50, 1), ("r", 999, 0), ("r", 1, 0)}
+    assert {r.candidate_id: (r.support, r.best_rank) for r in ranks.where("query_id = 'q' AND source = 'als'").collect()} == {999: (4, 2), **{10 * s: (1, 1) for s in (1, 2, 3, 4)}, 5: (1, 3)}
