@@ -56,3 +56,17 @@ def test_a_very_long_history_is_shared_by_the_tiles(spark):
     tiles = rows.groupBy("seed_block", "item_block").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("seeds").cast("long") * F.size("items")).alias("pairs")).collect()
     assert len(tiles) == 64 and all(t["rows"] == 1 for t in tiles)
     assert sum(t["pairs"] for t in tiles) == 20_000**2 and max(t["pairs"] for t in tiles) < 1.2 * 20_000**2 / 64
+
+
+def test_short_histories_need_one_block_of_candidates(spark, monkeypatch):
+    """The tiles follow pairs and histories, not the number of items; with one block of candidates nothing is shuffled after them."""
+    table = spark.createDataFrame([(u, int(i)) for u in range(40) for i in np.random.default_rng(u).integers(1, 400, 6)], "user_id long, item_id long")
+    seen, make = [], N.graph_tiles
+    monkeypatch.setattr(N, "graph_tiles", lambda a, w, *blocks: seen.append(blocks) or make(a, w, *blocks))
+    expected = brute_graph([tuple(r) for r in table.collect()], 5)
+    for longest, wide in ((4096, 1), (2, 3)):
+        monkeypatch.setattr(N, "LIST_ITEMS", longest)
+        graph = N.item_graph(table, 5)
+        assert seen[-1][1] == wide
+        assert ("Window" in graph._jdf.queryExecution().executedPlan().toString()) == (wide > 1)
+        assert {(r["seed_id"], r["candidate_id"]): r["rank"] for r in graph.collect()} == {k: v[1] for k, v in expected.items()}
