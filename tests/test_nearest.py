@@ -59,3 +59,16 @@ def test_products_grow_less_than_rows_squared_on_clusters(spark, monkeypatch):
         products.append(sum(d.select((F.col("queries") * F.col("rows")).alias("p")).agg(F.sum("p")).first()[0] or 0 for d in work))
         assert products[-1] < n * n / 3
     assert products[1] < 8 * products[0]  # 16 times as many pairs
+
+
+def test_vectors_move_once_for_each_chunk_of_queries(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 40), ("LEAST_QUERY_ROWS", 10), ("CHUNK_QUERIES", 150), ("CHUNK_ROWS", 200), ("STEP_PRODUCTS", 500)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 8))  # no clusters: all blocks are visited
+    table = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(x)], "item_id long, vector array<double>")
+    kept = N.written
+    stored = {}
+    monkeypatch.setattr(N, "written", lambda df, name: stored.setdefault(name, kept(df, name)))
+    assert found(N.nearest(table, 4, "s", "inner")) == brute(np.arange(1, 601), x, 4, "inner")
+    assert "v" not in stored["search-visits"].columns and stored["search-visits"].count() < 600  # a row a chunk and block, not one a query with its vector
