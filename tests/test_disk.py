@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from recengine.operators import boosting as B
 from recengine.operators import candidates as K
+from recengine.operators import embedding as M
 from recengine.operators import lineup as L
 from recengine.operators import metrics as E
 from recengine.operators import neighbors as N
 from recengine.sources import scratch
+from recengine.sources.tables import exists
 
 
 def _plan(df) -> str:
@@ -95,3 +97,14 @@ def test_bins_are_shuffled_instead_of_features(spark, monkeypatch):
     found = sorted((list(np.frombuffer(r["label"], np.int32)), np.frombuffer(r["bins"], np.uint8).reshape(r["n"], 10).tolist()) for r in packed.collect())
     wanted = [[r for r in rows if r[0] == f"q{q}"] for q in range(6)]
     assert found == sorted(([r[2] for r in own], [[int(bins.place(k, np.array([r[3 + k]]))[0]) for k in range(10)] for r in own]) for own in wanted)
+
+
+def test_one_state_of_the_embeddings_is_kept(spark, monkeypatch):
+    made, write = [], M.written
+    monkeypatch.setattr(M, "written", lambda df, name: made.append((name, write(df, name))) or made[-1][1])
+    events = spark.createDataFrame([(i % 12 + 1,) for i in range(60)], "item_id long")
+    pairs = spark.createDataFrame([(i % 12 + 1, (i + 1) % 12 + 1) for i in range(40)], "query_id long, candidate_id long")
+    vectors = M.fit_item_embeddings(pairs, events, dim=4, epochs=2, parts=3)
+    states = [t.inputFiles()[0].rsplit("/", 1)[0] for name, t in made if name == "embedding-rows"]
+    there = [exists(spark, p) for p in states]
+    assert len(states) == 7 and there == [False] * 6 + [True] and vectors.count() == 12
