@@ -13,6 +13,7 @@ from recengine.operators import embedding as M
 from recengine.operators import lineup as L
 from recengine.operators import metrics as E
 from recengine.operators import neighbors as N
+from recengine.operators.fitting import fit_als
 from recengine.sources import scratch
 from recengine.sources.tables import exists
 
@@ -108,3 +109,15 @@ def test_one_state_of_the_embeddings_is_kept(spark, monkeypatch):
     states = [t.inputFiles()[0].rsplit("/", 1)[0] for name, t in made if name == "embedding-rows"]
     there = [exists(spark, p) for p in states]
     assert len(states) == 7 and there == [False] * 6 + [True] and vectors.count() == 12
+
+
+def test_als_deletes_what_earlier_iterations_shuffled(spark):
+    before = _shuffled(spark)
+    events = spark.createDataFrame([(u, (u * 7 + k * k) % 23 + 1, 4.0) for u in range(40) for k in range(6)], "user_id long, item_id long, rating double")
+    vectors = fit_als(events, factors=4, iterations=16)
+    for _ in range(50):
+        if _shuffled(spark) - before < 200:
+            break
+        time.sleep(0.2)
+    assert _shuffled(spark) - before < 200  # 10 blocks of two files each for items and for users, so 640 in all
+    assert vectors.count() == vectors.select("item_id").distinct().count() == events.select("item_id").distinct().count()

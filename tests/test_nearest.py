@@ -72,3 +72,27 @@ def test_vectors_move_once_for_each_chunk_of_queries(spark, monkeypatch):
     monkeypatch.setattr(N, "written", lambda df, name: stored.setdefault(name, kept(df, name)))
     assert found(N.nearest(table, 4, "s", "inner")) == brute(np.arange(1, 601), x, 4, "inner")
     assert "v" not in stored["search-visits"].columns and stored["search-visits"].count() < 600  # a row a chunk and block, not one a query with its vector
+
+
+def test_a_round_shuffles_about_as_many_vectors_as_there_are(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 40), ("LEAST_QUERY_ROWS", 10), ("CHUNK_QUERIES", 60), ("CHUNK_ROWS", 2000), ("ROUND_ROWS", 100)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    table = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(x)], "item_id long, vector array<float>")
+    made, plan = [], N._rounds
+    monkeypatch.setattr(N, "_rounds", lambda *a: made.append((a, plan(*a))) or made[-1][1])
+    assert found(N.nearest(table, 4, "s", "inner")) == brute(np.arange(1, 601), x.astype(np.float64), 4, "inner")
+    ((moved, per_chunk, n, n_asked, _), rounds), = made
+    assert sorted(c for own, _ in rounds for c in own) == sorted(moved) and len(rounds) > 3
+    assert all(len(own) == 1 or sum(moved[c] for c in own) + parts * len(own) * per_chunk <= n + n_asked for own, parts in rounds)
+
+
+def test_a_block_of_most_vectors_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(6)
+    x = np.r_[rng.normal(size=(700, 6)) * 0.01, rng.normal(size=(100, 6)) * 10]  # most are near one pivot
+    table = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(x)], "item_id long, vector array<double>")
+    work = []
+    assert found(N.nearest(table, 3, "s", "inner", work=work)) == brute(np.arange(1, 801), x, 3, "inner")
+    assert work[0].agg(F.max("rows")).first()[0] <= 2 * 4 * 20  # about 4 * BLOCK_ROWS
