@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -60,24 +61,41 @@ RULES = (
 MARK = b"\x01"
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
-_STOP = np.zeros(256, bool)
-_STOP[[ord("."), ord(",")]] = True
+#: Signs that texts are cut at beside an ASCII letter, but for those of added tokens.
+STOPS = '.,!"#$%&()*+/:;=?@'
+#: Parts of letters of Latin-1 alone: each is one piece to the RULES, and lower case is all that they change.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_END = "</w>"
 
 
 class WordIds:
     """Ids of texts by way of their distinct parts.
 
     A tokenizer with the RULES drops white space before it merges, and none of its
-    rules looks across white space, or merges an ASCII letter with a full stop or
-    comma. So a text's ids are those of its parts in a row, and each distinct part is
-    encoded once; its ids lie in one array, found by the part's number. Any other
-    tokenizer encodes whole texts.
+    rules looks across white space, or merges an ASCII letter with one of the STOPS.
+    So a text's ids are those of its parts in a row, and each distinct part is
+    encoded once; its ids lie in one array, found by the part's number. Parts of
+    Latin-1 letters, in lower case, are merged without normaliser and regular expressions.
+    Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, name: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
         self.tokenizer = word_tokenizer(name)
         described = json.loads(self.tokenizer.to_str())
         self.by_parts = (described["normalizer"], described["pre_tokenizer"], described["model"]["type"]) == RULES
+        added = "".join(x["content"] for x in described["added_tokens"])
+        self.stop = np.zeros(256, bool)
+        self.stop[[ord(x) for x in STOPS if x not in added]] = True
+        self.merges = None
+        if self.by_parts and described["model"]["end_of_word_suffix"] == _END and not any(_LETTERS.fullmatch(x["content"].encode()) for x in described["added_tokens"]):
+            self.merges = Tokenizer.from_file(tokenizer_file(name))
+            self.merges.normalizer = normalizers.Sequence([])
+            self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = self.merges.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[k for x, k in vocabulary.items() if x.endswith(_END)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -97,19 +115,33 @@ class WordIds:
         between = np.flatnonzero(ids == mark)
         return np.delete(ids, between), np.diff(np.r_[-1, between, len(ids)]) - 1
 
+    def encode_letters(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for parts of Latin-1 letters in lower case: the last id of each is known by its suffix."""
+        ids = np.array(self.merges.encode_batch_fast([b" ".join(parts).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(parts) or last[-1] != len(ids) - 1:  # a letter that has no id at the end of a word
+            return self.encode(parts)
+        return ids, np.diff(np.r_[-1, last])
+
     def of(self, distinct: list[bytes]) -> np.ndarray:
         """Numbers of the parts; new ones are encoded."""
         if len(self.known) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self.forget()
-        new = [w for w in distinct if w not in self.known]
+        known = self.known
+        new = [w for w in distinct if w not in known]
         self.bytes += sum(map(len, new))
+        letters = {w: w.decode().lower().encode() for w in new if _LETTERS.fullmatch(w)} if self.merges else {}
+        lower = [w for w in dict.fromkeys(letters.values()) if w not in known]
         flats, sizes = [self.flat], [self.size]
-        for k in range(0, len(new), 20_000):
-            ids, size = self.encode(new[k : k + 20_000])
-            flats.append(ids)
-            sizes.append(size)
+        for encode, parts in ((self.encode_letters, lower), (self.encode, [w for w in new if w not in letters])):
+            for k in range(0, len(parts), 20_000):
+                ids, size = encode(parts[k : k + 20_000])
+                flats.append(ids)
+                sizes.append(size)
+            n = sum(map(len, sizes))
+            known.update(zip(parts, range(n - len(parts), n), strict=True))
+        known.update((w, known[x]) for w, x in letters.items())
         if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.flat, self.size = np.concatenate(flats), np.concatenate(sizes)
         return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
 
@@ -122,7 +154,7 @@ class WordIds:
         start, end, doc = words(data, offs)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(column) + 1, np.int64)
-        letter, stop = _LETTER[data], _STOP[data]
+        letter, stop = _LETTER[data], self.stop[data]
         at = np.flatnonzero((letter[:-1] & stop[1:]) | (stop[:-1] & letter[1:])) + 1
         at = np.setdiff1d(at, start, assume_unique=True)  # a text may begin there
         start, end = np.sort(np.concatenate([start, at])), np.sort(np.concatenate([end, at]))
@@ -144,7 +176,7 @@ def cut(docs: DataFrame, tokenizer: str, max_len: int, end_id: int, id_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer)
         for batch in batches:
-            for part in steps(batch, most=1_000_000):
+            for part in steps(batch, most=2_000_000):
                 ids, ends = encoder.texts(part.column(part.schema.get_field_index("text")))
                 row, start, length, crc, tokens = [], [], [], [], []
                 for k in range(part.num_rows):
