@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 #: Paths made within the open blocks of temporary_tables.
 _SCOPES: list[list[str]] = []
+#: Tables of such a block after which the driver's garbage is collected; its heap grows with what many jobs leave, and shrinks then.
+COLLECT_AFTER = 6
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -57,6 +59,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if any(len(made) % COLLECT_AFTER == 0 for made in _SCOPES):
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
