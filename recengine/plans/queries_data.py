@@ -95,7 +95,7 @@ def s5_bucketed_split(spark, d):
 @query("s6_compact_parts", "files:l rows:l", "SELECT 1 AS files, count(*) AS rows FROM interactions", "interactions")
 def s6_compact_parts(spark, d):
     parts, whole = scratch_path(spark, "parts"), scratch_path(spark, "whole")
-    IO.write_by_user(V.interactions(spark, d), parts, 8)
+    IO.write_by_user(V.interactions(spark, d), parts, 8, order=("ord",))
     IO.compact(spark, parts, whole)
     return spark.read.parquet(whole).agg(F.count_distinct(F.col("_metadata.file_name")).alias("files"), F.count(F.lit(1)).alias("rows"))
 
