@@ -49,3 +49,13 @@ def test_tfidf_with_the_large_vocabulary(spark):
 
     test_query_equals_its_sql(spark, "m3_tfidf_weights_50k")
     assert entry.queries()["m3_tfidf_weights_50k"](spark, DATA).select("term").distinct().count() > 300
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
+def test_tfidf_weighs_all_terms_of_all_documents(spark):
+    import __spark_entry__ as entry
+
+    test_query_equals_its_sql(spark, "m3_tfidf_weights")
+    cells = "SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower('lang_' || lang || ' ' || coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}')) AS term"
+    wanted = duckdb.connect().sql(f"SELECT count(*) FROM ({cells} FROM '{DATA}/documents.parquet')").fetchall()[0][0]
+    assert entry.queries()["m3_tfidf_weights"](spark, DATA).count() == wanted

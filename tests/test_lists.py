@@ -41,3 +41,14 @@ def test_popular_items_are_left_out_of_one_list(spark, monkeypatch):
     longer = Z.recommend_popular(queries, counts, 7)
     assert rows == sorted(map(tuple, longer.collect())) and len(rows) == 40 * 7
     assert "hashpartitioning(query_id" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joined_terms_have_the_same_weights(spark, monkeypatch):
+    docs = [(i % 37, " ".join(f"w{(i * j) % 23} Ab" for j in range(i % 9))) for i in range(400)] + [(None, "w1 w2"), (500, None)]
+    table = spark.createDataFrame(docs, "item_id long, document string").repartition(5)
+    rows = lambda d: sorted((r.item_id is None, r.item_id or 0, r.term, round(r.weight, 9)) for r in d.collect())
+    found = X.tfidf(table)
+    assert not _exchanges(found)
+    monkeypatch.setattr(X, "MOST_TERMS", 5)
+    joined = X.tfidf(table)
+    assert _exchanges(joined) and rows(joined) == rows(found)
