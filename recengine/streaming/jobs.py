@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def ingest(spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str, max_files: int | None = None) -> None:
@@ -46,30 +45,6 @@ def latest_popularity(spark: SparkSession, target: str) -> DataFrame:
     return rows.groupBy("window_start", "item").agg(F.max_by("events", "batch").alias("events"))
 
 
-class LatestSign(StatefulProcessor):
-    """Holds the latest event of a (user, item) and emits +1 when it turns positive, -1 when it no longer is."""
-
-    def __init__(self, threshold: float):
-        self.threshold = threshold
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "ts long, ord long, rating double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.latest.get()
-        before = tuple(held) if held is not None else None
-        order = lambda e: [(x is not None, x) for x in e]
-        now = max([*([before] if before else []), *((r["ts"], r["ord"], r["rating"]) for r in rows)], key=order)
-        if now != before:
-            self.latest.update(now)
-        sign = lambda e: e is not None and e[2] is not None and e[2] >= self.threshold
-        if sign(now) != sign(before):
-            yield Row(item_id=key[1], change=1 if sign(now) else -1)
-
-    def close(self) -> None:
-        pass
-
-
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
     """State on disk for the streams that start within the block."""
@@ -82,28 +57,30 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def popularity_changes(events: DataFrame, threshold: float = 3.0) -> DataFrame:
-    """item_id, change of a stream of (user_id, item_id, rating, ts, ord): how an item's count of users moves whose latest event is positive.
+def latest_signs(events: DataFrame, threshold: float = 3.0) -> DataFrame:
+    """user_id, item_id, positive of (user_id, item_id, rating, ts, ord): whether the latest event of a user and item has at least the threshold.
 
-    Latest is by (ts, ord, rating), so events may come in any order and repeatedly. The
-    state is one small row for each (user, item), never expires, and lies on disk.
+    Latest is by (ts, ord, rating), nulls first, so events may come in any order and
+    repeatedly. On a stream the state is one small row for each (user, item), kept by
+    Spark's own aggregation; it never expires, and lies on disk.
     """
-    rows = events.select("user_id", "item_id", F.col("ts").cast("long").alias("ts"), F.col("ord").cast("long").alias("ord"), F.col("rating").cast("double").alias("rating"))
-    return rows.groupBy("user_id", "item_id").transformWithState(statefulProcessor=LatestSign(threshold), outputStructType="item_id long, change long", outputMode="Append", timeMode="None")
+    event = F.struct(F.col("ts").cast("long").alias("ts"), F.col("ord").cast("long").alias("ord"), F.col("rating").cast("double").alias("rating"))
+    latest = events.groupBy("user_id", "item_id").agg(F.max(event).alias("latest"))
+    return latest.select("user_id", "item_id", F.coalesce(F.col("latest.rating") >= threshold, F.lit(False)).alias("positive"))
 
 
 def run_corrected_popularity(stream: DataFrame, target: str, checkpoint: str, threshold: float = 3.0) -> None:
-    """Run ``popularity_changes`` over what is there; each batch's sums per item are written under its number, so a repeated batch replaces itself."""
+    """Run ``latest_signs`` over what is there; each batch's users and items are written under its number, so a repeated batch replaces itself."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.groupBy("item_id").agg(F.sum("change").alias("change")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        batch.where("item_id > 0").write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     with rocksdb(stream.sparkSession):
-        changes = popularity_changes(stream, threshold)
-        changes.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        signs = latest_signs(stream, threshold)
+        signs.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def corrected_popularity(spark: SparkSession, target: str) -> DataFrame:
-    """item_id, popularity from what ``run_corrected_popularity`` wrote; items without a user left are out, and so are null and non-positive ids."""
-    rows = spark.read.parquet(target).where("item_id > 0").groupBy("item_id").agg(F.sum("change").alias("popularity"))
-    return rows.where("popularity > 0")
+    """item_id, popularity from what ``run_corrected_popularity`` wrote: users whose newest sign is positive; items without any are out, and so are null and non-positive ids."""
+    newest = spark.read.parquet(target).groupBy("user_id", "item_id").agg(F.max(F.struct("batch", "positive")).alias("newest"))
+    return newest.where("newest.positive").groupBy("item_id").agg(F.count(F.lit(1)).alias("popularity"))

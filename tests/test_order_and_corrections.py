@@ -65,3 +65,17 @@ def test_corrected_popularity_equals_the_batch(spark, tmp_path):
         got = {r["item_id"]: r["popularity"] for r in jobs.corrected_popularity(spark, target).collect()}
         batch = positives(spark.createDataFrame(seen, schema)).where("item_id > 0").groupBy("item_id").count().collect()
         assert got == {r["item_id"]: r["count"] for r in batch}
+
+
+def test_corrections_run_without_python(spark, tmp_path):
+    schema = "user_id long, item_id long, rating double, ts long, ord long"
+    rows = spark.range(60_000).select((F.col("id") % 600).alias("user_id"), (F.col("id") % 97 + 1).alias("item_id"), (F.col("id") % 6).cast("double").alias("rating"), (F.col("id") * 7919 % 1000).alias("ts"), F.col("id").alias("ord"))
+    source, target, checkpoint = (f"file://{tmp_path}/{x}" for x in ("in", "out", "state"))
+    for part in (0, 1):
+        rows.where(F.col("ord") % 2 == part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        jobs.run_corrected_popularity(stream, target, checkpoint)
+    plan = jobs.latest_signs(stream)._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "TransformWithState" not in plan and "Python" not in plan
+    got = {r["item_id"]: r["popularity"] for r in jobs.corrected_popularity(spark, target).collect()}
+    assert got == {r["item_id"]: r["count"] for r in positives(rows).groupBy("item_id").count().collect()}
