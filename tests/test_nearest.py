@@ -96,3 +96,22 @@ def test_a_block_of_most_vectors_is_cut(spark, monkeypatch):
     work = []
     assert found(N.nearest(table, 3, "s", "inner", work=work)) == brute(np.arange(1, 801), x, 3, "inner")
     assert work[0].agg(F.max("rows")).first()[0] <= 2 * 4 * 20  # about 4 * BLOCK_ROWS
+
+
+def test_rows_that_cannot_count_are_sorted_out_and_ties_stay():
+    rng = np.random.default_rng(8)
+    rows, asked = np.round(rng.standard_normal((300, 4)), 1), np.round(rng.standard_normal((40, 4)), 1)
+    for floor in (np.nan, 3.0):
+        chunk = N._Chunk(5, np.zeros((3, 4)), np.full(3, 100.0))
+        chunk.hold(np.full(40, 2), np.arange(1000, 1040), asked, np.full(40, floor))
+        for block in (0, 1):
+            chunk.meet(block, np.arange(300)[block::2], rows[block::2])
+        found = {}
+        for batch in chunk.rows():
+            for q, i, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found.setdefault(q, []).append((-s, i))
+        for k in range(40):
+            scores = np.round(rows @ asked[k], 9)
+            wanted = sorted((-s, i) for i, s in enumerate(scores.tolist()) if not s < floor)[:5]
+            got = sorted(found.get(1000 + k, []))
+            assert [i for _, i in got] == [i for _, i in wanted]
